@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, sharding, simhash, token_counts
+from . import decontaminate, mixing, sharding, simhash, token_counts, toxicity
 
 QUERIES = {
     "op4_decontaminate": decontaminate.op4_decontaminate,
     "op5_mix": mixing.op5_mix,
     "op7_token_counts": token_counts.op7_token_counts,
     "op8_simhash": simhash.op8_simhash,
+    "op9_toxicity": toxicity.op9_toxicity,
     "op10_shard": sharding.op10_shard,
 }
 
