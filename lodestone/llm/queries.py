@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, sharding, simhash, token_counts, toxicity
+from . import decontaminate, mixing, sharding, simhash, token_counts, top_k, toxicity, warc
 
 QUERIES = {
+    "op2_top_k": top_k.op2_top_k,
+    "op3_warc": warc.op3_warc,
     "op4_decontaminate": decontaminate.op4_decontaminate,
     "op5_mix": mixing.op5_mix,
     "op7_token_counts": token_counts.op7_token_counts,
@@ -14,6 +16,8 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op2_top_k": top_k.OP2_SQL,
+    "op3_warc": warc.OP3_SQL,
     "op4_decontaminate": decontaminate.OP4_SQL,
     "op5_mix": mixing.OP5_SQL,
 }
