@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from . import decontaminate, mixing, sharding, simhash, token_counts, top_k, toxicity, warc
 
 QUERIES = {
@@ -13,6 +15,7 @@ QUERIES = {
     "op8_simhash": simhash.op8_simhash,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_shard": sharding.op10_shard,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE_SQL = {
