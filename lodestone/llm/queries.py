@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import decontaminate, mixing, sharding, simhash, token_counts, top_k, toxicity, warc
+from . import decontaminate, lm_scoring, mixing, sharding, simhash, token_counts, top_k, toxicity, warc
 
 QUERIES = {
+    "op1_lm_score": lm_scoring.op1_lm_score,
     "op2_top_k": top_k.op2_top_k,
     "op3_warc": warc.op3_warc,
     "op4_decontaminate": decontaminate.op4_decontaminate,
