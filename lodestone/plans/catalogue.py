@@ -1,6 +1,8 @@
-"""Registry of the library's own queries and of the SQL that each must equal."""
+"""The library's own queries: importing a module of the catalogue registers what it holds."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from . import acquisition, identity, presence, runtime, search, workflow  # noqa: F401
+from .registry import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
