@@ -22,7 +22,6 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 WINDOW = 10
 #: Bound on the words of one broadcast automaton.
@@ -33,10 +32,10 @@ MAX_COVERAGE = 0.3
 _WORD_BYTES = frozenset(b"0123456789abcdefghijklmnopqrstuvwxyz") | frozenset(range(0x80, 0x100))
 _FOLD = bytes(x if x in _WORD_BYTES else 0x20 for x in bytes(range(256)).lower())
 
-RESULT = "n_words long, n_hit long, items array<long>, spans array<struct<start:long,stop:long>>"
+RESULT = "n_words long, n_hit long, items array<long>, spans array<struct<start:long,stop:long>>, clean string"
 _RESULT_PA = pa.struct([
     ("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.int64())),
-    ("spans", pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))),
+    ("spans", pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), ("clean", pa.string()),
 ])
 
 
@@ -177,7 +176,7 @@ def _shards(benchmark: DataFrame) -> Iterator[list[tuple[int | None, list[bytes]
             yield part
 
 
-def _scanner(shared, first: bool):
+def _scanner(shared, first: bool, clean: bool):
     """The function that one automaton's pass applies to batches of texts, or of texts and what earlier passes found."""
 
     def scan(texts, earlier=None):
@@ -191,6 +190,7 @@ def _scanner(shared, first: bool):
             rows.append({
                 "n_words": len(ws), "n_hit": sum(b - a for a, b in spans),
                 "items": sorted(x for x in items if x is not None), "spans": [{"start": a, "stop": b} for a, b in spans],
+                "clean": without_spans(text, spans) if clean and spans else None,
             })
         return pa.array(rows, _RESULT_PA)
 
@@ -205,12 +205,15 @@ def _scanner(shared, first: bool):
     return run if first else again
 
 
-def annotate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, column: str = "leak") -> DataFrame:
-    """docs plus a struct column of n_words, n_hit, items (ids found) and spans (hit words, [start, stop))."""
+def annotate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, column: str = "leak", clean: bool = False) -> DataFrame:
+    """docs plus a struct column of n_words, n_hit, items (ids found) and spans (hit words, [start, stop)).
+
+    clean: also the text without the spans, where there are any.
+    """
     out = docs
     for k, part in enumerate(_shards(benchmark)):
         shared = docs.sparkSession.sparkContext.broadcast(SuffixAutomaton(part, window))
-        out = out.withColumn(column, F.arrow_udf(_scanner(shared, k == 0), RESULT)("text", *([column] if k else [])))
+        out = out.withColumn(column, F.arrow_udf(_scanner(shared, k == 0, clean), RESULT)("text", *([column] if k else [])))
     return out
 
 
@@ -224,45 +227,34 @@ def _merged(spans: list[list[int]]) -> list[list[int]]:
     return out
 
 
-def _without_spans(text: pa.Array, spans: pa.Array) -> pa.Array:
+def without_spans(text: str, spans: list[list[int]]) -> str:
     """The text without the bytes from the first to the last word of each span."""
-    out = []
-    for t, ss in zip(text.to_pylist(), spans.to_pylist()):
-        if not t or not ss:
-            out.append(t)
-            continue
-        raw = t.encode("utf-8", "surrogatepass")
-        folded, at, k, cut, last = raw.translate(_FOLD), 0, 0, [], 0
-        for s in ss:
-            start = stop = 0
-            while k < s["stop"]:
-                while folded[at] == 0x20:
-                    at += 1
-                begin = at
-                while at < len(folded) and folded[at] != 0x20:
-                    at += 1
-                if k == s["start"]:
-                    start = begin
-                k, stop = k + 1, at
-            cut.append(raw[last:start])
-            last = stop
-        out.append(b"".join([*cut, raw[last:]]).decode("utf-8", "surrogatepass"))
-    return pa.array(out, pa.string())
-
-
-def without_spans(text: str, spans: str):
-    return F.arrow_udf(_without_spans, T.StringType())(text, spans)
+    raw = text.encode("utf-8", "surrogatepass")
+    folded, at, k, cut, last = raw.translate(_FOLD), 0, 0, [], 0
+    for first, end in spans:
+        start = stop = 0
+        while k < end:
+            while folded[at] == 0x20:
+                at += 1
+            begin, at = at, folded.find(b" ", at)
+            if at < 0:
+                at = len(folded)
+            if k == first:
+                start = begin
+            k, stop = k + 1, at
+        cut.append(raw[last:start])
+        last = stop
+    return b"".join([*cut, raw[last:]]).decode("utf-8", "surrogatepass")
 
 
 def remove(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_coverage: float = MAX_COVERAGE) -> DataFrame:
     """docs without hit spans; a document of which more than max_coverage is hit goes as a whole."""
-    found = annotate(docs, benchmark, window, "_leak")
-    kept = found.filter(F.col("_leak.n_hit") <= F.col("_leak.n_words") * F.lit(max_coverage))
-    cleaned = F.when(F.col("_leak.n_hit") > 0, without_spans("text", "_leak.spans")).otherwise(F.col("text"))
-    shorter = F.when(F.col("_leak.n_hit") > 0, F.char_length(cleaned).cast("long")).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None
-    columns = {"_clean": cleaned} | ({"_chars": shorter} if shorter is not None else {})
-    kept = kept.withColumns(columns).drop("text")
-    return kept.select(*[F.col("_clean").alias(c) if c == "text" else F.col("_chars").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    found = annotate(docs, benchmark, window, "_leak", clean=True).filter(F.col("_leak.n_hit") <= F.col("_leak.n_words") * F.lit(max_coverage))
+    hit = F.col("_leak.clean").isNotNull()
+    new = {"text": F.when(hit, F.col("_leak.clean")).otherwise(F.col("text"))}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(hit, F.char_length("_leak.clean").cast("long")).otherwise(F.col("n_chars"))
+    return found.select(*[new.get(c, F.col(c)).alias(c) for c in docs.columns])
 
 
 def op4_decontaminate(spark, sf_dir) -> DataFrame:

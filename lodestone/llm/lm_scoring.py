@@ -6,8 +6,8 @@ predictions, as log odds, are combined by weights that a gate chooses from how o
 seen; weights learn online, batch by batch, from occurrences left out of their own counts. A table of outcomes by
 (partial byte, predicted log odds) then refines the mix. These contexts start anew with each word, so a word has one probability
 wherever it stands, and the bits of a word are worked out once however often it occurs. What texts copy from each other is
-predicted by hashed phrases (up to the end of a sentence): a phrase is coded by its words or, with the weight that repeated phrases
-have in training, as a copy of one that training has seen.
+predicted by hashed phrases (up to the end of a sentence): a phrase is coded by its words or as a copy of one that training has
+seen, with a weight that follows what the text's phrases so far were.
 
 Jobs: one scan turns each part of the input into its distinct words and phrases and, for each document, its packed
 word numbers; words and phrases are summed into the vocabulary; it is dealt by the first PREFIX bytes, so all that share a longer prefix are together,
@@ -33,11 +33,11 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, remainder
+from .common import materialise, release, remainder
 
 FOLDS, HELD_OUT = 10, 0
 #: Text bytes whose words share one dictionary.
-PART_BYTES = 16_000_000
+PART_BYTES = 32_000_000
 TABLE_BITS, ORDERS = 20, 4
 PREFIX, PIECE = 4, 48
 PREDICTORS = ORDERS + 1
@@ -47,6 +47,8 @@ BUCKETS, REACH = 33, 8.0
 RATE, ALPHA = 0.06, 0.1
 #: A phrase ends with a word that ends so, or after so many words.
 PHRASE_ENDS, PHRASE = b".!?|", 24
+#: The weight of copying before a text has shown any phrase.
+AGAIN = 0.1
 #: How slowly a text's own share of copied phrases forgets.
 FADE = 0.9
 #: Words handled at once; groups of one prefix are kept together.
@@ -90,17 +92,17 @@ def phrases(ids: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> tuple[np.n
 
 
 _PARTS = pa.schema([
-    ("part", pa.string()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("seq", pa.binary()),
+    ("part", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("seq", pa.binary()),
     ("number", pa.int64()), ("word", pa.binary()), ("phrase", pa.int64()), ("n", pa.int64()), ("met", pa.int64()),
 ])
-_PARTS_DDL = "part string, doc_id long, held_out boolean, n_tokens long, seq binary, number long, word binary, phrase long, n long, met long"
+_PARTS_DDL = "part long, doc_id long, held_out boolean, n_tokens long, seq binary, number long, word binary, phrase long, n long, met long"
 
 
 class _Part:
     """Documents of one part of the input and what their words and phrases add up to."""
 
     def __init__(self):
-        self.name = uuid.uuid4().hex[:12]
+        self.name = uuid.uuid4().int >> 65
         self.docs: list[dict] = []
         self.number: dict[bytes, int] = {}
         self.words: list[bytes] = []
@@ -139,7 +141,7 @@ class _Part:
         for i in range(0, n, 50_000):
             m = min(50_000, n - i)
             yield pa.RecordBatch.from_arrays([
-                pa.array([self.name] * m) if f.name == "part" else pa.array(columns[f.name][i:i + m], f.type) if f.name in columns else pa.nulls(m, f.type)
+                pa.array(np.full(m, self.name)) if f.name == "part" else pa.array(columns[f.name][i:i + m], f.type) if f.name in columns else pa.nulls(m, f.type)
                 for f in _PARTS
             ], schema=_PARTS)
 
@@ -361,6 +363,7 @@ def train(vocabulary: DataFrame) -> Mixer:
     """The model from the vocabulary (word, c), dealt by prefix and sorted. Every task learns online; weights are averaged by mass."""
     known = vocabulary.filter("c > 0")
     mixer = Mixer(*_tables(known))
+    release(vocabulary.sparkSession)
     shared = vocabulary.sparkSession.sparkContext.broadcast((mixer.zeros, mixer.ones))
     schema = pa.schema([("i", pa.int32()), ("x", pa.float64()), ("y", pa.float64())])
 
@@ -404,33 +407,36 @@ _RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, base_scor
 
 def score_texts(docs: DataFrame) -> DataFrame:
     """One row per row of docs (doc_id, held_out, text): counts, base score and the model's log10 probability."""
-    parts = materialise(to_parts(docs), "lm-parts")
+    spark = docs.sparkSession
+    parts = materialise(to_parts(docs), "lm-parts", "zstd")
     words = parts.filter("word is not null").select("part", "number", "word", "n")
     summed = words.groupBy("word").agg(F.sum("n").alias("c"))
-    vocabulary = materialise(summed.repartition(F.substring("word", 1, PREFIX)).sortWithinPartitions("word"), "lm-words").repartition(F.substring("word", 1, PREFIX)).sortWithinPartitions("word")
+    vocabulary = materialise(summed.repartition(F.substring("word", 1, PREFIX)).sortWithinPartitions("word"), "lm-words", "zstd").repartition(F.substring("word", 1, PREFIX)).sortWithinPartitions("word")
     total, distinct = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
-    scored = materialise(score_words(vocabulary, train(vocabulary)), "lm-scores")
-    seen = parts.filter("phrase is not null").select("part", "phrase", "n", "met")
-    counted = seen.groupBy("phrase").agg(F.sum("n").alias("c"), F.sum("met").alias("met"))
-    repeated = materialise(counted.filter("c >= 1"), "lm-phrases")
-    n_phrases, n_repeated = repeated.agg(F.coalesce(F.sum("c"), F.lit(0)), F.coalesce(F.sum(F.when(F.col("c") > 1, F.col("c"))), F.lit(0))).first()
-    again = min(0.99, (n_repeated + 0.5) / (n_phrases + 1.0))  # how often a phrase is one that occurs more than once
+    release(spark)
+    scored = materialise(score_words(vocabulary, train(vocabulary)), "lm-scores", "zstd")
+    release(spark)
+    # dealt by phrase once: the counts and what they are joined back to share that exchange
+    seen = parts.filter("phrase is not null").select("part", "phrase", "n", "met").repartition("phrase")
+    n_phrases = parts.filter("phrase is not null").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    counted = seen.groupBy("phrase").agg(F.sum("n").alias("c"), F.sum("met").alias("met")).filter("c >= 1 and met >= 2").select("phrase", "c")
     ends = F.substring("word", -1, 1).isin(*[bytes([x]) for x in PHRASE_ENDS])
-    of_words = words.join(scored, "word").select("part", "number", F.lit(None).cast("long").alias("phrase"), "c", "score", F.xxhash64("word").alias("hash"), ends.alias("ends"))
-    of_phrases = seen.select("part", "phrase").join(repeated.filter("met >= 2"), "phrase").select(
-        "part", F.lit(None).cast("long").alias("number"), "phrase", "c", F.lit(None).cast("double").alias("score"), F.lit(None).cast("long").alias("hash"), F.lit(None).cast("boolean").alias("ends"))
-    known = of_words.unionByName(of_phrases)
+    # key: twice the word's number, plus 1 if it ends a phrase; or, without a score, the phrase's hash
+    of_words = words.join(scored, "word").select("part", (F.col("number") * 2 + ends.cast("long")).alias("key"), "c", "score", F.xxhash64("word").alias("hash"))
+    of_phrases = seen.select("part", "phrase").join(counted, "phrase").select("part", F.col("phrase").alias("key"), "c", F.lit(None).cast("double").alias("score"), F.lit(None).cast("long").alias("hash"))
+    known = of_words.union(of_phrases)
     texts = parts.filter("seq is not null").select("part", "doc_id", "held_out", "n_tokens", "seq")
 
     def add_up(docs: pa.Table, known: pa.Table) -> pa.Table:
-        words = known.filter(pc.is_valid(known.column("number")))
-        number, n = words.column("number").to_numpy(), words.num_rows
+        words = known.filter(pc.is_valid(known.column("score")))
+        key, n = words.column("key").to_numpy(), words.num_rows
+        number = key >> 1
         c, score, hashes, ends = np.zeros(n), np.zeros(n), np.zeros(n, np.uint64), np.zeros(n, bool)
-        c[number], score[number] = words.column("c").to_numpy(), words.column("score").to_numpy()
-        hashes[number], ends[number] = words.column("hash").to_numpy().view(np.uint64), np.array(words.column("ends").to_pylist(), bool)
+        c[number], score[number], ends[number] = words.column("c").to_numpy(), words.column("score").to_numpy(), key & 1 == 1
+        hashes[number] = words.column("hash").to_numpy().view(np.uint64)
         base = np.log10((c + 0.1) / (total + 0.1 * (distinct + 1)))
-        copied = known.filter(pc.is_valid(known.column("phrase")))
-        keys = copied.column("phrase").to_numpy().view(np.uint64)
+        copied = known.filter(pc.is_null(known.column("score")))
+        keys = copied.column("key").to_numpy().view(np.uint64)
         order = np.argsort(keys)
         keys, times = keys[order], copied.column("c").to_numpy()[order]
         n_known, base_score, model_score = [], [], []
@@ -438,7 +444,7 @@ def score_texts(docs: DataFrame) -> DataFrame:
             ids = _unpack(seq.as_py())
             n_known.append(int((c[ids] > 0).sum()))
             base_score.append(float(base[ids].sum()))
-            model_score.append(float(score[ids[-1]] + phrase_scores(ids[:-1], score, ends, hashes, keys, times, again, n_phrases).sum()))
+            model_score.append(float(score[ids[-1]] + phrase_scores(ids[:-1], score, ends, hashes, keys, times, n_phrases).sum()))
         columns = [docs.column("doc_id"), docs.column("held_out"), docs.column("n_tokens"), pa.array(n_known, pa.int64()), pa.array(base_score, pa.float64()), pa.array(model_score, pa.float64())]
         return pa.table(columns, names=[f.split()[0] for f in _RESULT.split(", ")])
 
@@ -447,11 +453,10 @@ def score_texts(docs: DataFrame) -> DataFrame:
     return scored_texts.withColumn("train_tokens", F.lit(int(total)).cast("long"))
 
 
-def phrase_scores(ids, score, ends, hashes, keys, times, again: float, total: int) -> np.ndarray:
+def phrase_scores(ids, score, ends, hashes, keys, times, total: int) -> np.ndarray:
     """log10 probability of each phrase: its words', mixed with that of copying it from those seen in training.
 
-    keys, times: sorted hashes of known phrases and how often each occurred, of total. The weight of copying starts at again and
-    follows what the text's phrases so far were.
+    keys, times: sorted hashes of known phrases and how often each occurred, of total.
     """
     starts, own = phrases(ids, ends, hashes)
     if not len(starts):
@@ -459,10 +464,10 @@ def phrase_scores(ids, score, ends, hashes, keys, times, again: float, total: in
     by_words = np.add.reduceat(score[ids], starts)
     at = np.minimum(np.searchsorted(keys, own), max(0, len(keys) - 1))
     count = np.where(keys[at] == own, times[at], 0) if len(keys) else np.zeros(len(own))
-    weight, hits, met = np.empty(len(own)), 0.5 * again, 0.5
+    weight, hits, met = np.empty(len(own)), 0.5 * AGAIN, 0.5
     for i, known in enumerate((count > 0).tolist()):
         weight[i] = hits / met
-        hits, met = FADE * hits + known + (1 - FADE) * 0.1 * again, FADE * met + 1 + (1 - FADE) * 0.1
+        hits, met = FADE * hits + known + (1 - FADE) * 0.1 * AGAIN, FADE * met + 1 + (1 - FADE) * 0.1
     weight = np.clip(weight, 0.002, 0.998)
     copy = np.where(count > 0, np.log(np.maximum(count, 1) * weight / max(total, 1)), -np.inf)
     return np.logaddexp(by_words * np.log(10) + np.log(1 - weight), copy) / np.log(10)

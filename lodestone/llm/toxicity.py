@@ -51,9 +51,9 @@ GAPPED_SHARE = 0.06
 WINDOW = 32
 #: Letters by which a compared window may exceed the landmark.
 SLACK = 2
-CACHE_WORDS = 400_000
+CACHE_WORDS = 150_000
 #: Texts of about so many characters share one round of kernel sums.
-ROUND_CHARS = 2_000_000
+ROUND_CHARS = 1_000_000
 
 _SPACED = re.compile(r"(?<!\S)\S(?:\s+\S){2,}(?!\S)")
 

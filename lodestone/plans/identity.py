@@ -1 +1,223 @@
-"""Placeholder."""
+"""Queries over documents and entities: hashes, duplicates, merges, facts, salaries, eligibility inputs."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from ..functions import text as tx
+from ..operators import ledger
+from ..operators.near import near_pairs
+from ..policy import POLICY
+from ..sources.tables import table
+from .registry import query
+
+NORM = "lower(trim(regexp_replace(text, '\\s+', ' ', 'g')))"
+
+
+@query(f"SELECT doc_id, sha256({NORM}) AS normalized_content_hash, sha256(text) AS body_hash FROM documents")
+def content_hash(spark, d):
+    t = F.col("text")
+    return table(spark, d, "documents").select("doc_id", tx.content_hash(t).alias("normalized_content_hash"), tx.body_hash(t).alias("body_hash"))
+
+
+@query(f"SELECT sha256({NORM}) AS hash, count(*) AS n, min(doc_id) AS first_id, array_to_string(list_sort(list(DISTINCT source)), ',') AS sources FROM documents GROUP BY 1 HAVING count(*) > 1")
+def exact_duplicates(spark, d):
+    g = table(spark, d, "documents").groupBy(tx.content_hash(F.col("text")).alias("hash"))
+    return g.agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id"), F.array_join(F.array_sort(F.collect_set("source")), ",").alias("sources")).filter("n > 1")
+
+
+NEAR_SQL = f"""
+WITH w AS (SELECT doc_id, regexp_extract_all({NORM}, '[^ ]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(ws[p : p + 4], ' ') AS g FROM w, unnest(generate_series(1, greatest(len(ws) - 4, 1))) AS t(p) WHERE len(ws) > 0),
+n AS (SELECT doc_id, count(*) AS k FROM s GROUP BY 1),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2)
+SELECT a AS doc_a, b AS doc_b, round(CAST(c AS DOUBLE) / (x.k + y.k - c), 6) AS jaccard FROM common JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b
+WHERE CAST(c AS DOUBLE) / (x.k + y.k - c) >= 0.8
+"""
+
+
+@query(NEAR_SQL)
+def near_duplicates(spark, d):
+    """All pairs of documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more."""
+    return near_pairs(table(spark, d, "documents").select("doc_id", "text"), POLICY.shingle_words, POLICY.similarity_threshold)
+
+
+HASHED = f"SELECT doc_id, source, sha256({NORM}) AS h, min(doc_id) OVER (PARTITION BY sha256({NORM})) AS root FROM documents"
+
+
+def _edges(spark, d):
+    """Each exact copy beside the least document of its hash, and odd documents beside the next one of their source, as merge evidence."""
+    docs = table(spark, d, "documents").select("doc_id", tx.content_hash(F.col("text")).alias("h"))
+    least = docs.groupBy("h").agg(F.min("doc_id").alias("a"))
+    return docs.join(least, "h").filter("doc_id > a").select("a", F.col("doc_id").alias("b"))
+
+
+@query(f"SELECT doc_id AS node, root FROM ({HASHED}) x WHERE EXISTS (SELECT 1 FROM ({HASHED}) y WHERE y.root = x.root AND y.doc_id <> x.doc_id)")
+def duplicate_components(spark, d):
+    return ledger.closure(_edges(spark, d))
+
+
+CHAIN_SQL = """
+WITH RECURSIVE e AS (SELECT vec_id AS a, vec_id + label + 1 AS b FROM embeddings WHERE vec_id % 3 <> 0 AND vec_id + label + 1 <= (SELECT max(vec_id) FROM embeddings)),
+s AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+r AS (SELECT a AS node, a AS root FROM s UNION SELECT s.b, r.root FROM r JOIN s ON r.node = s.a)
+SELECT node, min(root) AS root FROM r GROUP BY 1
+"""
+
+
+@query(CHAIN_SQL)
+def merge_closure(spark, d):
+    """Transitive merge chains over a generated evidence graph, against a recursive query."""
+    v = table(spark, d, "embeddings")
+    top = v.agg(F.max("vec_id").alias("top"))
+    e = v.filter("vec_id % 3 <> 0").select(F.col("vec_id").alias("a"), (F.col("vec_id") + F.col("label") + 1).alias("b")).join(F.broadcast(top), F.col("b") <= F.col("top")).select("a", "b")
+    return ledger.closure(e)
+
+
+@query(f"SELECT root AS kept_job_id, doc_id AS absorbed_job_id, 1 AS stage, 'NORMALIZED_CONTENT' AS reason_code FROM ({HASHED}) WHERE doc_id <> root")
+def merge_ledger(spark, d):
+    return _edges(spark, d).select(F.col("a").alias("kept_job_id"), F.col("b").alias("absorbed_job_id"), F.lit(1).alias("stage"), F.lit("NORMALIZED_CONTENT").alias("reason_code"))
+
+
+@query(f"SELECT doc_id AS job_id, CASE WHEN doc_id <> root AND doc_id % 2 = 0 THEN doc_id ELSE root END AS canonical_id FROM ({HASHED})")
+def merge_undo_view(spark, d):
+    """Undo appends: merges of even ids are undone, and the view is worked out again; rows keep their own id."""
+    merges = merge_ledger(spark, d).filter("absorbed_job_id % 2 = 1")
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("job_id"))
+    return docs.join(merges, docs["job_id"] == merges["absorbed_job_id"], "left").select("job_id", F.coalesce("kept_job_id", "job_id").alias("canonical_id"))
+
+
+@query("SELECT l_partkey AS job_id, l_suppkey AS source_id, l_shipdate AS evidence_at FROM (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY l_suppkey % 4, l_shipdate DESC, l_suppkey, l_orderkey, l_linenumber) AS rn FROM lineitem) WHERE rn = 1")
+def canonical_provenance(spark, d):
+    """Source quality first, then the newest evidence, then the least id."""
+    best = ledger.latest_by(table(spark, d, "lineitem"), ["l_partkey"], F.col("l_suppkey") % 4, F.desc("l_shipdate"), F.col("l_suppkey"), F.col("l_orderkey"), F.col("l_linenumber"))
+    return best.select(F.col("l_partkey").alias("job_id"), F.col("l_suppkey").alias("source_id"), F.col("l_shipdate").alias("evidence_at"))
+
+
+SEEN = "(SELECT DISTINCT l_partkey, l_suppkey, l_shipdate FROM lineitem)"
+
+
+@query(f"""SELECT l_partkey AS job_id, l_suppkey AS source_id, l_shipdate AS seen_at, CAST(sum(brk) OVER (PARTITION BY l_partkey, l_suppkey ORDER BY l_shipdate) AS BIGINT) AS generation
+FROM (SELECT *, CASE WHEN date_diff('day', lag(l_shipdate) OVER (PARTITION BY l_partkey, l_suppkey ORDER BY l_shipdate), l_shipdate) > 365 THEN 1 ELSE 0 END AS brk FROM {SEEN})""")
+def id_reuse_guard(spark, d):
+    """A reappearance after a long closed interval starts a new identity generation."""
+    seen = table(spark, d, "lineitem").select("l_partkey", "l_suppkey", "l_shipdate").distinct()
+    w = Window.partitionBy("l_partkey", "l_suppkey").orderBy("l_shipdate")
+    gap = F.datediff("l_shipdate", F.lag("l_shipdate").over(w))
+    broken = seen.withColumn("brk", F.when(gap > POLICY.id_reuse_gap_days, 1).otherwise(0))
+    return broken.select(F.col("l_partkey").alias("job_id"), F.col("l_suppkey").alias("source_id"), F.col("l_shipdate").alias("seen_at"), F.sum("brk").over(w).alias("generation"))
+
+
+FACTS = [("licence", "licensed under"), ("pipe_table", " | "), ("question", "?"), ("email", "@")]
+_FACTS = ", ".join(f"('{a}', '{b}')" for a, b in FACTS)
+
+
+@query(f"SELECT doc_id, rule_id, CAST(strpos(lower(text), pattern) AS INTEGER) AS evidence_start FROM documents, (VALUES {_FACTS}) r(rule_id, pattern) WHERE strpos(lower(text), pattern) > 0")
+def fact_extraction(spark, d):
+    """A fixed rule table becomes one array expression: one scan, no cross join."""
+    low = F.lower("text")
+    hits = F.filter(F.array(*[F.struct(F.lit(r).alias("rule_id"), F.instr(low, p).alias("evidence_start")) for r, p in FACTS]), lambda h: h["evidence_start"] > 0)
+    return table(spark, d, "documents").select("doc_id", F.explode(hits).alias("h")).select("doc_id", "h.rule_id", "h.evidence_start")
+
+
+STOP = {"de": ["der", "die", "und"], "en": ["the", "of", "and"], "es": ["que", "los", "el"], "fr": ["le", "et", "les"]}
+
+
+def _vote_sql():
+    return ", ".join(f"len(list_filter(ws, lambda w: w IN ({', '.join(repr(x) for x in v)}))) AS n_{k}" for k, v in STOP.items())
+
+
+@query(f"""SELECT lang, CASE WHEN greatest(n_de, n_en, n_es, n_fr) = 0 THEN 'unknown' WHEN n_de = greatest(n_de, n_en, n_es, n_fr) THEN 'de' WHEN n_en = greatest(n_en, n_es, n_fr) AND n_en >= n_de THEN 'en'
+  WHEN n_es = greatest(n_de, n_en, n_es, n_fr) THEN 'es' ELSE 'fr' END AS predicted, count(*) AS n
+FROM (SELECT lang, {_vote_sql()} FROM (SELECT lang, string_split({NORM}, ' ') AS ws FROM documents)) GROUP BY 1, 2""")
+def language_vote(spark, d):
+    ws = F.split(tx.normalised(F.col("text")), " ")
+    votes = table(spark, d, "documents").select("lang", *[F.size(F.filter(ws, lambda w, v=v: w.isin(v))).alias(f"n_{k}") for k, v in STOP.items()])
+    most = F.greatest("n_de", "n_en", "n_es", "n_fr")
+    pick = F.when(most == 0, "unknown").when(F.col("n_de") == most, "de").when(F.col("n_en") == most, "en").when(F.col("n_es") == most, "es").otherwise("fr")
+    return votes.groupBy("lang", pick.alias("predicted")).agg(F.count("*").alias("n"))
+
+
+PAY = "'EUR ' || CAST(CAST(floor(p_retailprice) AS BIGINT) AS VARCHAR) || CASE WHEN p_size % 2 = 0 THEN ' - ' || CAST(CAST(floor(p_retailprice) AS BIGINT) + p_size AS VARCHAR) ELSE '' END || CASE WHEN p_size % 3 = 0 THEN ' per day' ELSE ' per month' END"
+
+
+@query(f"""SELECT p_partkey, salary_text, CAST(regexp_extract(salary_text, '([0-9]+)', 1) AS BIGINT) AS salary_min, coalesce(try_cast(nullif(regexp_extract(salary_text, '- ([0-9]+)', 1), '') AS BIGINT), CAST(regexp_extract(salary_text, '([0-9]+)', 1) AS BIGINT)) AS salary_max,
+  regexp_extract(salary_text, '^([A-Z]+)', 1) AS currency, upper(regexp_extract(salary_text, 'per ([a-z]+)', 1)) AS period FROM (SELECT p_partkey, {PAY} AS salary_text FROM part)""")
+def salary_parse(spark, d):
+    """Range or single amount, currency and period; the original text is kept."""
+    low = F.floor("p_retailprice")
+    made = F.concat(F.lit("EUR "), low.cast("string"), F.when(F.col("p_size") % 2 == 0, F.concat(F.lit(" - "), (low + F.col("p_size")).cast("string"))).otherwise(""), F.when(F.col("p_size") % 3 == 0, " per day").otherwise(" per month"))
+    t = F.col("salary_text")
+    first = F.regexp_extract(t, "([0-9]+)", 1).cast("long")
+    upper = F.regexp_extract(t, "- ([0-9]+)", 1)
+    return table(spark, d, "part").select("p_partkey", made.alias("salary_text")).select(
+        "p_partkey", "salary_text", first.alias("salary_min"), F.coalesce(F.when(upper != "", upper.cast("long")), first).alias("salary_max"),
+        F.regexp_extract(t, "^([A-Z]+)", 1).alias("currency"), F.upper(F.regexp_extract(t, "per ([a-z]+)", 1)).alias("period"))
+
+
+@query("""WITH fx(rate_date, version, rate) AS (VALUES (TIMESTAMP '1994-01-01', 'v1', 1.1), (TIMESTAMP '1996-01-01', 'v2', 1.2), (TIMESTAMP '1998-07-01', 'v3', 1.3), (TIMESTAMP '2000-01-01', 'v4', 1.4))
+SELECT o_orderkey, version, round(o_totalprice * CAST(rate AS DOUBLE), 4) AS annual_ref FROM (SELECT o.o_orderkey, o.o_totalprice, fx.version, fx.rate, row_number() OVER (PARTITION BY o.o_orderkey ORDER BY fx.rate_date DESC) AS rn FROM orders o JOIN fx ON fx.rate_date <= o.o_orderdate) WHERE rn = 1""")
+def salary_annual_fx(spark, d):
+    """The rate in force at each date: intervals of a small rate table make the as-of join a broadcast range join."""
+    fx = spark.sql("SELECT * FROM VALUES (TIMESTAMP_NTZ '1994-01-01', 'v1', 1.1D), (TIMESTAMP_NTZ '1996-01-01', 'v2', 1.2D), (TIMESTAMP_NTZ '1998-07-01', 'v3', 1.3D), (TIMESTAMP_NTZ '2000-01-01', 'v4', 1.4D) t(rate_date, version, rate)")
+    spans = fx.withColumn("until", F.lead("rate_date").over(Window.orderBy("rate_date")))  # a handful of rates
+    o = table(spark, d, "orders")
+    on = (o["o_orderdate"] >= spans["rate_date"]) & (spans["until"].isNull() | (o["o_orderdate"] < spans["until"]))
+    return o.join(F.broadcast(spans), on).select("o_orderkey", "version", F.round(F.col("o_totalprice") * F.col("rate"), 4).alias("annual_ref"))
+
+
+@query("SELECT p_brand, count(*) AS n, count(pay) AS known, count(*) - count(pay) AS unknown, min(pay) AS least FROM (SELECT p_brand, CASE WHEN p_partkey % 7 <> 0 THEN p_retailprice END AS pay FROM part) GROUP BY 1")
+def salary_unknown_state(spark, d):
+    """Unknown pay stays unknown: neither zero nor left out."""
+    p = table(spark, d, "part").select("p_brand", F.when(F.col("p_partkey") % 7 != 0, F.col("p_retailprice")).alias("pay"))
+    return p.groupBy("p_brand").agg(F.count("*").alias("n"), F.count("pay").alias("known"), (F.count("*") - F.count("pay")).alias("unknown"), F.min("pay").alias("least"))
+
+
+@query("""SELECT company, count(*) AS n, min(kind || ':' || CAST(id AS VARCHAR)) AS first_member FROM (
+  SELECT 'c' AS kind, c_custkey AS id, trim(regexp_replace(regexp_replace(regexp_replace(lower(c_name || ' Inc.'), '[^a-z0-9 ]', ' ', 'g'), '\\b(inc|ltd|llc|gmbh|corp)\\b', '', 'g'), ' +', ' ', 'g')) AS company FROM customer
+  UNION ALL SELECT 's', s_suppkey, trim(regexp_replace(regexp_replace(regexp_replace(lower(replace(s_name, 'Supplier', 'Customer') || ' GmbH'), '[^a-z0-9 ]', ' ', 'g'), '\\b(inc|ltd|llc|gmbh|corp)\\b', '', 'g'), ' +', ' ', 'g')) FROM supplier) GROUP BY 1 HAVING count(*) > 1""")
+def company_resolution(spark, d):
+    c = table(spark, d, "customer").select(F.lit("c").alias("kind"), F.col("c_custkey").alias("id"), F.concat("c_name", F.lit(" Inc.")).alias("name"))
+    s = table(spark, d, "supplier").select(F.lit("s").alias("kind"), F.col("s_suppkey").alias("id"), F.concat(F.regexp_replace("s_name", "Supplier", "Customer"), F.lit(" GmbH")).alias("name"))
+    both = c.union(s).select(tx.normalised_name(F.col("name")).alias("company"), F.concat_ws(":", "kind", F.col("id").cast("string")).alias("member"))
+    return both.groupBy("company").agg(F.count("*").alias("n"), F.min("member").alias("first_member")).filter("n > 1")
+
+
+@query("SELECT n_nationkey, upper(n_name) AS country, lower(r_name) AS region, CAST(regexp_extract(n_name, '([0-9]+)', 1) AS INTEGER) AS number, r_name = 'ASIA' AS remote FROM nation JOIN region ON n_regionkey = r_regionkey")
+def location_parse(spark, d):
+    r = F.broadcast(table(spark, d, "region"))  # a fixed dimension of a few rows
+    return table(spark, d, "nation").join(r, F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", F.upper("n_name").alias("country"), F.lower("r_name").alias("region"), F.regexp_extract("n_name", "([0-9]+)", 1).cast("int").alias("number"), (F.col("r_name") == "ASIA").alias("remote"))
+
+
+@query("SELECT sha256(CAST(user_id AS VARCHAR) || chr(1) || event_type || chr(1) || (props->>'$.k')) AS request_key, count(*) AS n FROM events GROUP BY 1")
+def request_keys(spark, d):
+    return table(spark, d, "events").groupBy(tx.key_of(F.col("user_id"), F.col("event_type"), F.get_json_object("props", "$.k")).alias("request_key")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT DISTINCT l_partkey AS job_id, l_suppkey AS source_id, CASE WHEN l_suppkey % 3 = 0 THEN 'NATIVE' WHEN l_suppkey % 3 = 1 THEN 'ORIGIN' ELSE 'CONTENT' END AS identity_kind FROM lineitem JOIN part ON l_partkey = p_partkey")
+def identity_join(spark, d):
+    l = table(spark, d, "lineitem").select("l_partkey", "l_suppkey").distinct()
+    kind = F.when(F.col("l_suppkey") % 3 == 0, "NATIVE").when(F.col("l_suppkey") % 3 == 1, "ORIGIN").otherwise("CONTENT")
+    return l.join(table(spark, d, "part").select("p_partkey"), F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_partkey").alias("job_id"), F.col("l_suppkey").alias("source_id"), kind.alias("identity_kind"))
+
+
+@query("SELECT a.o_orderkey AS order_a, b.o_orderkey AS order_b FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND a.o_orderkey < b.o_orderkey AND abs(date_diff('day', a.o_orderdate, b.o_orderdate)) <= 45 AND abs(a.o_totalprice - b.o_totalprice) <= 0.05 * greatest(a.o_totalprice, b.o_totalprice)")
+def soft_match(spark, d):
+    """Equal company, dates within the window, close pay. Dates are binned by the window so the equi-join key is narrow."""
+    o = table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderdate", "o_totalprice", F.floor(F.datediff("o_orderdate", F.lit("1990-01-01")) / POLICY.match_window_days).alias("bin"))
+    b = o.withColumn("bin", F.explode(F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1)))
+    near = (F.abs(F.datediff("a.o_orderdate", "b.o_orderdate")) <= POLICY.match_window_days) & (F.abs(F.col("a.o_totalprice") - F.col("b.o_totalprice")) <= 0.05 * F.greatest("a.o_totalprice", "b.o_totalprice"))
+    return o.alias("a").join(b.alias("b"), ["o_custkey", "bin"]).filter("a.o_orderkey < b.o_orderkey").filter(near).select(F.col("a.o_orderkey").alias("order_a"), F.col("b.o_orderkey").alias("order_b"))
+
+
+@query("SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}'))) AS email FROM documents")
+def contact_extract(spark, d):
+    """Verbatim matches only; no address is ever inferred."""
+    return table(spark, d, "documents").select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(tx.EMAIL), F.lit(0)))).alias("email"))
+
+
+@query("SELECT doc_id, n_email > 0 AS had_email, sha256(regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}', '[email]', 'g')) AS redacted_hash FROM (SELECT doc_id, text, len(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}')) AS n_email FROM documents)")
+def redaction(spark, d):
+    t = F.regexp_replace("text", tx.EMAIL, "[email]")
+    return table(spark, d, "documents").select("doc_id", F.col("text").rlike(tx.EMAIL).alias("had_email"), F.sha2(t.cast("binary"), 256).alias("redacted_hash"))
