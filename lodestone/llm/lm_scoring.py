@@ -7,7 +7,7 @@ seen; weights learn online, batch by batch, from occurrences left out of their o
 (partial byte, predicted log odds) then refines the mix. These contexts start anew with each word, so a word has one probability
 wherever it stands, and the bits of a word are worked out once however often it occurs. What texts copy from each other is
 predicted by hashed phrases (up to the end of a sentence): a phrase is coded by its words or as a copy of one that training has
-seen, with a weight that follows what the text's phrases so far were.
+seen, with a weight that follows what the text's phrases so far were. A training text's own occurrence of a phrase is left out.
 
 Jobs: one scan turns each part of the input into its distinct words and phrases and, for each document, its packed
 word numbers; words and phrases are summed into the vocabulary; it is dealt by the first PREFIX bytes, so all that share a longer prefix are together,
@@ -440,11 +440,11 @@ def score_texts(docs: DataFrame) -> DataFrame:
         order = np.argsort(keys)
         keys, times = keys[order], copied.column("c").to_numpy()[order]
         n_known, base_score, model_score = [], [], []
-        for seq in docs.column("seq"):
-            ids = _unpack(seq.as_py())
+        for seq, held in zip(docs.column("seq"), docs.column("held_out")):
+            ids, others = _unpack(seq.as_py()), times if held.as_py() else times - 1
             n_known.append(int((c[ids] > 0).sum()))
             base_score.append(float(base[ids].sum()))
-            model_score.append(float(score[ids[-1]] + phrase_scores(ids[:-1], score, ends, hashes, keys, times, n_phrases).sum()))
+            model_score.append(float(score[ids[-1]] + phrase_scores(ids[:-1], score, ends, hashes, keys, others, n_phrases).sum()))
         columns = [docs.column("doc_id"), docs.column("held_out"), docs.column("n_tokens"), pa.array(n_known, pa.int64()), pa.array(base_score, pa.float64()), pa.array(model_score, pa.float64())]
         return pa.table(columns, names=[f.split()[0] for f in _RESULT.split(", ")])
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import decontaminate, lm_scoring, mixing, sharding, simhash, token_counts, top_k, toxicity, warc
+from . import decontaminate, lm_scoring, mixing, sharding, simhash, token_counts, tool_calls, top_k, toxicity, warc
 
 QUERIES = {
     "op1_lm_score": lm_scoring.op1_lm_score,
@@ -12,6 +12,7 @@ QUERIES = {
     "op3_warc": warc.op3_warc,
     "op4_decontaminate": decontaminate.op4_decontaminate,
     "op5_mix": mixing.op5_mix,
+    "op6_tool_calls": tool_calls.op6_tool_calls,
     "op7_token_counts": token_counts.op7_token_counts,
     "op8_simhash": simhash.op8_simhash,
     "op9_toxicity": toxicity.op9_toxicity,
@@ -24,4 +25,5 @@ ORACLE_SQL = {
     "op3_warc": warc.OP3_SQL,
     "op4_decontaminate": decontaminate.OP4_SQL,
     "op5_mix": mixing.OP5_SQL,
+    "op6_tool_calls": tool_calls.OP6_SQL,
 }
