@@ -124,6 +124,10 @@ def fact_extraction(spark, d):
 STOP = {"de": ["der", "die", "und"], "en": ["the", "of", "and"], "es": ["que", "los", "el"], "fr": ["le", "et", "les"]}
 
 
+def _among(words):
+    return lambda w: w.isin(words)
+
+
 def _vote_sql():
     return ", ".join(f"len(list_filter(ws, lambda w: w IN ({', '.join(repr(x) for x in v)}))) AS n_{k}" for k, v in STOP.items())
 
@@ -132,8 +136,9 @@ def _vote_sql():
   WHEN n_es = greatest(n_de, n_en, n_es, n_fr) THEN 'es' ELSE 'fr' END AS predicted, count(*) AS n
 FROM (SELECT lang, {_vote_sql()} FROM (SELECT lang, string_split({NORM}, ' ') AS ws FROM documents)) GROUP BY 1, 2""")
 def language_vote(spark, d):
+    """Stop words vote; ties go to the first language in order."""
     ws = F.split(tx.normalised(F.col("text")), " ")
-    votes = table(spark, d, "documents").select("lang", *[F.size(F.filter(ws, lambda w, v=v: w.isin(v))).alias(f"n_{k}") for k, v in STOP.items()])
+    votes = table(spark, d, "documents").select("lang", *[F.size(F.filter(ws, _among(v))).alias(f"n_{k}") for k, v in STOP.items()])
     most = F.greatest("n_de", "n_en", "n_es", "n_fr")
     pick = F.when(most == 0, "unknown").when(F.col("n_de") == most, "de").when(F.col("n_en") == most, "en").when(F.col("n_es") == most, "es").otherwise("fr")
     return votes.groupBy("lang", pick.alias("predicted")).agg(F.count("*").alias("n"))
