@@ -4,8 +4,9 @@ Events are calls, results and plain messages of conversations. Results are hash-
 conversation), arguments are validated against the tool's schema, every event is serialised as canonical JSON, and events are
 ordered topologically: a result comes after its call, a call after the results of the calls that it depends on.
 
-Both sides of a join are first added up by identifier, so repeated identifiers make no pairs. Levels are found in rounds, each
-placing the calls whose dependencies are placed: as many rounds as the longest chain of calls. Places in a conversation are numbered
+Both sides of a join are first added up by identifier, so repeated identifiers make no pairs. Levels are found in rounds: chains of
+calls with one dependency each are followed by jumps that double, and calls with several are placed once all of those are, as
+many rounds as such calls depend on each other in a row. Places in a conversation are numbered
 within (level, BUCKET turns) and shifted by the sums before, so a conversation of any length fills no single task.
 
 Canonical JSON: keys in order of code points, no white space, shortest escapes, no escapes for non-ASCII letters.
@@ -13,8 +14,8 @@ Canonical JSON: keys in order of code points, no white space, shortest escapes,
 Defined cases: a call without a result is unanswered, one whose identifier another call has too is ambiguous; a result without
 a call is an orphan, and of several results of a call those with the smallest turn are linked, others are extra;
 calls on or behind a cycle of dependencies have no level and come last; dependencies on calls that do not exist count for nothing;
-arguments that are no JSON object, hold a key twice, or name an unknown tool are invalid and are kept as a string; null
-texts are JSON nulls; a null conv_id is a conversation of its own; a null identifier links to nothing; repeated rows are
+arguments that are no JSON or hold a key twice are invalid and kept as a string, those of an unknown tool are invalid; half
+surrogates stay escaped; null texts are JSON nulls; a null conv_id is a conversation of its own; a null identifier links to nothing; repeated rows are
 events of their own; an empty table gives an empty result.
 """
 
@@ -22,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -43,11 +45,17 @@ SCHEMAS = {
     }
 }
 
+_HALF = re.compile("[\ud800-\udfff]")
 _KINDS = {"object": dict, "array": list, "string": str, "boolean": bool, "integer": int, "number": (int, float), "null": type(None)}
 
 
+def _whole(text: str) -> str:
+    """Half surrogates, which UTF-8 cannot hold, as escapes."""
+    return _HALF.sub(lambda m: f"\\u{ord(m.group()):04x}", text)
+
+
 def canonical(value) -> str:
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+    return _whole(json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False))
 
 
 def faults(value, schema: dict, at: str = "") -> Iterator[str]:
@@ -119,8 +127,8 @@ def format_events(events: DataFrame, schemas: dict = SCHEMAS) -> DataFrame:
             rows = []
             for event in zip(*(c.to_pylist() for c in columns)):
                 text, found = formatted(*event, schemas)
-                raw = text.encode("utf-8", "surrogatepass")
-                rows.append({"json": text, "json_sha256": hashlib.sha256(raw).hexdigest(), "json_bytes": len(raw), "errors": "; ".join(found) if event[0] == "call" else None})
+                raw = text.encode()
+                rows.append({"json": text, "json_sha256": hashlib.sha256(raw).hexdigest(), "json_bytes": len(raw), "errors": _whole("; ".join(found)) if event[0] == "call" else None})
             yield pa.array(rows, kind)
 
     made = F.arrow_udf(run, "json string, json_sha256 string, json_bytes long, errors string")
@@ -137,26 +145,32 @@ def levels(calls: DataFrame, depends: DataFrame) -> DataFrame:
 
     depends: rows (key, on), both keys of calls. Calls on or behind a cycle are left out.
     """
-    placed = calls.join(depends.select("key").distinct(), "key", "left_anti").select("key", F.lit(0).alias("level"), "weight")
-    placed = materialise(placed, "placed")
-    waiting = materialise(depends.join(calls, "key").select("key", "on", "weight"), "waiting")
-    parts = [placed]
-    while True:
-        # what the last round placed lets go of those that wait for it; a call is placed once it waits for nothing
-        met = waiting.join(placed.select(F.col("key").alias("on"), (F.col("level") + F.col("weight")).alias("after")), "on", "left")
-        grown = F.greatest(F.col("least"), F.col("after")) if "least" in waiting.columns else F.col("after")
-        state = materialise(met.groupBy("key").agg(
-            F.first("weight").alias("weight"), F.max(grown).alias("least"), F.collect_set(F.when(F.col("after").isNull(), F.col("on"))).alias("left"),
-        ), "levels")
-        placed = state.filter(F.size("left") == 0).select("key", F.col("least").cast("int").alias("level"), "weight")
-        if placed.isEmpty():
+    edges = depends.join(calls.select(F.col("key").alias("on"), F.col("weight").alias("dist")), "on").select("key", "on", "dist")
+    edges = materialise(edges.join(edges.groupBy("key").agg(F.count("*").alias("n")), "key"), "edges")
+    roots = calls.select("key").join(edges.select("key").distinct(), "key", "left_anti").select("key", F.lit(0).alias("level"))
+    # a call with one dependency lies dist above it; jumps of jumps reach the start of a chain
+    jumps = materialise(edges.filter("n = 1").select("key", F.col("on").alias("at"), "dist"), "jumps")
+    chained = jumps.count()
+    for _ in range(chained.bit_length() + 1):
+        via = jumps.select(F.col("key").alias("at"), F.col("at").alias("far"), F.col("dist").alias("more"))
+        moved = materialise(jumps.join(via, "at", "left").select("key", F.coalesce("far", "at").alias("at"), (F.col("dist") + F.coalesce("more", F.lit(0))).alias("dist"), "far"), "jumps")
+        jumps = moved.drop("far")
+        if moved.filter("far is not null").isEmpty():
             break
-        parts.append(placed)
-        waiting = state.filter(F.size("left") > 0).select("key", F.explode("left").alias("on"), "weight", F.col("least"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.select("key", "level")
+    jumps = jumps.join(edges.filter("n = 1").select(F.col("key").alias("at")), "at", "left_anti").select("key", "at", "dist")  # others run in circles
+    placed = parts = materialise(roots, "placed")
+    several = edges.filter("n > 1").select("key", F.col("on").alias("_on"), F.col("dist").alias("_dist"))
+    ends = jumps.select(F.col("key").alias("_on"), "at", "dist")
+    waiting = several.join(ends, "_on", "left").select("key", F.coalesce("at", "_on").alias("on"), (F.col("_dist") + F.coalesce("dist", F.lit(0))).alias("dist"), F.lit(None).cast("int").alias("after"))
+    waiting = materialise(waiting, "waiting")
+    while not placed.isEmpty() and not waiting.isEmpty():
+        met = waiting.join(placed.select(F.col("key").alias("on"), "level"), "on", "left")
+        waiting = materialise(met.select("key", "on", "dist", F.coalesce("after", F.col("level") + F.col("dist")).cast("int").alias("after")), "waiting")
+        ready = waiting.groupBy("key").agg(F.count_if(F.col("after").isNull()).alias("n"), F.max("after").alias("level")).filter("n = 0")
+        placed = materialise(ready.select("key", "level"), "placed")
+        parts = parts.unionByName(placed)
+        waiting = materialise(waiting.join(placed.select("key"), "key", "left_anti"), "waiting")
+    return parts.unionByName(jumps.join(parts.withColumnRenamed("key", "at"), "at").select("key", (F.col("level") + F.col("dist")).cast("int").alias("level")))
 
 
 def link(events: DataFrame) -> DataFrame:
