@@ -175,7 +175,8 @@ def levels(calls: DataFrame, depends: DataFrame) -> DataFrame:
 
 def link(events: DataFrame) -> DataFrame:
     """events (conv_id, turn, kind, call_id, after and others, no texts) plus status, level and place (in the conversation, from 0)."""
-    keyed = materialise(events.withColumn("_key", _key()), "events")
+    # rows without an identifier are dealt by turn: as nulls they would all meet in one task
+    keyed = materialise(events.withColumns({"_key": _key(), "_deal": F.coalesce(_key(), F.xxhash64("conv_id", "turn").cast("string"))}), "events")
     by_id = keyed.filter("_key is not null").groupBy(F.col("_key").alias("_id")).agg(
         F.count_if(F.col("kind") == "call").alias("_calls"),
         F.count_if(F.col("kind") == "result").alias("_results"),
@@ -193,7 +194,7 @@ def link(events: DataFrame) -> DataFrame:
         .when(result & (calls_of == 0), "orphan").when(result & (F.col("turn") > F.col("_first")), "extra").when(result, "linked").otherwise("message")
     )
     level = F.when(call & F.col("_key").isNull(), 0).when(call, F.col("level")).when(result & (calls_of > 0), F.col("level") + 1).otherwise(0)
-    linked = keyed.hint("shuffle_hash").join(known, keyed["_key"] == known["_id"], "left").withColumn("_status", status).withColumn("level", level.cast("int"))
+    linked = keyed.hint("shuffle_hash").join(known, keyed["_deal"] == known["_id"], "left").withColumn("_status", status).withColumn("level", level.cast("int"))
     linked = materialise(linked.select(*events.columns, F.col("_status").alias("status"), "level", F.floor(F.col("turn") / BUCKET).alias("_bucket")), "linked")
     counts = linked.groupBy("conv_id", "level", "_bucket").agg(F.count("*").alias("_n"))
     earlier = Window.partitionBy("conv_id").orderBy(F.asc_nulls_last("level"), F.asc_nulls_last("_bucket")).rowsBetween(Window.unboundedPreceding, -1)
