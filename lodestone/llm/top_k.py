@@ -33,9 +33,11 @@ BLOCK, QUERIES = 8192, 256
 LEVELS = 256
 EVERY = 50
 #: Thresholds of the rounds as shares of the largest contribution.
-ROUNDS = (0.5, 0.25, 0.12, 0.05, 0.02, 0.0)
+ROUNDS = (0.25, 0.06, 0.0)
 #: The walk stops once so few candidates may still be members.
-FEW = 256
+FEW = 1024
+#: Whole numbers that doubles hold exactly.
+EXACT = float(1 << 53)
 
 
 def whole_numbers(embeddings: DataFrame) -> DataFrame:
@@ -56,13 +58,15 @@ class ImpactIndex:
     """Postings of one block: for each dimension, vectors by descending quantised impact."""
 
     def __init__(self, vectors: np.ndarray):
-        self.vectors = vectors
+        self.vectors, self.vectors_as_doubles = vectors, vectors.astype(np.float64)
         n, self.width = vectors.shape
         self.low = int(vectors.min())
         self.step = max(1, -(-(int(vectors.max()) - self.low + 1) // LEVELS))
         level = (vectors - self.low) // self.step
         self.order = np.argsort(-level, axis=0, kind="stable").T.copy()  # width x n
-        self.levels = np.take_along_axis(level.T, self.order, axis=1)
+        # the least value of each posting's level, as doubles
+        self.floors = self.low + np.take_along_axis(level.T, self.order, axis=1) * float(self.step)
+        self.most = float(max(abs(self.low), abs(int(vectors.max())))) + self.step
         # upto[d, l]: postings of dimension d at level l or more
         counts = np.zeros((self.width, LEVELS + 1), np.int64)
         for d in range(self.width):
@@ -76,7 +80,12 @@ class ImpactIndex:
         used = np.flatnonzero(q)
         top = self.low + (LEVELS - 1) * self.step + self.step - 1
         largest = float(np.max(np.where(up[used], q[used] * top, q[used] * self.low), initial=0))
-        acc, seen = np.zeros(n), np.zeros(n)
+        sums, seen = np.zeros(n), np.zeros(n)
+        # one sum holds contributions and, below UNIT, how many there were, where doubles hold both exactly
+        unit = 1 << self.width.bit_length()
+        reach = float(np.abs(q).sum()) * self.most
+        packed = (reach + 1) * unit < EXACT
+        exact = self.vectors_as_doubles if reach < EXACT else self.vectors
         done = np.zeros(self.width, np.int64)  # postings read: from the top where q > 0, else from the bottom
         alive = np.flatnonzero(~banned)
         for share in (*ROUNDS, None):
@@ -92,23 +101,34 @@ class ImpactIndex:
                 rows = np.arange(self.width)
                 upto = np.where(up, self.upto[rows, np.clip(edge, 0, LEVELS)], n - self.upto[rows, np.clip(edge + 1, 0, LEVELS)])
                 upto = np.maximum(upto, done)
-            parts, gains = [], []
-            for d in used:
+            taken = np.maximum(upto - done, 0)
+            taken[q == 0] = 0
+            total = int(taken.sum())
+            at, gains, end = np.empty(total, np.int64), np.empty(total), 0
+            for d in np.flatnonzero(taken):
                 a, b = done[d], upto[d]
-                if b > a:
-                    s = slice(a, b) if up[d] else slice(n - b, n - a)
-                    parts.append(self.order[d, s])
-                    gains.append(q[d] * (self.low + self.levels[d, s] * self.step + (self.step - 1 if up[d] else 0)))
+                s = slice(a, b) if up[d] else slice(n - b, n - a)
+                begin, end = end, end + b - a
+                at[begin:end] = self.order[d, s]
+                np.multiply(self.floors[d, s], float(q[d]), out=gains[begin:end])
+                if up[d] and self.step > 1:
+                    gains[begin:end] += float(q[d] * (self.step - 1))
             done = upto
-            if parts:
-                at = np.concatenate(parts)
-                acc += np.bincount(at, np.concatenate(gains), n)
+            if packed:
+                gains *= unit
+                gains += 1
+                sums += np.bincount(at, gains, n)
+                seen = np.mod(sums, unit)
+                acc = (sums - seen) / unit
+            else:
+                sums += np.bincount(at, gains, n)
                 seen += np.bincount(at, minlength=n)
+                acc = sums
             leaders = alive[np.argpartition(-acc[alive], min(4 * k, len(alive) - 1))[:4 * k]]
-            floor = np.sort(self.vectors[leaders] @ q)[-k] if len(leaders) >= k else -np.inf
+            floor = np.sort(exact[leaders] @ q)[-k] if len(leaders) >= k else -np.inf
             ceiling = acc[alive] + (0 if bound is None else (len(used) - seen[alive]) * bound)
-            alive = alive[ceiling >= floor]
-        scores = self.vectors[alive] @ q
+            alive = alive[ceiling >= floor - (0 if packed else reach * 1e-9)]  # beyond what doubles hold exactly, sums are rounded
+        scores = exact[alive] @ q
         best = np.lexsort((ids[alive], -scores))[:k]
         return [(int(alive[i]), int(scores[i])) for i in best]
 
