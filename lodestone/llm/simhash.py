@@ -185,7 +185,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """docs without all but the smallest doc_id of each component of near-duplicates."""
     found = materialise(near_duplicates(docs.select("doc_id", "text")).select("doc_id", "component_id"), "near")
     first = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id")
-    kept = docs.join(first.distinct(), docs["doc_id"].eqNullSafe(first["doc_id"]), "left_semi")
+    # a sort-merge join at any size: the ids grow with the input
+    kept = docs.hint("merge").join(first.distinct(), docs["doc_id"].eqNullSafe(first["doc_id"]), "left_semi")
     repeated = not first.groupBy("doc_id").count().filter("count > 1").limit(1).isEmpty()
     return kept.dropDuplicates(["doc_id"]) if repeated else kept
 
