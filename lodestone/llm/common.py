@@ -30,11 +30,11 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
-def materialise(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
+def materialise(df: DataFrame, label: str, compression: str = "snappy", **options: str) -> DataFrame:
     """Write df as Parquet to the shared folder and return a frame that reads it: lineage ends there, and losing an executor loses nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
+    df.write.options(compression=compression, **options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

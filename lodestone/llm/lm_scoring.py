@@ -9,11 +9,12 @@ wherever it stands, and the bits of a word are worked out once however often it
 predicted by hashed phrases (up to the end of a sentence): a phrase is coded by its words or as a copy of one that training has
 seen, with a weight that follows what the text's phrases so far were. A training text's own occurrence of a phrase is left out.
 
-Jobs: one scan turns each part of the input into its distinct words and phrases and, for each document, its packed
-word numbers; words and phrases are summed into the vocabulary; it is dealt by the first PREFIX bytes, so all that share a longer prefix are together,
-to count contexts, learn weights and score words; the words' scores return to the parts by a join on the word and
-each part adds up its documents. The hashed tables (4 of 2^TABLE_BITS slots) and the weights are all that is
-broadcast: their size is fixed. Vocabulary, phrases, texts and counts grow with the input and stay distributed.
+Jobs: one scan turns each part of the input into its distinct words and phrases and, for each document, its packed word and
+phrase numbers. The words are dealt once by their first PREFIX bytes, so all that share a longer prefix are together, and
+written in order; passes over those files sum each word over its parts, count contexts, learn weights and score, and the last
+pass returns packed scores to the parts, each of which adds up its documents. A word is in a part once, so no word holds
+many of the rows. The hashed tables (4 of 2^TABLE_BITS slots) and the weights are all that is broadcast: their size is
+fixed. Vocabulary, phrases, texts and counts grow with the input and stay distributed.
 
 Defined cases: a null text is the empty one (its end alone); without training documents the base score's counts are all 0
 and the model predicts even odds; repeated rows are scored alike; a null doc_id has the remainder of the
@@ -22,14 +23,13 @@ empty string; a word longer than PIECE bytes is coded in pieces, contexts starti
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -52,7 +52,7 @@ AGAIN = 0.1
 #: How slowly a text's own share of copied phrases forgets.
 FADE = 0.9
 #: Words handled at once; groups of one prefix are kept together.
-WORDS_AT_ONCE = 20_000
+WORDS_AT_ONCE = 50_000
 END = b"\n"
 ALMOST = 1e-6
 
@@ -75,34 +75,39 @@ def _unpack(packed: bytes) -> np.ndarray:
 _POWERS = np.cumprod(np.full(PHRASE, 0x9E3779B97F4A7C15, np.uint64))
 
 
-def phrases(ids: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and hashes of the phrases of a document: up to a word that ends a sentence, PHRASE words at most.
+def phrase_starts(ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where phrases start and each word's place in its own: up to a word that ends a sentence, PHRASE words at most.
 
-    ids: its words' numbers without the end; ends, hashes: by number, whether a word ends a phrase and its hash.
+    ids: a document's word numbers without the end; ends: by number, whether a word ends a phrase.
     """
     n = len(ids)
     if not n:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    after = np.flatnonzero(ends[ids[:-1]]) + 1
-    starts = np.concatenate([[0], after])
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    starts = np.concatenate([[0], np.flatnonzero(ends[ids[:-1]]) + 1])
     place = np.arange(n) - np.repeat(starts, np.diff(np.append(starts, n)))
-    starts = np.flatnonzero(place % PHRASE == 0)
-    weighted = hashes[ids] * _POWERS[place % PHRASE]
-    return starts, np.add.reduceat(weighted, starts)
+    return np.flatnonzero(place % PHRASE == 0), place
+
+
+def phrases(ids: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and hashes of the phrases of a document; hashes: by number, the hash of a word."""
+    starts, place = phrase_starts(ids, ends)
+    if not len(starts):
+        return starts, np.zeros(0, np.uint64)
+    return starts, np.add.reduceat(hashes[ids] * _POWERS[place % PHRASE], starts)
 
 
 _PARTS = pa.schema([
-    ("part", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("seq", pa.binary()),
+    ("part", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("seq", pa.binary()), ("phrases", pa.binary()),
     ("number", pa.int64()), ("word", pa.binary()), ("phrase", pa.int64()), ("n", pa.int64()), ("met", pa.int64()),
 ])
-_PARTS_DDL = "part long, doc_id long, held_out boolean, n_tokens long, seq binary, number long, word binary, phrase long, n long, met long"
+_PARTS_DDL = "part long, doc_id long, held_out boolean, n_tokens long, seq binary, phrases binary, number long, word binary, phrase long, n long, met long"
 
 
 class _Part:
     """Documents of one part of the input and what their words and phrases add up to."""
 
-    def __init__(self):
-        self.name = uuid.uuid4().int >> 65
+    def __init__(self, name: int):
+        self.name = name
         self.docs: list[dict] = []
         self.number: dict[bytes, int] = {}
         self.words: list[bytes] = []
@@ -124,18 +129,25 @@ class _Part:
         self.size += len(raw)
 
     def rows(self) -> Iterator[pa.RecordBatch]:
-        yield pa.RecordBatch.from_pylist(self.docs, schema=_PARTS)
-        train = np.array([not d["held_out"] for d in self.docs])
         ends = np.fromiter((w[-1] in PHRASE_ENDS for w in self.words), bool, len(self.words))
         hashes = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in self.words), np.uint64, len(self.words))
         found = [phrases(ids[:-1], ends, hashes)[1] for ids in self.ids]
-        every = np.concatenate(found) if found else np.zeros(0, np.uint64)
-        own, place = np.unique(every, return_inverse=True)
-        learnt = np.repeat(train, [len(f) for f in found]).astype(float)
+        every = np.concatenate(found)
+        own, first, place = np.unique(every, return_index=True, return_inverse=True)
+        order = np.argsort(first, kind="stable")  # numbers by first sight pack well
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        own, place = own[order], rank[place]
+        sizes = [len(f) for f in found]
+        for d, numbers in zip(self.docs, np.split(place, np.cumsum(sizes)[:-1])):
+            d["phrases"] = _pack(np.diff(numbers, prepend=0))
+        yield pa.RecordBatch.from_pylist(self.docs, schema=_PARTS)
+        train = np.array([not d["held_out"] for d in self.docs])
+        learnt = np.repeat(train, sizes).astype(float)
         all_ids = np.concatenate([i for i, t in zip(self.ids, train) if t] or [np.zeros(0, np.int64)])
         counts = np.bincount(all_ids, minlength=len(self.words))
         yield from self._batches(len(self.words), {"number": np.arange(len(self.words)), "word": self.words, "n": counts})
-        yield from self._batches(len(own), {"phrase": own.view(np.int64), "n": np.bincount(place, learnt, len(own)).astype(np.int64), "met": np.bincount(place, minlength=len(own))})
+        yield from self._batches(len(own), {"number": np.arange(len(own)), "phrase": own.view(np.int64), "n": np.bincount(place, learnt, len(own)).astype(np.int64), "met": np.bincount(place, minlength=len(own))})
 
     def _batches(self, n: int, columns: dict) -> Iterator[pa.RecordBatch]:
         for i in range(0, n, 50_000):
@@ -149,17 +161,19 @@ class _Part:
 def to_parts(docs: DataFrame) -> DataFrame:
     """From (doc_id, held_out, text): for each part of the input a row per document, per distinct word and per distinct phrase.
 
-    Parts are named at random, so the result must be materialised before it is used twice.
+    Parts are numbered by task, so the result must be materialised before it is used twice.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = _Part()
+        name = TaskContext.get().partitionId() << 20
+        part = _Part(name)
         for b in batches:
             for doc_id, held, text in zip(*(b.column(c) for c in ("doc_id", "held_out", "text"))):
                 part.add(doc_id.as_py(), held.as_py(), text.as_py())
                 if part.size >= PART_BYTES:
                     yield from part.rows()
-                    part = _Part()
+                    name += 1
+                    part = _Part(name)
         if part.docs:
             yield from part.rows()
 
@@ -318,29 +332,61 @@ class Mixer:
 # ---- jobs -----------------------------------------------------------------------------------------------------------
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[bytes], np.ndarray]]:
-    """Words and counts of sorted batches, in lists of about WORDS_AT_ONCE that never part a prefix."""
-    words: list[bytes] = []
-    counts: list[int] = []
-    for b in batches:
-        for w, c in zip(b.column("word").to_pylist(), b.column("c").to_pylist()):
-            if len(words) >= WORDS_AT_ONCE and w[:PREFIX] != words[-1][:PREFIX]:
-                yield words, np.array(counts, np.float64)
-                words, counts = [], []
-            words.append(w)
-            counts.append(c)
-    if words:
-        yield words, np.array(counts, np.float64)
-
+class _Group:
+    """Words of whole prefixes: each once, with its count, and where it stands in the parts."""
 
-def _tables(vocabulary: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    def __init__(self):
+        self.words: list[bytes] = []
+        self.counts: list[int] = []
+        self.places: list[tuple[np.ndarray, ...]] = []  # (index of the word, part, number)
+
+    def add(self, words: list[bytes], counts: list[int], part: np.ndarray, number: np.ndarray) -> None:
+        at, own, sums = np.empty(len(words), np.int64), self.words, self.counts
+        last = own[-1] if own else None
+        for i, (w, c) in enumerate(zip(words, counts)):
+            if w != last:
+                own.append(w)
+                sums.append(0)
+                last = w
+            sums[-1] += c
+            at[i] = len(own) - 1
+        self.places.append((at, part, number))
+
+    def known(self) -> Words:
+        """The words of training texts."""
+        some = [(w, c) for w, c in zip(self.words, self.counts) if c]
+        return Words([w for w, _ in some], np.array([c for _, c in some], np.float64))
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[_Group]:
+    """From batches (word, n, part, number), sorted by word: groups of about WORDS_AT_ONCE words that never part a prefix."""
+    group = _Group()
+    for b in batches:
+        words, counts, part, number = b.column("word").to_pylist(), b.column("n").to_pylist(), b.column("part").to_numpy(), b.column("number").to_numpy()
+        begin = 0
+        while begin < len(words):
+            end = len(words)
+            if len(group.words) >= WORDS_AT_ONCE:
+                prefix = group.words[-1][:PREFIX]
+                end = next((i for i in range(begin, len(words)) if words[i][:PREFIX] != prefix), end)
+            group.add(words[begin:end], counts[begin:end], part[begin:end], number[begin:end])
+            if end < len(words):
+                yield group
+                group = _Group()
+            begin = end
+    if group.words:
+        yield group
+
+
+def _tables(places: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """The hashed tables over all training words; a task emits a row per slot in use, at most ORDERS x 2^TABLE_BITS."""
     schema = pa.schema([("slot", pa.int32()), ("zeros", pa.float64()), ("ones", pa.float64())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         zeros, ones = np.zeros((ORDERS, 1 << TABLE_BITS)), np.zeros((ORDERS, 1 << TABLE_BITS))
-        for words, counts in _groups(batches):
-            count_contexts(Words(words, counts), zeros, ones)
+        for group in _groups(batches):
+            if any(group.counts):
+                count_contexts(group.known(), zeros, ones)
         used = np.flatnonzero((zeros + ones).ravel())
         for own in np.array_split(used, 1 + len(used) // 100_000):
             yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array(zeros.ravel()[own]), pa.array(ones.ravel()[own])], schema=schema)
@@ -350,7 +396,7 @@ def _tables(vocabulary: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             slot, zeros, ones = (b.column(k).to_numpy() for k in range(3))
             yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()]) for x in (slot.astype("<i4"), zeros.astype("<f4"), ones.astype("<f4"))], names=["slot", "zeros", "ones"])
 
-    summed = vocabulary.mapInArrow(count, "slot int, zeros double, ones double").groupBy("slot").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"))
+    summed = places.mapInArrow(count, "slot int, zeros double, ones double").groupBy("slot").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"))
     zeros, ones = np.zeros(ORDERS << TABLE_BITS, np.float32), np.zeros(ORDERS << TABLE_BITS, np.float32)
     # 12 bytes for each slot in use: a fixed bound of ORDERS x 2^TABLE_BITS slots
     for row in summed.mapInArrow(pack, "slot binary, zeros binary, ones binary").toLocalIterator():
@@ -359,19 +405,19 @@ def _tables(vocabulary: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return zeros.reshape(ORDERS, -1), ones.reshape(ORDERS, -1)
 
 
-def train(vocabulary: DataFrame) -> Mixer:
-    """The model from the vocabulary (word, c), dealt by prefix and sorted. Every task learns online; weights are averaged by mass."""
-    known = vocabulary.filter("c > 0")
-    mixer = Mixer(*_tables(known))
-    release(vocabulary.sparkSession)
-    shared = vocabulary.sparkSession.sparkContext.broadcast((mixer.zeros, mixer.ones))
+def train(places: DataFrame) -> Mixer:
+    """The model from (word, n, part, number), dealt by prefix and sorted. Every task learns online; weights are averaged by mass."""
+    mixer = Mixer(*_tables(places))
+    release(places.sparkSession)
+    shared = places.sparkSession.sparkContext.broadcast((mixer.zeros, mixer.ones))
     schema = pa.schema([("i", pa.int32()), ("x", pa.float64()), ("y", pa.float64())])
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Mixer(*shared.value)
         start = own.hits.copy(), own.seen.copy()
-        for words, counts in _groups(batches):
-            own.learn(Words(words, counts))
+        for group in _groups(batches):
+            if any(group.counts):
+                own.learn(group.known())
         if own.updates:
             x = np.concatenate([(own.weights * own.mass[:, None]).ravel(), (own.hits - start[0]).ravel()])
             y = np.concatenate([np.repeat(own.mass, PREDICTORS), (own.seen - start[1]).ravel()])
@@ -379,7 +425,7 @@ def train(vocabulary: DataFrame) -> Mixer:
             yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(x[used]), pa.array(y[used])], schema=schema)
 
     # GATES x PREDICTORS + 256 x BUCKETS rows at most
-    learnt = known.mapInArrow(learn, "i int, x double, y double").groupBy("i").agg(F.sum("x").alias("x"), F.sum("y").alias("y")).collect()
+    learnt = places.mapInArrow(learn, "i int, x double, y double").groupBy("i").agg(F.sum("x").alias("x"), F.sum("y").alias("y")).collect()
     weights, hits, seen = mixer.weights.ravel(), mixer.hits.ravel(), mixer.seen.ravel()
     for i, x, y in learnt:
         if i < weights.size:
@@ -390,16 +436,39 @@ def train(vocabulary: DataFrame) -> Mixer:
     return mixer
 
 
-def score_words(vocabulary: DataFrame, mixer: Mixer) -> DataFrame:
-    """vocabulary plus log10 probability of each word."""
-    shared = vocabulary.sparkSession.sparkContext.broadcast(mixer)
-    schema = pa.schema([("word", pa.binary()), ("c", pa.int64()), ("score", pa.float64())])
+def score_words(places: DataFrame, mixer: Mixer) -> DataFrame:
+    """(part, words): packed numbers, counts, scores (log10 probabilities, as 4-byte floats) and ends of words for their parts."""
+    shared = places.sparkSession.sparkContext.broadcast(mixer)
+    schema = pa.schema([("part", pa.int64()), ("words", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for words, counts in _groups(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(counts.astype(np.int64)), pa.array(shared.value.score(Words(words, counts), len(words)))], schema=schema)
+        for group in _groups(batches):
+            score = shared.value.score(Words(group.words, np.array(group.counts, np.float64)), len(group.words)).astype("<f4")
+            count = np.array(group.counts, np.int64)
+            ends = np.fromiter((w[-1] in PHRASE_ENDS for w in group.words), np.uint8, len(group.words))
+            at, part, number = (np.concatenate(x) for x in zip(*group.places))
+            order = np.lexsort((number, part))
+            cuts = np.flatnonzero(np.diff(part[order])) + 1
+            rows = np.split(order, cuts)
+            packed = [_squeeze(number[r], count[at[r]], score[at[r]], ends[at[r]]) for r in rows]
+            yield pa.RecordBatch.from_arrays([pa.array(part[[r[0] for r in rows]]), pa.array(packed, pa.binary())], schema=schema)
+
+    return places.mapInArrow(run, "part long, words binary")
+
+
+def _squeeze(number: np.ndarray, count: np.ndarray, score: np.ndarray, ends: np.ndarray) -> bytes:
+    columns = (np.diff(number, prepend=0).astype("<u4"), count.astype("<u8"), score)
+    raw = b"".join(np.ascontiguousarray(c).view(np.uint8).reshape(len(c), -1).T.tobytes() for c in columns) + ends.tobytes()
+    return zstandard.ZstdCompressor(level=3).compress(raw)
+
 
-    return vocabulary.mapInArrow(run, "word binary, c long, score double")
+def _unsqueeze(packed: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8)
+    n, out, at = len(raw) // 17, [], 0
+    for kind, width in (("<u4", 4), ("<u8", 8), ("<f4", 4)):
+        out.append(np.ascontiguousarray(raw[at:at + width * n].reshape(width, n).T).view(kind).ravel())
+        at += width * n
+    return np.cumsum(out[0].astype(np.int64)), out[1].astype(np.int64), out[2].astype(np.float64), raw[at:] == 1
 
 
 _RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
@@ -409,42 +478,38 @@ def score_texts(docs: DataFrame) -> DataFrame:
     """One row per row of docs (doc_id, held_out, text): counts, base score and the model's log10 probability."""
     spark = docs.sparkSession
     parts = materialise(to_parts(docs), "lm-parts", "zstd")
-    words = parts.filter("word is not null").select("part", "number", "word", "n")
-    summed = words.groupBy("word").agg(F.sum("n").alias("c"))
-    vocabulary = materialise(summed.repartition(F.substring("word", 1, PREFIX)).sortWithinPartitions("word"), "lm-words", "zstd").repartition(F.substring("word", 1, PREFIX)).sortWithinPartitions("word")
-    total, distinct = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
-    release(spark)
-    scored = materialise(score_words(vocabulary, train(vocabulary)), "lm-scores", "zstd")
+    words = parts.filter("word is not null").select("word", "n", "part", "number")
+    total = words.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    # one row group a file: a task reads whole prefixes, in order
+    places = materialise(words.repartition(F.substring("word", 1, PREFIX)).sortWithinPartitions("word"), "lm-words", "zstd", **{"parquet.block.size": str(1 << 30)})
     release(spark)
+    distinct = places.filter("n > 0").mapInArrow(_changes, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     # dealt by phrase once: the counts and what they are joined back to share that exchange
-    seen = parts.filter("phrase is not null").select("part", "phrase", "n", "met").repartition("phrase")
+    seen = parts.filter("phrase is not null").select("part", "number", "phrase", "n", "met").repartition("phrase")
     n_phrases = parts.filter("phrase is not null").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     counted = seen.groupBy("phrase").agg(F.sum("n").alias("c"), F.sum("met").alias("met")).filter("c >= 1 and met >= 2").select("phrase", "c")
-    ends = F.substring("word", -1, 1).isin(*[bytes([x]) for x in PHRASE_ENDS])
-    # key: twice the word's number, plus 1 if it ends a phrase; or, without a score, the phrase's hash
-    of_words = words.join(scored, "word").select("part", (F.col("number") * 2 + ends.cast("long")).alias("key"), "c", "score", F.xxhash64("word").alias("hash"))
-    of_phrases = seen.select("part", "phrase").join(counted, "phrase").select("part", F.col("phrase").alias("key"), "c", F.lit(None).cast("double").alias("score"), F.lit(None).cast("long").alias("hash"))
+    of_phrases = seen.select("part", "number", "phrase").join(counted, "phrase").select("part", F.lit(None).cast("binary").alias("words"), "number", "c")
+    of_words = score_words(places, train(places)).select("part", "words", F.lit(None).cast("long").alias("number"), F.lit(None).cast("long").alias("c"))
+    release(spark)
     known = of_words.union(of_phrases)
-    texts = parts.filter("seq is not null").select("part", "doc_id", "held_out", "n_tokens", "seq")
+    texts = parts.filter("seq is not null").select("part", "doc_id", "held_out", "n_tokens", "seq", "phrases")
 
     def add_up(docs: pa.Table, known: pa.Table) -> pa.Table:
-        words = known.filter(pc.is_valid(known.column("score")))
-        key, n = words.column("key").to_numpy(), words.num_rows
-        number = key >> 1
-        c, score, hashes, ends = np.zeros(n), np.zeros(n), np.zeros(n, np.uint64), np.zeros(n, bool)
-        c[number], score[number], ends[number] = words.column("c").to_numpy(), words.column("score").to_numpy(), key & 1 == 1
-        hashes[number] = words.column("hash").to_numpy().view(np.uint64)
+        number, c, score, ends = (np.concatenate(x) for x in zip(*(_unsqueeze(x.as_py()) for x in known.column("words") if x.is_valid)))
+        order = np.argsort(number)
+        c, score, ends = c[order], score[order], ends[order]
         base = np.log10((c + 0.1) / (total + 0.1 * (distinct + 1)))
-        copied = known.filter(pc.is_null(known.column("score")))
-        keys = copied.column("key").to_numpy().view(np.uint64)
-        order = np.argsort(keys)
-        keys, times = keys[order], copied.column("c").to_numpy()[order]
+        copied = known.filter(known.column("number").is_valid())
+        known_numbers = copied.column("number").to_numpy()
+        times = np.zeros(int(known_numbers.max(initial=-1)) + 2, np.int64)  # the last stands for all others
+        times[known_numbers] = copied.column("c").to_numpy()
         n_known, base_score, model_score = [], [], []
-        for seq, held in zip(docs.column("seq"), docs.column("held_out")):
-            ids, others = _unpack(seq.as_py()), times if held.as_py() else times - 1
+        for seq, own, held in zip(docs.column("seq"), docs.column("phrases"), docs.column("held_out")):
+            ids, numbers = _unpack(seq.as_py()), np.cumsum(_unpack(own.as_py()).astype(np.int32), dtype=np.int64)
+            count = np.maximum(times[np.minimum(numbers, len(times) - 1)] - (not held.as_py()), 0)
             n_known.append(int((c[ids] > 0).sum()))
             base_score.append(float(base[ids].sum()))
-            model_score.append(float(score[ids[-1]] + phrase_scores(ids[:-1], score, ends, hashes, keys, others, n_phrases).sum()))
+            model_score.append(float(score[ids[-1]] + phrase_scores(ids[:-1], score, ends, count, n_phrases).sum()))
         columns = [docs.column("doc_id"), docs.column("held_out"), docs.column("n_tokens"), pa.array(n_known, pa.int64()), pa.array(base_score, pa.float64()), pa.array(model_score, pa.float64())]
         return pa.table(columns, names=[f.split()[0] for f in _RESULT.split(", ")])
 
@@ -453,18 +518,26 @@ def score_texts(docs: DataFrame) -> DataFrame:
     return scored_texts.withColumn("train_tokens", F.lit(int(total)).cast("long"))
 
 
-def phrase_scores(ids, score, ends, hashes, keys, times, total: int) -> np.ndarray:
+def _changes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many different words the sorted rows of a task hold."""
+    n, last = 0, None
+    for b in batches:
+        for w in b.column("word").to_pylist():
+            n += w != last
+            last = w
+    yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
+
+
+def phrase_scores(ids, score, ends, count, total: int) -> np.ndarray:
     """log10 probability of each phrase: its words', mixed with that of copying it from those seen in training.
 
-    keys, times: sorted hashes of known phrases and how often each occurred, of total.
+    count: how often training has seen each phrase of the text, of total.
     """
-    starts, own = phrases(ids, ends, hashes)
+    starts = phrase_starts(ids, ends)[0]
     if not len(starts):
         return np.zeros(0)
     by_words = np.add.reduceat(score[ids], starts)
-    at = np.minimum(np.searchsorted(keys, own), max(0, len(keys) - 1))
-    count = np.where(keys[at] == own, times[at], 0) if len(keys) else np.zeros(len(own))
-    weight, hits, met = np.empty(len(own)), 0.5 * AGAIN, 0.5
+    weight, hits, met = np.empty(len(starts)), 0.5 * AGAIN, 0.5
     for i, known in enumerate((count > 0).tolist()):
         weight[i] = hits / met
         hits, met = FADE * hits + known + (1 - FADE) * 0.1 * AGAIN, FADE * met + 1 + (1 - FADE) * 0.1
