@@ -23,10 +23,13 @@ empty string; a word longer than PIECE bytes is coded in pieces, contexts starti
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import TaskContext
@@ -109,28 +112,23 @@ class _Part:
     def __init__(self, name: int):
         self.name = name
         self.docs: list[dict] = []
-        self.number: dict[bytes, int] = {}
-        self.words: list[bytes] = []
+        self.number: dict[bytes, int] = defaultdict(count().__next__)  # by first sight
         self.ids: list[np.ndarray] = []
         self.size = 0
 
     def add(self, doc_id, held_out: bool, text: str | None) -> None:
         raw = (text or "").encode("utf-8", "surrogatepass").lower()
-        get, words, out = self.number.get, self.words, []
-        for w in (*raw.split(), END):
-            i = get(w)
-            if i is None:
-                i = self.number[w] = len(words)
-                words.append(w)
-            out.append(i)
-        ids = np.array(out, np.int64)
+        words = raw.split()
+        words.append(END)
+        ids = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
         self.ids.append(ids)
         self.docs.append({"part": self.name, "doc_id": doc_id, "held_out": held_out, "n_tokens": len(ids), "seq": _pack(ids)})
         self.size += len(raw)
 
     def rows(self) -> Iterator[pa.RecordBatch]:
-        ends = np.fromiter((w[-1] in PHRASE_ENDS for w in self.words), bool, len(self.words))
-        hashes = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in self.words), np.uint64, len(self.words))
+        words = list(self.number)
+        ends = np.fromiter((w[-1] in PHRASE_ENDS for w in words), bool, len(words))
+        hashes = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in words), np.uint64, len(words))
         found = [phrases(ids[:-1], ends, hashes)[1] for ids in self.ids]
         every = np.concatenate(found)
         own, first, place = np.unique(every, return_index=True, return_inverse=True)
@@ -145,8 +143,8 @@ class _Part:
         train = np.array([not d["held_out"] for d in self.docs])
         learnt = np.repeat(train, sizes).astype(float)
         all_ids = np.concatenate([i for i, t in zip(self.ids, train) if t] or [np.zeros(0, np.int64)])
-        counts = np.bincount(all_ids, minlength=len(self.words))
-        yield from self._batches(len(self.words), {"number": np.arange(len(self.words)), "word": self.words, "n": counts})
+        counts = np.bincount(all_ids, minlength=len(words))
+        yield from self._batches(len(words), {"number": np.arange(len(words)), "word": words, "n": counts})
         yield from self._batches(len(own), {"number": np.arange(len(own)), "phrase": own.view(np.int64), "n": np.bincount(place, learnt, len(own)).astype(np.int64), "met": np.bincount(place, minlength=len(own))})
 
     def _batches(self, n: int, columns: dict) -> Iterator[pa.RecordBatch]:
@@ -332,6 +330,12 @@ class Mixer:
 # ---- jobs -----------------------------------------------------------------------------------------------------------
 
 
+def _firsts(words: pa.Array) -> np.ndarray:
+    """Where runs of equal words start; words are not null."""
+    differ = pc.not_equal(words.slice(1), words.slice(0, max(0, len(words) - 1))).to_numpy(zero_copy_only=False).astype(bool)
+    return np.flatnonzero(np.concatenate([np.ones(min(1, len(words)), bool), differ]))
+
+
 class _Group:
     """Words of whole prefixes: each once, with its count, and where it stands in the parts."""
 
@@ -340,17 +344,20 @@ class _Group:
         self.counts: list[int] = []
         self.places: list[tuple[np.ndarray, ...]] = []  # (index of the word, part, number)
 
-    def add(self, words: list[bytes], counts: list[int], part: np.ndarray, number: np.ndarray) -> None:
-        at, own, sums = np.empty(len(words), np.int64), self.words, self.counts
-        last = own[-1] if own else None
-        for i, (w, c) in enumerate(zip(words, counts)):
-            if w != last:
-                own.append(w)
-                sums.append(0)
-                last = w
-            sums[-1] += c
-            at[i] = len(own) - 1
-        self.places.append((at, part, number))
+    def add(self, words: pa.Array, counts: np.ndarray, part: np.ndarray, number: np.ndarray) -> None:
+        first = _firsts(words)
+        sums = np.add.reduceat(counts, first)
+        own = words.take(pa.array(first)).to_pylist()
+        start = len(self.words)
+        if self.words and own[0] == self.words[-1]:  # the word goes on from the batch before
+            start -= 1
+            self.counts[-1] += int(sums[0])
+            own, sums = own[1:], sums[1:]
+        self.words += own
+        self.counts += sums.tolist()
+        marks = np.zeros(len(words), np.int64)
+        marks[first] = 1
+        self.places.append((np.cumsum(marks) - 1 + start, part, number))
 
     def known(self) -> Words:
         """The words of training texts."""
@@ -362,13 +369,13 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[_Group]:
     """From batches (word, n, part, number), sorted by word: groups of about WORDS_AT_ONCE words that never part a prefix."""
     group = _Group()
     for b in batches:
-        words, counts, part, number = b.column("word").to_pylist(), b.column("n").to_pylist(), b.column("part").to_numpy(), b.column("number").to_numpy()
+        words, (counts, part, number) = b.column("word"), (b.column(c).to_numpy() for c in ("n", "part", "number"))
         begin = 0
         while begin < len(words):
             end = len(words)
             if len(group.words) >= WORDS_AT_ONCE:
                 prefix = group.words[-1][:PREFIX]
-                end = next((i for i in range(begin, len(words)) if words[i][:PREFIX] != prefix), end)
+                end = next((i for i in range(begin, len(words)) if words[i].as_py()[:PREFIX] != prefix), end)
             group.add(words[begin:end], counts[begin:end], part[begin:end], number[begin:end])
             if end < len(words):
                 yield group
@@ -382,7 +389,7 @@ def _tables(places: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """The hashed tables over all training words; a task emits a row per slot in use, at most ORDERS x 2^TABLE_BITS."""
     schema = pa.schema([("slot", pa.int32()), ("zeros", pa.float64()), ("ones", pa.float64())])
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         zeros, ones = np.zeros((ORDERS, 1 << TABLE_BITS)), np.zeros((ORDERS, 1 << TABLE_BITS))
         for group in _groups(batches):
             if any(group.counts):
@@ -396,7 +403,7 @@ def _tables(places: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             slot, zeros, ones = (b.column(k).to_numpy() for k in range(3))
             yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()]) for x in (slot.astype("<i4"), zeros.astype("<f4"), ones.astype("<f4"))], names=["slot", "zeros", "ones"])
 
-    summed = places.mapInArrow(count, "slot int, zeros double, ones double").groupBy("slot").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"))
+    summed = places.mapInArrow(add, "slot int, zeros double, ones double").groupBy("slot").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"))
     zeros, ones = np.zeros(ORDERS << TABLE_BITS, np.float32), np.zeros(ORDERS << TABLE_BITS, np.float32)
     # 12 bytes for each slot in use: a fixed bound of ORDERS x 2^TABLE_BITS slots
     for row in summed.mapInArrow(pack, "slot binary, zeros binary, ones binary").toLocalIterator():
@@ -522,9 +529,10 @@ def _changes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """How many different words the sorted rows of a task hold."""
     n, last = 0, None
     for b in batches:
-        for w in b.column("word").to_pylist():
-            n += w != last
-            last = w
+        words = b.column("word")
+        if len(words):
+            n += len(_firsts(words)) - (words[0] == last)
+            last = words[-1]
     yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
 
 
