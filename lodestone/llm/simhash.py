@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import near_copies
 from .common import materialise
 
 SHINGLE, MAX_BITS, SEED = 3, 3, 42
@@ -182,13 +183,22 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bits: int = MAX_BIT
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs without all but the smallest doc_id of each component of near-duplicates."""
-    found = materialise(near_duplicates(docs.select("doc_id", "text")).select("doc_id", "component_id"), "near")
-    first = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id")
-    # a sort-merge join at any size: the ids grow with the input
-    kept = docs.hint("merge").join(first.distinct(), docs["doc_id"].eqNullSafe(first["doc_id"]), "left_semi")
-    repeated = not first.groupBy("doc_id").count().filter("count > 1").limit(1).isEmpty()
-    return kept.dropDuplicates(["doc_id"]) if repeated else kept
+    """docs with one row of each component of near copies: that with the smallest doc_id, a null one last.
+
+    Rows are told apart by a key of their own, as a doc_id may be null or repeated; rows of one doc_id go by their text's digest.
+    """
+    key = F.monotonically_increasing_id()
+    rows = materialise(docs.select(F.struct("*").alias("doc"), key.alias("row"), near_copies.signed().alias("sig")), "rows")
+    order = F.struct(F.col("doc.doc_id").isNull().alias("unnumbered"), F.col("doc.doc_id").alias("doc_id"), F.col("sig.digest").alias("digest"), "row")
+    told = rows.select(F.col("sig.digest").alias("digest"), "row", order.alias("order"), "sig")
+    nodes = told.groupBy("digest").agg(F.min("order").alias("first"), F.any_value("sig.bands").alias("bands"), F.any_value("sig.sketch").alias("sketch"))
+    nodes = materialise(nodes.withColumn("node", key), "nodes")
+    # sort-merge joins at any size: the rows grow with the input
+    texts = rows.select("row", F.col("doc.text").alias("text")).hint("merge").join(nodes.select(F.col("first.row").alias("row"), "node"), "row").select("node", "text")
+    labels = components(near_copies.links(nodes.select("node", "bands", "sketch"), texts, components))
+    rooted = nodes.select("node", "first").join(labels, "node", "left").groupBy(F.coalesce("label", "node")).agg(F.min("first").alias("first"))
+    kept = materialise(rooted.select(F.col("first.row").alias("row")), "kept")
+    return rows.hint("merge").join(kept, "row", "left_semi").select("doc.*")
 
 
 def op8_simhash(spark, sf_dir) -> DataFrame:
