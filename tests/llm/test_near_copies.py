@@ -56,3 +56,13 @@ def test_below_the_similarity_nothing_is_linked():
     a = " ".join(f"w{i}" for i in range(100))
     b = a.replace("w50 ", "x ").replace("w20 ", "y ")
     assert near_copies.jaccard(a, a.upper()) == 1 and near_copies.jaccard(a, b) == 86 / 106
+
+
+def test_rows_with_null_or_repeated_ids(spark):
+    rng = random.Random(4)
+    a, b, c, d, e = ([f"{k}{rng.randrange(3000)}" for _ in range(200)] for k in "abcde")
+    a2, b2 = edited(rng, a, 2), edited(rng, b, 2)
+    rows = [(i, " ".join(x)) for i, x in ((None, c), (None, d), (7, a), (7, b), (3, b2), (None, a2), (None, e), (None, e))]
+    got = sorted(kept(spark, rows), key=str)
+    # every text apart stays, whatever its id; the null copy of 7 and the 7 that copies 3 go
+    assert got == sorted(((i, " ".join(x)) for i, x in ((None, c), (None, d), (7, a), (3, b2), (None, e))), key=str)
