@@ -226,3 +226,11 @@ def contact_extract(spark, d):
 def redaction(spark, d):
     t = F.regexp_replace("text", tx.EMAIL, "[email]")
     return table(spark, d, "documents").select("doc_id", F.col("text").rlike(tx.EMAIL).alias("had_email"), F.sha2(t.cast("binary"), 256).alias("redacted_hash"))
+
+
+@query()
+def redaction_secrets(spark, d):
+    """E-mail-like and secret-like text replaced; `redaction` covers addresses only, as its SQL does."""
+    t = F.col("text")
+    flags = t.rlike(tx.EMAIL).alias("had_email"), t.rlike(tx.SECRET).alias("had_secret")
+    return table(spark, d, "documents").select("doc_id", *flags, F.sha2(tx.redacted(t).cast("binary"), 256).alias("redacted_hash"))
