@@ -20,11 +20,13 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. On a local master, as in tests, a temporary one if that is unset."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named is None:
         named = spark.sparkContext.getCheckpointDir()
     if named is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = f"file://{tempfile.mkdtemp(prefix='lodestone-')}"
         spark.sparkContext.setCheckpointDir(named)
     return named
@@ -44,6 +46,18 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def fresh(taken: list[str], *wanted: str) -> list[str]:
+    """Names like the wanted ones that none of the taken columns has, whatever their case."""
+    low = {c.lower() for c in taken}
+    out = []
+    for name in wanted:
+        while name.lower() in low:
+            name += "_"
+        low.add(name.lower())
+        out.append(name)
+    return out
+
+
 def remainder(doc_id: Column, n: int) -> Column:
     """crc32 of doc_id as text, modulo n; a null doc_id counts as the empty string."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
@@ -61,10 +75,12 @@ def small_or_split(big: DataFrame, small: DataFrame, key: str, max_rows: int = 1
     small is broadcast only if it has been counted and holds at most max_rows rows. Beyond that it is
     repeated once per salt and big spreads each key over the salts, so a hot key fills no single task.
     """
-    small = small.withColumnRenamed(key, "_small_key")
+    own, small_salt, salt = fresh(big.columns + small.columns, "small_key", "small_salt", "salt")
+    small = small.withColumnRenamed(key, own)
     if small.limit(max_rows + 1).count() <= max_rows:
-        return big.join(F.broadcast(small), big[key].eqNullSafe(small["_small_key"]), "left").drop("_small_key")
-    small = small.withColumn("_small_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    big = big.withColumn("_salt", F.pmod(F.xxhash64(*[big[c] for c, kind in big.dtypes if not kind.startswith("map")]), F.lit(salts)).cast("int"))
-    on = big[key].eqNullSafe(small["_small_key"]) & (big["_salt"] == small["_small_salt"])
-    return big.join(small, on, "left").drop("_small_key", "_small_salt", "_salt")
+        return big.join(F.broadcast(small), big[key].eqNullSafe(small[own]), "left").drop(own)
+    small = small.withColumn(small_salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    # rows of one key are spread by position, so equal rows spread too; the salt only decides where a row meets its partner
+    big = big.withColumn(salt, F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
+    on = big[key].eqNullSafe(small[own]) & (big[salt] == small[small_salt])
+    return big.join(small, on, "left").drop(own, small_salt, salt)

@@ -3,12 +3,12 @@
 Token totals per source give each source a target by water filling: weights share all tokens, no target
 passes MAX_REPEAT times its source, and what a capped source gives up is shared again by weight. A document is
 then emitted floor(rate) times plus once more with probability equal to the fraction, where
-rate = target / source total; the extra copy is decided by a hash of its id, so reruns agree.
+rate = target / source total; the extra copy is decided by a hash of its id and text, so reruns agree.
 
 Defined cases: a null text has size 0; a null source is a source of its own, ordered last; a null doc_id
-draws as the empty string; repeated doc_ids draw alike; a source without tokens has rate 0 and target 0;
-an empty table gives an empty result. Columns that clash with the helper's names are left out by the query
-and are never read by it.
+draws as the empty string, with its text; equal rows draw alike; a source without tokens has rate 0 and target 0;
+an empty table gives an empty result. `emit` returns all columns of its input unchanged, whatever their names; `mix` replaces
+columns named like those it adds.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, materialise, small_or_split, uniform
+from .common import WORD, fresh, materialise, small_or_split, uniform
 
 MAX_REPEAT = 3
 WEIGHTS = (1, 2, 3)
@@ -53,20 +53,32 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     return levelled.select("source", "source_size", F.least(F.col("cap").cast("double"), F.col("level") * F.col("weight")).alias("target"))
 
 
-def mix(docs: DataFrame, seed: str = SEED) -> DataFrame:
-    """docs plus size, source_size, target and copies (how often the mix takes the document)."""
+def _mixed(docs: DataFrame, seed: str) -> tuple[DataFrame, dict[str, str]]:
+    """docs plus size, source_size, target and copies, under names that docs does not have; and those names."""
+    wanted = ("size", "source_size", "target", "copies")
+    name = dict(zip(wanted, fresh(docs.columns, *wanted)))
     targets = materialise(source_targets(docs.select("source", text_size().alias("size"))), "mix-targets")
-    sized = small_or_split(docs.withColumn("size", text_size()), targets, "source")
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    targets = targets.select("source", F.col("source_size").alias(name["source_size"]), F.col("target").alias(name["target"]))
+    sized = small_or_split(docs.withColumn(name["size"], text_size()), targets, "source")
+    total = F.col(name["source_size"])
+    rate = F.when(total > 0, F.col(name["target"]) / total).otherwise(F.lit(0.0))
     whole = F.floor(rate)
-    extra = F.when(uniform(seed, F.col("doc_id")) < rate - whole, 1).otherwise(0)
-    return sized.withColumn("copies", (whole + extra).cast("long"))
+    own = uniform(seed, F.col("doc_id"), F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+    return sized.withColumn(name["copies"], (whole + F.when(own < rate - whole, 1).otherwise(0)).cast("long")), name
+
+
+def mix(docs: DataFrame, seed: str = SEED) -> DataFrame:
+    """docs plus size, source_size, target and copies (how often the mix takes the document), which replace columns of these names."""
+    mixed, name = _mixed(docs, seed)
+    kept = [c for c in docs.columns if c.lower() not in name]
+    return mixed.select(*kept, *[F.col(n).alias(wanted) for wanted, n in name.items()])
 
 
 def emit(docs: DataFrame, seed: str = SEED) -> DataFrame:
-    """The mixed corpus itself: every document as often as the mix takes it, with its own columns."""
-    mixed = mix(docs, seed).filter(F.col("copies") > 0)
-    return mixed.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*docs.columns)
+    """The mixed corpus itself: every document as often as the mix takes it, with exactly its own columns."""
+    mixed, name = _mixed(docs, seed)
+    times = F.explode(F.sequence(F.lit(1).cast("long"), F.col(name["copies"]))).alias(*fresh(mixed.columns, "copy"))
+    return mixed.filter(F.col(name["copies"]) > 0).select(*docs.columns, times).select(*docs.columns)
 
 
 def op5_mix(spark, sf_dir) -> DataFrame:
@@ -77,7 +89,7 @@ def op5_mix(spark, sf_dir) -> DataFrame:
 
 OP5_SQL = rf"""
 WITH sized AS (
-  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents
+  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size, md5(coalesce(text, '')) AS digest FROM documents
 ), totals AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source
 ), ranked AS (
@@ -93,7 +105,7 @@ WITH sized AS (
 ), rated AS (
   SELECT d.doc_id, d.size, t.source_size, t.target,
     CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate,
-    CAST(CAST('0x' || substr(md5('{SEED}:' || coalesce(CAST(d.doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496 AS u
+    CAST(CAST('0x' || substr(md5('{SEED}:' || coalesce(CAST(d.doc_id AS VARCHAR), '') || ':' || d.digest), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496 AS u
   FROM sized d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source
 )
 SELECT doc_id, size, source_size, target,

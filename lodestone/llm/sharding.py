@@ -7,7 +7,8 @@ a range of several groups, so the capacity is exact for the atomic groups withou
 is so large that the capacity leaves slack, the cuts are moved towards equal sizes within it.
 
 Defined cases: null and empty texts have size 1 and form one group; repeated rows each take a slot; texts
-whose hashes collide share a group; an empty table gives an empty result.
+whose hashes collide share a group; null and repeated doc_ids spread like any others; an empty table gives an empty result;
+columns named like those that are added are replaced, all others are returned unchanged.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import fresh, materialise
 
 SHARDS = 8
 TOP_BITS, STEP_BITS = 16, 8
@@ -116,28 +117,36 @@ def minimax_cuts(groups: DataFrame, shards: int) -> tuple[list[int], int]:
     return [low_hashes[i] for i in ranges.level(high, shards)], high
 
 
-def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """docs plus size, text_crc32, shard and slot (its place in the shard, from 0)."""
-    keyed = docs.withColumns({"size": text_bytes(), "text_hash": F.xxhash64(F.coalesce("text", F.lit("")))})
-    groups = materialise(keyed.groupBy(F.col("text_hash").alias("h")).agg(F.sum("size").alias("size")), "shard-groups")
+def shard(docs: DataFrame, shards: int = SHARDS, keep: list[str] | None = None) -> DataFrame:
+    """docs (or the columns to keep, doc_id among them) plus size, text_hash, text_crc32, shard and slot (its place in the shard, from 0), which replace columns of these names.
+
+    Rows are numbered within hash ranges of a shard. They are dealt to the ranges by a row number of the table that is written
+    first, so equal rows spread over all ranges like any others.
+    """
+    wanted = ("size", "text_hash", "text_crc32", "shard", "slot")
+    size, text_hash, crc, number, slot = fresh(docs.columns, *wanted)
+    row, slot_range, start, place = fresh([*docs.columns, size, text_hash, crc, number, slot], "row", "slot_range", "start", "place")
+    text = F.coalesce("text", F.lit(""))
+    keyed = docs.withColumns({size: text_bytes(), text_hash: F.xxhash64(text), crc: F.crc32(text.cast("binary")), row: F.monotonically_increasing_id()})
+    kept = [c for c in docs.columns if keep is None or c in keep]
+    keyed = materialise(keyed.select(*kept, size, text_hash, crc, row), "shard-rows")
+    groups = materialise(keyed.groupBy(F.col(text_hash).alias("h")).agg(F.sum(size).alias("size")), "shard-groups")
     cuts, _ = minimax_cuts(groups, shards)
-    number = F.lit(0)
+    at = F.lit(0)
     for c in cuts:
-        number = number + (F.lit(0) if c is None else (F.col("text_hash") >= F.lit(c)).cast("int"))
-    placed = keyed.withColumns({
-        "shard": number.cast("int"),
-        "text_crc32": F.crc32(F.coalesce("text", F.lit("")).cast("binary")),
-        "slot_range": F.pmod(F.xxhash64("doc_id", F.lit("slot")), F.lit(SLOT_RANGES)).cast("int"),
-    })
-    counts = placed.groupBy("shard", "slot_range").agg(F.count("*").alias("rows"))
-    before = Window.partitionBy("shard").orderBy("slot_range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = materialise(counts.select("shard", "slot_range", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("start")), "shard-starts")
-    own = Window.partitionBy("shard", "slot_range").orderBy("doc_id", "text_crc32", "text_hash")
-    ranked = placed.drop("text").withColumn("place", F.row_number().over(own) - 1)
+        at = at + (F.lit(0) if c is None else (F.col(text_hash) >= F.lit(c)).cast("int"))
+    placed = keyed.withColumns({number: at.cast("int"), slot_range: F.pmod(F.xxhash64(row), F.lit(SLOT_RANGES)).cast("int")})
+    counts = placed.groupBy(number, slot_range).agg(F.count("*").alias("rows"))
+    before = Window.partitionBy(number).orderBy(slot_range).rowsBetween(Window.unboundedPreceding, -1)
+    starts = materialise(counts.select(number, slot_range, F.coalesce(F.sum("rows").over(before), F.lit(0)).alias(start)), "shard-starts")
+    own = Window.partitionBy(number, slot_range).orderBy("doc_id", crc, text_hash, row)
+    ranked = placed.withColumn(place, F.row_number().over(own) - 1)
     # at most shards * SLOT_RANGES rows
-    return ranked.join(F.broadcast(starts), ["shard", "slot_range"]).withColumn("slot", (F.col("start") + F.col("place")).cast("long"))
+    numbered = ranked.join(F.broadcast(starts), [number, slot_range]).withColumn(slot, (F.col(start) + F.col(place)).cast("long"))
+    kept = [c for c in kept if c.lower() not in wanted]
+    return numbered.select(*kept, *[F.col(n).alias(w) for w, n in zip(wanted, (size, text_hash, crc, number, slot))])
 
 
 def op10_shard(spark, sf_dir) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return shard(docs).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    return shard(docs, keep=["doc_id"]).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise, remainder, uniform
+from .common import fresh, materialise, remainder, uniform
 
 ORDER, DECAY = 3, 0.5
 LANDMARKS, CANDIDATES = 32, 3_000
@@ -396,7 +396,8 @@ def _curve(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 def reject(docs: DataFrame, model: Model | None) -> DataFrame:
     """docs without those that score THRESHOLD or more."""
-    return docs.withColumn("_toxicity", score_column(model)).filter(F.col("_toxicity") < THRESHOLD).select(*docs.columns)
+    (score,) = fresh(docs.columns, "toxicity")
+    return docs.withColumn(score, score_column(model)).filter(F.col(score) < THRESHOLD).select(*docs.columns)
 
 
 def op9_toxicity(spark, sf_dir) -> DataFrame:
