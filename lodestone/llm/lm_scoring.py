@@ -1,28 +1,34 @@
 """Language-model scores by online logistic context mixing.
 
 A text is coded bit by bit as its words, A-Z lowered, each followed by a blank, and a line feed at the end. Bit predictors keep
-counts in hashed contexts (the last 1 to 4 bytes of the word so far, its start included) and in the word's whole prefix. Their
-predictions, as log odds, are combined by weights that a gate chooses from how often the prefix and the longest hashed context were
-seen; weights learn online, batch by batch, from occurrences left out of their own counts. A table of outcomes by
-(partial byte, predicted log odds) then refines the mix. These contexts start anew with each word, so a word has one probability
-wherever it stands, and the bits of a word are worked out once however often it occurs. What texts copy from each other is
-predicted by hashed phrases (up to the end of a sentence): a phrase is coded by its words or as a copy of one that training has
-seen, with a weight that follows what the text's phrases so far were. A training text's own occurrence of a phrase is left out.
+counts in hashed contexts of the last 1 to 4 bytes, which at the start of a word reach back to what stood before it (SIDES: whether
+the word before ended a sentence, and whether it was plain ASCII), and in the word's whole prefix. Their predictions, as log
+odds, are combined by weights that a gate chooses from how often the prefix and the longest hashed context were seen; weights
+learn online by Newton steps, bit by bit of batches of words, from occurrences left out of their own counts. A table of outcomes by (partial byte, predicted log
+odds) then refines the mix. What texts copy from each other is predicted by hashed phrases (up to the end of a sentence): for
+each phrase one more bit, whether training has it in another text, is predicted by the text's own counts in three contexts (all its phrases,
+the run of like ones, the last four), mixed by gated weights that learn along the text; a phrase is coded by its words or
+as a copy, with the weight that this mix gives. A training text's own occurrences of a phrase are left out.
+
+Beyond its first ORDERS bytes a word's bits do not depend on what stood before, and words that share a prefix share its bits, so the
+vocabulary is walked as a trie: a prefix is worked out once however often it occurs.
 
 Jobs: one scan turns each part of the input into its distinct words and phrases and, for each document, its packed word and
-phrase numbers. The words are dealt once by their first PREFIX bytes, so all that share a longer prefix are together, and
-written in order; passes over those files sum each word over its parts, count contexts, learn weights and score, and the last
-pass returns packed scores to the parts, each of which adds up its documents. A word is in a part once, so no word holds
-many of the rows. The hashed tables (4 of 2^TABLE_BITS slots) and the weights are all that is broadcast: their size is
-fixed. Vocabulary, phrases, texts and counts grow with the input and stay distributed.
+phrase numbers. The words are dealt once by their first PREFIX bytes, or more bytes for prefixes that many words share, and
+written as a sorted vocabulary: each word once, with its counts and where it stands. Passes over it count contexts, learn
+weights and score, and the last one returns packed scores to the parts, each of which adds up its documents. A word is in a part once,
+so no word holds many of the rows. The hashed tables (ORDERS of 2^TABLE_BITS slots) and the weights are all that is broadcast: their
+size is fixed. Vocabulary, phrases, texts and counts grow with the input and stay distributed.
 
 Defined cases: a null text is the empty one (its end alone); without training documents the base score's counts are all 0
 and the model predicts even odds; repeated rows are scored alike; a null doc_id has the remainder of the
-empty string; a word longer than PIECE bytes is coded in pieces, contexts starting anew at each.
+empty string; a word longer than PIECE bytes is coded in pieces, contexts starting anew at each; the whole-prefix predictor is silent in
+the bytes that words are dealt by; bits_per_byte of an empty text counts its end as one byte; only the named columns are read.
 """
 
 from __future__ import annotations
 
+import math
 from collections import defaultdict
 from collections.abc import Iterator
 from itertools import count
@@ -42,20 +48,25 @@ FOLDS, HELD_OUT = 10, 0
 #: Text bytes whose words share one dictionary.
 PART_BYTES = 32_000_000
 TABLE_BITS, ORDERS = 20, 4
-PREFIX, PIECE = 4, 48
+PREFIX, DEEPER, PIECE = 4, (8, 16), 48
+#: Prefixes with more words than this, and than a share of all, are dealt on by more bytes: at most HOT_MOST of them.
+HOT_WORDS, HOT_MOST = 16_000, 5_000
 PREDICTORS = ORDERS + 1
 PREFIX_STEPS, ORDER_STEPS = 8, 4
 GATES = PREFIX_STEPS * ORDER_STEPS * 8
 BUCKETS, REACH = 33, 8.0
-RATE, ALPHA = 0.06, 0.1
-#: A phrase ends with a word that ends so, or after so many words.
-PHRASE_ENDS, PHRASE = b".!?|", 24
+#: Curvature that the starting weights count for.
+CAUTION, ALPHA = 1000.0, 0.1
+#: What can stand before a word: bit 0, the end of a sentence or the start of the text; bit 1, a word beyond ASCII.
+SIDES, START = 4, 1
+#: A phrase ends with a word that ends so; within longer runs after a word whose hash says so, from CUT_FROM words on, and after PHRASE words.
+PHRASE_ENDS, CUT_FROM, PHRASE = b".!?|", 12, 24
 #: The weight of copying before a text has shown any phrase.
 AGAIN = 0.1
-#: How slowly a text's own share of copied phrases forgets.
-FADE = 0.9
-#: Words handled at once; groups of one prefix are kept together.
-WORDS_AT_ONCE = 50_000
+#: Words handled at once; groups that are dealt together are kept together.
+WORDS_AT_ONCE = 100_000
+#: Slots of the tables that travel as one binary.
+SLOTS_AT_ONCE = 1 << 16
 END = b"\n"
 ALMOST = 1e-6
 
@@ -78,32 +89,55 @@ def _unpack(packed: bytes) -> np.ndarray:
 _POWERS = np.cumprod(np.full(PHRASE, 0x9E3779B97F4A7C15, np.uint64))
 
 
-def phrase_starts(ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where phrases start and each word's place in its own: up to a word that ends a sentence, PHRASE words at most.
+def phrase_starts(ids: np.ndarray, ends: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """Where phrases start: after words that end a sentence, and in long runs after words that cut, or PHRASE words.
 
-    ids: a document's word numbers without the end; ends: by number, whether a word ends a phrase.
+    ids: a document's word numbers without the end; ends, cuts: by number, whether a word ends a sentence, or cuts a long run.
     """
     n = len(ids)
     if not n:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.int64)
     starts = np.concatenate([[0], np.flatnonzero(ends[ids[:-1]]) + 1])
-    place = np.arange(n) - np.repeat(starts, np.diff(np.append(starts, n)))
-    return np.flatnonzero(place % PHRASE == 0), place
+    sizes = np.diff(np.append(starts, n))
+    if sizes.max() <= CUT_FROM:
+        return starts
+    more = []
+    for start, size in zip(starts[sizes > CUT_FROM].tolist(), sizes[sizes > CUT_FROM].tolist()):
+        at = start
+        for i in (np.flatnonzero(cuts[ids[start:start + size - 1]]) + start + 1).tolist() + [start + size]:
+            while i - at > PHRASE:
+                at += PHRASE
+                more.append(at)
+            if i - at >= CUT_FROM and i < start + size:
+                at = i
+                more.append(at)
+    return np.sort(np.concatenate([starts, np.array(more, np.int64)]))
+
+
+def phrases(ids: np.ndarray, ends: np.ndarray, cuts: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Hashes of the phrases of a document; hashes: by number, the hash of a word."""
+    starts = phrase_starts(ids, ends, cuts)
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    place = np.arange(len(ids)) - np.repeat(starts, np.diff(np.append(starts, len(ids))))
+    return np.add.reduceat(hashes[ids] * _POWERS[place], starts)
 
 
-def phrases(ids: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and hashes of the phrases of a document; hashes: by number, the hash of a word."""
-    starts, place = phrase_starts(ids, ends)
-    if not len(starts):
-        return starts, np.zeros(0, np.uint64)
-    return starts, np.add.reduceat(hashes[ids] * _POWERS[place % PHRASE], starts)
+def sides(ids: np.ndarray, side: np.ndarray) -> np.ndarray:
+    """For each word of a document what stands before it; side: by number, what a word is to the next one."""
+    return np.concatenate([[START], side[ids[:-1]]])
 
 
 _PARTS = pa.schema([
-    ("part", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("seq", pa.binary()), ("phrases", pa.binary()),
-    ("number", pa.int64()), ("word", pa.binary()), ("phrase", pa.int64()), ("n", pa.int64()), ("met", pa.int64()),
+    ("part", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_bytes", pa.int64()), ("seq", pa.binary()), ("phrases", pa.binary()),
+    ("number", pa.int32()), ("word", pa.binary()), *((f"n{c}", pa.int64()) for c in range(SIDES)), ("sides", pa.int32()),
+    ("phrase", pa.int64()), ("n", pa.int64()), ("met", pa.int64()),
 ])
-_PARTS_DDL = "part long, doc_id long, held_out boolean, n_tokens long, seq binary, phrases binary, number long, word binary, phrase long, n long, met long"
+_KINDS = {"int64": "long", "int32": "int", "bool": "boolean", "binary": "binary", "float": "float", "double": "double"}
+
+
+def _ddl(schema: pa.Schema) -> str:
+    return ", ".join(f"{f.name} array<{_KINDS[str(f.type.value_type)]}>" if pa.types.is_list(f.type) else f"{f.name} {_KINDS[str(f.type)]}" for f in schema)
 
 
 class _Part:
@@ -122,14 +156,15 @@ class _Part:
         words.append(END)
         ids = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
         self.ids.append(ids)
-        self.docs.append({"part": self.name, "doc_id": doc_id, "held_out": held_out, "n_tokens": len(ids), "seq": _pack(ids)})
+        self.docs.append({"part": self.name, "doc_id": doc_id, "held_out": held_out, "n_tokens": len(ids), "n_bytes": len(raw), "seq": _pack(ids)})
         self.size += len(raw)
 
     def rows(self) -> Iterator[pa.RecordBatch]:
         words = list(self.number)
-        ends = np.fromiter((w[-1] in PHRASE_ENDS for w in words), bool, len(words))
         hashes = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in words), np.uint64, len(words))
-        found = [phrases(ids[:-1], ends, hashes)[1] for ids in self.ids]
+        marks = _marks(words, hashes)
+        ends, side, cuts = marks & 1 > 0, marks & 3, marks & 4 > 0
+        found = [phrases(ids[:-1], ends, cuts, hashes) for ids in self.ids]
         every = np.concatenate(found)
         own, first, place = np.unique(every, return_index=True, return_inverse=True)
         order = np.argsort(first, kind="stable")  # numbers by first sight pack well
@@ -142,9 +177,14 @@ class _Part:
         yield pa.RecordBatch.from_pylist(self.docs, schema=_PARTS)
         train = np.array([not d["held_out"] for d in self.docs])
         learnt = np.repeat(train, sizes).astype(float)
-        all_ids = np.concatenate([i for i, t in zip(self.ids, train) if t] or [np.zeros(0, np.int64)])
-        counts = np.bincount(all_ids, minlength=len(words))
-        yield from self._batches(len(words), {"number": np.arange(len(words)), "word": words, "n": counts})
+        counts, met = (np.zeros(SIDES * len(words), np.int64) for _ in range(2))
+        for kept, sums in ((train, counts), (~train, met)):
+            places = [i * SIDES + sides(i, side) for i, t in zip(self.ids, kept) if t]
+            if places:
+                sums += np.bincount(np.concatenate(places), minlength=len(sums))
+        counts = counts.reshape(-1, SIDES)
+        some = ((counts > 0) | (met.reshape(-1, SIDES) > 0)) @ (1 << np.arange(SIDES))
+        yield from self._batches(len(words), {"number": np.arange(len(words)), "word": words, "sides": some} | {f"n{c}": counts[:, c] for c in range(SIDES)})
         yield from self._batches(len(own), {"number": np.arange(len(own)), "phrase": own.view(np.int64), "n": np.bincount(place, learnt, len(own)).astype(np.int64), "met": np.bincount(place, minlength=len(own))})
 
     def _batches(self, n: int, columns: dict) -> Iterator[pa.RecordBatch]:
@@ -156,6 +196,13 @@ class _Part:
             ], schema=_PARTS)
 
 
+def _marks(words: list[bytes], hashes: np.ndarray) -> np.ndarray:
+    """For each word: bit 0, it ends a sentence; bit 1, it is beyond ASCII; bit 2, it cuts long runs."""
+    ends = np.fromiter((w[-1] in PHRASE_ENDS for w in words), np.uint8, len(words))
+    wide = np.fromiter((not w.isascii() for w in words), np.uint8, len(words))
+    return ends | wide << 1 | (hashes & np.uint64(7) == 0).astype(np.uint8) << 2
+
+
 def to_parts(docs: DataFrame) -> DataFrame:
     """From (doc_id, held_out, text): for each part of the input a row per document, per distinct word and per distinct phrase.
 
@@ -175,7 +222,7 @@ def to_parts(docs: DataFrame) -> DataFrame:
         if part.docs:
             yield from part.rows()
 
-    return docs.mapInArrow(run, _PARTS_DDL)
+    return docs.mapInArrow(run, _ddl(_PARTS))
 
 
 # ---- the bit model --------------------------------------------------------------------------------------------------
@@ -189,97 +236,142 @@ def _squash(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -20, 20)))
 
 
+class Step:
+    """One bit of a level of the trie: its rows, each a prefix of words (and, near the start, what stands before them)."""
+
+    __slots__ = ("at", "bit", "count", "deep", "node", "ones", "side", "silent", "slots", "zeros")
+
+
 class Words:
-    """Words, sorted, as rows of bytes to be walked through bit by bit. Long ones go on in further rows."""
-
-    def __init__(self, words: list[bytes], counts: np.ndarray):
-        coded = [w if w == END else w + b" " for w in words]
-        pieces = [w[:PIECE] for w in coded]
-        self.owner = list(range(len(coded)))
-        self.firsts = len(coded)
-        for i, w in enumerate(coded):
-            for a in range(PIECE, len(w), PIECE):
-                pieces.append(w[a:a + PIECE])
-                self.owner.append(i)
-        order = sorted(range(self.firsts), key=pieces.__getitem__) + list(range(self.firsts, len(pieces)))
-        pieces = [pieces[i] for i in order]
-        self.owner = np.array([self.owner[i] for i in order], np.int64)
-        self.count = np.asarray(counts, np.float64)[self.owner]
-        self.size = np.fromiter(map(len, pieces), np.int64, len(pieces))
+    """Distinct sorted words as a trie that is walked level by level; a row stands for all words that share its prefix."""
+
+    def __init__(self, words: list[bytes], counts: np.ndarray, sides: np.ndarray, depth: np.ndarray, coded: bool = False):
+        """counts: words x SIDES; sides: bits of what stands before each; depth: bytes in which the prefix predictor is silent."""
+        if not coded:
+            words = [w if w == END else w + b" " for w in words]
+        self.more = [(i, w[a:a + PIECE]) for i, w in enumerate(words) if len(w) > PIECE for a in range(PIECE, len(w), PIECE)]
+        heads = [w[:PIECE] for w in words] if self.more else words
+        self.size = np.fromiter(map(len, heads), np.int64, len(heads))
         width = int(self.size.max(initial=1))
-        self.bytes = np.frombuffer(b"".join(p.ljust(width, b"\0") for p in pieces), np.uint8).reshape(-1, width)
-        # bits that each row shares with the row before; further rows share none with any other
-        self.shared = np.full(len(pieces), -1, np.int64)
-        a, b = self.bytes[:self.firsts - 1], self.bytes[1:self.firsts]
-        differ = a != b
-        at = np.where(differ.any(axis=1), differ.argmax(axis=1), width)
-        rows = np.arange(len(at))
-        inner = np.minimum(at, width - 1)
-        x = (a[rows, inner] ^ b[rows, inner]).astype(np.int64)
-        self.shared[1:self.firsts] = at * 8 + np.where(at < width, 7 - np.floor(np.log2(np.maximum(x, 1))).astype(np.int64), 0)
-
-    def steps(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]]:
-        """For each bit: rows, node (the bits of the byte before it), bit, slots by order, zeros and ones after the prefix."""
-        at, shared = np.arange(len(self.size)), self.shared
+        data = np.frombuffer(b"".join(heads), np.uint8)
+        row = np.repeat(np.arange(len(heads)), self.size)
+        self.bytes = np.zeros((len(heads), width), np.uint8)
+        self.bytes[row, np.arange(len(data)) - np.repeat(np.cumsum(self.size) - self.size, self.size)] = data
+        self.counts, self.sides, self.depth = np.asarray(counts, np.float64), np.asarray(sides, np.int64), np.asarray(depth, np.int64)
+
+    def further(self) -> tuple[Words, np.ndarray, np.ndarray]:
+        """What long words go on with, as a trie of its own without whole prefixes; the words they belong to and their places there."""
+        owner = np.array([i for i, _ in self.more], np.int64)
+        pieces = sorted({p for _, p in self.more})
+        number = {p: i for i, p in enumerate(pieces)}
+        place = np.array([number[p] for _, p in self.more], np.int64)
+        counts = np.zeros((len(pieces), SIDES))
+        np.add.at(counts[:, 0], place, self.counts[owner].sum(axis=1))
+        return Words(pieces, counts, np.ones(len(pieces)), np.full(len(pieces), PIECE), True), owner, place
+
+    def levels(self) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, list[Step]]]:
+        """By byte: its place, the words that have it, the node of each, the node above each node, and a step for each bit."""
+        active, above = np.arange(len(self.size)), np.zeros(len(self.size), np.int64)
+        shifts = np.arange(SIDES)
         for p in range(self.bytes.shape[1]):
-            keep = np.flatnonzero(self.size[at] > p)
-            if not len(keep):
+            keep = self.size[active] > p
+            active, above = active[keep], above[keep]
+            if not len(active):
                 return
-            starts = np.concatenate([[0], keep[:-1] + 1])
-            shared = np.minimum.reduceat(shared[:keep[-1] + 1], starts)
-            at = at[keep]
-            byte = self.bytes[at, p].astype(np.int64)
+            byte = self.bytes[active, p]
+            new = np.ones(len(active), bool)
+            new[1:] = (above[1:] != above[:-1]) | (byte[1:] != byte[:-1])
+            first = np.flatnonzero(new)
+            node = np.cumsum(new) - 1
+            like, own, parent = active[first], byte[first].astype(np.int64), above[first]
+            counts = np.add.reduceat(self.counts[active], first)
+            total = counts.sum(axis=1)
+            if p < ORDERS:  # what stands before the word is within reach of the contexts
+                met = np.bitwise_or.reduceat(self.sides[active], first)
+                at, side = np.nonzero((met[:, None] >> shifts & 1 > 0) | (counts > 0))
+                count = counts[at, side]
+            else:
+                at, side, count = np.arange(len(first)), None, total
             context, contexts = np.zeros(len(at), np.uint64), []
             for k in range(ORDERS):
-                before = self.bytes[at, p - 1 - k].astype(np.uint64) if p > k else np.full(len(at), 32 if p == k else 0, np.uint64)
+                if p > k:
+                    before = self.bytes[like[at], p - 1 - k].astype(np.uint64)
+                else:
+                    before = (side + 1).astype(np.uint64) if p == k else np.zeros(len(at), np.uint64)
                 context = context | before << np.uint64(8 * k)
                 contexts.append((context + np.uint64(k + 1 << 40)) * _MIX[0])
-            prefixed = (at < self.firsts) if p >= PREFIX else np.zeros(len(at), bool)
-            count = np.where(prefixed, self.count[at], 0)
+            silent = self.depth[like] > p
+            steps = []
             for b in range(8):
-                node = (1 << b) | byte >> 8 - b
-                bit = byte >> 7 - b & 1
-                slots = [((c ^ node.astype(np.uint64) * _MIX[1]) * _MIX[0] >> np.uint64(64 - TABLE_BITS)).astype(np.int64) for c in contexts]
-                group = np.cumsum(shared < 8 * p + b)
-                ones = np.bincount(group, count * bit)[group]
-                yield at, node, bit, slots, np.bincount(group, count)[group] - ones, ones
+                s = Step()
+                s.at, s.side, s.count, s.deep, s.silent = at, side, count, b, silent[at]
+                s.node, s.bit = ((1 << b) | own >> 8 - b)[at], (own >> 7 - b & 1)[at]
+                mixed = s.node.astype(np.uint64) * _MIX[1]
+                s.slots = [((c ^ mixed) * _MIX[0] >> np.uint64(64 - TABLE_BITS)).astype(np.int64) for c in contexts]
+                s.zeros = s.ones = None
+                if not silent.all():
+                    high = own >> 8 - b
+                    fresh = np.ones(len(own), bool)
+                    fresh[1:] = (parent[1:] != parent[:-1]) | (high[1:] != high[:-1])
+                    group, known = np.cumsum(fresh) - 1, np.where(silent, 0.0, total)
+                    ones = np.bincount(group, known * (own >> 7 - b & 1))[group]
+                    s.ones, s.zeros = ones[at], (np.bincount(group, known)[group] - ones)[at]
+                steps.append(s)
+            yield p, active, node, parent, steps
+            above = node
 
 
 def count_contexts(words: Words, zeros: np.ndarray, ones: np.ndarray) -> None:
     """Add the words' occurrences to the hashed tables, ORDERS x 2^TABLE_BITS each."""
-    for at, _, bit, slots, _, _ in words.steps():
-        c = words.count[at]
+    for *_, steps in words.levels():
+        for s in steps:
+            for k in range(ORDERS):
+                np.add.at(ones[k], s.slots[k], s.count * s.bit)
+                np.add.at(zeros[k], s.slots[k], s.count * (1 - s.bit))
+    if words.more:
+        count_contexts(words.further()[0], zeros, ones)
+
+
+def _confidence(n: np.ndarray) -> np.ndarray:
+    return np.minimum(np.log2(1 + n) / 3, ORDER_STEPS - 1).astype(np.int8)
+
+
+class Tables:
+    """Log odds by slot of the hashed tables, worked out once: as counted, and with the occurrence that is predicted left out."""
+
+    def __init__(self, zeros: np.ndarray, ones: np.ndarray, left_out: bool):
+        if left_out:  # by the outcome that is left out
+            odds = [_stretch(np.maximum(zeros - 1, 0), ones), _stretch(zeros, np.maximum(ones - 1, 0))]
+        else:
+            odds = [_stretch(zeros, ones)]
+        self.left_out = left_out
+        self.odds = np.stack(odds).astype(np.float32).reshape(-1)
+        self.confidence = _confidence(np.maximum(zeros[-1] + ones[-1] - left_out, 0))
+
+    def inputs(self, s: Step) -> tuple[np.ndarray, np.ndarray]:
+        """Log odds of each predictor and the gate, for the rows of a step."""
+        odds = np.zeros((len(s.at), PREDICTORS), np.float32)
+        shift = s.bit * (ORDERS << TABLE_BITS) if self.left_out else 0
         for k in range(ORDERS):
-            np.add.at(ones[k], slots[k], c * bit)
-            np.add.at(zeros[k], slots[k], c * (1 - bit))
+            odds[:, k] = self.odds[s.slots[k] + (shift + (k << TABLE_BITS))]
+        gate = self.confidence[s.slots[-1]].astype(np.int64) * 8 + s.deep
+        if s.zeros is not None:
+            n0, n1 = (np.maximum(s.zeros - (1 - s.bit), 0), np.maximum(s.ones - s.bit, 0)) if self.left_out else (s.zeros, s.ones)
+            odds[:, ORDERS] = _stretch(n0, n1)
+            gate += np.minimum(np.log2(1 + n0 + n1), PREFIX_STEPS - 1).astype(np.int64) * (ORDER_STEPS * 8)
+        return odds, gate
 
 
 class Mixer:
     """Gated weights and the refining table, with what they have learnt from."""
 
-    def __init__(self, zeros: np.ndarray, ones: np.ndarray):
-        self.zeros, self.ones = zeros, ones
+    def __init__(self):
         self.weights = np.full((GATES, PREDICTORS), 1.3 / PREDICTORS)
-        self.mass = np.zeros(GATES)
+        # what the steps so far say about each gate's weights: second derivatives of the cost
+        self.curve = np.tile(np.eye(PREDICTORS) * CAUTION, (GATES, 1, 1))
         centres = _squash(np.linspace(-REACH, REACH, BUCKETS))
         self.hits = np.tile(centres, (256, 1)) * 8.0
         self.seen = np.full((256, BUCKETS), 8.0)
-        self.updates = 0
-
-    def inputs(self, step, left_out: bool):
-        """Log odds of each predictor and the gate. left_out: without the occurrence that is predicted."""
-        at, node, bit, slots, n0, n1 = step
-        own = (1 - bit, bit) if left_out else (0, 0)
-        odds = np.empty((len(at), PREDICTORS))
-        for k in range(ORDERS):
-            z, o = np.maximum(self.zeros[k][slots[k]] - own[0], 0), np.maximum(self.ones[k][slots[k]] - own[1], 0)
-            odds[:, k] = _stretch(z, o)
-        n0, n1 = np.maximum(n0 - own[0], 0), np.maximum(n1 - own[1], 0)
-        odds[:, ORDERS] = _stretch(n0, n1)
-        prefix = np.minimum(np.log2(1 + n0 + n1), PREFIX_STEPS - 1).astype(np.int64)
-        order = np.minimum(np.log2(1 + z + o) / 3, ORDER_STEPS - 1).astype(np.int64)
-        depth = np.int64(int(node[0]).bit_length() - 1)
-        return odds, (prefix * ORDER_STEPS + order) * 8 + depth
 
     def mix(self, odds, gate):
         return np.clip(np.einsum("ij,ij->i", self.weights[gate], odds), -REACH, REACH)
@@ -291,39 +383,65 @@ class Mixer:
 
     def refine(self, node, mixed):
         low, share = self._place(mixed)
-        rate = self.hits / self.seen
-        refined = rate[node, low] * (1 - share) + rate[node, low + 1] * share
+        rate = (self.hits / self.seen).reshape(-1)
+        at = node * BUCKETS + low
+        refined = rate[at] * (1 - share) + rate[at + 1] * share
         return np.clip((_squash(mixed) + refined) / 2, ALMOST, 1 - ALMOST)
 
-    def learn(self, words: Words) -> None:
-        """One pass over the words, a step of the weights at each bit; outcomes go to the refining table."""
-        for step in words.steps():
-            at, node, bit = step[:3]
-            c = words.count[at]
-            if not c.any():
-                continue
-            odds, gate = self.inputs(step, True)
-            mixed = self.mix(odds, gate)
-            miss = (bit - _squash(mixed)) * c
-            total = np.bincount(gate, c, GATES)
-            hit = np.flatnonzero(total)
-            rate = RATE / (1 + self.updates / 4000)
-            for k in range(PREDICTORS):
-                self.weights[hit, k] += rate * np.bincount(gate, miss * odds[:, k], GATES)[hit] / total[hit]
-            self.mass += total
-            self.updates += 1
-            low, share = self._place(mixed)
-            for j, part in ((low, 1 - share), (low + 1, share)):
-                np.add.at(self.hits, (node, j), c * bit * part)
-                np.add.at(self.seen, (node, j), c * part)
-
-    def score(self, words: Words, n: int) -> np.ndarray:
-        """log10 probability of each word."""
-        out = np.zeros(n)
-        for step in words.steps():
-            at, node, bit = step[:3]
-            p = self.refine(node, self.mix(*self.inputs(step, False)))
-            np.add.at(out, words.owner[at], np.log10(np.where(bit == 1, p, 1 - p)))
+    def learn(self, tables: Tables, words: Words, heads: bool = False) -> None:
+        """One pass over the words, a Newton step of the weights at each bit; outcomes go to the refining table.
+
+        Where words are dealt by a byte, those here are no fair share of what follows, so nothing is learnt; heads: they are whole.
+        """
+        for *_, steps in words.levels():
+            for s in steps:
+                c = s.count if heads else np.where(s.silent, 0, s.count)
+                if not c.any():
+                    continue
+                odds, gate = tables.inputs(s)
+                mixed = self.mix(odds, gate)
+                chance = _squash(mixed)
+                miss, bend = (s.bit - chance) * c, chance * (1 - chance) * c
+                hit = np.flatnonzero(np.bincount(gate, c, GATES))
+                slope = np.empty((len(hit), PREDICTORS))
+                for k in range(PREDICTORS):
+                    slope[:, k] = np.bincount(gate, miss * odds[:, k], GATES)[hit]
+                    part = bend * odds[:, k]
+                    for j in range(k + 1):
+                        more = np.bincount(gate, part * odds[:, j], GATES)[hit]
+                        self.curve[hit, k, j] += more
+                        if j < k:
+                            self.curve[hit, j, k] += more
+                self.weights[hit] += np.linalg.solve(self.curve[hit], slope[:, :, None])[:, :, 0]
+                low, share = self._place(mixed)
+                for j, part in ((low, 1 - share), (low + 1, share)):
+                    at, part = s.node * BUCKETS + j, c * part
+                    self.hits += np.bincount(at, part * s.bit, 256 * BUCKETS).reshape(256, -1)
+                    self.seen += np.bincount(at, part, 256 * BUCKETS).reshape(256, -1)
+        if words.more:
+            self.learn(tables, words.further()[0], True)
+
+    def score(self, tables: Tables, words: Words) -> np.ndarray:
+        """log10 probability of each word after each of SIDES; only sides that the words have been met with mean anything."""
+        out, sums = np.zeros((len(words.size), SIDES)), np.zeros((1, SIDES))
+        for p, active, node, parent, steps in words.levels():
+            own = np.zeros(len(steps[0].at))
+            for s in steps:
+                chance = self.refine(s.node, self.mix(*tables.inputs(s)))
+                own += np.log10(np.where(s.bit == 1, chance, 1 - chance))
+            sums = sums[parent]
+            if p < ORDERS:
+                # a row for each node and side: sides that are absent keep what they have
+                place = np.zeros(len(parent) * SIDES)
+                place[steps[0].at * SIDES + steps[0].side] = own
+                sums = sums + place.reshape(-1, SIDES)
+            else:
+                sums = sums + own[:, None]
+            done = words.size[active] == p + 1
+            out[active[done]] = sums[node[done]]
+        if words.more:
+            rest, owner, place = words.further()
+            np.add.at(out, owner, self.score(tables, rest)[place, :1])
         return out
 
 
@@ -336,225 +454,350 @@ def _firsts(words: pa.Array) -> np.ndarray:
     return np.flatnonzero(np.concatenate([np.ones(min(1, len(words)), bool), differ]))
 
 
-class _Group:
-    """Words of whole prefixes: each once, with its count, and where it stands in the parts."""
+_VOCABULARY = pa.schema([
+    ("word", pa.binary()), ("depth", pa.int32()), *((f"n{c}", pa.int64()) for c in range(SIDES)), ("sides", pa.int32()),
+    ("parts", pa.list_(pa.int64())), ("numbers", pa.list_(pa.int32())),
+])
+
+
+def _dealt(words: DataFrame, rows: int) -> DataFrame:
+    """words with depth, by how many bytes they are dealt: PREFIX, or more where very many share those.
+
+    A prefix is dealt on if more than rows / HOT_MOST words have it, so at most HOT_MOST prefixes are broadcast.
+    """
+    most, depth = max(HOT_WORDS, rows // HOT_MOST), F.lit(PREFIX)
+    for now, then in zip((PREFIX, *DEEPER), DEEPER):
+        counted = words.groupBy(F.substring("word", 1, now).alias("hot")).agg(F.count("*").alias("n")).filter((F.col("n") > most) & (F.length("hot") == now))
+        hot = materialise(counted.select("hot"), "hot-prefixes")
+        if hot.isEmpty():
+            break
+        words = words.drop("hot").join(F.broadcast(hot), F.substring("word", 1, now) == hot["hot"], "left")
+        depth = F.when(F.col("hot").isNotNull(), then).otherwise(depth)
+        words = words.withColumn("depth", depth)
+        depth = F.col("depth")
+    return words.withColumn("depth", depth).drop("hot")
+
+
+def vocabulary(parts: DataFrame, rows: int) -> DataFrame:
+    """Each word once, in order: depth, counts by side, sides, and the parts and numbers under which it stands."""
+    words = _dealt(parts.filter("word is not null").select("word", *[f"n{c}" for c in range(SIDES)], "sides", "part", "number"), rows)
+    dealt = words.repartition(F.expr("substring(word, 1, depth)")).sortWithinPartitions("word")
+
+    def fold(table: pa.Table, last: bool) -> tuple[pa.RecordBatch | None, pa.Table]:
+        """Complete words of the table as rows, and what may go on in the next batch."""
+        word = table.column("word").combine_chunks()
+        first = _firsts(word)
+        n = len(first) - (not last)
+        if n <= 0:
+            return None, table
+        end = len(table) if last else int(first[-1])
+        at, done = first[:n], table.slice(0, end)
+        sums = [np.add.reduceat(done.column(f"n{c}").to_numpy(), at) for c in range(SIDES)]
+        met = np.bitwise_or.reduceat(done.column("sides").to_numpy(), at)
+        offsets = pa.array(np.append(at, end).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(offsets, done.column(c).combine_chunks()) for c in ("part", "number")]
+        depth = done.column("depth").to_numpy()[at]
+        return pa.RecordBatch.from_arrays([word.take(pa.array(at)), pa.array(depth), *map(pa.array, sums), pa.array(met), *lists], schema=_VOCABULARY), table.slice(end)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left: pa.Table | None = None
+        for b in batches:
+            table = pa.Table.from_batches([b])
+            left = table if left is None else pa.concat_tables([left, table])
+            if len(left) >= 8192:
+                done, left = fold(left.combine_chunks(), False)
+                if done is not None:
+                    yield done
+        if left is not None and len(left):
+            yield fold(left.combine_chunks(), True)[0]
+
+    # one row group a file: a task reads whole groups, in order
+    return materialise(dealt.mapInArrow(run, _ddl(_VOCABULARY)), "lm-vocabulary", "zstd", **{"parquet.block.size": str(1 << 30)})
+
+
+def _groups(batches: Iterator[pa.RecordBatch], coded: bool = False) -> Iterator[tuple[Words, pa.Table]]:
+    """The vocabulary in runs of about WORDS_AT_ONCE words that never part what is dealt together; coded: with the blanks after words."""
+    held: list[pa.RecordBatch] = []
+    n, key, last = 0, None, b""
+
+    def done() -> tuple[Words, pa.Table]:
+        table = pa.Table.from_batches(held)
+        counts = np.stack([table.column(f"n{c}").to_numpy() for c in range(SIDES)], axis=1)
+        return Words(table.column("word").to_pylist(), counts, table.column("sides").to_numpy(), table.column("depth").to_numpy(), coded), table
 
-    def __init__(self):
-        self.words: list[bytes] = []
-        self.counts: list[int] = []
-        self.places: list[tuple[np.ndarray, ...]] = []  # (index of the word, part, number)
-
-    def add(self, words: pa.Array, counts: np.ndarray, part: np.ndarray, number: np.ndarray) -> None:
-        first = _firsts(words)
-        sums = np.add.reduceat(counts, first)
-        own = words.take(pa.array(first)).to_pylist()
-        start = len(self.words)
-        if self.words and own[0] == self.words[-1]:  # the word goes on from the batch before
-            start -= 1
-            self.counts[-1] += int(sums[0])
-            own, sums = own[1:], sums[1:]
-        self.words += own
-        self.counts += sums.tolist()
-        marks = np.zeros(len(words), np.int64)
-        marks[first] = 1
-        self.places.append((np.cumsum(marks) - 1 + start, part, number))
-
-    def known(self) -> Words:
-        """The words of training texts."""
-        some = [(w, c) for w, c in zip(self.words, self.counts) if c]
-        return Words([w for w, _ in some], np.array([c for _, c in some], np.float64))
-
-
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[_Group]:
-    """From batches (word, n, part, number), sorted by word: groups of about WORDS_AT_ONCE words that never part a prefix."""
-    group = _Group()
     for b in batches:
-        words, (counts, part, number) = b.column("word"), (b.column(c).to_numpy() for c in ("n", "part", "number"))
+        if not b.num_rows:
+            continue
+        words, depth = b.column("word"), b.column("depth")
         begin = 0
-        while begin < len(words):
-            end = len(words)
-            if len(group.words) >= WORDS_AT_ONCE:
-                prefix = group.words[-1][:PREFIX]
-                end = next((i for i in range(begin, len(words)) if words[i].as_py()[:PREFIX] != prefix), end)
-            group.add(words[begin:end], counts[begin:end], part[begin:end], number[begin:end])
-            if end < len(words):
-                yield group
-                group = _Group()
+        if n and words[0].as_py() < last:  # another file
+            yield done()
+            held, n = [], 0
+        while begin < b.num_rows:
+            end = b.num_rows
+            if n >= WORDS_AT_ONCE:
+                end = next((i for i in range(begin, b.num_rows) if words[i].as_py()[:depth[i].as_py()] != key), b.num_rows)
+            if end > begin:
+                held.append(b.slice(begin, end - begin))
+                n += end - begin
+                last = words[end - 1].as_py()
+                key = last[:depth[end - 1].as_py()]
+            if end < b.num_rows:
+                yield done()
+                held, n = [], 0
             begin = end
-    if group.words:
-        yield group
+    if held:
+        yield done()
 
 
-def _tables(places: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The hashed tables over all training words; a task emits a row per slot in use, at most ORDERS x 2^TABLE_BITS."""
-    schema = pa.schema([("slot", pa.int32()), ("zeros", pa.float64()), ("ones", pa.float64())])
+_KNOWN = " + ".join(f"n{c}" for c in range(SIDES)) + " > 0"
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        zeros, ones = np.zeros((ORDERS, 1 << TABLE_BITS)), np.zeros((ORDERS, 1 << TABLE_BITS))
-        for group in _groups(batches):
-            if any(group.counts):
-                count_contexts(group.known(), zeros, ones)
-        used = np.flatnonzero((zeros + ones).ravel())
-        for own in np.array_split(used, 1 + len(used) // 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array(zeros.ravel()[own]), pa.array(ones.ravel()[own])], schema=schema)
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            slot, zeros, ones = (b.column(k).to_numpy() for k in range(3))
-            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()]) for x in (slot.astype("<i4"), zeros.astype("<f4"), ones.astype("<f4"))], names=["slot", "zeros", "ones"])
 
-    summed = places.mapInArrow(add, "slot int, zeros double, ones double").groupBy("slot").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"))
-    zeros, ones = np.zeros(ORDERS << TABLE_BITS, np.float32), np.zeros(ORDERS << TABLE_BITS, np.float32)
-    # 12 bytes for each slot in use: a fixed bound of ORDERS x 2^TABLE_BITS slots
-    for row in summed.mapInArrow(pack, "slot binary, zeros binary, ones binary").toLocalIterator():
-        at = np.frombuffer(row["slot"], "<i4")
-        zeros[at], ones[at] = np.frombuffer(row["zeros"], "<f4"), np.frombuffer(row["ones"], "<f4")
-    return zeros.reshape(ORDERS, -1), ones.reshape(ORDERS, -1)
+def _known(vocabulary: DataFrame) -> DataFrame:
+    """Words of training texts, with what stood before them there."""
+    seen = sum((F.when(F.col(f"n{c}") > 0, 1 << c).otherwise(0) for c in range(SIDES)), F.lit(0))
+    return vocabulary.filter(_KNOWN).select("word", "depth", *[f"n{c}" for c in range(SIDES)], seen.cast("int").alias("sides"))
 
 
-def train(places: DataFrame) -> Mixer:
-    """The model from (word, n, part, number), dealt by prefix and sorted. Every task learns online; weights are averaged by mass."""
-    mixer = Mixer(*_tables(places))
-    release(places.sparkSession)
-    shared = places.sparkSession.sparkContext.broadcast((mixer.zeros, mixer.ones))
-    schema = pa.schema([("i", pa.int32()), ("x", pa.float64()), ("y", pa.float64())])
+def _tables(known: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The hashed tables over all training words. A task's own travel as packed pieces, which are added up one by one."""
+    pieces = ORDERS * (1 << TABLE_BITS) // SLOTS_AT_ONCE
+    schema = pa.schema([("piece", pa.int32()), ("sums", pa.binary())])
 
-    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Mixer(*shared.value)
-        start = own.hits.copy(), own.seen.copy()
-        for group in _groups(batches):
-            if any(group.counts):
-                own.learn(group.known())
-        if own.updates:
-            x = np.concatenate([(own.weights * own.mass[:, None]).ravel(), (own.hits - start[0]).ravel()])
-            y = np.concatenate([np.repeat(own.mass, PREDICTORS), (own.seen - start[1]).ravel()])
-            used = np.flatnonzero(y)
-            yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(x[used]), pa.array(y[used])], schema=schema)
-
-    # GATES x PREDICTORS + 256 x BUCKETS rows at most
-    learnt = places.mapInArrow(learn, "i int, x double, y double").groupBy("i").agg(F.sum("x").alias("x"), F.sum("y").alias("y")).collect()
-    weights, hits, seen = mixer.weights.ravel(), mixer.hits.ravel(), mixer.seen.ravel()
-    for i, x, y in learnt:
-        if i < weights.size:
-            weights[i] = x / y
-        else:
-            hits[i - weights.size] += x
-            seen[i - weights.size] += y
-    return mixer
+    def packed(sums: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for piece, own in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([piece], pa.int32()), pa.array([zstandard.ZstdCompressor(level=1).compress(own.tobytes())], pa.binary())], schema=schema)
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((2, ORDERS, 1 << TABLE_BITS))
+        for words, _ in _groups(batches):
+            count_contexts(words, sums[0], sums[1])
+        by_piece = sums.reshape(2, pieces, -1)
+        yield from packed({i: by_piece[:, i].astype("<f8") for i in range(pieces) if by_piece[:, i].any()})
 
-def score_words(places: DataFrame, mixer: Mixer) -> DataFrame:
-    """(part, words): packed numbers, counts, scores (log10 probabilities, as 4-byte floats) and ends of words for their parts."""
-    shared = places.sparkSession.sparkContext.broadcast(mixer)
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for piece, own in zip(b.column(0).to_pylist(), b.column(1)):
+                one = np.frombuffer(zstandard.ZstdDecompressor().decompress(own.as_py()), "<f8").reshape(2, -1)
+                sums[piece] = sums[piece] + one if piece in sums else one
+        yield from packed(sums)
+
+    out = np.zeros((2, pieces, SLOTS_AT_ONCE), np.float32)
+    summed = known.mapInArrow(count, _ddl(schema)).repartition(pieces, "piece").mapInArrow(add, _ddl(schema))
+    # a fixed bound: 16 bytes for each of ORDERS x 2^TABLE_BITS slots, a piece at a time
+    for row in summed.toLocalIterator():
+        out[:, row["piece"]] += np.frombuffer(zstandard.ZstdDecompressor().decompress(row["sums"]), "<f8").reshape(2, -1)
+    return tuple(out.reshape(2, ORDERS, -1))
+
+
+def train(vocabulary: DataFrame) -> tuple[Mixer, Tables]:
+    """The model from the vocabulary. Every task learns online; weights are averaged by their curvature."""
+    spark, known = vocabulary.sparkSession, _known(vocabulary)
+    zeros, ones = _tables(known)
+    release(spark)
+    shared = spark.sparkContext.broadcast(Tables(zeros, ones, True))
+    schema = pa.schema([("i", pa.int32()), ("x", pa.float64())])
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Mixer()
+        start = own.hits.copy(), own.seen.copy()
+        for words, _ in _groups(batches):
+            own.learn(shared.value, words)
+        yield from learnt_by(own, start)
+
+    def learnt_by(own: Mixer, start: tuple[np.ndarray, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        own.curve -= Mixer().curve
+        x = np.concatenate([own.curve.ravel(), (own.curve @ own.weights[:, :, None]).ravel(), (own.hits - start[0]).ravel(), (own.seen - start[1]).ravel()])
+        used = np.flatnonzero(x)
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(x[used])], schema=schema)
+
+    def learn_heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Mixer()
+        start = own.hits.copy(), own.seen.copy()
+        for words, _ in _groups(batches, True):
+            own.learn(shared.value, words, True)
+        yield from learnt_by(own, start)
+
+    # what words are dealt by, each once: strings of PREFIX bytes, or of more for at most HOT_MOST, which one task can walk
+    head = F.when(F.col("word") == F.lit(END), F.col("word")).otherwise(F.expr("substring(concat(word, cast(' ' as binary)), 1, depth)"))
+    sums = [F.sum(f"n{c}").alias(f"n{c}") for c in range(SIDES)]
+    heads = known.groupBy(head.alias("word")).agg(F.max("depth").alias("depth"), *sums, F.bit_or("sides").alias("sides"))
+    heads = heads.select(*known.columns).repartition(1).sortWithinPartitions("word").mapInArrow(learn_heads, _ddl(schema))
+    # GATES x PREDICTORS x (PREDICTORS + 1) + 2 x 256 x BUCKETS rows at most
+    learnt = known.mapInArrow(learn, _ddl(schema)).union(heads).groupBy("i").agg(F.sum("x").alias("x")).collect()
+    shared.unpersist()
+    mixer = Mixer()
+    sums = np.zeros(GATES * PREDICTORS * (PREDICTORS + 1) + 512 * BUCKETS)
+    for i, x in learnt:
+        sums[i] = x
+    curve, pull, hits, seen = np.split(sums, np.cumsum([GATES * PREDICTORS ** 2, GATES * PREDICTORS, 256 * BUCKETS]))
+    # tasks count by what they have seen, the starting weights by CAUTION
+    whole = curve.reshape(GATES, PREDICTORS, PREDICTORS) + mixer.curve
+    pulled = pull.reshape(GATES, PREDICTORS, 1) + mixer.curve @ mixer.weights[:, :, None]
+    mixer.weights = np.linalg.solve(whole, pulled)[:, :, 0]
+    mixer.hits += hits.reshape(256, -1)
+    mixer.seen += seen.reshape(256, -1)
+    return mixer, Tables(zeros, ones, False)
+
+
+def score_words(vocabulary: DataFrame, model: tuple[Mixer, Tables]) -> DataFrame:
+    """(part, words): packed numbers, counts, marks and scores (log10 probabilities, as 4-byte floats) of words for their parts."""
+    shared = vocabulary.sparkSession.sparkContext.broadcast(model)
     schema = pa.schema([("part", pa.int64()), ("words", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _groups(batches):
-            score = shared.value.score(Words(group.words, np.array(group.counts, np.float64)), len(group.words)).astype("<f4")
-            count = np.array(group.counts, np.int64)
-            ends = np.fromiter((w[-1] in PHRASE_ENDS for w in group.words), np.uint8, len(group.words))
-            at, part, number = (np.concatenate(x) for x in zip(*group.places))
+        mixer, tables = shared.value
+        for words, table in _groups(batches):
+            score = mixer.score(tables, words).astype("<f4")
+            count = words.counts.sum(axis=1).astype(np.int64)
+            own = table.column("word").to_pylist()
+            marks = _marks(own, np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in own), np.uint64, len(own)))
+            marks = (marks | words.sides << 3).astype(np.uint8)
+            lists = table.column("parts").combine_chunks()
+            at = np.repeat(np.arange(len(own)), pc.list_value_length(lists).to_numpy())
+            part, number = lists.flatten().to_numpy(), table.column("numbers").combine_chunks().flatten().to_numpy()
             order = np.lexsort((number, part))
-            cuts = np.flatnonzero(np.diff(part[order])) + 1
-            rows = np.split(order, cuts)
-            packed = [_squeeze(number[r], count[at[r]], score[at[r]], ends[at[r]]) for r in rows]
+            rows = np.split(order, np.flatnonzero(np.diff(part[order])) + 1)
+            packed = [_squeeze(number[r], count[at[r]], marks[at[r]], score[at[r]]) for r in rows]
             yield pa.RecordBatch.from_arrays([pa.array(part[[r[0] for r in rows]]), pa.array(packed, pa.binary())], schema=schema)
 
-    return places.mapInArrow(run, "part long, words binary")
+    return vocabulary.select("word", "depth", *[f"n{c}" for c in range(SIDES)], "sides", "parts", "numbers").mapInArrow(run, _ddl(schema))
+
+
+def _planes(column: np.ndarray) -> bytes:
+    return np.ascontiguousarray(column).view(np.uint8).reshape(len(column), -1).T.tobytes()
 
 
-def _squeeze(number: np.ndarray, count: np.ndarray, score: np.ndarray, ends: np.ndarray) -> bytes:
-    columns = (np.diff(number, prepend=0).astype("<u4"), count.astype("<u8"), score)
-    raw = b"".join(np.ascontiguousarray(c).view(np.uint8).reshape(len(c), -1).T.tobytes() for c in columns) + ends.tobytes()
-    return zstandard.ZstdCompressor(level=3).compress(raw)
+def _squeeze(number: np.ndarray, count: np.ndarray, marks: np.ndarray, score: np.ndarray) -> bytes:
+    """Columns of words, compressed; of the scores those for the sides that a word has been met with."""
+    met = (marks[:, None] >> 3 >> np.arange(SIDES)) & 1 > 0
+    raw = len(number).to_bytes(8, "little") + _planes(np.diff(number, prepend=0).astype("<u4")) + _planes(count.astype("<u8")) + marks.tobytes() + _planes(score[met])
+    return zstandard.ZstdCompressor(level=1).compress(raw)
 
 
 def _unsqueeze(packed: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8)
-    n, out, at = len(raw) // 17, [], 0
-    for kind, width in (("<u4", 4), ("<u8", 8), ("<f4", 4)):
-        out.append(np.ascontiguousarray(raw[at:at + width * n].reshape(width, n).T).view(kind).ravel())
-        at += width * n
-    return np.cumsum(out[0].astype(np.int64)), out[1].astype(np.int64), out[2].astype(np.float64), raw[at:] == 1
+    raw = zstandard.ZstdDecompressor().decompress(packed)
+    n, raw = int.from_bytes(raw[:8], "little"), np.frombuffer(raw, np.uint8, offset=8)
+
+    def column(start: int, rows: int, kind: str, width: int) -> np.ndarray:
+        return np.ascontiguousarray(raw[start:start + width * rows].reshape(width, rows).T).view(kind).ravel()
+
+    number, count, marks = column(0, n, "<u4", 4), column(4 * n, n, "<u8", 8), raw[12 * n:13 * n]
+    met = (marks[:, None] >> 3 >> np.arange(SIDES)) & 1 > 0
+    score = np.zeros((n, SIDES), np.float32)
+    score[met] = column(13 * n, int(met.sum()), "<f4", 4)
+    return np.cumsum(number.astype(np.int64)), count.astype(np.int64), marks, score
 
 
-_RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+_RESULT = pa.schema([
+    ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
+    ("base_score", pa.float64()), ("score", pa.float64()), ("bits_per_byte", pa.float64()),
+])
 
 
 def score_texts(docs: DataFrame) -> DataFrame:
-    """One row per row of docs (doc_id, held_out, text): counts, base score and the model's log10 probability."""
+    """One row per row of docs (doc_id, held_out, text): counts, base score, the model's log10 probability and bits per byte."""
     spark = docs.sparkSession
-    parts = materialise(to_parts(docs), "lm-parts", "zstd")
-    words = parts.filter("word is not null").select("word", "n", "part", "number")
-    total = words.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    # one row group a file: a task reads whole prefixes, in order
-    places = materialise(words.repartition(F.substring("word", 1, PREFIX)).sortWithinPartitions("word"), "lm-words", "zstd", **{"parquet.block.size": str(1 << 30)})
+    parts = materialise(to_parts(docs.select("doc_id", "held_out", "text")), "lm-parts", "zstd")
+    every = sum((F.col(f"n{c}") for c in range(SIDES)), F.lit(0))
+    rows, total, n_phrases = parts.agg(F.count("word"), F.coalesce(F.sum(every), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    words = vocabulary(parts, rows)
     release(spark)
-    distinct = places.filter("n > 0").mapInArrow(_changes, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    distinct = words.filter(_KNOWN).count()
     # dealt by phrase once: the counts and what they are joined back to share that exchange
     seen = parts.filter("phrase is not null").select("part", "number", "phrase", "n", "met").repartition("phrase")
-    n_phrases = parts.filter("phrase is not null").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     counted = seen.groupBy("phrase").agg(F.sum("n").alias("c"), F.sum("met").alias("met")).filter("c >= 1 and met >= 2").select("phrase", "c")
     of_phrases = seen.select("part", "number", "phrase").join(counted, "phrase").select("part", F.lit(None).cast("binary").alias("words"), "number", "c")
-    of_words = score_words(places, train(places)).select("part", "words", F.lit(None).cast("long").alias("number"), F.lit(None).cast("long").alias("c"))
+    of_words = score_words(words, train(words)).select("part", "words", F.lit(None).cast("int").alias("number"), F.lit(None).cast("long").alias("c"))
     release(spark)
-    known = of_words.union(of_phrases)
-    texts = parts.filter("seq is not null").select("part", "doc_id", "held_out", "n_tokens", "seq", "phrases")
+    known = of_words.union(of_phrases).withColumnRenamed("part", "own")
+    texts = parts.filter("seq is not null").select("part", "doc_id", "held_out", "n_tokens", "n_bytes", "seq", "phrases")
 
     def add_up(docs: pa.Table, known: pa.Table) -> pa.Table:
-        number, c, score, ends = (np.concatenate(x) for x in zip(*(_unsqueeze(x.as_py()) for x in known.column("words") if x.is_valid)))
-        order = np.argsort(number)
-        c, score, ends = c[order], score[order], ends[order]
-        base = np.log10((c + 0.1) / (total + 0.1 * (distinct + 1)))
-        copied = known.filter(known.column("number").is_valid())
-        known_numbers = copied.column("number").to_numpy()
-        times = np.zeros(int(known_numbers.max(initial=-1)) + 2, np.int64)  # the last stands for all others
-        times[known_numbers] = copied.column("c").to_numpy()
-        n_known, base_score, model_score = [], [], []
-        for seq, own, held in zip(docs.column("seq"), docs.column("phrases"), docs.column("held_out")):
-            ids, numbers = _unpack(seq.as_py()), np.cumsum(_unpack(own.as_py()).astype(np.int32), dtype=np.int64)
-            count = np.maximum(times[np.minimum(numbers, len(times) - 1)] - (not held.as_py()), 0)
-            n_known.append(int((c[ids] > 0).sum()))
-            base_score.append(float(base[ids].sum()))
-            model_score.append(float(score[ids[-1]] + phrase_scores(ids[:-1], score, ends, count, n_phrases).sum()))
-        columns = [docs.column("doc_id"), docs.column("held_out"), docs.column("n_tokens"), pa.array(n_known, pa.int64()), pa.array(base_score, pa.float64()), pa.array(model_score, pa.float64())]
-        return pa.table(columns, names=[f.split()[0] for f in _RESULT.split(", ")])
-
-    known = known.withColumnRenamed("part", "own")
-    scored_texts = texts.groupBy("part").cogroup(known.groupBy("own")).applyInArrow(add_up, _RESULT)
-    return scored_texts.withColumn("train_tokens", F.lit(int(total)).cast("long"))
-
-
-def _changes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How many different words the sorted rows of a task hold."""
-    n, last = 0, None
-    for b in batches:
-        words = b.column("word")
-        if len(words):
-            n += len(_firsts(words)) - (words[0] == last)
-            last = words[-1]
-    yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
+        return _add_up(docs, known, total, distinct, n_phrases)
 
+    scored_texts = texts.groupBy("part").cogroup(known.groupBy("own")).applyInArrow(add_up, _ddl(_RESULT))
+    return scored_texts.withColumn("train_tokens", F.lit(int(total)).cast("long"))
 
-def phrase_scores(ids, score, ends, count, total: int) -> np.ndarray:
-    """log10 probability of each phrase: its words', mixed with that of copying it from those seen in training.
 
-    count: how often training has seen each phrase of the text, of total.
+def _add_up(docs: pa.Table, known: pa.Table, total: int, distinct: int, n_phrases: int) -> pa.Table:
+    """Rows of the result for the documents of a part, from what is known of its words and phrases."""
+    number, c, marks, score = (np.concatenate(x) for x in zip(*(_unsqueeze(x.as_py()) for x in known.column("words") if x.is_valid)))
+    order = np.argsort(number)
+    c, marks, score = c[order], marks[order], score[order].astype(np.float64)
+    ends, side, cuts = marks & 1 > 0, marks & 3, marks & 4 > 0
+    base = np.log10((c + 0.1) / (total + 0.1 * (distinct + 1)))
+    copied = known.filter(known.column("number").is_valid())
+    known_numbers = copied.column("number").to_numpy()
+    times = np.zeros(int(known_numbers.max(initial=-1)) + 2, np.int64)  # the last stands for all others
+    times[known_numbers] = copied.column("c").to_numpy()
+    n_known, base_score, last, by_words, counts = [], [], [], [], []
+    for seq, own, held in zip(docs.column("seq"), docs.column("phrases"), docs.column("held_out")):
+        ids, numbers = _unpack(seq.as_py()), np.cumsum(_unpack(own.as_py()).astype(np.int32), dtype=np.int64)
+        count = times[np.minimum(numbers, len(times) - 1)]
+        if not held.as_py() and len(numbers):  # a training text's own occurrences are left out
+            _, place, again = np.unique(numbers, return_inverse=True, return_counts=True)
+            count = np.maximum(count - again[place], 0)
+        n_known.append(int((c[ids] > 0).sum()))
+        base_score.append(float(base[ids].sum()))
+        scores = score[ids, sides(ids, side)]
+        last.append(float(scores[-1]))
+        starts = phrase_starts(ids[:-1], ends, cuts)
+        by_words.append(np.add.reduceat(scores[:-1], starts) if len(starts) else np.zeros(0))
+        counts.append(count)
+    model = np.array(last) + copy_scores(by_words, counts, n_phrases)
+    bits = -model * math.log2(10) / np.maximum(docs.column("n_bytes").to_numpy(), 1)
+    return pa.table([docs.column("doc_id"), docs.column("held_out"), docs.column("n_tokens"), pa.array(n_known, pa.int64()), pa.array(base_score, pa.float64()), pa.array(model), pa.array(bits)], schema=_RESULT)
+
+
+#: Contexts of the bit "this phrase is a copy": all before; the run of like ones (up to 7, by kind); the last four.
+_RUNS, _LAST = 16, 16
+COPY_CONTEXTS = 1 + _RUNS + _LAST
+COPY_RATE, COPY_FADE = 0.02, 0.95
+
+
+def copy_scores(by_words: list[np.ndarray], counts: list[np.ndarray], total: int) -> np.ndarray:
+    """log10 probability of each text's phrases: by words or as a copy of one of the total phrases of training.
+
+    by_words, counts: for each text, its phrases' log10 probabilities by words and how often training has them elsewhere.
+    The weight of copying is one bit predictor more: counts in three contexts along the text, mixed by gated weights that
+    learn online. Texts advance together, phrase by phrase; each has a state of its own.
     """
-    starts = phrase_starts(ids, ends)[0]
-    if not len(starts):
-        return np.zeros(0)
-    by_words = np.add.reduceat(score[ids], starts)
-    weight, hits, met = np.empty(len(starts)), 0.5 * AGAIN, 0.5
-    for i, known in enumerate((count > 0).tolist()):
-        weight[i] = hits / met
-        hits, met = FADE * hits + known + (1 - FADE) * 0.1 * AGAIN, FADE * met + 1 + (1 - FADE) * 0.1
-    weight = np.clip(weight, 0.002, 0.998)
-    copy = np.where(count > 0, np.log(np.maximum(count, 1) * weight / max(total, 1)), -np.inf)
-    return np.logaddexp(by_words * np.log(10) + np.log(1 - weight), copy) / np.log(10)
+    sizes = np.fromiter(map(len, by_words), np.int64, len(by_words))
+    order = np.argsort(-sizes, kind="stable")
+    out, n = np.zeros(len(sizes)), len(sizes)
+    prior = math.log(AGAIN / (1 - AGAIN))
+    hits, seen = np.full((n, COPY_CONTEXTS), 0.5 * AGAIN), np.full((n, COPY_CONTEXTS), 0.5)
+    weights = np.full((n, 4, 3), 0.4)
+    run, last = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    starts = np.concatenate([[0], np.cumsum(sizes)])[order]
+    words, count = (np.concatenate(x) if x else np.zeros(0) for x in (by_words, counts))
+    falling, alive = -sizes[order], n
+    for t in range(int(sizes.max(initial=0))):
+        alive = int(np.searchsorted(falling[:alive], -t))  # texts with more than t phrases
+        rows = np.arange(alive)
+        at = starts[:alive] + t
+        bit = (count[at] > 0).astype(np.float64)
+        where = np.stack([np.zeros(alive, np.int64), 1 + run[:alive], 1 + _RUNS + last[:alive]], axis=1)
+        h, s = hits[rows[:, None], where], seen[rows[:, None], where]
+        odds = np.clip(np.log(h / (s - h)), -REACH, REACH)
+        gate = np.full(alive, min(t.bit_length(), 3))
+        w = weights[rows, gate]
+        mixed = prior * (1 - w.sum(axis=1)) + (w * odds).sum(axis=1)
+        chance = np.clip(_squash(mixed), 0.002, 0.998)
+        weights[rows, gate] = w + COPY_RATE * (bit - chance)[:, None] * (odds - prior)
+        hits[rows[:, None], where] = COPY_FADE * h + bit[:, None] + (1 - COPY_FADE) * 0.5 * AGAIN
+        seen[rows[:, None], where] = COPY_FADE * s + 1 + (1 - COPY_FADE) * 0.5
+        kind = run[:alive] >= 8
+        run[:alive] = np.where(bit == kind, np.minimum(run[:alive] % 8 + 1, 7), 0) + 8 * bit.astype(np.int64)
+        last[:alive] = (last[:alive] << 1 | bit.astype(np.int64)) & (_LAST - 1)
+        copy = np.where(bit > 0, np.log(np.maximum(count[at], 1) * chance / max(total, 1)), -np.inf)
+        out[order[:alive]] += np.logaddexp(words[at] * math.log(10) + np.log(1 - chance), copy) / math.log(10)
+    return out
 
 
 def op1_lm_score(spark, sf_dir) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     scored = score_texts(docs.select("doc_id", (remainder(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"), "text"))
-    return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")

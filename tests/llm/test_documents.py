@@ -172,7 +172,7 @@ def lm(spark, rows):
 
 def test_language_model_base_and_gain(spark):
     rng = random.Random(3)
-    rows = [r for r in corpus() if r[0] != 1003] + [(8000 + i, " ".join(rng.choice(SENTENCES) for _ in range(12)), "en", "a", 1) for i in range(60)]
+    rows = corpus() + [(1006, "y" * 70_000 + " x", "en", "a", 1)] + [(8000 + i, " ".join(rng.choice(SENTENCES) for _ in range(12)), "en", "a", 1) for i in range(60)]
     tokens = {i: [w for w in re.findall(r"[^\x20\x09-\x0D]+", low(t))] + ["\n"] for i, (_, t, *_) in enumerate(rows)}
     held = {i: zlib.crc32(str(r[0] if r[0] is not None else "").encode()) % 10 == 0 for i, r in enumerate(rows)}
     c = Counter(w for i, ws in tokens.items() if not held[i] for w in ws)
@@ -185,18 +185,70 @@ def test_language_model_base_and_gain(spark):
     assert sum(r["score"] for r in out) > sum(r["base_score"] for r in out)
 
 
-def test_words_of_the_model_are_a_distribution():
-    words = sorted([b"aa", b"ab", b"abc", b"zebra", lm_scoring.END])
+def model_of(words, counts, depth=lm_scoring.PREFIX):
+    """A mixer, its tables and the words, learnt from counts by word (or by word and side)."""
     import numpy as np
 
-    zeros, ones = np.zeros((lm_scoring.ORDERS, 1 << lm_scoring.TABLE_BITS)), np.zeros((lm_scoring.ORDERS, 1 << lm_scoring.TABLE_BITS))
-    learnt = lm_scoring.Words(words, np.array([{b"aa": 5, b"ab": 1, b"abc": 3, b"zebra": 0, lm_scoring.END: 2}[w] for w in words]))
+    counts = np.array([c if isinstance(c, list) else [0, c, 0, 0] for c in counts], float)
+    every, n = np.full(len(words), 15), len(words)
+    learnt = lm_scoring.Words(words, counts, (counts > 0) @ (1 << np.arange(4)), np.full(n, depth))
+    zeros, ones = np.zeros((2, lm_scoring.ORDERS, 1 << lm_scoring.TABLE_BITS))
     lm_scoring.count_contexts(learnt, zeros, ones)
-    mixer = lm_scoring.Mixer(zeros, ones)
-    mixer.learn(learnt)
-    scores = mixer.score(learnt, len(words))
-    assert (scores < 0).all() and (10.0 ** scores).sum() <= 1 + 1e-9
-    assert scores[words.index(b"aa")] > scores[words.index(b"zebra")]
+    mixer = lm_scoring.Mixer()
+    mixer.learn(lm_scoring.Tables(zeros, ones, True), learnt)
+    return mixer, lm_scoring.Tables(zeros, ones, False), lm_scoring.Words(words, counts, every, np.full(n, depth))
+
+
+def test_words_of_the_model_are_a_distribution():
+    words = sorted([b"aa", b"ab", b"abc", b"zebra", b"q" * 120, b"abcdefghij", b"abcdefghik", lm_scoring.END])
+    counts = {b"aa": 5, b"ab": [4, 0, 0, 1], b"abc": 3, b"zebra": 0, b"abcdefghij": [9, 0, 1, 0], lm_scoring.END: 2}
+    mixer, tables, shown = model_of(words, [counts.get(w, 0) for w in words])
+    scores = mixer.score(tables, shown)
+    assert (scores < 0).all() and ((10.0 ** scores).sum(axis=0) <= 1 + 1e-9).all()
+    at = words.index
+    assert scores[at(b"aa"), 1] > scores[at(b"zebra"), 1] and scores[at(b"abcdefghij"), 0] > scores[at(b"abcdefghik"), 0]
+    assert scores[at(b"q" * 120), 1] < scores[at(b"zebra"), 1]
+    assert scores[at(b"ab"), 0] > scores[at(b"ab"), 2]  # what stands before a word counts
+
+
+def test_trie_gives_each_word_what_it_has_alone():
+    """A prefix that words share is worked out once; walking every word by itself gives the same numbers."""
+    import numpy as np
+
+    rng = random.Random(11)
+    words = sorted({"".join(rng.choice("abcé") for _ in range(rng.randrange(1, 70))).encode() for _ in range(300)} | {b"a\x00", b"a\x01b", lm_scoring.END})
+    counts = [rng.randrange(4) for _ in words]
+    mixer, tables, shown = model_of(words, counts)
+    both = mixer.score(tables, shown)
+    for i in range(0, len(words), 17):
+        prefix = [j for j, w in enumerate(words) if w[:lm_scoring.PREFIX] == words[i][:lm_scoring.PREFIX] or j == i]
+        own = lm_scoring.Words([words[j] for j in prefix], shown.counts[prefix], shown.sides[prefix], shown.depth[prefix])
+        assert np.allclose(mixer.score(tables, own)[prefix.index(i)], both[i])
+
+
+def test_copy_weights_are_probabilities_and_follow_the_text():
+    import numpy as np
+
+    by_words = [np.full(40, -30.0), np.full(40, -30.0), np.zeros(0), np.full(3, -2.0)]
+    counts = [np.ones(40, int), np.zeros(40, int), np.zeros(0, int), np.array([1, 0, 2])]
+    copied, fresh, none, short = lm_scoring.copy_scores(by_words, counts, 1000)
+    assert none == 0 and copied > 40 * -3.3 and 40 * -30.5 < fresh < 40 * -30 and short < 0
+    # a text's score doesn't depend on the texts beside it
+    assert np.isclose(copied, lm_scoring.copy_scores(by_words[:1], counts[:1], 1000)[0])
+
+
+def test_phrases_meet_again_at_other_offsets():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    hashes = rng.integers(0, 1 << 63, 500, np.int64).astype(np.uint64)
+    ends, cuts = np.zeros(500, bool), hashes & np.uint64(7) == 0
+    ids = rng.integers(0, 500, 400)
+    a = lm_scoring.phrases(ids, ends, cuts, hashes)
+    b = lm_scoring.phrases(np.concatenate([rng.integers(0, 500, 13), ids]), ends, cuts, hashes)
+    assert len(set(a.tolist()) & set(b.tolist())) > len(a) / 2
+    starts = lm_scoring.phrase_starts(ids, ends, cuts)
+    assert (np.diff(np.append(starts, len(ids))) <= lm_scoring.PHRASE).all() and starts[0] == 0
 
 
 def test_language_model_without_rows(spark):
