@@ -1,19 +1,20 @@
 """WARC archives as a chunked record table.
 
-A page's payload becomes rows (record, chunk number) of at most CHUNK_BYTES bytes before anything is put together, so no
-task builds a whole record. Each row is one WARC 1.1 record: the first holds the HTTP head, further ones are the
+A page's payload becomes rows (record, chunk number) of at most CHUNK_BYTES bytes: a generator hands them on one at a time, feeds
+each to an incremental SHA-256, and every row carries the digest of the payload up to its end, so the last one has that of the
+whole and no task copies a whole record. Each row is one WARC 1.1 record: the first holds the HTTP head, further ones are the
 standard's continuation segments, so the rows written as gzipped text files are proper archives. Reading streams the
 records of a file in order, feeds each chunk to an incremental SHA-256, and checks it against the payload digest.
 
 Payloads are deduplicated by digest: of equal payloads of at least DEDUP_BYTES bytes the smallest page_id is the response
-and the others are revisit records without payload. Only (page_id, digest) rows are shuffled to find them, pre-aggregated
-by digest; a digest that a third of the pages share is spread over salts.
+and the others are revisit records without payload. Only (record, page_id, digest) rows are shuffled to find them, pre-aggregated
+by digest; the at most HOT_MOST digests that more than a share of the pages have are broadcast, the others joined by digest.
 
 A payload is cut inside any "WARC/1.1" line that it holds, so the reader's record separator cannot occur in a block.
 
 Defined cases: a null html is an empty payload; pages whose page_id ties for the smallest of a digest are all responses;
-a null page_id is never referred to (if all are null, all are responses); control characters in a url are dropped;
-an empty table writes and reads back an empty archive.
+a null page_id is never referred to (if all are null, all are responses); repeated rows are records of their own; control characters in
+a url are dropped; columns other than page_id, url and html are not read; an empty table writes and reads back an empty archive.
 """
 
 from __future__ import annotations
@@ -22,7 +23,9 @@ import hashlib
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,7 +33,10 @@ from .common import materialise, shared_dir
 
 CHUNK_BYTES = 64 * 1024
 DEDUP_BYTES = 100
-SALTS = 16
+#: A digest of more than this many pages, and than a share of all, is broadcast: at most HOT_MOST of them.
+HOT_PAGES, HOT_MOST = 10_000, 1_000
+#: Bytes of chunks that are handed on together.
+BATCH_BYTES = 4 << 20
 VERSION = "WARC/1.1"
 SEPARATOR = f"\r\n\r\n{VERSION}\r\n"
 DATE = "1970-01-01T00:00:00Z"
@@ -38,28 +44,66 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
 def revisits(digests: DataFrame) -> DataFrame:
-    """From (page_id, digest, size): rows (page_id, digest, refers_to) of the pages that revisit another."""
-    large = digests.filter(F.col("size") >= DEDUP_BYTES)
-    shared = large.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1 and first is not null").drop("n")
-    shared = shared.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = large.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int"))
-    found = salted.join(shared, ["digest", "salt"]).filter(~F.col("page_id").eqNullSafe(F.col("first")))
-    return found.select("page_id", "digest", F.col("first").alias("refers_to")).distinct()
+    """From (record, page_id, digest, size): rows (record, refers_to) of the records that revisit another page."""
+    large = digests.filter(F.col("size") >= DEDUP_BYTES).select("record", "page_id", "digest")
+    shared = large.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1 and first is not null")
+    shared = materialise(shared, "digests")
+    most = max(HOT_PAGES, digests.count() // HOT_MOST)
+    hot = F.broadcast(shared.filter(F.col("n") > most).drop("n"))  # at most HOT_MOST rows
+    rest = shared.filter(F.col("n") <= most).drop("n")
+    found = large.join(hot, "digest").unionByName(large.join(hot, "digest", "left_anti").join(rest, "digest"))
+    return found.filter(~F.col("page_id").eqNullSafe(F.col("first"))).select("record", F.col("first").alias("refers_to"))
+
+
+def _pieces(payload: memoryview) -> Iterator[bytes]:
+    """The payload in order, in pieces of at most CHUNK_BYTES that hold no record's first line; one empty piece if it is empty."""
+    at, marker = 0, f"{VERSION}\r\n".encode()
+    while True:
+        piece = bytes(payload[at:at + CHUNK_BYTES])
+        inside = piece.find(marker)
+        if inside >= 0:
+            piece = piece[:inside + 4]
+        yield piece
+        at += len(piece)
+        if at >= len(payload):
+            return
+
+
+_CHUNKS = pa.schema([
+    ("record", pa.int64()), ("page_id", pa.int64()), ("url", pa.string()), ("chunk", pa.int32()), ("last", pa.bool_()),
+    ("size", pa.int64()), ("digest", pa.string()), ("data", pa.binary()),
+])
 
 
-def chunk_table(records: DataFrame) -> DataFrame:
-    """records (…, payload string) with one row per chunk: chunk (from 0), chunks and data (binary); none for an empty payload but one row."""
-    marker = f"{VERSION}\r\n"
-    pieces = F.when(F.col("payload").contains(marker), F.split("payload", r"(?<=WARC)(?=/1\.1\r\n)")).otherwise(F.array("payload"))
+def chunk_table(pages: DataFrame) -> DataFrame:
+    """From (page_id, url, html) a row per chunk: record (a number of its own), chunk from 0, and size and digest of the payload so far.
 
-    def cut(piece):
-        raw = piece.cast("binary")
-        last = F.greatest(F.ceil(F.length(raw) / CHUNK_BYTES), F.lit(1)).cast("int") - 1
-        return F.transform(F.sequence(F.lit(0), last), lambda i: F.substring(raw, i * CHUNK_BYTES + 1, F.lit(CHUNK_BYTES)))
+    Records are numbered by task, so the result must be materialised before it is used twice.
+    """
 
-    parts = records.withColumn("parts", F.flatten(F.transform(pieces, cut))).drop("payload")
-    rows = parts.withColumn("chunks", F.size("parts")).select("*", F.posexplode("parts").alias("chunk", "data"))
-    return rows.drop("parts")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        record, rows, held = TaskContext.get().partitionId() << 33, [], 0
+        for b in batches:
+            text = b.column("html")
+            text = text.cast(pa.large_binary())
+            ends, data = np.frombuffer(text.buffers()[1], np.int64, len(text) + 1, text.offset * 8), text.buffers()[2]
+            view = memoryview(data if data is not None else b"")
+            for i, (page_id, url) in enumerate(zip(b.column("page_id").to_pylist(), b.column("url").to_pylist())):
+                payload = view[ends[i]:ends[i + 1]]
+                sha, size = hashlib.sha256(), 0
+                for chunk, piece in enumerate(_pieces(payload)):
+                    sha.update(piece)
+                    size += len(piece)
+                    rows.append((record, page_id, url, chunk, size == len(payload), size, sha.hexdigest(), piece))
+                    held += len(piece) + 200
+                    if held >= BATCH_BYTES:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _CHUNKS)], schema=_CHUNKS)
+                        rows, held = [], 0
+                record += 1
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _CHUNKS)], schema=_CHUNKS)
+
+    return pages.select("page_id", "url", "html").mapInArrow(run, "record long, page_id long, url string, chunk int, last boolean, size long, digest string, data binary")
 
 
 def _record_rows(chunks: DataFrame) -> DataFrame:
@@ -96,13 +140,15 @@ def _record_rows(chunks: DataFrame) -> DataFrame:
 
 def write_archives(pages: DataFrame, path: str) -> None:
     """Write a WARC record for each row of pages (page_id, url, html) to gzipped archives under path."""
-    records = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("payload"))
-    records = records.withColumns({"digest": F.sha2(F.col("payload").cast("binary"), 256), "size": F.octet_length("payload").cast("long")})
-    again = materialise(revisits(records.select("page_id", "digest", "size")), "revisits")
-    on = records["page_id"].eqNullSafe(again["page_id"]) & (records["digest"] == again["digest"])
-    typed = records.join(again, on, "left").select(records["*"], "refers_to")
-    body = typed.withColumn("payload", F.when(F.col("refers_to").isNull(), F.col("payload")).otherwise(F.lit("")))
-    _record_rows(chunk_table(body)).write.option("lineSep", "\r\n").option("compression", "gzip").text(path)
+    chunks = materialise(chunk_table(pages), "chunks")
+    whole = chunks.filter("last").select("record", "page_id", "digest", "size", (F.col("chunk") + 1).alias("chunks"))
+    typed = whole.join(materialise(revisits(whole), "revisits"), "record", "left").drop("page_id")
+    # dealt by record once, which the join keeps: a record's chunks are one task's, in order
+    dealt = chunks.drop("last", "size", "digest").repartition("record")
+    rows = dealt.join(typed, "record").filter("chunk = 0 or refers_to is null")
+    again = F.col("refers_to").isNotNull()
+    rows = rows.withColumns({"data": F.when(again, F.lit(b"")).otherwise(F.col("data")), "chunks": F.when(again, 1).otherwise(F.col("chunks"))})
+    _record_rows(rows.sortWithinPartitions("record", "chunk")).write.option("lineSep", "\r\n").option("compression", "gzip").text(path)
 
 
 def _fields(head: bytes) -> dict[str, str]:
