@@ -2,30 +2,38 @@
 
 Byte-pair tokens of a prefix follow from those of shorter prefixes: the last token of the prefix ending at i is the
 one token t ending there whose pairing with the last token of the prefix before it would stay as it is if the pair
-were encoded alone. So one pass over a piece of text stores the exact count for each of its prefixes, and
-truncation or budget questions need no encoding. Pieces (what the pre-tokeniser splits a text into) repeat a lot;
-each worker remembers their counts, up to CACHE_PIECES of them.
-
-Defined cases: null counts as the empty text (0 tokens); strings of special tokens in a text count as those tokens,
-as the library does by default; pieces of any length take time linear in it.
+were encoded alone. So one pass over a piece of text (what the pre-tokeniser splits it into) stores the exact count for each of
+its prefixes. Pieces repeat a lot; each worker keeps their stored counts, up to CACHE_PIECES of them.
+
+`prefix_table` puts the pieces together into the count at every prefix of a text; truncation (`truncated`, `kept_chars`) and budgets are
+answered from stored counts and encode nothing again. A prefix may end where the pre-tokeniser would split it otherwise than the whole
+text: trailing white space is one piece, a contraction may be cut short, and part of a special token is plain text. Each has
+its own rule in `_cuts`. Counts need not grow with the prefix, so the longest prefix within a budget is the last one, not
+the one before the first that passes it.
+
+Defined cases: null counts as the empty text (0 tokens), and truncated it stays null; strings of special tokens in a text count as
+those tokens, as the library does by default; pieces of any length take time linear in it; repeated rows count alike; an empty table gives
+an empty result; only the named column is read.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 LIMIT = 1024
-#: Bound on a worker's remembered pieces, each of at most CACHE_BYTES.
-CACHE_PIECES, CACHE_BYTES = 400_000, 64
+#: Bound on a worker's remembered pieces, each of at most CACHE_CHARS.
+CACHE_PIECES, CACHE_CHARS = 400_000, 32
 
+#: Pieces of three letters that the pre-tokeniser splits if they are cut short.
+CONTRACTIONS = ("'re", "'ve", "'ll")
 #: How the byte-level pre-tokeniser splits text (fixed value of the vocabulary's format).
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -44,20 +52,31 @@ def _byte_letters() -> dict[str, int]:
 
 
 class _Totals(dict):
-    """Token count by piece, worked out on first sight."""
+    """Token count by piece, worked out on first sight; what its prefixes count is kept beside it."""
 
     def __init__(self, counter: PrefixCounter):
         super().__init__()
         self.counter = counter
+        self.prefixes: dict[str, list[int]] = {}
 
     def __missing__(self, piece: str) -> int:
-        raw = piece.encode("utf-8", "surrogatepass")
-        n = self.counter.prefix_counts(raw)[-1]
-        if len(raw) <= CACHE_BYTES:
+        counts = self.counter.char_counts(piece)
+        if len(piece) <= CACHE_CHARS:
             if len(self) >= CACHE_PIECES:
                 self.clear()
-            self[piece] = n
-        return n
+                self.prefixes.clear()
+            self[piece] = counts[-1]
+            self.prefixes[piece] = array("H", counts)
+        return counts[-1]
+
+    def stored(self, piece: str) -> list[int]:
+        """Counts of the piece's prefixes, by characters."""
+        known = self.prefixes.get(piece)
+        if known is None:
+            if self[piece] >= 0 and piece in self.prefixes:
+                return self.prefixes[piece]
+            known = self.counter.char_counts(piece)
+        return known
 
 
 class PrefixCounter:
@@ -127,6 +146,17 @@ class PrefixCounter:
                         break
         return counts
 
+    def char_counts(self, piece: str) -> list[int]:
+        """counts[i]: tokens of the first i characters of one piece."""
+        counts = self.prefix_counts(piece.encode("utf-8", "surrogatepass"))
+        if piece.isascii():
+            return counts
+        out, size = [0], 0
+        for c in piece:
+            size += 1 if c < "\x80" else 2 if c < "\u0800" else 3 if c < "\U00010000" else 4
+            out.append(counts[size])
+        return out
+
     def parts(self, text: str) -> tuple[list[str], int]:
         """The text between special tokens, and how many of those it holds."""
         if self.special is None or not any(s in text for s in self.special_texts):
@@ -140,42 +170,60 @@ class PrefixCounter:
         total = self.totals.__getitem__
         return n + sum(sum(map(total, self.split(p))) for p in parts)
 
-    def table(self, text: str | None) -> tuple[list[int], list[int]]:
-        """For each piece of the text: where it ends, in characters, and the tokens up to there."""
-        ends, counts, at, total = [], [], 0, 0
-        for kind, piece in self._pieces(text or ""):
-            at += len(piece)
-            total += 1 if kind else self.totals[piece]
-            ends.append(at)
-            counts.append(total)
-        return ends, counts
-
-    def _pieces(self, text: str) -> Iterator[tuple[bool, str]]:
-        at = 0
-        for m in self.special.finditer(text) if self.special else ():
-            yield from ((False, p) for p in self.split(text[at:m.start()]))
-            yield True, m.group()
-            at = m.end()
-        yield from ((False, p) for p in self.split(text[at:]))
+    def _cuts(self, text: str) -> Iterator[tuple[int, int, list[int]]]:
+        """(start, tokens before it, counts by characters from there on) in order; later ones hold where they overlap."""
+        before = at = 0
+        for special in [*(self.special.finditer(text) if self.special else ()), None]:
+            end = len(text) if special is None else special.start()
+            start = last = at
+            blank = None  # where the white space that ends here starts, and the tokens before it
+            for piece in self.split(text[at:end]):
+                total, last = self.totals[piece], start
+                size = len(piece)
+                yield start + 1, before, self.totals.stored(piece)[1:]
+                if piece[0].isspace() or piece.isspace():
+                    spaces = size - len(piece.lstrip()) if not piece.isspace() else size
+                    if blank is None:
+                        blank = start, before
+                    # what ends in white space counts it as one piece
+                    run = text[blank[0]:start + spaces]
+                    if len(run) > 1 or spaces < size:
+                        counts = self.totals.stored(run)
+                        yield start, blank[1], counts[start - blank[0]:len(run) + 1]
+                        if spaces < size:
+                            yield start + spaces + 1, before, self.totals.stored(piece)[spaces + 1:]
+                elif size == 3 and piece in CONTRACTIONS:
+                    yield start + 2, before, [self.totals["'"] + self.totals[piece[1]]]
+                    yield start + 3, before, [total]
+                if not piece.isspace():
+                    blank = None
+                before += total
+                start += size
+            if blank is not None:
+                before = blank[1] + self.totals[text[blank[0]:end]]
+            if special is not None:
+                name = special.group()
+                back = blank[0] if blank is not None else last if start > at else at
+                had = before - (self.totals[text[back:end]] if back < end else 0)
+                for k in range(1, len(name)):
+                    yield end + k, had, [sum(map(self.totals.__getitem__, self.split(text[back:end + k])))]
+                before += 1
+                at = end + len(name)
+                yield at, before, [0]
+
+    def counts(self, text: str | None, budget: int | None = None) -> list[int]:
+        """counts[i]: tokens of the first i characters of the text; with a budget, up to where no further prefix is within it."""
+        out = [0]
+        for start, before, own in self._cuts(text or ""):
+            if budget is not None and before > budget + 1:
+                break
+            out[start:start + len(own)] = [before + x for x in own]
+        return out
 
     def longest_prefix(self, text: str | None, budget: int) -> int:
-        """Characters of the longest stored prefix of at most budget tokens: whole pieces, then what fits of the next."""
-        at = total = 0
-        for special, piece in self._pieces(text or ""):
-            more = 1 if special else self.totals[piece]
-            if total + more > budget:
-                if not special and not piece.isspace() and not piece.startswith("'"):
-                    counts, size = self.prefix_counts(piece.encode("utf-8", "surrogatepass")), 0
-                    fitting = 0
-                    for k, c in enumerate(piece, 1):
-                        size += len(c.encode("utf-8", "surrogatepass"))
-                        if total + counts[size] <= budget:
-                            fitting = k
-                    at += fitting
-                return at
-            total += more
-            at += len(piece)
-        return at
+        """Characters of the longest prefix of at most budget tokens."""
+        counts = self.counts(text, budget)
+        return next(i for i in range(len(counts) - 1, -1, -1) if counts[i] <= budget or i == 0)
 
 
 @lru_cache(maxsize=4)
@@ -184,44 +232,45 @@ def counter(path: str) -> PrefixCounter:
     return PrefixCounter(path)
 
 
-def token_count(column: str = "text", path: str | None = None):
-    """Tokens of a text column, as a long."""
+def _mapped(of: Callable[[PrefixCounter, str | None], object], kind: pa.DataType, column: str, ddl: str, path: str | None):
     path = path or default_path()
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = counter(path)
         for texts in batches:
-            yield pa.array([own.count(t.as_py()) for t in texts], pa.int64())
+            yield pa.array([of(own, t.as_py()) for t in texts], kind)
 
-    return F.arrow_udf(run, T.LongType())(F.col(column))
+    return F.arrow_udf(run, ddl)(F.col(column))
 
 
-def prefix_table(column: str = "text", path: str | None = None):
-    """Struct of ends (characters) and counts (tokens) for every piece's end: the stored answers for a text."""
-    path = path or default_path()
-    kind = pa.struct([("ends", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64()))])
+def token_count(column: str = "text", path: str | None = None):
+    """Tokens of a text column, as a long."""
+    return _mapped(PrefixCounter.count, pa.int64(), column, "long", path)
 
-    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        own = counter(path)
-        for texts in batches:
-            yield pa.array([dict(zip(("ends", "counts"), own.table(t.as_py()))) for t in texts], kind)
 
-    return F.arrow_udf(run, "ends array<long>, counts array<long>")(F.col(column))
+def prefix_table(column: str = "text", path: str | None = None):
+    """The stored answers for a text: tokens of its first 0, 1, 2, … characters."""
+    return _mapped(PrefixCounter.counts, pa.list_(pa.int32()), column, "array<int>", path)
 
 
 def truncated(column: str = "text", budget: int = LIMIT, path: str | None = None):
-    """The longest stored prefix of a text of at most budget tokens; null stays null."""
-    path = path or default_path()
+    """The longest prefix of a text of at most budget tokens; null stays null."""
+    return _mapped(lambda own, t: None if t is None else t[:own.longest_prefix(t, budget)], pa.string(), column, "string", path)
 
-    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        own = counter(path)
-        for texts in batches:
-            yield pa.array([None if (s := t.as_py()) is None else s[:own.longest_prefix(s, budget)] for t in texts], pa.string())
 
-    return F.arrow_udf(run, T.StringType())(F.col(column))
+def counted(column: str = "text", budget: int = LIMIT, path: str | None = None):
+    """Struct of n_tokens and kept_chars, the characters of the longest prefix within the budget."""
+    kind = pa.struct([("n_tokens", pa.int64()), ("kept_chars", pa.int64())])
+
+    def of(own: PrefixCounter, text: str | None) -> dict:
+        n = own.count(text)
+        return {"n_tokens": n, "kept_chars": len(text or "") if n <= budget else own.longest_prefix(text, budget)}
+
+    return _mapped(of, kind, column, "n_tokens long, kept_chars long", path)
 
 
 def op7_token_counts(spark, sf_dir) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    counted = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), token_count().alias("n_tokens"))
-    return counted.withColumn("over_limit", F.col("n_tokens") > LIMIT)
+    found = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), counted().alias("found"))
+    tokens = F.col("found.n_tokens")
+    return found.select("doc_id", "n_bytes", tokens.alias("n_tokens"), (tokens > LIMIT).alias("over_limit"), F.col("found.kept_chars").alias("kept_chars"))

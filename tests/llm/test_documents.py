@@ -145,8 +145,7 @@ def test_token_counts_equal_the_library(spark):
     texts = [t for _, t, *_ in corpus() if t is not None] + ["a<|endoftext|>b <|endoftext|>", "  two  spaces\n\n\tx", "日本語 ñandú 🙂🙂", "a" * 3000, "don't we'll", " 　 x", "\r\n" * 50, "1234567 89"]
     for t in texts:
         assert own.count(t) == len(library.encode(t, add_special_tokens=False).ids), t[:60]
-        ends, counts = own.table(t)
-        assert (ends[-1:] or [0]) == [len(t)] and (counts[-1:] or [0]) == [own.count(t)]
+        assert own.counts(t)[-1] == own.count(t) and len(own.counts(t)) == len(t) + 1
         for budget in (0, 1, 7, 10**9):
             cut = own.longest_prefix(t, budget)
             assert own.count(t[:cut]) <= budget and (budget < 10**9 or cut == len(t))
@@ -154,6 +153,30 @@ def test_token_counts_equal_the_library(spark):
     assert all(r["n"] == own.count(r["text"]) for r in rows)
 
 
+def test_every_prefix_counts_as_the_library_does(spark):
+    """All prefixes of random texts, and the longest within a budget, by brute force; nulls, empty and long texts through Spark."""
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(token_counts.default_path())
+    own, rng = token_counts.counter(token_counts.default_path()), random.Random(8)
+    atoms = ["a", "the", " ", "  ", "\n", "'", "'re", "'s", "ll", "!", "<|endoftext|>", "<|end", "é", "日本", "🙂", "23", " international", "isation", "\u3000", "\r\n", "'v"]
+    texts = ["".join(rng.choice(atoms) for _ in range(rng.randrange(12))) for _ in range(400)]
+    cuts = {}
+    for t in texts:
+        want = [len(library.encode(t[:i], add_special_tokens=False).ids) for i in range(len(t) + 1)]
+        assert own.counts(t) == want, t
+        cuts[t] = max(i for i, n in enumerate(want) if n <= 4)
+        assert own.longest_prefix(t, 4) == cuts[t]
+    rows = [(i, t, "en", "a", 1) for i, t in enumerate([None, "", "word " * 40_000, " " * 50, *texts[:40]])]
+    got = frame(spark, rows).select("text", token_counts.prefix_table().alias("n"), token_counts.truncated(budget=4).alias("cut"), token_counts.counted(budget=4).alias("c")).collect()
+    for r in got:
+        assert r["n"][-1] == r["c"]["n_tokens"] == own.count(r["text"]) and len(r["n"]) == len(r["text"] or "") + 1
+        assert r["cut"] == (None if r["text"] is None else r["text"][:r["c"]["kept_chars"]])
+        if r["text"] in cuts:
+            assert r["c"]["kept_chars"] == cuts[r["text"]]
+    assert spark.createDataFrame([], DOCS).select(token_counts.counted()).count() == 0
+
+
 def test_prefix_counts_of_one_piece():
     own = token_counts.counter(token_counts.default_path())
     for word in (b"internationalisation", b" unbelievable", "éàü".encode()):
