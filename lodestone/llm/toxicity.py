@@ -1,18 +1,25 @@
 """Toxicity by a subsequence string-kernel SVM with Nystroem landmarks.
 
-Segments of a text (words without their punctuation, and runs of single letters put together) are compared with
-landmark strings by the gap-weighted subsequence kernel: common subsequences of ORDER letters count
-DECAY to the power of the spans they take, so inserted characters only weaken a match. A text's similarity to
+A text is its sentences, a sentence its segments (words without their punctuation, and runs of single letters put together).
+Segments are compared with landmark strings by the gap-weighted subsequence kernel: common subsequences of ORDER letters count
+DECAY to the power of the spans they take, so inserted characters only weaken a match. A sentence's similarity to
 a landmark is the best of its segments. The Nystroem map turns those similarities into features, a linear SVM
-separates them, and a logistic curve fitted to its margins gives the score.
+separates them, a text's margin is that of its worst sentence, and a logistic curve fitted to the margins of texts gives the score.
 
 Landmarks, SVM and curve are learnt from labelled documents outside the held-out fold: at most about
-TRAIN_DOCS of them, chosen by a hash of doc_id (the bound of a documented sample). Every text is scored whole; words
+TRAIN_DOCS of them, chosen by a hash of doc_id (the bound of a documented sample). Only texts are labelled, so the sentences are
+labelled by multiple instances: every sentence of a clean text is clean, and of a toxic text the one with the highest margin is toxic,
+chosen anew after each of ROUNDS fits. Landmarks are pieces of the sample's segments, chosen by how they tell the labels apart; their number
+(LANDMARKS) and those of the proposals (CANDIDATES, MOST_WORDS) are sizes of the model. Every text is scored whole; words
 repeat, so each worker remembers their similarities, up to CACHE_WORDS of them.
 
+Similarities below LEAST are noise of short common subsequences and count as 0, in learning and scoring alike; a letter filter finds most
+of them before any kernel is worked out.
+
 Defined cases: null and empty texts have no segments and get the score of a text without any similarity; labels that are
-null are not learnt from, and of several labels for a doc_id the largest counts; without labels of both
-kinds every score is 0; a segment of more than WINDOW letters is compared in overlapping windows.
+null are not learnt from, and of several labels for a doc_id the largest counts; repeated rows are scored alike and count each in
+learning; a null doc_id has no label; without labels of both kinds, or documents, every score is 0; a segment of more than
+WINDOW letters is compared in overlapping windows; columns of any name pass through `reject` unchanged.
 """
 
 from __future__ import annotations
@@ -46,8 +53,8 @@ FOLDS, HELD_OUT = 4, 2
 LEAST = 0.3
 #: What this share of the clean training texts does not pass is no sign of toxicity.
 CLEAN_SHARE = 0.995
-#: Gapped copies of landmarks to learn from, for each toxic row.
-GAPPED_SHARE = 0.06
+#: Fits of the SVM, each with the sentences that the one before finds worst.
+ROUNDS = 4
 WINDOW = 32
 #: Letters by which a compared window may exceed the landmark.
 SLACK = 2
@@ -55,6 +62,7 @@ CACHE_WORDS = 150_000
 #: Texts of about so many characters share one round of kernel sums.
 ROUND_CHARS = 1_000_000
 
+_SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 _SPACED = re.compile(r"(?<!\S)\S(?:\s+\S){2,}(?!\S)")
 
 
@@ -169,25 +177,25 @@ class Landmarks:
         s = _codes(self.strings, LONGEST, -1)
         return (subsequence_kernel(s[i], self.codes[j]) / np.sqrt(self.own[i] * self.own[j])).reshape(m, m)
 
-    def of_texts(self, texts: list[str | None]) -> np.ndarray:
-        """Best similarity of each text's segments to each landmark."""
-        found = [segments(t) for t in texts]
-        new = list(set().union(*found) - self.row.keys()) if found else []
+    def of_texts(self, texts: list[str | None]) -> list[np.ndarray]:
+        """For each text the similarities of its sentences, best of their segments to each landmark; different rows that are not 0."""
+        found = [[segments(x) for x in _SENTENCE.split(t)] if t else [] for t in texts]
+        every = set().union(*(w for sentences in found for w in sentences))
+        new = list(every - self.row.keys())
         if len(self.row) + len(new) > CACHE_WORDS:
             self.row, self.known = {}, self.known[:1]
-            new = list(set().union(*found))
+            new = list(every)
         values = self.similarities(new)
         some = values.any(axis=1)
         self.row.update(dict.fromkeys((w for w, hit in zip(new, some) if not hit), 0))
         for k in np.flatnonzero(some):
             self.row[new[k]] = len(self.known)
             self.known.append(values[k])
-        out = np.zeros((len(texts), len(self.strings)))
-        for k, words in enumerate(found):
-            rows = {self.row[w] for w in words}
-            rows.discard(0)
-            if rows:
-                out[k] = np.max([self.known[r] for r in rows], axis=0)
+        out = []
+        for sentences in found:
+            alike = {frozenset(self.row[w] for w in words) - {0} for words in sentences} - {frozenset()}
+            rows = [np.max([self.known[r] for r in rows], axis=0) for rows in alike]
+            out.append(np.array(rows).reshape(-1, len(self.strings)))
         return out
 
 
@@ -208,11 +216,22 @@ class Model:
     slope: float
     shift: float
 
-    def score(self, similarities: np.ndarray) -> np.ndarray:
-        margin = above(similarities, self.floor) @ self.whiten @ self.weights + self.bias
+    def margins(self, similarities: np.ndarray) -> np.ndarray:
+        return above(similarities, self.floor) @ self.whiten @ self.weights + self.bias
+
+    def score(self, texts: list[np.ndarray]) -> np.ndarray:
+        """From 0 to 1 for each text, given its sentences' similarities."""
+        margin = _worst(self.margins(np.concatenate([*texts, np.zeros((1, len(self.landmarks)))])), texts)
         return 1.0 / (1.0 + np.exp(-np.clip(self.slope * margin + self.shift, -30, 30)))
 
 
+def _worst(margins: np.ndarray, texts: list[np.ndarray]) -> np.ndarray:
+    """The largest margin of each text's sentences; the last margin is that of a sentence without any similarity."""
+    out = np.full(len(texts), margins[-1])
+    np.maximum.at(out, np.repeat(np.arange(len(texts)), [len(t) for t in texts]), margins[:-1])
+    return out
+
+
 def _rounds(texts: pa.Array) -> Iterator[list[str | None]]:
     part, size = [], 0
     for t in texts:
@@ -227,12 +246,12 @@ def _rounds(texts: pa.Array) -> Iterator[list[str | None]]:
 
 
 def similarity_column(strings: list[str], column: str = "text"):
-    """Array of a text's similarities to the landmarks."""
+    """Arrays of the similarities of a text's sentences to the landmarks, in a row."""
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         marks = Landmarks(strings)
         for texts in batches:
-            rows = [x.tolist() for part in _rounds(texts) for x in marks.of_texts(part)]
+            rows = [x.ravel().tolist() for part in _rounds(texts) for x in marks.of_texts(part)]
             yield pa.array(rows, pa.list_(pa.float64()))
 
     return F.arrow_udf(run, T.ArrayType(T.DoubleType()))(F.col(column))
@@ -333,32 +352,35 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     strings = choose_landmarks(rows)
     if not strings:
         return None
-    # a toxic text teaches as a whole and by its most telling sentence alone; a clean one as a whole
-    whole = rows.select("toxic", similarity_column(strings).alias("x"))
-    sentences = rows.filter("toxic > 0").select("doc_id", F.explode(F.split("text", r"[.\n]+")).alias("text"))
-    telling = sentences.select("doc_id", similarity_column(strings).alias("x")).groupBy("doc_id").agg(F.max_by("x", F.array_max("x")).alias("x"))
-    # at most about twice TRAIN_DOCS rows of LANDMARKS numbers
-    seen = whole.union(telling.select(F.lit(1), "x")).toPandas()
-    x = np.array(seen["x"].tolist(), np.float64)
-    y = np.where(seen["toxic"].to_numpy() > 0, 1.0, -1.0)
-    x, y = _with_gapped(strings, x, y)
-    order = np.lexsort((*x.T, y))
-    x, y = x[order], y[order]
-    floor = np.minimum(np.quantile(x[y < 0], CLEAN_SHARE, axis=0), 0.95)
-    x = above(x, floor)
+    # at most about TRAIN_DOCS rows, of the sentences in which anything is like a landmark
+    seen = rows.select("toxic", similarity_column(strings).alias("x")).toPandas()
+    texts = [np.array(x, np.float64).reshape(-1, len(strings)) for x in seen["x"]]
+    toxic = seen["toxic"].to_numpy() > 0
+    order = sorted(range(len(texts)), key=lambda i: (toxic[i], texts[i].tobytes()))  # whatever order the rows came in
+    texts, toxic = [texts[i][np.lexsort(texts[i].T)] for i in order], toxic[order]
+    most = np.array([t.max(axis=0, initial=0) for t in texts])
+    floor = np.minimum(np.quantile(most[~toxic], CLEAN_SHARE, axis=0), 0.95)
     values, vectors = np.linalg.eigh(Landmarks(strings).gram())
     whiten = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-3))) @ vectors.T
-    weights, bias = _svm(x @ whiten, y)
-    slope, shift = _curve(x @ whiten @ weights + bias, y)
+    nothing = np.zeros((1, len(strings)))
+    every = above(np.concatenate([*texts, nothing]), floor)
+    owner = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    clean = np.append(~toxic[owner], True)
+    margin = every.sum(axis=1)
+    for _ in range(ROUNDS):
+        worst = _most_toxic(margin[:-1], owner, toxic)
+        x, y = np.concatenate([every[clean], every[worst]]) @ whiten, np.repeat([-1.0, 1.0], [clean.sum(), len(worst)])
+        weights, bias = _svm(x, y)
+        margin = every @ whiten @ weights + bias
+    slope, shift = _curve(_worst(margin, texts), np.where(toxic, 1.0, -1.0))
     return Model(strings, floor, whiten, weights, bias, slope, shift)
 
 
-def _with_gapped(strings: list[str], x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Training rows plus landmarks with one inserted letter, about GAPPED_SHARE as many as toxic rows, as toxic ones."""
-    gapped = [z[:i] + next(c for c in "xqzwj" if c not in z) + z[i:] for z in strings for i in range(1, len(z))]
-    rows = Landmarks(strings).similarities(gapped)
-    rows = np.repeat(rows, max(1, round(GAPPED_SHARE * (y > 0).sum() / len(rows))), axis=0)
-    return np.vstack([x, rows]), np.concatenate([y, np.ones(len(rows))])
+def _most_toxic(margin: np.ndarray, owner: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """The sentence with the largest margin of each toxic text that has any."""
+    order = np.lexsort((-margin, owner))
+    first = order[np.concatenate([[True], owner[order][1:] != owner[order][:-1]])[:len(order)]]
+    return first[toxic[owner[first]]]
 
 
 def _svm(x: np.ndarray, y: np.ndarray, cost: float = 10.0, steps: int = 400) -> tuple[np.ndarray, float]:
