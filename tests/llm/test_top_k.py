@@ -23,10 +23,10 @@ def brute(rows, asked, k=K.K):
     return sorted(out)
 
 
-@pytest.mark.parametrize("few, block", [(4, 64), (1024, 8192)])
-def test_against_brute_force(spark, monkeypatch, few, block):
-    monkeypatch.setattr(K, "FEW", few)
+@pytest.mark.parametrize("block, queries", [(64, 3), (8192, 16_384)])
+def test_against_brute_force(spark, monkeypatch, block, queries):
     monkeypatch.setattr(K, "BLOCK", block)
+    monkeypatch.setattr(K, "QUERIES_AT_ONCE", queries)
     rng = np.random.default_rng(3)
     rows = [(i, rng.normal(0, 0.2, 12).tolist()) for i in range(300)]
     rows += [(300 + i, rows[7][1]) for i in range(9)]  # ties
@@ -59,3 +59,17 @@ def test_block_search_is_exact():
             s = v @ q
             want = [(int(i), int(s[i])) for i in np.lexsort((ids, -s))[:5]]
             assert index.search(q, np.zeros(3000, bool), ids, 5) == want
+            assert index.read > 0
+            # a bound from elsewhere drops only what is below it
+            assert [x for x in index.search(q, np.zeros(3000, bool), ids, 5, want[2][1]) if x[1] >= want[2][1]] == [x for x in want if x[1] >= want[2][1]]
+
+
+def test_walk_stops_on_proof():
+    """Sparse impacts: few postings are read, and the result is that of all."""
+    rng = np.random.default_rng(2)
+    v = np.where(rng.random((5000, 32)) < 0.05, rng.integers(0, 2000, (5000, 32)), 0)
+    index, ids, q = K.ImpactIndex(v), np.arange(5000), np.zeros(32, np.int64)
+    q[:3] = 50, 7, 1
+    s = v @ q
+    assert index.search(q, np.zeros(5000, bool), ids, 5) == [(int(i), int(s[i])) for i in np.lexsort((ids, -s))[:5]]
+    assert index.read < 3 * 5000 / 2
