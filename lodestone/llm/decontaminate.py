@@ -5,27 +5,31 @@ word numbers. Each document is streamed through it once, keeping the length of t
 word: where that is at least WINDOW words, all matched words are hit, and the automaton's state tells which
 items hold the last WINDOW of them. An item shorter than WINDOW is hit only as a whole.
 
-The automaton is broadcast, so its size is bounded: items are dealt into shards of at most SHARD_WORDS words
-(a single longer item makes its own shard), each read by the driver on its own, and documents pass through one
-automaton per shard, merging spans.
+An automaton is broadcast, so its size is bounded: items, long ones in overlapping pieces of PIECE_WORDS words that keep every window
+whole, are dealt by hash into shards of about SHARD_WORDS words at most. Executors build a shard's automaton and write it as
+one row; with several shards the documents are scanned once for each, one automaton being broadcast and released after the
+other, and what the scans find is merged by row.
 
 Defined cases: null and wordless texts have no words and no hits; null and wordless items match nothing;
 repeated item_ids count once; a null item_id is not listed but its windows hit; an empty benchmark hits
-nothing; a text of any length is read once, in time linear in its length.
+nothing; a text of any length is read in time linear in its length; `remove` returns all columns of its input, whatever
+their names, and `annotate` replaces a column that is named like the one it adds.
 """
 
 from __future__ import annotations
 
-import hashlib
+import pickle
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh, materialise
+
 WINDOW = 10
-#: Bound on the words of one broadcast automaton.
-SHARD_WORDS = 500_000
+#: About the most words of one broadcast automaton, and of a piece of an item in it.
+SHARD_WORDS, PIECE_WORDS = 100_000, 2_000
 #: A document is dropped if more than this share of its words is hit; otherwise only the hit spans go.
 MAX_COVERAGE = 0.3
 
@@ -157,52 +161,58 @@ class SuffixAutomaton:
         return items, spans
 
 
-def _shards(benchmark: DataFrame) -> Iterator[list[tuple[int | None, list[bytes]]]]:
-    """Items in lists of bounded size. Only one list is read at a time, and its words are bounded beforehand."""
-    items = benchmark.select("item_id", F.col("text").alias("item")).filter("item is not null")
-    total = items.agg(F.sum(F.octet_length("item"))).first()[0] or 0
-    n = 1 + int(total) // (SHARD_WORDS * 2)  # a word takes 2 bytes or more with what parts it from the next
-    for k in range(n):
-        own = items.filter(F.pmod(F.xxhash64("item"), F.lit(n)) == k)
-        part, size = [], 0
-        for row in own.toLocalIterator():
-            ws = words_of(row["item"])
-            if part and size + len(ws) > SHARD_WORDS:
-                yield part
-                part, size = [], 0
-            part.append((row["item_id"], ws))
-            size += len(ws)
-        if part or n == 1:
-            yield part
-
-
-def _scanner(shared, first: bool, clean: bool):
-    """The function that one automaton's pass applies to batches of texts, or of texts and what earlier passes found."""
-
-    def scan(texts, earlier=None):
-        automaton, rows = shared.value, []
-        for i, text in enumerate(texts.to_pylist()):
-            ws = words_of(text)
-            items, spans = automaton.match(ws)
-            if earlier is not None and (old := earlier[i].as_py()):
-                items |= set(old["items"])
-                spans = _merged(spans + [[s["start"], s["stop"]] for s in old["spans"]])
-            rows.append({
-                "n_words": len(ws), "n_hit": sum(b - a for a, b in spans),
-                "items": sorted(x for x in items if x is not None), "spans": [{"start": a, "stop": b} for a, b in spans],
-                "clean": without_spans(text, spans) if clean and spans else None,
-            })
-        return pa.array(rows, _RESULT_PA)
+def _items(benchmark: DataFrame, window: int) -> DataFrame:
+    """Rows (item_id, words, n) of items, words being joined by blanks; a long item is several that overlap by a window less one word."""
+    size = max(PIECE_WORDS, 2 * window)
+    schema = pa.schema([("item_id", pa.int64()), ("words", pa.binary()), ("n", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for item, text in zip(b.column("item_id").to_pylist(), b.column("item").to_pylist()):
+                ws = words_of(text)
+                rows += [(item, b" ".join(ws[i:i + size]), len(ws[i:i + size])) for i in range(0, max(len(ws) - window + 1, 1), size - window + 1) if ws]
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], f.type) for c, f in enumerate(schema)], schema=schema)
+
+    texts = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("item")).filter("item is not null")
+    return texts.mapInArrow(run, "item_id long, words binary, n long")
+
+
+def automata(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """Rows (shard, automaton): the pickled automaton of each shard of the items, built by a task of its own."""
+    items = materialise(_items(benchmark, window), "items")
+    shards = 1 + 2 * int(items.agg(F.sum("n")).first()[0] or 0) // SHARD_WORDS
+
+    def build(table: pa.Table) -> pa.Table:
+        own = sorted(zip(table.column("item_id").to_pylist(), table.column("words").to_pylist()), key=str)
+        built = SuffixAutomaton([(item, ws.split(b" ")) for item, ws in own], window)
+        return pa.table({"shard": table.column("shard").slice(0, 1), "automaton": pa.array([pickle.dumps(built)], pa.binary())})
+
+    dealt = items.withColumn("shard", F.pmod(F.xxhash64("words"), F.lit(shards)).cast("int"))
+    return materialise(dealt.groupBy("shard").applyInArrow(build, "shard int, automaton binary"), "automata")
+
+
+def _scan(shared, clean: bool):
+    """The function that one automaton's pass applies to batches of texts."""
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        automaton = pickle.loads(shared.value)
         for texts in batches:
-            yield scan(texts)
+            rows = []
+            for text in texts.to_pylist():
+                ws = words_of(text)
+                rows.append(_row(text, len(ws), *automaton.match(ws), clean))
+            yield pa.array(rows, _RESULT_PA)
 
-    def again(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for texts, earlier in batches:
-            yield scan(texts, earlier)
+    return run
 
-    return run if first else again
+
+def _row(text: str | None, n: int, items: set, spans: list[list[int]], clean: bool) -> dict:
+    return {
+        "n_words": n, "n_hit": sum(b - a for a, b in spans),
+        "items": sorted(x for x in items if x is not None), "spans": [{"start": a, "stop": b} for a, b in spans],
+        "clean": without_spans(text, spans) if clean and spans else None,
+    }
 
 
 def annotate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, column: str = "leak", clean: bool = False) -> DataFrame:
@@ -210,11 +220,38 @@ def annotate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, column
 
     clean: also the text without the spans, where there are any.
     """
-    out = docs
-    for k, part in enumerate(_shards(benchmark)):
-        shared = docs.sparkSession.sparkContext.broadcast(SuffixAutomaton(part, window))
-        out = out.withColumn(column, F.arrow_udf(_scanner(shared, k == 0, clean), RESULT)("text", *([column] if k else [])))
-    return out
+    spark = docs.sparkSession
+    built = automata(benchmark, window)
+    shards = sorted(r[0] for r in built.select("shard").collect())  # as many numbers as passes
+
+    def shared(k: int | None):
+        # one automaton, of about SHARD_WORDS words at most
+        return spark.sparkContext.broadcast(pickle.dumps(SuffixAutomaton([], window)) if k is None else bytes(built.filter(F.col("shard") == k).first()["automaton"]))
+
+    if len(shards) <= 1:
+        return docs.withColumn(column, F.arrow_udf(_scan(shared(shards[0] if shards else None), clean), RESULT)("text"))
+    (row, found) = fresh(docs.columns + [column], "row", "found")
+    rows = materialise(docs.withColumn(row, F.monotonically_increasing_id()), "documents")
+    parts = None
+    for k in shards:
+        own = shared(k)
+        hits = rows.select(row, F.arrow_udf(_scan(own, False), RESULT)("text").alias("hit")).filter("hit.n_hit > 0").select(row, "hit.items", "hit.spans")
+        hits = materialise(hits, "hits")
+        own.destroy()
+        parts = hits if parts is None else parts.unionAll(hits)
+    # as many lists in a row as passes have hit it
+    merged = parts.groupBy(row).agg(F.struct(F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), F.flatten(F.collect_list("spans")).alias("spans")).alias(found))
+
+    def finish(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for texts, hits in batches:
+            out = []
+            for text, hit in zip(texts.to_pylist(), hits.to_pylist()):
+                spans = _merged([[s["start"], s["stop"]] for s in hit["spans"]]) if hit else []
+                out.append(_row(text, len(words_of(text)), set(hit["items"]) if hit else set(), spans, clean))
+            yield pa.array(out, _RESULT_PA)
+
+    joined = rows.join(merged, row, "left")
+    return joined.withColumn(column, F.arrow_udf(finish, RESULT)("text", found)).select(*[c for c in docs.columns if c != column], column)
 
 
 def _merged(spans: list[list[int]]) -> list[list[int]]:
@@ -249,11 +286,12 @@ def without_spans(text: str, spans: list[list[int]]) -> str:
 
 def remove(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_coverage: float = MAX_COVERAGE) -> DataFrame:
     """docs without hit spans; a document of which more than max_coverage is hit goes as a whole."""
-    found = annotate(docs, benchmark, window, "_leak", clean=True).filter(F.col("_leak.n_hit") <= F.col("_leak.n_words") * F.lit(max_coverage))
-    hit = F.col("_leak.clean").isNotNull()
-    new = {"text": F.when(hit, F.col("_leak.clean")).otherwise(F.col("text"))}
+    (leak,) = fresh(docs.columns, "leak")
+    found = annotate(docs, benchmark, window, leak, clean=True).filter(F.col(f"{leak}.n_hit") <= F.col(f"{leak}.n_words") * F.lit(max_coverage))
+    text = F.col(f"{leak}.clean")
+    new = {"text": F.coalesce(text, F.col("text"))}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(hit, F.char_length("_leak.clean").cast("long")).otherwise(F.col("n_chars"))
+        new["n_chars"] = F.coalesce(F.char_length(text).cast(docs.schema["n_chars"].dataType), F.col("n_chars"))
     return found.select(*[new.get(c, F.col(c)).alias(c) for c in docs.columns])
 
 

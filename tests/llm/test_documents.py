@@ -62,7 +62,9 @@ def test_decontamination_against_brute_force(spark):
     found = decontaminate.annotate(frame(spark, rows), spark.createDataFrame(items, ITEMS))
     got = [(r["doc_id"], r["leak"]["n_words"], r["leak"]["n_hit"], sorted(map(str, r["leak"]["items"]))) for r in found.collect()]
     assert sorted(got, key=str) == sorted((want(i, t) for i, t, *_ in rows), key=str)
-    kept = {r["doc_id"]: r for r in decontaminate.remove(frame(spark, rows), spark.createDataFrame(items, ITEMS)).collect()}
+    left = decontaminate.remove(frame(spark, rows), spark.createDataFrame(items, ITEMS))
+    assert left.columns == frame(spark, rows).columns and all(r["_leak"] == r["size"] == "x" for r in left.collect())
+    kept = {r["doc_id"]: r for r in left.collect()}
     assert 2003 not in kept and kept[0]["text"] == rows[0][1] and 1000 in kept
     assert decontaminate.remove(frame(spark, rows), spark.createDataFrame([], ITEMS)).count() == len(rows)
 
@@ -74,6 +76,8 @@ def test_decontamination_in_several_shards(spark, monkeypatch):
     one = sorted(decontaminate.annotate(docs, bench).select("doc_id", "leak").collect(), key=str)
     monkeypatch.setattr(decontaminate, "SHARD_WORDS", 30)
     assert sorted(decontaminate.annotate(docs, bench).select("doc_id", "leak").collect(), key=str) == one
+    monkeypatch.setattr(decontaminate, "PIECE_WORDS", 8)  # items in overlapping pieces
+    assert sorted(decontaminate.annotate(docs, bench).select("doc_id", "leak").collect(), key=str) == one
 
 
 def test_mix_meets_targets_and_agrees(spark):
