@@ -20,8 +20,10 @@ from __future__ import annotations
 
 import json
 from array import array
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import pyarrow as pa
 import regex
@@ -104,7 +106,7 @@ class PrefixCounter:
         self.longest = max(map(len, self.vocab))
         self.fits: dict[tuple[int, int], bool] = {}
         self.totals = _Totals(self)
-        self.split = regex.compile(PIECES).findall
+        self.split, self.each_piece = regex.compile(PIECES).findall, regex.compile(PIECES).finditer
 
     def encode_alone(self, raw: bytes) -> list[int]:
         """Tokens of a short piece by merging, lowest rank first."""
@@ -157,9 +159,12 @@ class PrefixCounter:
             out.append(counts[size])
         return out
 
+    def _has_special(self, text: str) -> bool:
+        return any(s in text for s in self.special_texts)
+
     def parts(self, text: str) -> tuple[list[str], int]:
         """The text between special tokens, and how many of those it holds."""
-        if self.special is None or not any(s in text for s in self.special_texts):
+        if not self._has_special(text):
             return [text], 0
         return self.special.split(text), len(self.special.findall(text))
 
@@ -173,11 +178,12 @@ class PrefixCounter:
     def _cuts(self, text: str) -> Iterator[tuple[int, int, list[int]]]:
         """(start, tokens before it, counts by characters from there on) in order; later ones hold where they overlap."""
         before = at = 0
-        for special in [*(self.special.finditer(text) if self.special else ()), None]:
+        for special in [*(self.special.finditer(text) if self._has_special(text) else ()), None]:
             end = len(text) if special is None else special.start()
             start = last = at
             blank = None  # where the white space that ends here starts, and the tokens before it
-            for piece in self.split(text[at:end]):
+            for m in self.each_piece(text, at, end):
+                piece = m.group()
                 total, last = self.totals[piece], start
                 size = len(piece)
                 yield start + 1, before, self.totals.stored(piece)[1:]
@@ -226,6 +232,29 @@ class PrefixCounter:
         return next(i for i in range(len(counts) - 1, -1, -1) if counts[i] <= budget or i == 0)
 
 
+    def count_and_cut(self, text: str | None, budget: int) -> tuple[int, int]:
+        """Tokens of the text, and characters of its longest prefix within the budget: only pieces about the budget are looked into."""
+        if not text or self._has_special(text):
+            return self.count(text), self.longest_prefix(text, budget)
+        pieces = self.split(text)
+        totals = list(map(self.totals.__getitem__, pieces))
+        n = sum(totals)
+        if n <= budget:
+            return n, len(text)
+        sums = list(accumulate(totals[:budget + 1]))  # a piece has a token at least
+        low = high = bisect_right(sums, budget)
+        # from a piece that no white space joins to what is before it, to one that ends any
+        low -= 2
+        while low > 0 and (pieces[low].isspace() or pieces[low - 1].isspace()):
+            low -= 1
+        while high < len(pieces) - 1 and pieces[high].isspace():
+            high += 1
+        low = max(low, 0)
+        start = sum(map(len, pieces[:low]))
+        near = "".join(pieces[low:high + 2])
+        return n, start + self.longest_prefix(near, budget - (sums[low - 1] if low else 0))
+
+
 @lru_cache(maxsize=4)
 def counter(path: str) -> PrefixCounter:
     """One per worker process and vocabulary."""
@@ -261,12 +290,7 @@ def truncated(column: str = "text", budget: int = LIMIT, path: str | None = None
 def counted(column: str = "text", budget: int = LIMIT, path: str | None = None):
     """Struct of n_tokens and kept_chars, the characters of the longest prefix within the budget."""
     kind = pa.struct([("n_tokens", pa.int64()), ("kept_chars", pa.int64())])
-
-    def of(own: PrefixCounter, text: str | None) -> dict:
-        n = own.count(text)
-        return {"n_tokens": n, "kept_chars": len(text or "") if n <= budget else own.longest_prefix(text, budget)}
-
-    return _mapped(of, kind, column, "n_tokens long, kept_chars long", path)
+    return _mapped(lambda own, t: dict(zip(("n_tokens", "kept_chars"), own.count_and_cut(t, budget))), kind, column, "n_tokens long, kept_chars long", path)
 
 
 def op7_token_counts(spark, sf_dir) -> DataFrame:
