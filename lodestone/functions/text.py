@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 SECRET = r"(?i)(api[_-]?key|token|secret|password)\s*[:=]\s*\S+"
+#: A field of a JSON text whose value is secret, with that value (fixed field names).
+SECRET_FIELD = r'(?i)("(?:authorization|cookie|password|secret|token|api[_-]?key)"\s*:\s*)("(?:[^"\\]|\\.)*"|[^,}\]\s]+)'
 FORMULA_START = r"^[=+\-@\t\r]"
 
 
@@ -49,3 +51,8 @@ def csv_safe(text: Column) -> Column:
 
 def redacted(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, EMAIL, "[email]"), SECRET, "[secret]")
+
+
+def redacted_json(text: Column) -> Column:
+    """JSON text with the values of secret fields replaced, at any depth."""
+    return F.regexp_replace(text, SECRET_FIELD, '$1"[secret]"')

@@ -53,6 +53,8 @@ def written(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         import tempfile
 
         folder = f"file://{tempfile.mkdtemp(prefix='lodestone-')}"
@@ -62,11 +64,11 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def closure(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def closure(edges: DataFrame) -> DataFrame:
     """(node, root): the least node reachable over edges (a, b). Each round also follows the label of the label."""
     both = written(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct(), "edges")
     labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("root")), "labels")
-    for _ in range(max_rounds):
+    while True:
         near = both.join(labels, both["b"] == labels["node"]).groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
         lower = labels.join(near, "node").select("node", F.col("root").alias("old"), F.least("root", "near").alias("via"))
         jump = labels.select(F.col("node").alias("via"), F.col("root").alias("far"))
@@ -74,4 +76,3 @@ def closure(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         labels = moved.select("node", "root")
         if moved.filter("root < old").isEmpty():
             return labels
-    raise RuntimeError("closure did not converge")

@@ -9,25 +9,43 @@ from ..functions.text import normalised
 from .ledger import written
 
 
+#: A shingle of more representatives than this is dealt over SALTS tasks.
+HOT, SALTS = 1_000, 16
+
+
 def near_pairs(docs: DataFrame, words: int, threshold: float) -> DataFrame:
-    """(doc_a, doc_b, jaccard) of all pairs of (doc_id, text) at or above the threshold.
+    """(doc_a, doc_b, jaccard): pairs of representatives of (doc_id, text) at or above the threshold, and members beside theirs at 1.
 
-    Shingles are hashed and ordered by how rare they are. Two sets that similar share one of the first
-    n - ceil(threshold * n) + 1 shingles of each, so only those are joined; a candidate pair is then counted exactly.
+    Documents with equal sets of shingles are one class, so copies are never paired with each other. Shingles are hashed and ordered
+    by how rare they are. Two sets that similar share one of the first n - ceil(threshold * n) + 1 shingles of each, so only
+    those are joined; a candidate pair is then counted exactly.
     """
     ws = F.filter(F.split(normalised(F.col("text")), " "), lambda w: w != "")
-    grams = F.transform(F.sequence(F.lit(0), F.greatest(F.size(ws) - words, F.lit(0))), lambda i: F.xxhash64(F.array_join(F.slice(ws, i + 1, words), " ")))
-    sets = written(docs.filter(F.size(ws) > 0).select("doc_id", F.array_distinct(grams).alias("s")), "shingles")
+    # shifted copies of the words put together pairwise: a lambda over positions would split the text once for each
+    last = F.greatest(F.size(ws) - words + 1, F.lit(1))
+    joined = F.slice(ws, 1, last)
+    for k in range(1, words):
+        joined = F.zip_with(joined, F.slice(ws, k + 1, last), lambda x, y: F.concat_ws(" ", x, y))
+    grams = F.transform(joined, lambda g: F.xxhash64(g))
+    own = docs.filter(F.size(ws) > 0).select("doc_id", F.array_sort(F.array_distinct(grams)).alias("s"))
+    own = written(own.withColumn("digest", F.md5(F.array_join(F.transform("s", lambda x: x.cast("string")), ",").cast("binary"))), "shingles")
+    least = written(own.groupBy("digest").agg(F.min("doc_id").alias("root")), "classes")
+    members = own.select("doc_id", "digest").join(least, "digest").filter("doc_id <> root").select(F.col("root").alias("doc_a"), F.col("doc_id").alias("doc_b"), F.lit(1.0).alias("jaccard"))
+    sets = written(own.join(least.select(F.col("root").alias("doc_id"), "digest"), ["doc_id", "digest"]).select("doc_id", "s").dropDuplicates(["doc_id"]), "representatives")
     rows = sets.select("doc_id", F.size("s").alias("n"), F.explode("s").alias("g"))
     df = rows.groupBy("g").agg(F.count("*").alias("df"))
     shared = rows.join(df.filter("df > 1"), "g")  # a shingle of one document finds nothing, but still takes a place
     alone = rows.join(df.filter("df = 1"), "g", "left_semi").groupBy("doc_id").agg(F.count("*").alias("alone"))
     rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("df", "g"))
     room = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1
-    prefix = shared.withColumn("r", rank).join(alone, "doc_id", "left").filter(F.col("r") + F.coalesce("alone", F.lit(0)) <= room).select("doc_id", "n", "g")
+    first = shared.withColumn("r", rank).join(alone, "doc_id", "left").filter(F.col("r") + F.coalesce("alone", F.lit(0)) <= room)
+    first = written(first.select("doc_id", "n", "g", F.when(F.col("df") > HOT, SALTS).otherwise(1).alias("salts")), "prefixes")
+    one = first.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    other = first.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int"))
     close = (F.col("a.n") >= F.col("b.n") * threshold - 1e-9) & (F.col("b.n") >= F.col("a.n") * threshold - 1e-9)
-    pairs = prefix.alias("a").join(prefix.alias("b"), "g").filter("a.doc_id < b.doc_id").filter(close).select(F.col("a.doc_id").alias("doc_a"), F.col("b.doc_id").alias("doc_b")).distinct()
+    pairs = one.alias("a").join(other.alias("b"), ["g", "salt"]).filter("a.doc_id < b.doc_id").filter(close).select(F.col("a.doc_id").alias("doc_a"), F.col("b.doc_id").alias("doc_b")).distinct()
     left = pairs.join(sets.select(F.col("doc_id").alias("doc_a"), F.col("s").alias("sa")), "doc_a").join(sets.select(F.col("doc_id").alias("doc_b"), F.col("s").alias("sb")), "doc_b")
     both = F.size(F.array_intersect("sa", "sb"))
     jaccard = both / (F.size("sa") + F.size("sb") - both)
-    return left.select("doc_a", "doc_b", jaccard.alias("j")).filter(F.col("j") >= threshold).select("doc_a", "doc_b", F.round("j", 6).alias("jaccard"))
+    near = left.select("doc_a", "doc_b", jaccard.alias("j")).filter(F.col("j") >= threshold).select("doc_a", "doc_b", F.round("j", 6).alias("jaccard"))
+    return near.unionByName(members)

@@ -45,11 +45,11 @@ FROM (
   SELECT *, list_filter(string_split(q, '&'), lambda p: NOT regexp_matches(p, '^(utm_[a-z]+|gclid|fbclid|ref)=') AND p <> '') AS kept
   FROM (
     SELECT page_id, url, lower(regexp_extract(u, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) AS scheme,
-      lower(regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)', 1)) AS host,
-      regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*://[^/:?#]+(:[0-9]+)', 1) AS port,
+      rtrim(lower(CASE WHEN starts_with(hp, '[') THEN split_part(hp, ']', 1) || ']' ELSE split_part(hp, ':', 1) END), '.') AS host,
+      CASE WHEN regexp_matches(hp, ':[0-9]+$') AND (starts_with(hp, '[') = contains(hp, ']:')) THEN ':' || split_part(hp, ':', -1) ELSE '' END AS port,
       regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+([^?#]*)', 1) AS path,
       regexp_extract(u, '\\?([^#]*)', 1) AS q
-    FROM (SELECT page_id, url, regexp_replace(replace(url, '&amp;', '&'), '#.*$', '') AS u FROM pages)
+    FROM (SELECT *, split_part(split_part(split_part(split_part(u, '://', 2), '/', 1), '?', 1), '@', -1) AS hp FROM (SELECT page_id, url, regexp_replace(replace(url, '&amp;', '&'), '#.*$', '') AS u FROM pages))
   )
 )
 """
@@ -64,7 +64,7 @@ def url_canonical(spark, d):
 @query(f"""
 SELECT lower(regexp_extract(url, '^([A-Za-z]+)://', 1)) AS scheme,
   CASE WHEN NOT regexp_matches(lower(trim(url)), '^https?://') THEN 'BAD_SCHEME' WHEN regexp_matches(url, '^[A-Za-z]+://[^/?#]*@') THEN 'CREDENTIALS'
-    WHEN regexp_matches(lower({H}), '^(127\\.|10\\.|192\\.168\\.|169\\.254\\.|172\\.(1[6-9]|2[0-9]|3[01])\\.|localhost$)') THEN 'PRIVATE_ADDRESS' ELSE 'OK' END AS verdict,
+    WHEN {H} = '' THEN 'NO_HOST' WHEN try_cast({H} AS BIGINT) IS NOT NULL OR lower({H}) = 'localhost' OR regexp_matches({H}, '^[0-9.]+$') AND (split_part({H}, '.', 1) IN ('0', '10', '127') OR starts_with({H}, '192.168.') OR starts_with({H}, '169.254.') OR starts_with({H}, '172.') AND try_cast(split_part({H}, '.', 2) AS INTEGER) BETWEEN 16 AND 31) THEN 'PRIVATE_ADDRESS' ELSE 'OK' END AS verdict,
   count(*) AS n, count(CASE WHEN regexp_matches(lower(trim(url)), '^https?://') THEN 1 END) AS linkable
 FROM pages GROUP BY 1, 2
 """)
@@ -179,17 +179,22 @@ def origin_identity(spark, d):
     return origins(spark, d)
 
 
-@query(f"SELECT a.page_id AS page_a, b.page_id AS page_b FROM ({ORIGIN_SQL}) a JOIN ({ORIGIN_SQL}) b ON a.provider = b.provider AND a.job_id = b.job_id AND a.page_id < b.page_id WHERE a.job_id <> ''")
+def linked_to_least(rows, keys: list[str]):
+    """(page_a, page_b): each page with the least page of its key. A group of any size gives one link a page, never all pairs."""
+    least = rows.groupBy(*keys).agg(F.min("page_id").alias("page_a"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    return rows.join(least, keys).filter("page_id <> page_a").select("page_a", F.col("page_id").alias("page_b"))
+
+
+@query(f"SELECT page_a, page_id AS page_b FROM (SELECT page_id, min(page_id) OVER (PARTITION BY provider, job_id) AS page_a FROM ({ORIGIN_SQL}) WHERE job_id <> '') WHERE page_id <> page_a")
 def origin_match(spark, d):
-    o = origins(spark, d).filter("job_id <> ''")
-    return o.alias("a").join(o.alias("b"), ["provider", "job_id"]).filter("a.page_id < b.page_id").select(F.col("a.page_id").alias("page_a"), F.col("b.page_id").alias("page_b"))
+    return linked_to_least(origins(spark, d).filter("job_id <> ''"), ["provider", "job_id"])
 
 
-@query(f"SELECT a.page_id AS page_a, b.page_id AS page_b FROM (SELECT page_id, {PATH} AS p FROM pages) a JOIN (SELECT page_id, {PATH} AS p FROM pages) b ON a.p = b.p AND a.page_id < b.page_id WHERE regexp_matches(a.p, '[0-9]') AND len(string_split(a.p, '/')) >= 3")
+@query(f"SELECT page_a, page_id AS page_b FROM (SELECT page_id, min(page_id) OVER (PARTITION BY p) AS page_a FROM (SELECT page_id, {PATH} AS p FROM pages) WHERE regexp_matches(p, '[0-9]') AND len(string_split(p, '/')) >= 3) WHERE page_id <> page_a")
 def apply_url_match(spark, d):
     """Equal paths match only if the path names one job: two levels deep, with a number."""
     p = table(spark, d, "pages").select("page_id", ux.path(F.col("url")).alias("p")).filter(F.col("p").rlike("[0-9]") & (F.size(F.split("p", "/")) >= 3))
-    return p.alias("a").join(p.alias("b"), "p").filter("a.page_id < b.page_id").select(F.col("a.page_id").alias("page_a"), F.col("b.page_id").alias("page_b"))
+    return linked_to_least(p, ["p"])
 
 
 @query(f"SELECT page_id, replace(replace(replace(replace(replace({TITLE}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;') AS safe_title FROM pages")

@@ -30,16 +30,22 @@ def exact_duplicates(spark, d):
 NEAR_SQL = f"""
 WITH w AS (SELECT doc_id, regexp_extract_all({NORM}, '[^ ]+') AS ws FROM documents),
 s AS (SELECT DISTINCT doc_id, array_to_string(ws[p : p + 4], ' ') AS g FROM w, unnest(generate_series(1, greatest(len(ws) - 4, 1))) AS t(p) WHERE len(ws) > 0),
-n AS (SELECT doc_id, count(*) AS k FROM s GROUP BY 1),
-common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2)
+c AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY gs) AS root FROM (SELECT doc_id, list_sort(list(g)) AS gs FROM s GROUP BY 1)),
+r AS (SELECT s.* FROM s JOIN c USING (doc_id) WHERE doc_id = root),
+n AS (SELECT doc_id, count(*) AS k FROM r GROUP BY 1),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM r a JOIN r b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2)
 SELECT a AS doc_a, b AS doc_b, round(CAST(c AS DOUBLE) / (x.k + y.k - c), 6) AS jaccard FROM common JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b
 WHERE CAST(c AS DOUBLE) / (x.k + y.k - c) >= 0.8
+UNION ALL SELECT root, doc_id, 1.0 FROM c WHERE doc_id <> root
 """
 
 
 @query(NEAR_SQL)
 def near_duplicates(spark, d):
-    """All pairs of documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more."""
+    """Pairs at a five-word Jaccard of 0.8 or more between representatives, and each other document beside its representative, at 1.
+
+    Documents with equal sets of shingles are one class; its least doc_id stands for it.
+    """
     return near_pairs(table(spark, d, "documents").select("doc_id", "text"), POLICY.shingle_words, POLICY.similarity_threshold)
 
 
@@ -47,7 +53,7 @@ HASHED = f"SELECT doc_id, source, sha256({NORM}) AS h, min(doc_id) OVER (PARTITI
 
 
 def _edges(spark, d):
-    """Each exact copy beside the least document of its hash, and odd documents beside the next one of their source, as merge evidence."""
+    """Each exact copy beside the least document of its hash, as merge evidence."""
     docs = table(spark, d, "documents").select("doc_id", tx.content_hash(F.col("text")).alias("h"))
     least = docs.groupBy("h").agg(F.min("doc_id").alias("a"))
     return docs.join(least, "h").filter("doc_id > a").select("a", F.col("doc_id").alias("b"))
@@ -90,9 +96,10 @@ def merge_undo_view(spark, d):
 
 @query("SELECT l_partkey AS job_id, l_suppkey AS source_id, l_shipdate AS evidence_at FROM (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY l_suppkey % 4, l_shipdate DESC, l_suppkey, l_orderkey, l_linenumber) AS rn FROM lineitem) WHERE rn = 1")
 def canonical_provenance(spark, d):
-    """Source quality first, then the newest evidence, then the least id."""
-    best = ledger.latest_by(table(spark, d, "lineitem"), ["l_partkey"], F.col("l_suppkey") % 4, F.desc("l_shipdate"), F.col("l_suppkey"), F.col("l_orderkey"), F.col("l_linenumber"))
-    return best.select(F.col("l_partkey").alias("job_id"), F.col("l_suppkey").alias("source_id"), F.col("l_shipdate").alias("evidence_at"))
+    """Source quality first, then the newest evidence, then the least id: one minimum, which partial aggregates take."""
+    order = F.struct((F.col("l_suppkey") % 4).alias("ladder"), (-F.unix_micros(F.col("l_shipdate").cast("timestamp"))).alias("age"), "l_suppkey", "l_orderkey", "l_linenumber")
+    best = table(spark, d, "lineitem").groupBy("l_partkey").agg(F.min_by(F.struct("l_suppkey", "l_shipdate"), order).alias("b"))
+    return best.select(F.col("l_partkey").alias("job_id"), F.col("b.l_suppkey").alias("source_id"), F.col("b.l_shipdate").alias("evidence_at"))
 
 
 SEEN = "(SELECT DISTINCT l_partkey, l_suppkey, l_shipdate FROM lineitem)"
@@ -222,15 +229,30 @@ def contact_extract(spark, d):
     return table(spark, d, "documents").select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(tx.EMAIL), F.lit(0)))).alias("email"))
 
 
-@query("SELECT doc_id, n_email > 0 AS had_email, sha256(regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}', '[email]', 'g')) AS redacted_hash FROM (SELECT doc_id, text, len(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}')) AS n_email FROM documents)")
+_MAIL, _SECRET = "[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}", "(?i)(api[_-]?key|token|secret|password)\\s*[:=]\\s*\\S+"
+
+
+@query(f"SELECT doc_id, regexp_matches(text, '{_MAIL}') AS had_email, regexp_matches(text, '{_SECRET}') AS had_secret, sha256(regexp_replace(regexp_replace(text, '{_MAIL}', '[email]', 'g'), '{_SECRET}', '[secret]', 'g')) AS redacted_hash FROM documents")
 def redaction(spark, d):
-    t = F.regexp_replace("text", tx.EMAIL, "[email]")
-    return table(spark, d, "documents").select("doc_id", F.col("text").rlike(tx.EMAIL).alias("had_email"), F.sha2(t.cast("binary"), 256).alias("redacted_hash"))
+    """Addresses and secret-like text replaced before anything is kept."""
+    t = F.col("text")
+    return table(spark, d, "documents").select("doc_id", t.rlike(tx.EMAIL).alias("had_email"), t.rlike(tx.SECRET).alias("had_secret"), F.sha2(tx.redacted(t).cast("binary"), 256).alias("redacted_hash"))
+
+
+_NESTED = "json_object('role', role, 'headers', json_object('Authorization', 'Bearer ' || CAST(conv_id AS VARCHAR), 'n', turn), 'steps', json_array(json_object('password', role || '\"x', 'token', turn)))"
+
+
+@query(rf"""SELECT conv_id, turn, regexp_replace(CAST({_NESTED} AS VARCHAR), '("(?:authorization|cookie|password|secret|token|api[_-]?key)"\s*:\s*)("(?:[^"\\]|\\.)*"|[^,}}\]\s]+)', '\1"[secret]"', 'gi') AS redacted FROM conversations""")
+def redaction_json(spark, d):
+    """Values of secret fields replaced at any depth of a JSON document, whatever their kind."""
+    headers = F.struct(F.concat(F.lit("Bearer "), F.col("conv_id").cast("string")).alias("Authorization"), F.col("turn").alias("n"))
+    steps = F.array(F.struct(F.concat("role", F.lit('"x')).alias("password"), F.col("turn").alias("token")))
+    return table(spark, d, "conversations").select("conv_id", "turn", tx.redacted_json(F.to_json(F.struct("role", headers.alias("headers"), steps.alias("steps")))).alias("redacted"))
 
 
 @query()
 def redaction_secrets(spark, d):
-    """E-mail-like and secret-like text replaced; `redaction` covers addresses only, as its SQL does."""
+    """What `redaction` gives, tested against brute force in Python."""
     t = F.col("text")
     flags = t.rlike(tx.EMAIL).alias("had_email"), t.rlike(tx.SECRET).alias("had_secret")
     return table(spark, d, "documents").select("doc_id", *flags, F.sha2(tx.redacted(t).cast("binary"), 256).alias("redacted_hash"))
