@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
-
 from . import decontaminate, lm_scoring, mixing, sharding, simhash, token_counts, tool_calls, top_k, toxicity, warc
 
 QUERIES = {
@@ -17,7 +15,6 @@ QUERIES = {
     "op8_simhash": simhash.op8_simhash,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_shard": sharding.op10_shard,
-    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE_SQL = {
