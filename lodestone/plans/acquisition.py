@@ -12,27 +12,34 @@ from .registry import query
 
 H = "regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)', 1)"
 PATH = "regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+([^?#]*)', 1)"
-TITLE = "regexp_extract(html, '<title>([^<]*)</title>', 1)"
-H1 = "regexp_extract(html, '<h1>([^<]*)</h1>', 1)"
-N_LINKS = "CAST(len(regexp_extract_all(html, '<a href=')) AS INTEGER)"
-VISIBLE = "trim(regexp_replace(regexp_replace(regexp_replace(html, '<(script|style)[^>]*>[^<]*(<[^/][^<]*)*</(script|style)>', ' ', 'g'), '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g'))"
+TITLE_TAG, H1_TAG = r"(?i)<title[^>]*>([^<]*)</title>", r"(?i)<h1[^>]*>([^<]*)</h1>"
+#: A link with its target, in either kind of quotes.
+LINK_TAG = r"""(?i)<a\s[^>]*?href\s*=\s*["']([^"']*)["']"""
+_Q = "'" + LINK_TAG.replace("'", "''") + "'"
+TITLE, H1, LINKS = f"regexp_extract(html, '{TITLE_TAG}', 1)", f"regexp_extract(html, '{H1_TAG}', 1)", f"regexp_extract_all(html, {_Q}, 1)"
+N_LINKS = f"CAST(len({LINKS}) AS INTEGER)"
+VISIBLE = "trim(regexp_replace(regexp_replace(regexp_replace(html, '(?i)<(script|style)[^>]*>[^<]*(<[^/][^<]*)*</(script|style)>', ' ', 'g'), '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g'))"
 
 
 def title():
-    return F.regexp_extract("html", "<title>([^<]*)</title>", 1)
+    return F.regexp_extract("html", TITLE_TAG, 1)
 
 
 def heading():
-    return F.regexp_extract("html", "<h1>([^<]*)</h1>", 1)
+    return F.regexp_extract("html", H1_TAG, 1)
+
+
+def links():
+    return F.regexp_extract_all("html", F.lit(LINK_TAG), F.lit(1))
 
 
 def n_links():
-    return F.size(F.regexp_extract_all("html", F.lit("<a href="), F.lit(0)))
+    return F.size(links())
 
 
 def visible():
     """Page text without scripts, styles and tags."""
-    plain = F.regexp_replace("html", "<(script|style)[^>]*>[^<]*(<[^/][^<]*)*</(script|style)>", " ")
+    plain = F.regexp_replace("html", "(?i)<(script|style)[^>]*>[^<]*(<[^/][^<]*)*</(script|style)>", " ")
     return F.trim(F.regexp_replace(F.regexp_replace(plain, "<[^>]*>", " "), r"\s+", " "))
 
 
@@ -80,24 +87,32 @@ def url_duplicate_groups(spark, d):
     return table(spark, d, "pages").select("page_id", c.alias("canon_key")).groupBy("canon_key").agg(F.count("*").alias("n"), F.min("page_id").alias("first_page")).filter("n > 1")
 
 
+#: Markers of the validity cascade, in its order: class and pattern on the lower-case page (fixed values).
+MARKERS = [
+    ("RATE_LIMITED", "too many requests"), ("CHALLENGE_PAGE", "captcha|verify you are human"), ("AUTH_EXPIRED", "session (has )?expired"),
+    ("LOGIN_REQUIRED", 'type="password"'), ("JOB_CLOSED", "no longer available|position has been filled"),
+]
+_MARKED = {c: f"regexp_matches(low, '{m}')" for c, m in MARKERS}
 CLASS_SQL = f"""SELECT page_id, url, html,
-  CASE WHEN regexp_matches(lower(html), 'too many requests') THEN 'RATE_LIMITED' WHEN regexp_matches(lower(html), 'captcha') THEN 'CHALLENGE_PAGE'
-    WHEN regexp_matches(lower(html), 'type="password"') THEN 'LOGIN_REQUIRED' WHEN lower({TITLE}) LIKE '%not found%' THEN 'NOT_FOUND'
-    WHEN NOT regexp_matches(lower({H}), 'example\\.(com|net|org)$') THEN 'UNEXPECTED_REDIRECT'
-    WHEN {H1} <> '' AND strlen({VISIBLE}) >= 1500 THEN 'VALID_JOB' WHEN {N_LINKS} >= 6 THEN 'VALID_LIST'
-    WHEN strlen({VISIBLE}) < 200 THEN 'JS_SHELL' ELSE 'UNKNOWN' END AS class FROM pages"""
+  CASE WHEN {_MARKED['RATE_LIMITED']} THEN 'RATE_LIMITED' WHEN {_MARKED['CHALLENGE_PAGE']} THEN 'CHALLENGE_PAGE' WHEN {_MARKED['AUTH_EXPIRED']} THEN 'AUTH_EXPIRED'
+    WHEN {_MARKED['LOGIN_REQUIRED']} THEN 'LOGIN_REQUIRED' WHEN lower(title) LIKE '%not found%' THEN 'NOT_FOUND'
+    WHEN NOT regexp_matches(lower({H}), 'example\\.(com|net|org)$') THEN 'UNEXPECTED_REDIRECT' WHEN NOT regexp_matches(html, '^\\s*<') THEN 'UNEXPECTED_CONTENT' WHEN {_MARKED['JOB_CLOSED']} THEN 'JOB_CLOSED'
+    WHEN h1 <> '' AND n_chars >= 1500 THEN 'VALID_JOB' WHEN n_links >= 6 THEN 'VALID_LIST' WHEN n_links = 0 AND regexp_matches(low, '<(ul|ol|table)[ >]') THEN 'EMPTY'
+    WHEN n_chars < 200 THEN 'JS_SHELL' ELSE 'UNKNOWN' END AS class FROM (SELECT *, lower(html) AS low, {TITLE} AS title, {H1} AS h1, {N_LINKS} AS n_links, strlen({VISIBLE}) AS n_chars FROM pages)"""
 
 
 def page_classes(spark, d):
-    """The ordered validity cascade: first match wins."""
-    low = F.lower("html")
+    """The ordered validity cascade of thirteen classes: first match wins. What it looks at is worked out once for each page."""
+    p = table(spark, d, "pages").select("*", F.lower("html").alias("low"), title().alias("title"), heading().alias("h1"), n_links().alias("n_links"), F.octet_length(visible()).alias("n_chars"))
+    marked = {c: F.col("low").rlike(m) for c, m in MARKERS}
     cls = (
-        F.when(low.contains("too many requests"), "RATE_LIMITED").when(low.contains("captcha"), "CHALLENGE_PAGE").when(low.contains('type="password"'), "LOGIN_REQUIRED")
-        .when(F.lower(title()).contains("not found"), "NOT_FOUND").when(~ux.host(F.col("url")).rlike(r"example\.(com|net|org)$"), "UNEXPECTED_REDIRECT")
-        .when((heading() != "") & (F.octet_length(visible()) >= 1500), "VALID_JOB").when(n_links() >= 6, "VALID_LIST")
-        .when(F.octet_length(visible()) < 200, "JS_SHELL").otherwise("UNKNOWN")
+        F.when(marked["RATE_LIMITED"], "RATE_LIMITED").when(marked["CHALLENGE_PAGE"], "CHALLENGE_PAGE").when(marked["AUTH_EXPIRED"], "AUTH_EXPIRED").when(marked["LOGIN_REQUIRED"], "LOGIN_REQUIRED")
+        .when(F.lower("title").contains("not found"), "NOT_FOUND").when(~ux.host(F.col("url")).rlike(r"example\.(com|net|org)$"), "UNEXPECTED_REDIRECT")
+        .when(~F.col("html").rlike(r"^\s*<"), "UNEXPECTED_CONTENT").when(marked["JOB_CLOSED"], "JOB_CLOSED")
+        .when((F.col("h1") != "") & (F.col("n_chars") >= 1500), "VALID_JOB").when(F.col("n_links") >= 6, "VALID_LIST")
+        .when((F.col("n_links") == 0) & F.col("low").rlike("<(ul|ol|table)[ >]"), "EMPTY").when(F.col("n_chars") < 200, "JS_SHELL").otherwise("UNKNOWN")
     )
-    return table(spark, d, "pages").withColumn("class", cls)
+    return p.select("page_id", "url", "html", cls.alias("class"))
 
 
 @query(f"SELECT page_id, class FROM ({CLASS_SQL})")
@@ -125,9 +140,9 @@ def escalation_tasks(spark, d):
     return p.select("page_id", F.lit("BROWSER").alias("execution_class"), tx.key_of(F.lit("DETAIL"), F.col("page_id"), F.lit("BROWSER")).alias("request_key"))
 
 
-@query("SELECT DISTINCT sha256('DETAIL' || chr(1) || href) AS logical_key, href FROM (SELECT unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)) AS href FROM pages)")
+@query(f"SELECT DISTINCT sha256('DETAIL' || chr(1) || href) AS logical_key, href FROM (SELECT unnest({LINKS}) AS href FROM pages)")
 def child_tasks(spark, d):
-    hrefs = table(spark, d, "pages").select(F.explode(F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), F.lit(1))).alias("href"))
+    hrefs = table(spark, d, "pages").select(F.explode(links()).alias("href"))
     return hrefs.select(tx.key_of(F.lit("DETAIL"), F.col("href")).alias("logical_key"), "href").distinct()
 
 
@@ -137,10 +152,9 @@ def html_title_extract(spark, d):
     return table(spark, d, "pages").select("page_id", F.coalesce(F.nullif(heading(), F.lit("")), F.nullif(title(), F.lit(""))).alias("title"), ((heading() == "") & (title() == "")).alias("review"))
 
 
-@query("SELECT page_id, CAST(len(l) AS INTEGER) AS n_links, CAST(len(list_distinct(l)) AS INTEGER) AS n_distinct FROM (SELECT page_id, regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1) AS l FROM pages)")
+@query("SELECT page_id, CAST(len(l) AS INTEGER) AS n_links, CAST(len(list_distinct(l)) AS INTEGER) AS n_distinct FROM (SELECT page_id, " + LINKS + " AS l FROM pages)")
 def html_link_fanout(spark, d):
-    links = F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), F.lit(1))
-    return table(spark, d, "pages").select("page_id", F.size(links).alias("n_links"), F.size(F.array_distinct(links)).alias("n_distinct"))
+    return table(spark, d, "pages").select("page_id", n_links().alias("n_links"), F.size(F.array_distinct(links())).alias("n_distinct"))
 
 
 FINGERPRINTS = [("boards", "url", r"\.example\.com", 0.5), ("boards", "html", r"track\(", 0.3), ("mobile", "url", r"//m\.", 0.7), ("network", "url", r"\.example\.net", 0.6), ("network", "html", 'class="ad"', 0.2), ("archive", "url", r"\.html", 0.4)]
@@ -239,24 +253,28 @@ def json_scan(spark, d):
     return table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("int").alias("k"))
 
 
-LD = '<script type="application/ld+json">{"@type":"JobPosting","title":"Data Engineer","jobLocation":{"address":{"addressCountry":"DE"}}}</script>'
-LD2 = '<p>x</p><script type="application/ld+json">{"@type":"JobPosting","title":"Nurse","jobLocation":{"address":{"addressCountry":"FR"}}}</script>'
-
-
-@query("SELECT * FROM (VALUES (1, 'Data Engineer', 'DE'), (2, 'Nurse', 'FR'), (3, NULL, NULL)) t(page, title, country)")
+@query("""SELECT p_partkey AS page, CASE WHEN p_partkey % 5 <> 0 THEN p_name END AS title, CASE WHEN p_partkey % 5 <> 0 THEN p_brand END AS company, CASE WHEN p_partkey % 5 <> 0 THEN CAST(floor(p_retailprice) AS BIGINT) END AS pay FROM part""")
 def jsonld_scan(spark, d):
-    pages = spark.createDataFrame([(1, LD), (2, LD2), (3, '<script type="application/ld+json">{broken</script>')], "page int, html string")
-    block = F.regexp_extract("html", r'(?s)<script type="application/ld\+json">(.*?)</script>', 1)
-    return pages.select("page", F.get_json_object(block, "$.title").alias("title"), F.get_json_object(block, "$.jobLocation.address.addressCountry").alias("country"))
-
-
-SITEMAP = "<urlset><url><loc>https://a.example.com/1</loc><lastmod>2024-02-01</lastmod></url><url><loc>https://a.example.com/2</loc><lastmod>2024-01-01</lastmod></url><url><loc>https://a.example.com/3</loc><lastmod>2024-03-01</lastmod></url></urlset>"
-
-
-@query("SELECT * FROM (VALUES ('https://a.example.com/1', '2024-02-01'), ('https://a.example.com/3', '2024-03-01')) t(loc, lastmod)")
+    """JSON-LD blocks of pages, made of the jobs and read back; a block that is no JSON gives nothing, and no error."""
+    p = table(spark, d, "part")
+    posting = F.to_json(F.struct(F.lit("JobPosting").alias("@type"), F.col("p_name").alias("title"), F.struct(F.col("p_brand").alias("name")).alias("hiringOrganization"), F.struct(F.struct(F.floor("p_retailprice").alias("value")).alias("value")).alias("baseSalary")))
+    block = F.when(F.col("p_partkey") % 5 == 0, "{broken").otherwise(posting)
+    html = F.concat(F.lit("<html><head><SCRIPT type='application/ld+json'>\n"), block, F.lit("\n</script></head><body>x</body></html>"))
+    found = F.regexp_extract("html", r"""(?is)<script[^>]*type\s*=\s*["']application/ld\+json["'][^>]*>(.*?)</script>""", 1)
+    pages = p.select(F.col("p_partkey").alias("page"), html.alias("html")).select("page", found.alias("ld"))
+    return pages.select("page", F.get_json_object("ld", "$.title").alias("title"), F.get_json_object("ld", "$.hiringOrganization.name").alias("company"), F.get_json_object("ld", "$.baseSalary.value.value").cast("long").alias("pay"))
+
+
+@query("""SELECT 'https://s' || o_custkey || '.example.com/' || o_orderkey AS loc, strftime(o_orderdate, '%Y-%m-%d') AS lastmod FROM orders LEFT JOIN (SELECT l_orderkey, max(l_shipdate) AS seen FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey
+WHERE seen IS NULL OR CAST(o_orderdate AS DATE) > CAST(seen AS DATE)""")
 def sitemap_scan(spark, d):
-    """Only locations that changed since they were last seen, or never were, become tasks."""
-    xml = spark.createDataFrame([(SITEMAP,)], "xml string")
-    entries = xml.select(F.explode(F.arrays_zip(F.xpath("xml", F.lit("/urlset/url/loc/text()")).alias("loc"), F.xpath("xml", F.lit("/urlset/url/lastmod/text()")).alias("lastmod"))).alias("e")).select("e.loc", "e.lastmod")
-    seen = spark.createDataFrame([("https://a.example.com/1", "2024-01-15"), ("https://a.example.com/2", "2024-01-15")], "loc string, last_seen string")
-    return entries.join(seen, "loc", "left").filter("last_seen is null or lastmod > last_seen").select("loc", "lastmod")
+    """Sitemaps, one for each source, made of the orders and read back; only what is newer than its last sighting becomes a task."""
+    o = table(spark, d, "orders")
+    site = F.concat(F.lit("https://s"), F.col("o_custkey").cast("string"), F.lit(".example.com/"))
+    entry = F.concat(F.lit("<url><loc>"), site, F.col("o_orderkey").cast("string"), F.lit("</loc><lastmod>"), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("</lastmod></url>"))
+    # a sitemap file has a bounded number of entries by its standard; here a source's orders of a thousand keys
+    xml = o.groupBy("o_custkey", (F.col("o_orderkey") / 1000).cast("long").alias("file")).agg(F.concat(F.lit("<urlset>"), F.array_join(F.collect_list(entry), ""), F.lit("</urlset>")).alias("xml"))
+    both = F.arrays_zip(F.xpath("xml", F.lit("/urlset/url/loc/text()")).alias("loc"), F.xpath("xml", F.lit("/urlset/url/lastmod/text()")).alias("lastmod"))
+    entries = xml.select(F.explode(both).alias("e")).select("e.loc", "e.lastmod", F.regexp_extract("e.loc", "([0-9]+)$", 1).cast("long").alias("key"))
+    seen = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("key")).agg(F.date_format(F.max("l_shipdate"), "yyyy-MM-dd").alias("seen"))
+    return entries.join(seen, "key", "left").filter("seen is null or lastmod > seen").select("loc", "lastmod")

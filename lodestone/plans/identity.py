@@ -151,21 +151,43 @@ def language_vote(spark, d):
     return votes.groupBy("lang", pick.alias("predicted")).agg(F.count("*").alias("n"))
 
 
-PAY = "'EUR ' || CAST(CAST(floor(p_retailprice) AS BIGINT) AS VARCHAR) || CASE WHEN p_size % 2 = 0 THEN ' - ' || CAST(CAST(floor(p_retailprice) AS BIGINT) + p_size AS VARCHAR) ELSE '' END || CASE WHEN p_size % 3 = 0 THEN ' per day' ELSE ' per month' END"
-
-
-@query(f"""SELECT p_partkey, salary_text, CAST(regexp_extract(salary_text, '([0-9]+)', 1) AS BIGINT) AS salary_min, coalesce(try_cast(nullif(regexp_extract(salary_text, '- ([0-9]+)', 1), '') AS BIGINT), CAST(regexp_extract(salary_text, '([0-9]+)', 1) AS BIGINT)) AS salary_max,
-  regexp_extract(salary_text, '^([A-Z]+)', 1) AS currency, upper(regexp_extract(salary_text, 'per ([a-z]+)', 1)) AS period FROM (SELECT p_partkey, {PAY} AS salary_text FROM part)""")
+#: Periods as they are written, and how many of each make a year (fixed values).
+PERIODS = [("hour", 2080), ("day", 260), ("week", 52), ("month", 12), ("year", 1)]
+_LOW, _HIGH = "CAST(floor(p_retailprice) AS BIGINT) * 10", "CAST(floor(p_retailprice) AS BIGINT) * 10 + p_size"
+_FACTOR = "CASE p_partkey % 5 " + " ".join(f"WHEN {i} THEN {n}" for i, (_, n) in enumerate(PERIODS)) + " END"
+
+
+def pay_texts(spark, d):
+    """Pay as job pages write it: ranges or single amounts, separators, thousands as k, currency before or behind, several periods."""
+    low, high = F.floor("p_retailprice") * 10, F.floor("p_retailprice") * 10 + F.col("p_size")
+    amount = [F.format_number(low, 0), low.cast("string"), F.concat(F.format_string("%.2f", low / 1000.0), F.lit("k"))]
+    first = F.when(F.col("p_partkey") % 3 == 0, amount[0]).when(F.col("p_partkey") % 3 == 1, amount[1]).otherwise(amount[2])
+    span = F.when((F.col("p_partkey") % 3 != 2) & (F.col("p_size") % 2 == 0), F.concat(first, F.lit(" - "), high.cast("string"))).otherwise(first)
+    period = F.element_at(F.array(*[F.lit(p) for p, _ in PERIODS]), (F.col("p_partkey") % len(PERIODS) + 1).cast("int"))
+    currency = F.when(F.col("p_size") % 3 == 0, "EUR").when(F.col("p_size") % 3 == 1, "$").otherwise("£")
+    text = F.when(F.col("p_size") % 5 == 0, F.concat(span, F.lit(" "), currency)).otherwise(F.concat(currency, F.lit(" "), span))
+    return table(spark, d, "part").select("p_partkey", F.when(F.col("p_partkey") % 11 == 0, "competitive").otherwise(F.concat(text, F.lit(" per "), period)).alias("salary_text"))
+
+
+@query(f"""SELECT p_partkey, salary_min, salary_max, currency, period, salary_max * factor AS annual_max FROM (SELECT p_partkey, {_FACTOR} AS factor,
+  {_LOW} AS salary_min, CASE WHEN p_partkey % 3 <> 2 AND p_size % 2 = 0 THEN {_HIGH} ELSE {_LOW} END AS salary_max, CASE p_size % 3 WHEN 0 THEN 'EUR' WHEN 1 THEN 'USD' ELSE 'GBP' END AS currency, ['HOUR', 'DAY', 'WEEK', 'MONTH', 'YEAR'][p_partkey % 5 + 1] AS period FROM part WHERE p_partkey % 11 <> 0)
+UNION ALL SELECT p_partkey, NULL, NULL, NULL, NULL, NULL FROM part WHERE p_partkey % 11 = 0""")
 def salary_parse(spark, d):
-    """Range or single amount, currency and period; the original text is kept."""
-    low = F.floor("p_retailprice")
-    made = F.concat(F.lit("EUR "), low.cast("string"), F.when(F.col("p_size") % 2 == 0, F.concat(F.lit(" - "), (low + F.col("p_size")).cast("string"))).otherwise(""), F.when(F.col("p_size") % 3 == 0, " per day").otherwise(" per month"))
+    """Amounts, currency and period out of pay texts, and the year's pay; a text without an amount stays unknown. The SQL knows the numbers, not the texts."""
     t = F.col("salary_text")
-    first = F.regexp_extract(t, "([0-9]+)", 1).cast("long")
-    upper = F.regexp_extract(t, "- ([0-9]+)", 1)
-    return table(spark, d, "part").select("p_partkey", made.alias("salary_text")).select(
-        "p_partkey", "salary_text", first.alias("salary_min"), F.coalesce(F.when(upper != "", upper.cast("long")), first).alias("salary_max"),
-        F.regexp_extract(t, "^([A-Z]+)", 1).alias("currency"), F.upper(F.regexp_extract(t, "per ([a-z]+)", 1)).alias("period"))
+    number = r"([0-9][0-9,.]*k?)"
+
+    def amount(found):
+        plain = F.regexp_replace(found, "[,k]", "").cast("double")
+        return F.when(found != "", F.round(F.when(found.endswith("k"), plain * 1000).otherwise(plain)).cast("long"))
+
+    low = amount(F.regexp_extract(t, number, 1))
+    high = amount(F.regexp_extract(t, r"- " + number, 1))
+    currency = F.when(t.rlike(r"EUR|€"), "EUR").when(t.rlike(r"USD|\$"), "USD").when(t.rlike("GBP|£"), "GBP")
+    period = F.upper(F.nullif(F.regexp_extract(t, "per ([a-z]+)", 1), F.lit("")))
+    factor = F.create_map(*[F.lit(x) for p, n in PERIODS for x in (p.upper(), n)])
+    parsed = pay_texts(spark, d).select("p_partkey", low.alias("salary_min"), F.coalesce(high, low).alias("salary_max"), currency.alias("currency"), period.alias("period"))
+    return parsed.withColumn("annual_max", F.col("salary_max") * F.try_element_at(factor, F.col("period")))
 
 
 @query("""WITH fx(rate_date, version, rate) AS (VALUES (TIMESTAMP '1994-01-01', 'v1', 1.1), (TIMESTAMP '1996-01-01', 'v2', 1.2), (TIMESTAMP '1998-07-01', 'v3', 1.3), (TIMESTAMP '2000-01-01', 'v4', 1.4))
@@ -196,10 +218,24 @@ def company_resolution(spark, d):
     return both.groupBy("company").agg(F.count("*").alias("n"), F.min("member").alias("first_member")).filter("n > 1")
 
 
-@query("SELECT n_nationkey, upper(n_name) AS country, lower(r_name) AS region, CAST(regexp_extract(n_name, '([0-9]+)', 1) AS INTEGER) AS number, r_name = 'ASIA' AS remote FROM nation JOIN region ON n_regionkey = r_regionkey")
+@query("SELECT s_suppkey, n_name AS country, CASE WHEN s_suppkey % 4 = 0 THEN NULL ELSE r_name END AS region, s_suppkey % 3 = 0 AS remote, CASE WHEN s_suppkey % 2 = 0 THEN CAST(s_suppkey % 12 AS INTEGER) END AS utc_offset FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
 def location_parse(spark, d):
-    r = F.broadcast(table(spark, d, "region"))  # a fixed dimension of a few rows
-    return table(spark, d, "nation").join(r, F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", F.upper("n_name").alias("country"), F.lower("r_name").alias("region"), F.regexp_extract("n_name", "([0-9]+)", 1).cast("int").alias("number"), (F.col("r_name") == "ASIA").alias("remote"))
+    """Country, region, remote and offset out of texts such as "Remote - NATION_3, ASIA (UTC+5)"; a part that is not written is unknown."""
+    places = table(spark, d, "nation").join(F.broadcast(table(spark, d, "region")), F.col("n_regionkey") == F.col("r_regionkey"))  # fixed dimensions of a few rows
+    s = table(spark, d, "supplier").join(F.broadcast(places), F.col("s_nationkey") == F.col("n_nationkey"))
+    none = F.lit("")
+    written = F.concat(
+        F.when(F.col("s_suppkey") % 3 == 0, "Remote - ").otherwise(none), "n_name", F.when(F.col("s_suppkey") % 4 == 0, none).otherwise(F.concat(F.lit(", "), "r_name")),
+        F.when(F.col("s_suppkey") % 2 == 0, F.concat(F.lit(" (UTC+"), (F.col("s_suppkey") % 12).cast("string"), F.lit(")"))).otherwise(none),
+    )
+    t = F.col("location_text")
+
+    def part(pattern):
+        return F.nullif(F.regexp_extract(t, pattern, 1), F.lit(""))
+
+    return s.select("s_suppkey", written.alias("location_text")).select(
+        "s_suppkey", part(r"^(?i:remote\s*-\s*)?([^,(]+?)\s*(?:[,(]|$)").alias("country"), part(r",\s*([^(]+?)\s*(?:\(|$)").alias("region"),
+        t.rlike(r"(?i)\bremote\b").alias("remote"), part(r"UTC([+-][0-9]{1,2})").cast("int").alias("utc_offset"))
 
 
 @query("SELECT sha256(CAST(user_id AS VARCHAR) || chr(1) || event_type || chr(1) || (props->>'$.k')) AS request_key, count(*) AS n FROM events GROUP BY 1")
