@@ -194,7 +194,7 @@ def link(events: DataFrame) -> DataFrame:
         .when(result & (calls_of == 0), "orphan").when(result & (F.col("turn") > F.col("_first")), "extra").when(result, "linked").otherwise("message")
     )
     level = F.when(call & F.col("_key").isNull(), 0).when(call, F.col("level")).when(result & (calls_of > 0), F.col("level") + 1).otherwise(0)
-    linked = keyed.hint("shuffle_hash").join(known, keyed["_deal"] == known["_id"], "left").withColumn("_status", status).withColumn("level", level.cast("int"))
+    linked = keyed.join(known.hint("merge"), keyed["_deal"] == known["_id"], "left").withColumn("_status", status).withColumn("level", level.cast("int"))
     linked = materialise(linked.select(*events.columns, F.col("_status").alias("status"), "level", F.floor(F.col("turn") / BUCKET).alias("_bucket")), "linked")
     counts = linked.groupBy("conv_id", "level", "_bucket").agg(F.count("*").alias("_n"))
     earlier = Window.partitionBy("conv_id").orderBy(F.asc_nulls_last("level"), F.asc_nulls_last("_bucket")).rowsBetween(Window.unboundedPreceding, -1)
