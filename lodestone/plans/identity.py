@@ -65,7 +65,7 @@ def duplicate_components(spark, d):
 
 
 CHAIN_SQL = """
-WITH RECURSIVE e AS (SELECT vec_id AS a, vec_id + label + 1 AS b FROM embeddings WHERE vec_id % 3 <> 0 AND vec_id + label + 1 <= (SELECT max(vec_id) FROM embeddings)),
+WITH RECURSIVE e AS (SELECT vec_id AS a, vec_id + label + 1 AS b FROM embeddings WHERE vec_id + label + 1 <= (SELECT max(vec_id) FROM embeddings)),
 s AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
 r AS (SELECT a AS node, a AS root FROM s UNION SELECT s.b, r.root FROM r JOIN s ON r.node = s.a)
 SELECT node, min(root) AS root FROM r GROUP BY 1
@@ -74,10 +74,10 @@ SELECT node, min(root) AS root FROM r GROUP BY 1
 
 @query(CHAIN_SQL)
 def merge_closure(spark, d):
-    """Transitive merge chains over a generated evidence graph, against a recursive query."""
+    """Transitive merge chains over an evidence graph of all rows, against a recursive query."""
     v = table(spark, d, "embeddings")
     top = v.agg(F.max("vec_id").alias("top"))
-    e = v.filter("vec_id % 3 <> 0").select(F.col("vec_id").alias("a"), (F.col("vec_id") + F.col("label") + 1).alias("b")).join(F.broadcast(top), F.col("b") <= F.col("top")).select("a", "b")
+    e = v.select(F.col("vec_id").alias("a"), (F.col("vec_id") + F.col("label") + 1).alias("b")).join(F.broadcast(top), F.col("b") <= F.col("top")).select("a", "b")
     return ledger.closure(e)
 
 
