@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..functions import url as ux
 from ..operators import ledger
+from ..operators.recipes import compiled
 from ..policy import POLICY
 from ..sources.tables import table
+from .acquisition import CANON_SQL, ORIGIN_SQL, PATH, linked_to_least, origins
 from .registry import query
 
 SCHEMA_VERSION = 1
@@ -210,3 +212,51 @@ def link_targets(spark, d):
     hrefs = table(spark, d, "pages").select(F.explode(F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), F.lit(1))).alias("href")).distinct()
     plain = hrefs.filter("href like '/%' and href not like '//%'").filter(~F.col("href").contains("/.") & ~F.col("href").contains("#"))
     return plain.select(ux.resolved(F.lit("https://host.example/a/b?c=1"), F.col("href")).alias("target")).distinct()
+
+
+RECIPE = {"version": 1, "fields": {
+    "title": [{"kind": "meta", "name": "og:title"}, {"kind": "tag", "name": "h1"}, {"kind": "tag", "name": "title"}],
+    "language": [{"kind": "attribute", "tag": "html", "name": "lang"}],
+    "first_link": [{"kind": "attribute", "tag": "a", "name": "href"}],
+    "pay": [{"kind": "json_ld", "path": "baseSalary"}],
+}}
+
+
+@query("""SELECT page_id, coalesce(nullif(trim(regexp_extract(html, '(?i)<h1[^>]*>([^<]*)</h1>', 1)), ''), nullif(trim(regexp_extract(html, '(?i)<title[^>]*>([^<]*)</title>', 1)), '')) AS title,
+  nullif(trim(regexp_extract(html, '(?i)<html[^>]* lang="([^"]*)"', 1)), '') AS language, nullif(trim(regexp_extract(html, '(?i)<a [^>]*href="([^"]*)"', 1)), '') AS first_link, CAST(NULL AS VARCHAR) AS pay FROM pages""")
+def recipe_extract(spark, d):
+    """A recipe of data, compiled to the columns of one scan."""
+    return table(spark, d, "pages").select("page_id", *compiled(RECIPE))
+
+
+_LADDER = "CASE WHEN regexp_matches(email, '^(jobs|careers|hr|recruit)') THEN 1 WHEN regexp_matches(email, '^(info|contact|office)') THEN 2 ELSE 3 END"
+
+
+@query(f"""SELECT domain, arg_min(email, {{'r': rank, 'e': email}}) AS email, min(rank) AS rank, count(*) AS n FROM (SELECT DISTINCT email, split_part(email, '@', 2) AS domain, {_LADDER} AS rank FROM (
+  SELECT lower(unnest(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{{2,}}'))) AS email FROM documents)) GROUP BY 1""")
+def contact_ladder(spark, d):
+    """The best contact of each domain by a ladder of kinds; only addresses that are written somewhere, none inferred."""
+    found = table(spark, d, "documents").select(F.explode(F.regexp_extract_all("text", F.lit(tx.EMAIL), F.lit(0))).alias("email")).select(F.lower("email").alias("email")).distinct()
+    rank = F.when(F.col("email").rlike("^(jobs|careers|hr|recruit)"), 1).when(F.col("email").rlike("^(info|contact|office)"), 2).otherwise(3)
+    ranked = found.select("email", F.split_part("email", F.lit("@"), F.lit(2)).alias("domain"), rank.alias("rank"))
+    return ranked.groupBy("domain").agg(F.min_by("email", F.struct("rank", "email")).alias("email"), F.min("rank").alias("rank"), F.count("*").alias("n"))
+
+
+@query(f"""WITH o AS ({ORIGIN_SQL}), c AS (SELECT page_id, regexp_replace(canon_url, '\\?.*$', '') AS canon FROM ({CANON_SQL})), p AS (SELECT page_id, {PATH} AS path FROM pages),
+l AS (SELECT page_id, min(page_id) OVER (PARTITION BY canon) AS root, 1 AS stage FROM c UNION ALL SELECT page_id, min(page_id) OVER (PARTITION BY provider, job_id), 2 FROM o WHERE job_id <> ''
+  UNION ALL SELECT page_id, min(page_id) OVER (PARTITION BY path), 3 FROM p WHERE regexp_matches(path, '[0-9]') AND len(string_split(path, '/')) >= 3)
+SELECT page_id AS absorbed, arg_min(root, {{'s': stage, 'r': root}}) AS kept, min(stage) AS stage FROM l WHERE root <> page_id GROUP BY 1""")
+def match_ledger(spark, d):
+    """Stages 1 to 3 as one ledger: same page, same origin, same job-specific path; the strongest stage speaks for a page."""
+    pages = table(spark, d, "pages")
+    canon = F.regexp_replace(ux.canonical(F.col("url")), r"\?.*$", "")
+    stages = [
+        (1, pages.select("page_id", canon.alias("canon")), ["canon"]),
+        (2, origins(spark, d).filter("job_id <> ''"), ["provider", "job_id"]),
+        (3, pages.select("page_id", ux.path(F.col("url")).alias("p")).filter(F.col("p").rlike("[0-9]") & (F.size(F.split("p", "/")) >= 3)), ["p"]),
+    ]
+    out = None
+    for stage, rows, keys in stages:
+        own = linked_to_least(rows, keys).withColumn("stage", F.lit(stage))
+        out = own if out is None else out.unionByName(own)
+    return out.groupBy(F.col("page_b").alias("absorbed")).agg(F.min_by("page_a", F.struct("stage", "page_a")).alias("kept"), F.min("stage").alias("stage"))
