@@ -140,7 +140,7 @@ def _record_rows(chunks: DataFrame) -> DataFrame:
 
 def write_archives(pages: DataFrame, path: str) -> None:
     """Write a WARC record for each row of pages (page_id, url, html) to gzipped archives under path."""
-    chunks = materialise(chunk_table(pages), "chunks")
+    chunks = materialise(chunk_table(pages), "chunks", "zstd")
     whole = chunks.filter("last").select("record", "page_id", "digest", "size", (F.col("chunk") + 1).alias("chunks"))
     typed = whole.join(materialise(revisits(whole), "revisits"), "record", "left").drop("page_id")
     # dealt by record once, which the join keeps: a record's chunks are one task's, in order

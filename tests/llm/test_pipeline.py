@@ -9,7 +9,6 @@ import re
 from collections import Counter
 
 import pytest
-from pyspark.sql import functions as F
 
 import corpus_pipeline as P
 from lodestone.llm import decontaminate, sharding, toxicity
