@@ -229,7 +229,9 @@ def annotate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, column
         return spark.sparkContext.broadcast(pickle.dumps(SuffixAutomaton([], window)) if k is None else bytes(built.filter(F.col("shard") == k).first()["automaton"]))
 
     if len(shards) <= 1:
-        return docs.withColumn(column, F.arrow_udf(_scan(shared(shards[0] if shards else None), clean), RESULT)("text"))
+        # as nondeterministic the scan is not repeated for a filter on what it finds
+        scan = F.arrow_udf(_scan(shared(shards[0] if shards else None), clean), RESULT).asNondeterministic()
+        return docs.withColumn(column, scan("text"))
     (row, found) = fresh(docs.columns + [column], "row", "found")
     rows = materialise(docs.withColumn(row, F.monotonically_increasing_id()), "documents")
     parts = None
