@@ -278,6 +278,18 @@ def test_phrases_meet_again_at_other_offsets():
     assert (np.diff(np.append(starts, len(ids))) <= lm_scoring.PHRASE).all() and starts[0] == 0
 
 
+def test_hot_prefixes_are_dealt_on(spark, monkeypatch):
+    """Words that share a prefix are dealt by more of it; counts stay, and scores differ only by what the prefix predictor keeps silent on."""
+    rng = random.Random(7)
+    rows = [(i, " ".join(f"http{rng.choice('abc')}{rng.randrange(40)}.org" for _ in range(30)), "en", "a", 1) for i in range(60)]
+    one = {r["doc_id"]: r for r in lm(spark, rows)}
+    monkeypatch.setattr(lm_scoring, "HOT_WORDS", 5)
+    two = {r["doc_id"]: r for r in lm(spark, rows)}
+    for i, r in one.items():
+        assert (r["n_known"], r["base_score"], r["train_tokens"]) == (two[i]["n_known"], two[i]["base_score"], two[i]["train_tokens"])
+        assert math.isclose(r["score"], two[i]["score"], rel_tol=0.25)
+
+
 def test_language_model_without_rows(spark):
     assert lm(spark, []) == []
     only = lm(spark, [(i, "q", "en", "a", 1) for i in range(200) if zlib.crc32(str(i).encode()) % 10 == 0])
