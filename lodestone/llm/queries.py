@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, lm_scoring, mixing, sharding, simhash, token_counts, tool_calls, top_k, toxicity, warc
+from . import decontaminate, licences, lm_scoring, mixing, sharding, simhash, spelling, token_counts, tool_calls, top_k, toxicity, vector_codes, warc
 
 QUERIES = {
     "op1_lm_score": lm_scoring.op1_lm_score,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_simhash": simhash.op8_simhash,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_shard": sharding.op10_shard,
+    "op11_spelling": spelling.op11_spelling,
+    "op12_vector_codes": vector_codes.op12_vector_codes,
+    "op13_licences": licences.op13_licences,
 }
 
 ORACLE_SQL = {
@@ -23,4 +26,5 @@ ORACLE_SQL = {
     "op4_decontaminate": decontaminate.OP4_SQL,
     "op5_mix": mixing.OP5_SQL,
     "op6_tool_calls": tool_calls.OP6_SQL,
+    "op12_vector_codes": vector_codes.OP12_SQL,
 }
