@@ -5,10 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .expressions import let
+
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
-SECRET = r"(?i)(api[_-]?key|token|secret|password)\s*[:=]\s*\S+"
-#: A field of a JSON text whose value is secret, with that value (fixed field names).
-SECRET_FIELD = r'(?i)("(?:authorization|cookie|password|secret|token|api[_-]?key)"\s*:\s*)("(?:[^"\\]|\\.)*"|[^,}\]\s]+)'
+_S = r"[ \t\n\f\r]"
+#: What is removed from texts before they are kept, in this order: patterns that Java and RE2 read alike, and what stays of a match (fixed values).
+REDACTIONS = [
+    # user and password in a URL
+    (r"([A-Za-z][A-Za-z0-9+.-]*://)[^/@: \t\n\f\r]+:[^/@ \t\n\f\r]+@", ("", 1, "[secret]@")),
+    # whole values of secret headers, up to the line's end
+    (rf"""(?i)((?:proxy-)?authorization|(?:set-)?cookie|x-api-key|x-auth-token)(\\?["']?{_S}*[:=])[^\r\n]*""", ("", 1, "", 2, " [secret]")),
+    (r"(?i)(bearer)[ \t]+[A-Za-z0-9._~+/=-]{6,}", ("", 1, " [secret]")),
+    # fields and parameters of secret names, with what they are set to: quoted, in brackets, or up to the next blank or separator
+    (rf"""(?i)([A-Za-z0-9_-]*(?:api[_-]?key|token|secret|passw(?:or)?d|passphrase|credential|private[_-]?key|session[_-]?id|storage[_-]?state)[A-Za-z0-9_-]*)(\\?["']?{_S}*[:=]{_S}*)(?:\\?"(?:[^"\\]+|\\.)*"?|'[^']*'?|\[[^\]]*\]?|\{{[^}}]*\}}?|[^&,;}}\] \t\n\f\r]+)""", ("", 1, "", 2, "[secret]")),
+    (EMAIL, ("[email]",)),
+    # the user's name in a local path
+    (r"""(?i)([a-z]:\\users\\|/home/|/users/)[^\\/"' \t\n\f\r]+""", ("", 1, "[user]")),
+]
+SECRET = REDACTIONS[3][0]
+#: A field of this name, reduced to its letters, is secret whatever it holds.
+SECRET_NAME = "authorization|cookie|passwd|password|passphrase|secret|token|apikey|credential|privatekey|sessionid|storagestate"
 FORMULA_START = r"^[=+\-@\t\r]"
 
 
@@ -49,10 +65,74 @@ def csv_safe(text: Column) -> Column:
     return F.when(text.rlike(FORMULA_START), F.concat(F.lit("'"), text)).otherwise(text)
 
 
+def replacement(parts: tuple, group: str) -> str:
+    """What a match becomes, in the notation of an engine: its mark before a group's number."""
+    return "".join(p if isinstance(p, str) else f"{group}{p}" for p in parts)
+
+
 def redacted(text: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(text, EMAIL, "[email]"), SECRET, "[secret]")
+    """Text without addresses and secrets."""
+    for pattern, kept in REDACTIONS:
+        text = F.regexp_replace(text, pattern, replacement(kept, "$"))
+    return text
+
+
+_JSON_TOKEN = r'"(?:[^"\\]++|\\.)*+"|[{}\[\],:]|[^\s{}\[\],:"]++'
+_WALK = "struct<depth:int,hide:int,start:int,spans:array<struct<a:int,b:int>>>"
+
+
+def _string(token: Column) -> Column:
+    """What a JSON string says."""
+    plain = F.substring(token, F.lit(2), F.length(token) - 2)
+    return F.when(token.contains("\\"), F.get_json_object(F.concat(F.lit('{"v":'), token, F.lit("}")), "$.v")).otherwise(plain)
+
+
+def _written(text: Column) -> Column:
+    """A text as a JSON string."""
+    record = F.to_json(F.struct(text.alias("v")))
+    return F.substring(record, F.lit(6), F.length(record) - 6)
+
+
+def redacted_json(text: Column, embedded: int = 1) -> Column:
+    """JSON with secret fields replaced at any depth, whatever they hold, and addresses and secrets in all other strings; still JSON.
+
+    The tokens of the text are read once. A fold over the brackets finds the objects and arrays that are values of secret fields;
+    each becomes one string, as do plain values of such fields. Strings that hold JSON themselves are walked
+    in the same way, embedded levels deep. What is no JSON is redacted as text. White space between tokens goes.
+    """
+
+    def walked(tokens: Column) -> Column:
+        def secret(i: Column) -> Column:
+            """Whether token i is the value of a secret field."""
+            name = F.lower(F.regexp_replace(_string(F.get(tokens, i - 2)), "[^A-Za-z]", ""))
+            return (F.get(tokens, i - 1) == ":") & F.coalesce(name.rlike(SECRET_NAME), F.lit(False))
+
+        brackets = F.filter(F.transform(tokens, lambda t, i: F.struct(t.alias("t"), i.alias("i"))), lambda x: x["t"].isin("{", "[", "}", "]"))
+
+        def step(s: Column, x: Column) -> Column:
+            opens = x["t"].isin("{", "[")
+            hides = opens & (s["hide"] == 0) & F.coalesce(secret(x["i"]), F.lit(False))
+            shows = ~opens & (s["depth"] == s["hide"])
+            span = F.array(F.struct(s["start"].alias("a"), x["i"].alias("b")))
+            return F.struct(
+                F.when(opens, s["depth"] + 1).otherwise(s["depth"] - 1).alias("depth"),
+                F.when(hides, s["depth"] + 1).when(shows, 0).otherwise(s["hide"]).alias("hide"),
+                F.when(hides, x["i"]).otherwise(s["start"]).alias("start"),
+                F.when(shows, F.concat(s["spans"], span)).otherwise(s["spans"]).alias("spans"),
+            )
+
+        start = F.from_json(F.lit('{"depth":0,"hide":0,"start":0,"spans":[]}'), _WALK)
+
+        def shown(spans: Column) -> Column:
+            def one(t: Column, i: Column) -> Column:
+                value = F.when(F.get(tokens, i + 1) == ":", t).otherwise(let(_string(t), lambda v: let(redacted_json(v, embedded - 1) if embedded else redacted(v), lambda r: F.when(r == v, t).otherwise(_written(r)))))
+                plain = F.when(t.startswith('"'), value).otherwise(t)
+                hidden = F.when(t.isin("}", "]", ",", ":"), t).when(F.coalesce(secret(i), F.lit(False)), F.lit('"[secret]"')).otherwise(plain)
+                return F.when(F.exists(spans, lambda s: s["a"] == i), F.lit('"[secret]"')).when(F.exists(spans, lambda s: (s["a"] < i) & (i <= s["b"])), "").otherwise(hidden)
+
+            return F.array_join(F.transform(tokens, one), "")
 
+        return let(F.aggregate(brackets, start, step)["spans"], shown)
 
-def redacted_json(text: Column) -> Column:
-    """JSON text with the values of secret fields replaced, at any depth."""
-    return F.regexp_replace(text, SECRET_FIELD, '$1"[secret]"')
+    is_json = text.rlike(r"^\s*[\[{]") & F.try_parse_json(text).isNotNull()
+    return F.when(is_json, let(F.regexp_extract_all(text, F.lit(_JSON_TOKEN), F.lit(0)), walked)).otherwise(redacted(text))
