@@ -17,7 +17,7 @@ REDACTIONS = [
     (rf"""(?i)((?:proxy-)?authorization|(?:set-)?cookie|x-api-key|x-auth-token)(\\?["']?{_S}*[:=])[^\r\n]*""", ("", 1, "", 2, " [secret]")),
     (r"(?i)(bearer)[ \t]+[A-Za-z0-9._~+/=-]{6,}", ("", 1, " [secret]")),
     # fields and parameters of secret names, with what they are set to: quoted, in brackets, or up to the next blank or separator
-    (rf"""(?i)([A-Za-z0-9_-]*(?:api[_-]?key|token|secret|passw(?:or)?d|passphrase|credential|private[_-]?key|session[_-]?id|storage[_-]?state)[A-Za-z0-9_-]*)(\\?["']?{_S}*[:=]{_S}*)(?:\\?"(?:[^"\\]+|\\.)*"?|'[^']*'?|\[[^\]]*\]?|\{{[^}}]*\}}?|[^&,;}}\] \t\n\f\r]+)""", ("", 1, "", 2, "[secret]")),
+    (rf"""(?i)([A-Za-z0-9_-]*(?:api[_-]?key|token|secret|passw(?:or)?d|passphrase|credential|private[_-]?key|session[_-]?id|storage[_-]?state)[A-Za-z0-9_-]*)(\\?["']?{_S}*[:=]{_S}*)(?:\\"[^"\\]*\\"|\\?"(?:[^"\\]+|\\.)*"?|'[^']*'?|\[[^\]]*\]?|\{{[^}}]*\}}?|[^&,;}}\] \t\n\f\r]+)""", ("", 1, "", 2, "[secret]")),
     (EMAIL, ("[email]",)),
     # the user's name in a local path
     (r"""(?i)([a-z]:\\users\\|/home/|/users/)[^\\/"' \t\n\f\r]+""", ("", 1, "[user]")),

@@ -44,18 +44,19 @@ def visible():
 
 CANON_SQL = """
 SELECT page_id, url,
-  scheme || '://' || host || CASE WHEN (scheme = 'http' AND port = ':80') OR (scheme = 'https' AND port = ':443') THEN '' ELSE port END || path
-    || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END AS canon_url, host,
-  len(list_filter(string_split(q, '&'), lambda p: regexp_matches(p, '^(utm_[a-z]+|gclid|fbclid|ref)='))) > 0 AS had_tracking
+  CASE WHEN scheme IN ('http', 'https') AND host <> '' THEN scheme || '://' || host || CASE WHEN (scheme = 'http' AND port = ':80') OR (scheme = 'https' AND port = ':443') THEN '' ELSE port END
+    || CASE WHEN path = '' THEN '/' ELSE path END || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END END AS canon_url, host,
+  len(list_filter(string_split(q, '&'), lambda p: regexp_matches(lower(p), '^(utm_[a-z]+|gclid|fbclid|ref)='))) > 0 AS had_tracking
 FROM (
-  SELECT *, list_filter(string_split(q, '&'), lambda p: NOT regexp_matches(p, '^(utm_[a-z]+|gclid|fbclid|ref)=') AND p <> '') AS kept
+  SELECT *, list_filter(string_split(q, '&'), lambda p: NOT regexp_matches(lower(p), '^(utm_[a-z]+|gclid|fbclid|ref)=') AND p <> '') AS kept
   FROM (
     SELECT page_id, url, lower(regexp_extract(u, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) AS scheme,
       rtrim(lower(CASE WHEN starts_with(hp, '[') THEN split_part(hp, ']', 1) || ']' ELSE split_part(hp, ':', 1) END), '.') AS host,
       CASE WHEN regexp_matches(hp, ':[0-9]+$') AND (starts_with(hp, '[') = contains(hp, ']:')) THEN ':' || split_part(hp, ':', -1) ELSE '' END AS port,
       regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+([^?#]*)', 1) AS path,
       regexp_extract(u, '\\?([^#]*)', 1) AS q
-    FROM (SELECT *, split_part(split_part(split_part(split_part(u, '://', 2), '/', 1), '?', 1), '@', -1) AS hp FROM (SELECT page_id, url, regexp_replace(replace(url, '&amp;', '&'), '#.*$', '') AS u FROM pages))
+    FROM (SELECT *, split_part(split_part(split_part(split_part(u, '://', 2), '/', 1), '?', 1), '@', -1) AS hp
+      FROM (SELECT page_id, url, split_part(replace(replace(trim(url), '&amp;', '&'), '&#38;', '&'), '#', 1) AS u FROM pages))
   )
 )
 """
@@ -64,13 +65,14 @@ FROM (
 @query(f"SELECT page_id, canon_url, host, had_tracking FROM ({CANON_SQL})")
 def url_canonical(spark, d):
     u = F.col("url")
-    return table(spark, d, "pages").select("page_id", ux.canonical(u).alias("canon_url"), ux.host(F.regexp_replace(u, "#.*$", "")).alias("host"), ux.had_tracking(F.regexp_replace(F.replace(u, F.lit("&amp;"), F.lit("&")), "#.*$", "")).alias("had_tracking"))
+    plain = F.regexp_replace(ux.cleaned(u), "#.*$", "")
+    return table(spark, d, "pages").select("page_id", ux.canonical(u).alias("canon_url"), ux.host(plain).alias("host"), ux.had_tracking(plain).alias("had_tracking"))
 
 
 @query(f"""
 SELECT lower(regexp_extract(url, '^([A-Za-z]+)://', 1)) AS scheme,
   CASE WHEN NOT regexp_matches(lower(trim(url)), '^https?://') THEN 'BAD_SCHEME' WHEN regexp_matches(url, '^[A-Za-z]+://[^/?#]*@') THEN 'CREDENTIALS'
-    WHEN {H} = '' THEN 'NO_HOST' WHEN try_cast({H} AS BIGINT) IS NOT NULL OR lower({H}) = 'localhost' OR regexp_matches({H}, '^[0-9.]+$') AND (split_part({H}, '.', 1) IN ('0', '10', '127') OR starts_with({H}, '192.168.') OR starts_with({H}, '169.254.') OR starts_with({H}, '172.') AND try_cast(split_part({H}, '.', 2) AS INTEGER) BETWEEN 16 AND 31) THEN 'PRIVATE_ADDRESS' ELSE 'OK' END AS verdict,
+    WHEN {H} = '' THEN 'NO_HOST' WHEN try_cast({H} AS BIGINT) IS NOT NULL OR NOT contains({H}, '.') OR regexp_matches({H}, '^[0-9.]+$') AND (split_part({H}, '.', 1) IN ('0', '10', '127') OR starts_with({H}, '192.168.') OR starts_with({H}, '169.254.') OR starts_with({H}, '172.') AND try_cast(split_part({H}, '.', 2) AS INTEGER) BETWEEN 16 AND 31) THEN 'PRIVATE_ADDRESS' ELSE 'OK' END AS verdict,
   count(*) AS n, count(CASE WHEN regexp_matches(lower(trim(url)), '^https?://') THEN 1 END) AS linkable
 FROM pages GROUP BY 1, 2
 """)

@@ -265,30 +265,37 @@ def contact_extract(spark, d):
     return table(spark, d, "documents").select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(tx.EMAIL), F.lit(0)))).alias("email"))
 
 
-_MAIL, _SECRET = "[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}", "(?i)(api[_-]?key|token|secret|password)\\s*[:=]\\s*\\S+"
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
 
 
-@query(f"SELECT doc_id, regexp_matches(text, '{_MAIL}') AS had_email, regexp_matches(text, '{_SECRET}') AS had_secret, sha256(regexp_replace(regexp_replace(text, '{_MAIL}', '[email]', 'g'), '{_SECRET}', '[secret]', 'g')) AS redacted_hash FROM documents")
+def redaction_sql(text: str) -> str:
+    for pattern, kept in tx.REDACTIONS:
+        text = f"regexp_replace({text}, {_quoted(pattern)}, {_quoted(tx.replacement(kept, chr(92)))}, 'g')"
+    return text
+
+
+@query(f"SELECT doc_id, regexp_matches(text, {_quoted(tx.EMAIL)}) AS had_email, regexp_matches(text, {_quoted(tx.SECRET)}) AS had_secret, sha256({redaction_sql('text')}) AS redacted_hash FROM documents")
 def redaction(spark, d):
-    """Addresses and secret-like text replaced before anything is kept."""
+    """Addresses, credentials in URLs and headers, and secret fields and parameters, replaced before anything is kept."""
     t = F.col("text")
     return table(spark, d, "documents").select("doc_id", t.rlike(tx.EMAIL).alias("had_email"), t.rlike(tx.SECRET).alias("had_secret"), F.sha2(tx.redacted(t).cast("binary"), 256).alias("redacted_hash"))
 
 
-_NESTED = "json_object('role', role, 'headers', json_object('Authorization', 'Bearer ' || CAST(conv_id AS VARCHAR), 'n', turn), 'steps', json_array(json_object('password', role || '\"x', 'token', turn)))"
-
-
-@query(rf"""SELECT conv_id, turn, regexp_replace(CAST({_NESTED} AS VARCHAR), '("(?:authorization|cookie|password|secret|token|api[_-]?key)"\s*:\s*)("(?:[^"\\]|\\.)*"|[^,}}\]\s]+)', '\1"[secret]"', 'gi') AS redacted FROM conversations""")
+@query("""SELECT conv_id, turn, '{"role":' || to_json(role) || ',"headers":{"Authorization":"[secret]","Set-Cookie":"[secret]","n":' || turn || '},"steps":[{"password":"[secret]","access_token":"[secret]","note":"see https://h.example/?api_key=[secret]&n=' || turn || '"},'
+  || '{"api_key":"[secret]"}],"raw":"{\\"token\\":\\"[secret]\\",\\"turn\\":' || turn || '}","path":"/home/[user]/x"}' AS redacted FROM conversations""")
 def redaction_json(spark, d):
-    """Values of secret fields replaced at any depth of a JSON document, whatever their kind."""
-    headers = F.struct(F.concat(F.lit("Bearer "), F.col("conv_id").cast("string")).alias("Authorization"), F.col("turn").alias("n"))
-    steps = F.array(F.struct(F.concat("role", F.lit('"x')).alias("password"), F.col("turn").alias("token")))
-    return table(spark, d, "conversations").select("conv_id", "turn", tx.redacted_json(F.to_json(F.struct("role", headers.alias("headers"), steps.alias("steps")))).alias("redacted"))
-
-
-@query()
-def redaction_secrets(spark, d):
-    """What `redaction` gives, tested against brute force in Python."""
-    t = F.col("text")
-    flags = t.rlike(tx.EMAIL).alias("had_email"), t.rlike(tx.SECRET).alias("had_secret")
-    return table(spark, d, "documents").select("doc_id", *flags, F.sha2(tx.redacted(t).cast("binary"), 256).alias("redacted_hash"))
+    """Documents with secrets in headers, arrays, objects, URLs, paths and embedded JSON, made of the conversations; the SQL says what must be left."""
+    turn = F.col("turn")
+    headers = F.struct(F.concat(F.lit("Bearer "), F.col("conv_id").cast("string")).alias("Authorization"), F.array(F.concat(F.lit("sid="), turn.cast("string")), F.lit("a=b; Path=/")).alias("Set-Cookie"), turn.alias("n"))
+    secret = F.struct(
+        F.struct(F.concat("role", F.lit('"x]')).alias("inner"), F.array(turn).alias("list")).alias("password"), turn.alias("access_token"), F.concat(F.lit("see https://h.example/?api_key=k"), F.col("conv_id").cast("string"), F.lit("&n="), turn.cast("string")).alias("note"))
+    steps = F.array(F.to_json(secret), F.lit('{"api_key":["a","}b",{"c":"d"}]}'))
+    raw = F.to_json(F.struct(F.array(F.lit("a"), F.lit("b")).alias("token"), turn.alias("turn")))
+    parts = [F.lit('{"role":'), _json(F.col("role")), F.lit(',"headers":'), F.to_json(headers), F.lit(',\n "steps" : ['), F.array_join(steps, " , "), F.lit('],"raw":'), _json(raw), F.lit(',"path":"/home/'), F.concat(F.lit("u"), turn.cast("string")), F.lit('/x"}')]
+    return table(spark, d, "conversations").select("conv_id", "turn", tx.redacted_json(F.concat(*parts)).alias("redacted"))
+
+
+def _json(text):
+    """A text as a JSON string."""
+    return F.regexp_extract(F.to_json(F.struct(text.alias("v"))), r'(?s)^\{"v":(.*)\}$', 1)
