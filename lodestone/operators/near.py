@@ -1,51 +1,78 @@
-"""Exact similarity join on word shingles by prefix filtering."""
+"""Exact similarity join on word shingles by prefix and positional filtering, over all rows or inside blocks."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.expressions import let
 from ..functions.text import normalised
 from .ledger import written
 
+#: A prefix shingle of more representatives than this is dealt over several tasks, each of which meets all with so many.
+HOT = 1_000
 
-#: A shingle of more representatives than this is dealt over SALTS tasks.
-HOT, SALTS = 1_000, 16
 
+def shingles(text: Column, words: int) -> Column:
+    """The distinct hashes of runs of so many words, sorted; a shorter text is one run, a wordless one none."""
+    hashes = F.transform(F.filter(F.split(normalised(text), " "), lambda w: w != ""), lambda w: F.xxhash64(w))
+
+    def runs(h: Column) -> Column:
+        at = F.sequence(F.lit(0), F.greatest(F.size(h) - words, F.lit(0)))
+        joined = F.transform(at, lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(words)]))
+        return F.when(F.size(h) > 0, F.array_sort(F.array_distinct(joined))).otherwise(F.array().cast("array<long>"))
+
+    return let(hashes, runs)
 
-def near_pairs(docs: DataFrame, words: int, threshold: float) -> DataFrame:
-    """(doc_a, doc_b, jaccard): pairs of representatives of (doc_id, text) at or above the threshold, and members beside theirs at 1.
 
-    Documents with equal sets of shingles are one class, so copies are never paired with each other. Shingles are hashed and ordered
-    by how rare they are. Two sets that similar share one of the first n - ceil(threshold * n) + 1 shingles of each, so only
-    those are joined; a candidate pair is then counted exactly.
+def classes(docs: DataFrame, words: int, blocks: tuple[str, ...] = ()) -> DataFrame:
+    """Rows (doc_id, s, root) of docs (doc_id, text): documents of a block with equal sets of shingles are one class, and its least doc_id the root.
+
+    Wordless texts are left out. The blocks' columns stay; with blocks a set holds hashes of shingle and block.
     """
-    ws = F.filter(F.split(normalised(F.col("text")), " "), lambda w: w != "")
-    # shifted copies of the words put together pairwise: a lambda over positions would split the text once for each
-    last = F.greatest(F.size(ws) - words + 1, F.lit(1))
-    joined = F.slice(ws, 1, last)
-    for k in range(1, words):
-        joined = F.zip_with(joined, F.slice(ws, k + 1, last), lambda x, y: F.concat_ws(" ", x, y))
-    grams = F.transform(joined, lambda g: F.xxhash64(g))
-    own = docs.filter(F.size(ws) > 0).select("doc_id", F.array_sort(F.array_distinct(grams)).alias("s"))
+    own = docs.select("doc_id", *blocks, shingles(F.col("text"), words).alias("s")).filter(F.size("s") > 0)
+    if blocks:
+        own = own.withColumn("_block", F.xxhash64(*blocks)).withColumn("s", F.array_sort(F.transform("s", lambda g: F.xxhash64(g, F.col("_block"))))).drop("_block")
     own = written(own.withColumn("digest", F.md5(F.array_join(F.transform("s", lambda x: x.cast("string")), ",").cast("binary"))), "shingles")
-    least = written(own.groupBy("digest").agg(F.min("doc_id").alias("root")), "classes")
-    members = own.select("doc_id", "digest").join(least, "digest").filter("doc_id <> root").select(F.col("root").alias("doc_a"), F.col("doc_id").alias("doc_b"), F.lit(1.0).alias("jaccard"))
-    sets = written(own.join(least.select(F.col("root").alias("doc_id"), "digest"), ["doc_id", "digest"]).select("doc_id", "s").dropDuplicates(["doc_id"]), "representatives")
+    least = own.groupBy("digest").agg(F.min("doc_id").alias("root"))
+    return written(own.join(least, "digest").drop("digest"), "classes")
+
+
+def similar_sets(sets: DataFrame, threshold: float) -> DataFrame:
+    """(doc_a, doc_b, jaccard) of rows (doc_id, s) with distinct doc_ids and different sets, doc_a < doc_b, at or above the threshold.
+
+    Shingles are ordered by how rare they are. Two sets that similar share one of the first n - ceil(threshold * n) + 1 of each, so only
+    those are joined; where they meet, what can still follow in either set bounds the overlap, and so does their size. What is left is
+    counted exactly.
+    """
     rows = sets.select("doc_id", F.size("s").alias("n"), F.explode("s").alias("g"))
-    df = rows.groupBy("g").agg(F.count("*").alias("df"))
-    shared = rows.join(df.filter("df > 1"), "g")  # a shingle of one document finds nothing, but still takes a place
-    alone = rows.join(df.filter("df = 1"), "g", "left_semi").groupBy("doc_id").agg(F.count("*").alias("alone"))
-    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("df", "g"))
+    df = rows.groupBy("g").agg(F.count("*").alias("df")).filter("df > 1")
+    # a shingle of one document finds nothing, but takes the first places of its set: only their number counts
+    shared = rows.join(df, "g").groupBy("doc_id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "g"))).alias("by_df"))
     room = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1
-    first = shared.withColumn("r", rank).join(alone, "doc_id", "left").filter(F.col("r") + F.coalesce("alone", F.lit(0)) <= room)
-    first = written(first.select("doc_id", "n", "g", F.when(F.col("df") > HOT, SALTS).otherwise(1).alias("salts")), "prefixes")
-    one = first.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-    other = first.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int"))
-    close = (F.col("a.n") >= F.col("b.n") * threshold - 1e-9) & (F.col("b.n") >= F.col("a.n") * threshold - 1e-9)
-    pairs = one.alias("a").join(other.alias("b"), ["g", "salt"]).filter("a.doc_id < b.doc_id").filter(close).select(F.col("a.doc_id").alias("doc_a"), F.col("b.doc_id").alias("doc_b")).distinct()
+    alone = F.col("n") - F.size("by_df")
+    kept = F.slice("by_df", 1, F.greatest(room - alone, F.lit(0)).cast("int"))
+    places = shared.select("doc_id", "n", alone.alias("alone"), F.posexplode(kept).alias("i", "x"))
+    first = written(places.select("doc_id", "n", (F.col("alone") + F.col("i")).alias("at"), F.col("x.g").alias("g"), F.ceil(F.col("x.df") / HOT).cast("int").alias("salts")), "prefixes")
+    one = first.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).alias("a")
+    other = first.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int")).alias("b")
+    small, most = F.least("a.n", "b.n"), F.greatest("a.n", "b.n")
+    needed = F.ceil((F.col("a.n") + F.col("b.n")) * threshold / (1 + threshold) - 1e-9)
+    reach = F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at")) + F.least("a.at", "b.at")
+    may = (small >= most * threshold - 1e-9) & (reach >= needed) & (F.col("a.doc_id") < F.col("b.doc_id"))
+    pairs = one.join(other, ["g", "salt"]).filter(may).select(F.col("a.doc_id").alias("doc_a"), F.col("b.doc_id").alias("doc_b")).distinct()
     left = pairs.join(sets.select(F.col("doc_id").alias("doc_a"), F.col("s").alias("sa")), "doc_a").join(sets.select(F.col("doc_id").alias("doc_b"), F.col("s").alias("sb")), "doc_b")
     both = F.size(F.array_intersect("sa", "sb"))
     jaccard = both / (F.size("sa") + F.size("sb") - both)
-    near = left.select("doc_a", "doc_b", jaccard.alias("j")).filter(F.col("j") >= threshold).select("doc_a", "doc_b", F.round("j", 6).alias("jaccard"))
+    return left.select("doc_a", "doc_b", jaccard.alias("j")).filter(F.col("j") >= threshold).select("doc_a", "doc_b", F.round("j", 6).alias("jaccard"))
+
+
+def near_pairs(docs: DataFrame, words: int, threshold: float) -> DataFrame:
+    """(doc_a, doc_b, jaccard): pairs of representatives of (doc_id, text) at or above the threshold, and members beside theirs at 1.
+
+    Documents with equal sets of shingles are one class, so copies are never paired with each other.
+    """
+    own = classes(docs, words)
+    members = own.filter("doc_id <> root").select(F.col("root").alias("doc_a"), F.col("doc_id").alias("doc_b"), F.lit(1.0).alias("jaccard"))
+    near = similar_sets(own.filter("doc_id = root").dropDuplicates(["doc_id"]).select("doc_id", "s"), threshold)
     return near.unionByName(members)

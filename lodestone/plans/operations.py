@@ -11,7 +11,6 @@ from ..operators import ledger
 from ..operators.recipes import compiled
 from ..policy import POLICY
 from ..sources.tables import table
-from .acquisition import CANON_SQL, ORIGIN_SQL, PATH, linked_to_least, origins
 from .registry import query
 
 SCHEMA_VERSION = 1
@@ -240,23 +239,3 @@ def contact_ladder(spark, d):
     rank = F.when(F.col("email").rlike("^(jobs|careers|hr|recruit)"), 1).when(F.col("email").rlike("^(info|contact|office)"), 2).otherwise(3)
     ranked = found.select("email", F.split_part("email", F.lit("@"), F.lit(2)).alias("domain"), rank.alias("rank"))
     return ranked.groupBy("domain").agg(F.min_by("email", F.struct("rank", "email")).alias("email"), F.min("rank").alias("rank"), F.count("*").alias("n"))
-
-
-@query(f"""WITH o AS ({ORIGIN_SQL}), c AS (SELECT page_id, regexp_replace(canon_url, '\\?.*$', '') AS canon FROM ({CANON_SQL})), p AS (SELECT page_id, {PATH} AS path FROM pages),
-l AS (SELECT page_id, min(page_id) OVER (PARTITION BY canon) AS root, 1 AS stage FROM c UNION ALL SELECT page_id, min(page_id) OVER (PARTITION BY provider, job_id), 2 FROM o WHERE job_id <> ''
-  UNION ALL SELECT page_id, min(page_id) OVER (PARTITION BY path), 3 FROM p WHERE regexp_matches(path, '[0-9]') AND len(string_split(path, '/')) >= 3)
-SELECT page_id AS absorbed, arg_min(root, {{'s': stage, 'r': root}}) AS kept, min(stage) AS stage FROM l WHERE root <> page_id GROUP BY 1""")
-def match_ledger(spark, d):
-    """Stages 1 to 3 as one ledger: same page, same origin, same job-specific path; the strongest stage speaks for a page."""
-    pages = table(spark, d, "pages")
-    canon = F.regexp_replace(ux.canonical(F.col("url")), r"\?.*$", "")
-    stages = [
-        (1, pages.select("page_id", canon.alias("canon")), ["canon"]),
-        (2, origins(spark, d).filter("job_id <> ''"), ["provider", "job_id"]),
-        (3, pages.select("page_id", ux.path(F.col("url")).alias("p")).filter(F.col("p").rlike("[0-9]") & (F.size(F.split("p", "/")) >= 3)), ["p"]),
-    ]
-    out = None
-    for stage, rows, keys in stages:
-        own = linked_to_least(rows, keys).withColumn("stage", F.lit(stage))
-        out = own if out is None else out.unionByName(own)
-    return out.groupBy(F.col("page_b").alias("absorbed")).agg(F.min_by("page_a", F.struct("stage", "page_a")).alias("kept"), F.min("stage").alias("stage"))
