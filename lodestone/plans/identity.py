@@ -6,7 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import ledger
+from ..operators import ledger, merges
+from ..operators.ledger import written
 from ..operators.near import near_pairs
 from ..policy import POLICY
 from ..sources.tables import table
@@ -89,9 +90,43 @@ def merge_ledger(spark, d):
 @query(f"SELECT doc_id AS job_id, CASE WHEN doc_id <> root AND doc_id % 2 = 0 THEN doc_id ELSE root END AS canonical_id FROM ({HASHED})")
 def merge_undo_view(spark, d):
     """Undo appends: merges of even ids are undone, and the view is worked out again; rows keep their own id."""
-    merges = merge_ledger(spark, d).filter("absorbed_job_id % 2 = 1")
+    labels = merges.components_as_of(merge_events(spark, d), 2)
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("job_id"))
-    return docs.join(merges, docs["job_id"] == merges["absorbed_job_id"], "left").select("job_id", F.coalesce("kept_job_id", "job_id").alias("canonical_id"))
+    return docs.join(labels, docs["job_id"] == labels["node"], "left").select("job_id", F.coalesce("root", "job_id").alias("canonical_id"))
+
+
+def merge_events(spark, d):
+    """A history of merges: at 1 each copy joins the least document of its text, at 2 those of even ids are undone, at 3 each tenth id's is done again."""
+    edges = written(_edges(spark, d), "edges")
+    merged = edges.select((F.col("b") * 4 + 1).alias("event_id"), F.lit(1).alias("at"), F.lit("MERGE").alias("kind"), F.col("a").alias("kept"), F.col("b").alias("absorbed"))
+    again = [(2, "UNDO", 2), (3, "REDO", 10)]
+    for at, kind, n in again:
+        merged = merged.unionByName(edges.filter(F.col("b") % n == 0).select((F.col("b") * 4 + at).alias("event_id"), F.lit(at).alias("at"), F.lit(kind).alias("kind"), F.col("a").alias("kept"), F.col("b").alias("absorbed")))
+    return merged
+
+
+_HELD = f"SELECT doc_id, root, CASE WHEN doc_id % 2 = 0 THEN doc_id ELSE root END AS r2, CASE WHEN doc_id % 2 = 0 AND doc_id % 10 <> 0 THEN doc_id ELSE root END AS r3 FROM ({HASHED})"
+
+
+@query(f"""SELECT doc_id AS owner, CASE WHEN toxic = 1 THEN 'DISMISSED' WHEN quality = 1 THEN 'SHORTLISTED' ELSE 'NONE' END AS value, CASE WHEN doc_id % 4 <= 1 THEN root END AS shown_1, CASE WHEN doc_id % 4 <= 2 THEN r2 END AS shown_2, r3 AS shown_3 FROM labels JOIN ({_HELD}) USING (doc_id)""")
+def dependents_as_of(spark, d):
+    """Dispositions made at different times, with the job that shows them after the merge, after the undo, and after it is done again; null before they were made."""
+    events = merge_events(spark, d)
+    value = F.when(F.col("toxic") == 1, "DISMISSED").when(F.col("quality") == 1, "SHORTLISTED").otherwise("NONE")
+    docs = table(spark, d, "documents").select("doc_id")
+    made = table(spark, d, "labels").join(docs, "doc_id", "left_semi").select(F.col("doc_id").alias("owner"), (F.col("doc_id") % 4).cast("int").alias("made_at"), value.alias("value"))
+    labels, out = merges.components_as_of(events, 1), made.select("owner", "value")
+    for at in (1, 2, 3):
+        if at > 1:
+            labels = merges.components_after(labels, events, at - 1, at)
+        out = out.join(merges.owned_as_of(made, labels, at).select("owner", F.col("shown_on").alias(f"shown_{at}")), "owner", "left")
+    return out
+
+
+@query(f"""SELECT kept, absorbed, 1 AS merged_at, CASE WHEN absorbed % 2 = 0 AND absorbed % 10 <> 0 THEN 2 END AS undone_at FROM (SELECT root AS kept, doc_id AS absorbed FROM ({HASHED}) WHERE root <> doc_id)""")
+def merge_history(spark, d):
+    """The ledger of merges as it is read: when each was made, and since when it is undone."""
+    return merges.undone(merge_events(spark, d), 3)
 
 
 @query("SELECT l_partkey AS job_id, l_suppkey AS source_id, l_shipdate AS evidence_at FROM (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY l_suppkey % 4, l_shipdate DESC, l_suppkey, l_orderkey, l_linenumber) AS rn FROM lineitem) WHERE rn = 1")

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import url as ux
 from ..operators import html as markup
 from ..operators.recipes import extract
 from ..sources.tables import table
@@ -71,7 +72,7 @@ def locator_roles(spark, d):
   SELECT page_id, CAST(len(l) AS INTEGER) AS n, CAST(list_sum(list_transform(l, lambda t: length(trim(regexp_replace({_decoded('t')}, '\\s+', ' ', 'g'))))) AS INTEGER) AS chars FROM (SELECT page_id, regexp_extract_all(html, '{_ENTRY}', 2) AS l FROM pages))""")
 def card_suggest(spark, d):
     """The repeated structure with links that a page offers as its list."""
-    cards = trees(spark, d).select("page_id", markup.suggested_cards(F.col("page")).alias("s"))
+    cards = trees(spark, d).select("page_id", F.explode(F.array(markup.suggested_cards(F.col("page")))).alias("s"))  # worked out once, not for each field
     return cards.select("page_id", "s.selector", "s.n_cards", "s.n_chars")
 
 
@@ -79,9 +80,7 @@ def card_suggest(spark, d):
 SELECT lower(host) AS host, 'ul > li' AS selector, count(*) AS n_pages, CAST(sum(len(l)) AS BIGINT) AS n_cards, CAST(min(len(l)) AS INTEGER) AS fewest FROM e WHERE len(l) >= 3 GROUP BY 1""")
 def card_suggest_hosts(spark, d):
     """What the pages of a host agree on: the selector to start a recipe with, the one that most pages suggest first."""
-    from ..functions import url as ux
-
-    cards = trees(spark, d).select(ux.host(F.col("url")).alias("host"), markup.suggested_cards(F.col("page")).alias("s")).filter("s is not null")
+    cards = trees(spark, d).select(ux.host(F.col("url")).alias("host"), F.explode(F.array_compact(F.array(markup.suggested_cards(F.col("page"))))).alias("s"))
     counted = cards.groupBy("host", F.col("s.selector").alias("selector")).agg(F.count("*").alias("n_pages"), F.sum("s.n_cards").alias("n_cards"), F.min("s.n_cards").alias("fewest"))
     order = F.struct((-F.col("n_pages")).alias("less"), "selector")
     best = counted.groupBy("host").agg(F.min_by(F.struct("selector", "n_pages", "n_cards", "fewest"), order).alias("b"))

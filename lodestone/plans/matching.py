@@ -11,7 +11,7 @@ from ..operators import ledger, matching
 from ..operators.ledger import written
 from ..policy import POLICY
 from ..sources.tables import table
-from .acquisition import CANON_SQL, PATH
+from .acquisition import CANON_SQL
 from .registry import query
 
 #: Words of a text that stand for its title.
@@ -19,31 +19,30 @@ TITLE_WORDS = 3
 
 
 def observations(spark, d) -> DataFrame:
-    """Documents as observations of jobs: their source is the company, their language the place, the page of the same number their address,
-    the order of the same number their creation, and its last shipment the day they were seen."""
-    docs = table(spark, d, "documents").select("doc_id", "text", "lang", "source")
-    u = F.col("url")
-    canon = F.regexp_replace(ux.canonical(u), r"\?.*$", "")
-    number = F.nullif(F.regexp_extract(ux.path(u), r"([0-9]+)(\.html)?/?$", 1), F.lit(""))
-    pages = table(spark, d, "pages").select(
-        F.col("page_id").alias("doc_id"), F.regexp_extract(ux.host(u), r"([^.]+\.[^.]+)$", 1).alias("origin_provider"), F.nullif(F.regexp_extract(ux.path(u), "^/([^/]+)", 1), F.lit("")).alias("origin_board"), number.alias("number"),
-        F.when(number.isNotNull() & (F.size(F.split(ux.path(u), "/")) >= 3), canon).alias("apply_url"))
+    """Documents as observations of jobs. A language is a company, half of its sources are a place and a source of their own, a text's length is
+    the id there and with the provider that it names; the page of the same number is where one applies, or else an address
+    that the length gives; the order of the same number tells the creation, its last shipment the day they were seen."""
+    docs = table(spark, d, "documents").select("doc_id", "text", "lang", F.col("n_chars").alias("n"), (F.regexp_extract("source", "([0-9]+)", 1).cast("int") % 2).cast("string").alias("half"))
+    pages = table(spark, d, "pages").select(F.col("page_id").alias("doc_id"), F.regexp_replace(ux.canonical(F.col("url")), r"\?.*$", "").alias("page_url"))
     day = lambda c: F.datediff(c, F.lit("1990-01-01"))
     orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), (day("o_orderdate") % 120).alias("created_day"))
-    seen = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id")).agg((day(F.max("l_shipdate")) % 500).alias("seen_day"))
+    seen = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id")).agg((day(F.max("l_shipdate")) % 120 + F.when(F.count("*") > 6, 400).otherwise(0)).alias("seen_day"))
     rows = docs.join(pages, "doc_id", "left").join(orders, "doc_id", "left").join(seen, "doc_id", "left")
     title = F.array_join(F.slice(F.split(tx.normalised(F.coalesce("text", F.lit(""))), " "), 1, TITLE_WORDS), " ")
+    number = F.col("n").cast("string")
+    made = F.when(F.col("n") % 5 == 0, F.concat(F.lit("https://"), "lang", F.lit(".example/jobs/"), number))
     return rows.select(
-        F.col("doc_id").alias("job_id"), F.col("source").alias("source_id"), F.col("number").alias("source_job_id"), "origin_provider", "origin_board", F.col("number").alias("origin_job_id"), "apply_url",
-        F.lower("source").alias("company"), title.alias("title"), F.array("lang").alias("places"), "created_day", "seen_day", "text")
+        F.col("doc_id").alias("job_id"), F.concat_ws("-", "lang", "half").alias("source_id"), number.alias("source_job_id"), F.when(F.col("n") % 3 > 0, F.concat(F.lit("ats"), (F.col("n") % 3).cast("string"))).alias("origin_provider"),
+        F.col("lang").alias("origin_board"), number.alias("origin_job_id"), F.coalesce("page_url", made).alias("apply_url"), F.col("lang").alias("company"), title.alias("title"), F.array("half").alias("places"), "created_day", "seen_day", "text")
 
 
-_OBSERVED = f"""p AS (SELECT c.page_id AS doc_id, c.canon_url, regexp_extract(c.host, '([^.]+\\.[^.]+)$', 1) AS origin_provider, nullif(regexp_extract(x.path, '^/([^/]+)', 1), '') AS origin_board,
-  nullif(regexp_extract(x.path, '([0-9]+)(\\.html)?/?$', 1), '') AS number, len(string_split(x.path, '/')) >= 3 AS deep FROM ({CANON_SQL}) c JOIN (SELECT page_id, {PATH} AS path FROM pages) x USING (page_id)),
-o AS (SELECT d.doc_id AS job_id, d.source AS source_id, p.number AS source_job_id, p.origin_provider, p.origin_board, p.number AS origin_job_id, CASE WHEN p.number IS NOT NULL AND p.deep THEN regexp_replace(p.canon_url, '\\?.*$', '') END AS apply_url,
-  lower(d.source) AS company, array_to_string(string_split(lower(trim(regexp_replace(coalesce(d.text, ''), '\\s+', ' ', 'g'))), ' ')[1:{TITLE_WORDS}], ' ') AS title, d.lang AS place,
-  date_diff('day', DATE '1990-01-01', CAST(r.o_orderdate AS DATE)) % 120 AS created_day, date_diff('day', DATE '1990-01-01', CAST(l.seen AS DATE)) % 500 AS seen_day, d.text
-  FROM documents d LEFT JOIN p USING (doc_id) LEFT JOIN orders r ON r.o_orderkey = d.doc_id LEFT JOIN (SELECT l_orderkey, max(l_shipdate) AS seen FROM lineitem GROUP BY 1) l ON l.l_orderkey = d.doc_id)"""
+_OBSERVED = f"""p AS (SELECT page_id AS doc_id, regexp_replace(canon_url, '\\?.*$', '') AS page_url FROM ({CANON_SQL})),
+l AS (SELECT l_orderkey AS doc_id, date_diff('day', DATE '1990-01-01', CAST(max(l_shipdate) AS DATE)) % 120 + CASE WHEN count(*) > 6 THEN 400 ELSE 0 END AS seen_day FROM lineitem GROUP BY 1),
+o AS (SELECT job_id, lang || '-' || place AS source_id, number AS source_job_id, CASE WHEN n % 3 > 0 THEN 'ats' || (n % 3) END AS origin_provider, lang AS origin_board, number AS origin_job_id,
+  coalesce(page_url, CASE WHEN n % 5 = 0 THEN 'https://' || lang || '.example/jobs/' || number END) AS apply_url, lang AS company, array_to_string(string_split(lower(trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g'))), ' ')[1:{TITLE_WORDS}], ' ') AS title,
+  place, created_day, seen_day, text FROM (
+  SELECT d.doc_id AS job_id, d.lang, d.n_chars AS n, CAST(d.n_chars AS VARCHAR) AS number, CAST(CAST(regexp_extract(d.source, '([0-9]+)', 1) AS INTEGER) % 2 AS VARCHAR) AS place, d.text, p.page_url, l.seen_day,
+    date_diff('day', DATE '1990-01-01', CAST(r.o_orderdate AS DATE)) % 120 AS created_day FROM documents d LEFT JOIN p USING (doc_id) LEFT JOIN orders r ON r.o_orderkey = d.doc_id LEFT JOIN l ON l.doc_id = d.doc_id))"""
 
 
 def _alike(a: str, b: str) -> str:
