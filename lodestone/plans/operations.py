@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions import url as ux
-from ..operators import ledger
+from ..operators import ledger, schedules
+from ..operators.ledger import written
+from ..operators.ranks import running
 from ..operators.recipes import compiled
 from ..policy import POLICY
 from ..sources.tables import table
+from .identity import NORM
 from .registry import query
 
 SCHEMA_VERSION = 1
@@ -73,14 +76,46 @@ def backup_verify(spark, d):
     return both.filter(~(F.col("was_n").eqNullSafe(F.col("now_n")) & F.col("was_sum").eqNullSafe(F.col("now_sum")))).select("path", problem.alias("problem"))
 
 
-@query(f"""SELECT doc_id, source, version, version <= CASE WHEN toxic = 0 AND quality = 1 THEN 10 ELSE {POLICY.retention_versions} END AS keep FROM (
-  SELECT d.doc_id, d.source, row_number() OVER (PARTITION BY d.source ORDER BY d.doc_id DESC) AS version, l.toxic, l.quality FROM documents d LEFT JOIN labels l USING (doc_id))""")
+_VERSIONS = f"""SELECT doc_id, source, strlen(text) AS bytes, sha256({NORM}) AS h, row_number() OVER (PARTITION BY source ORDER BY doc_id DESC) AS version, coalesce(l.toxic = 0 AND l.quality = 1, false) AS marked FROM documents d LEFT JOIN labels l USING (doc_id)"""
+
+
+def versions(spark, d):
+    """Documents as versions of what their source shows, newest first, with those that a user has marked."""
+    marked = table(spark, d, "labels").select("doc_id", ((F.col("toxic") == 0) & (F.col("quality") == 1)).alias("marked"))
+    docs = table(spark, d, "documents").select("doc_id", "source", F.octet_length("text").cast("long").alias("bytes"), tx.content_hash(F.col("text")).alias("h"))
+    return running(docs.join(marked, "doc_id", "left").withColumn("marked", F.coalesce("marked", F.lit(False))), ["source"], [-F.col("doc_id")], rank="version")
+
+
+@query(f"SELECT doc_id, source, version, version <= CASE WHEN marked THEN 10 ELSE {POLICY.retention_versions} END AS keep FROM ({_VERSIONS})")
 def retention(spark, d):
-    """The newest versions of a source stay, more of those that a user has marked."""
-    v = table(spark, d, "documents").select("doc_id", "source").join(table(spark, d, "labels").select("doc_id", "toxic", "quality"), "doc_id", "left")
-    v = v.withColumn("version", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("doc_id"))).cast("long"))
-    most = F.when((F.col("toxic") == 0) & (F.col("quality") == 1), 10).otherwise(POLICY.retention_versions)
-    return v.select("doc_id", "source", "version", (F.col("version") <= most).alias("keep"))
+    """The newest versions of a source stay, more of those that a user has marked; a source of any number of versions spans many tasks."""
+    most = F.when(F.col("marked"), 10).otherwise(POLICY.retention_versions)
+    return versions(spark, d).select("doc_id", "source", "version", (F.col("version") <= most).alias("keep"))
+
+
+#: What the store may hold beside the current representations, in bytes for each document of the table.
+BUDGET_PER_DOCUMENT = 100
+
+
+@query(f"""WITH v AS (SELECT *, h IS DISTINCT FROM lag(h) OVER (PARTITION BY source ORDER BY version) AS changed FROM ({_VERSIONS})),
+m AS (SELECT *, sum(CASE WHEN changed THEN 1 ELSE 0 END) OVER (PARTITION BY source ORDER BY version) AS meaning FROM v),
+c AS (SELECT *, CASE WHEN version = 1 THEN 0 WHEN meaning = 2 AND changed THEN 1 WHEN marked THEN 2 ELSE 3 END AS class FROM m),
+r AS (SELECT *, sum(CASE WHEN class = 0 THEN 0 ELSE coalesce(bytes, 0) END) OVER (ORDER BY class, version, doc_id) AS used FROM c)
+SELECT doc_id, class, CAST(used AS BIGINT) AS used, class = 0 OR used <= (SELECT count(*) * {BUDGET_PER_DOCUMENT} FROM documents) AS keep FROM r""")
+def retention_budget(spark, d):
+    """What stays under a disk budget: every source's current version whatever it takes, then previous meaningful ones, then marked history, then the rest, until the budget is used."""
+    # the newest version of each text of a source: its second is the previous meaningful revision; texts that come back are seen by their order
+    seen = written(versions(spark, d), "versions")
+    nearest = seen.select(F.col("source").alias("s"), (F.col("version") + 1).alias("next"), F.col("h").alias("newer"))
+    beside = seen.join(nearest, F.col("source").eqNullSafe(F.col("s")) & (F.col("version") == F.col("next")), "left").drop("s", "next")
+    changed = (F.col("version") == 1) | ~F.col("h").eqNullSafe(F.col("newer"))
+    first = beside.filter(changed & (F.col("version") > 1)).groupBy("source").agg(F.min("version").alias("previous"))
+    ranked = beside.join(first.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left")
+    kind = F.when(F.col("version") == 1, 0).when(F.col("version") == F.col("previous"), 1).when(F.col("marked"), 2).otherwise(3)
+    classed = ranked.select("doc_id", "version", "bytes", kind.alias("class"))
+    used = running(classed, [], [F.col("class"), F.col("version"), F.col("doc_id")], sums={"used": F.when(F.col("class") > 0, F.col("bytes"))})
+    budget = table(spark, d, "documents").count() * BUDGET_PER_DOCUMENT
+    return used.select("doc_id", "class", "used", ((F.col("class") == 0) | (F.col("used") <= budget)).alias("keep"))
 
 
 UNIQUE = [("lineitem", ("l_orderkey", "l_linenumber")), ("events", ("event_id",)), ("documents", ("doc_id",)), ("orders", ("o_orderkey",)), ("conversations", ("conv_id", "turn"))]
@@ -155,19 +190,44 @@ def feed_scan(spark, d):
     return feeds.select(F.col("p_brand").alias("feed"), F.explode(parts).alias("e")).select("feed", F.col("e.entry").cast("long").alias("entry"), "e.title", F.col("e.pay").cast("long").alias("pay"))
 
 
-#: zone, wanted local time, day, and the moment that it means (fixed values; springs forward, falls back, and neither).
-SCHEDULES = [
-    ("America/New_York", "2024-03-10", "02:30", "2024-03-10 07:30:00"), ("America/New_York", "2024-11-03", "01:30", "2024-11-03 05:30:00"), ("America/New_York", "2024-07-01", "09:00", "2024-07-01 13:00:00"),
-    ("Europe/Berlin", "2024-03-31", "02:30", "2024-03-31 01:30:00"), ("Europe/Berlin", "2024-10-27", "02:30", "2024-10-27 00:30:00"), ("Asia/Kolkata", "2024-03-31", "02:30", "2024-03-30 21:00:00"),
-]
+#: Zones of the plans, in turn.
+ZONES = ("America/New_York", "Europe/Berlin", "Asia/Kolkata", "America/Sao_Paulo")
+
+
+def planned(spark, d):
+    """Orders as occurrences of their customer's plan: a quarter of an hour of their night, in the customer's zone."""
+    zone = F.element_at(F.array(*[F.lit(z) for z in ZONES]), (F.col("o_custkey") % len(ZONES) + 1).cast("int"))
+    local = F.timestamp_add("MINUTE", F.col("o_orderkey") % 16 * 15, F.date_trunc("DAY", "o_orderdate").cast("timestamp_ntz"))
+    return table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("plan_id"), zone.alias("zone"), local.alias("local_time"))
+
+
+_PLANNED = f"""SELECT o_orderkey, o_custkey AS plan_id, {list(ZONES)}[o_custkey % {len(ZONES)} + 1] AS zone, date_trunc('day', o_orderdate) + to_minutes(CAST(o_orderkey % 16 * 15 AS BIGINT)) AS local_time FROM orders"""
+#: The twin looks for all minutes of the day around that show a local time, or the first minute that shows a later one.
+_RESOLVED = f"""SELECT o_orderkey, plan_id, zone, local_time, CASE WHEN n = 0 THEN 'GAP' WHEN n > 1 THEN 'FOLD' ELSE 'PLAIN' END AS kind, CASE WHEN n = 0 THEN later ELSE same END AS utc FROM (
+  SELECT o_orderkey, plan_id, zone, local_time, count(CASE WHEN shown = local_time THEN 1 END) AS n, min(CASE WHEN shown = local_time THEN moment END) AS same, min(CASE WHEN shown > local_time THEN moment END) AS later
+  FROM (SELECT *, timezone(zone, timezone('UTC', moment)) AS shown FROM (SELECT *, local_time + to_minutes(m) AS moment FROM ({_PLANNED}), unnest(generate_series(-720, 720, 15)) AS s(m))) GROUP BY ALL)"""
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{z}', '{day}', '{at}', '{utc}')" for z, day, at, utc in SCHEDULES) + ") t(zone, day, local_time, next_utc)")
+@query(f"""SELECT o_orderkey, zone, strftime(utc, '%Y-%m-%d %H:%M:%S') AS next_utc, kind, CAST(date_diff('minute', utc, timezone(zone, timezone('UTC', utc))) AS INTEGER) AS offset_minutes,
+  sha256(plan_id || chr(1) || zone || chr(1) || strftime(local_time, '%Y-%m-%dT%H:%M:%S')) AS occurrence_id FROM ({_RESOLVED})""")
 def schedule_dst(spark, d):
-    """Local times as moments: one that a spring gap skips moves behind the gap, one that an autumn repeats means the first."""
-    rows = spark.createDataFrame([s[:3] for s in SCHEDULES], "zone string, day string, local_time string")
-    moment = F.to_utc_timestamp(F.concat_ws(" ", "day", "local_time").cast("timestamp"), F.col("zone"))
-    return rows.select("zone", "day", "local_time", F.date_format(moment, "yyyy-MM-dd HH:mm:ss").alias("next_utc"))
+    """Local times as moments: one that a spring gap skips means the first moment behind it, one that an autumn repeats means the first, and the record says so."""
+    found = planned(spark, d).withColumn("r", schedules.resolved(F.col("local_time"), F.col("zone")))
+    return found.select("o_orderkey", "zone", F.date_format("r.utc", "yyyy-MM-dd HH:mm:ss").alias("next_utc"), "r.kind", "r.offset_minutes", schedules.occurrence_id(F.col("plan_id"), F.col("zone"), F.col("local_time")).alias("occurrence_id"))
+
+
+@query(f"""SELECT plan_id, o_orderkey, CASE WHEN row_number() OVER (PARTITION BY plan_id ORDER BY utc DESC, oid) <= 2 THEN 'RUN' ELSE 'SKIPPED' END AS action FROM (
+  SELECT plan_id, min(o_orderkey) AS o_orderkey, oid, min(utc) AS utc FROM (SELECT *, sha256(plan_id || chr(1) || zone || chr(1) || strftime(local_time, '%Y-%m-%dT%H:%M:%S')) AS oid FROM ({_RESOLVED}))
+  WHERE utc > TIMESTAMP '1994-01-01' AND utc <= TIMESTAMP '1996-01-01' AND oid NOT IN (SELECT sha256(o_custkey || chr(1) || z || chr(1) || strftime(t, '%Y-%m-%dT%H:%M:%S')) FROM (
+    SELECT o_custkey, zone AS z, local_time AS t FROM orders JOIN ({_PLANNED}) USING (o_orderkey) WHERE o_orderstatus = 'F')) GROUP BY plan_id, oid)""")
+def schedule_catch_up(spark, d):
+    """After two years asleep, each plan runs its two newest occurrences that were not delivered before, and records the others as skipped."""
+    found = planned(spark, d).withColumn("due", schedules.resolved(F.col("local_time"), F.col("zone"))["utc"]).withColumn("occurrence_id", schedules.occurrence_id(F.col("plan_id"), F.col("zone"), F.col("local_time")))
+    found = written(found, "occurrences")
+    once = found.groupBy("plan_id", "occurrence_id").agg(F.min("o_orderkey").alias("o_orderkey"), F.min("due").alias("due"))
+    delivered = found.join(table(spark, d, "orders").filter("o_orderstatus = 'F'").select("o_orderkey"), "o_orderkey", "left_semi")
+    ends = [F.lit(f"{year}-01-01 00:00:00").cast("timestamp_ntz") for year in (1994, 1996)]
+    return schedules.catch_up(once, delivered, *ends, most=2).select("plan_id", "o_orderkey", "action")
 
 
 @query("SELECT user_id AS plan_id, count(*) AS missed, max(event_id) AS caught_up FROM events WHERE ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-15' GROUP BY 1")
