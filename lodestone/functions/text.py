@@ -136,3 +136,14 @@ def redacted_json(text: Column, embedded: int = 1) -> Column:
 
     is_json = text.rlike(r"^\s*[\[{]") & F.try_parse_json(text).isNotNull()
     return F.when(is_json, let(F.regexp_extract_all(text, F.lit(_JSON_TOKEN), F.lit(0)), walked)).otherwise(redacted(text))
+
+
+def json_depth(text: Column) -> Column:
+    """How deep a JSON text nests, strings aside: brackets are counted in one pass over its tokens."""
+    brackets = F.filter(F.regexp_extract_all(text, F.lit(_JSON_TOKEN), F.lit(0)), lambda t: t.isin("{", "[", "}", "]"))
+
+    def step(s: Column, t: Column) -> Column:
+        now = s["now"] + F.when(t.isin("{", "["), 1).otherwise(-1)
+        return F.struct(now.alias("now"), F.greatest(s["most"], now).alias("most"))
+
+    return F.aggregate(brackets, F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")), step, lambda s: s["most"])

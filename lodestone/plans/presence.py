@@ -1,7 +1,7 @@
 """Presence over time: coverage generations, absence, availability, change classes and reposts.
 
 A generation is a source's day of events; it is complete unless one of its events failed. Only complete generations say
-that something was missing. Every state follows evidence time, never the order in which rows arrive.
+that something was missing, and what failed is no sighting. Every state follows evidence time, never the order in which rows arrive.
 """
 
 from __future__ import annotations
@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import ledger
+from ..operators import coverage
+from ..operators.ledger import written
 from ..policy import POLICY
 from ..sources.tables import table
 from .registry import query
@@ -23,6 +24,16 @@ def sightings(spark, d) -> DataFrame:
     return e.select("event_id", "ts", F.col("user_id").alias("source_id"), F.to_date("ts").alias("generation"), "event_type", F.get_json_object("props", "$.k").cast("long").alias("k"))
 
 
+def accepted(seen: DataFrame) -> DataFrame:
+    """Sightings proper: an event that failed shows nothing."""
+    return seen.filter("event_type <> 'error'")
+
+
+def flagged(seen: DataFrame) -> DataFrame:
+    """(source_id, generation, complete) of all generations."""
+    return generations(seen).select("source_id", "generation", (F.col("n_errors") == 0).alias("complete"))
+
+
 def generations(seen: DataFrame) -> DataFrame:
     failed = F.sum(F.when(F.col("event_type") == "error", 1).otherwise(0))
     return seen.groupBy("source_id", "generation").agg(F.countDistinct("k").alias("n_seen"), F.count("*").alias("n_pages"), failed.alias("n_errors"))
@@ -43,30 +54,30 @@ def partial_coverage(spark, d):
 @query(f"""WITH s AS {SEEN}, g AS (SELECT source_id, generation FROM s GROUP BY 1, 2 HAVING NOT bool_or(event_type = 'error')),
 l AS (SELECT source_id, max(generation) AS generation FROM g GROUP BY 1)
 SELECT DISTINCT s.source_id, s.k, l.generation FROM s JOIN l ON s.source_id = l.source_id AND s.generation < l.generation
-WHERE NOT EXISTS (SELECT 1 FROM s t WHERE t.source_id = s.source_id AND t.k = s.k AND t.generation = l.generation)""")
+WHERE s.event_type <> 'error' AND NOT EXISTS (SELECT 1 FROM s t WHERE t.source_id = s.source_id AND t.k = s.k AND t.generation = l.generation)""")
 def absence_candidates(spark, d):
     """Identities that a source has shown before and that its last complete generation lacks."""
     seen = sightings(spark, d)
     last = generations(seen).filter("n_errors = 0").groupBy("source_id").agg(F.max("generation").alias("last"))
     # one row for each identity: its first sighting, and whether the last complete generation has it
-    shown = seen.join(last, "source_id").groupBy("source_id", "k", "last").agg(F.min("generation").alias("first"), F.max((F.col("generation") == F.col("last")).cast("int")).alias("there"))
+    shown = accepted(seen).join(last, "source_id").groupBy("source_id", "k", "last").agg(F.min("generation").alias("first"), F.max((F.col("generation") == F.col("last")).cast("int")).alias("there"))
     return shown.filter("first < last and there = 0").select("source_id", "k", F.col("last").alias("generation"))
 
 
+def state_of(misses: DataFrame) -> DataFrame:
+    state = F.when(F.col("misses") == 0, "ACTIVE").when(F.col("misses") < POLICY.expire_after_misses, "UNCERTAIN").otherwise("EXPIRED")
+    return misses.withColumn("state", state)
+
+
 def presence(seen: DataFrame) -> DataFrame:
     """(source_id, k, last_seen, misses, state): misses are complete generations of the source after the last sighting."""
-    complete = generations(seen).filter("n_errors = 0").groupBy("source_id").agg(F.collect_list("generation").alias("days"))  # days of a source, not events
-    known = seen.groupBy("source_id", "k").agg(F.max("generation").alias("last_seen")).join(complete, "source_id", "left")
-    missed = F.coalesce(F.size(F.filter("days", lambda day: day > F.col("last_seen"))), F.lit(0)).cast("long")
-    counted = known.select("source_id", "k", "last_seen", F.when(F.col("days").isNull(), F.lit(0).cast("long")).otherwise(missed).alias("misses"))
-    state = F.when(F.col("misses") == 0, "ACTIVE").when(F.col("misses") < POLICY.expire_after_misses, "UNCERTAIN").otherwise("EXPIRED")
-    return counted.withColumn("state", state)
+    return state_of(coverage.misses_since(accepted(seen), flagged(seen)))
 
 
 PRESENCE_SQL = f"""WITH s AS {SEEN}, g AS (SELECT source_id, generation FROM s GROUP BY 1, 2 HAVING NOT bool_or(event_type = 'error')),
-i AS (SELECT source_id, k, max(generation) AS last_seen FROM s GROUP BY 1, 2),
+i AS (SELECT source_id, k, max(generation) AS last_seen FROM s WHERE event_type <> 'error' GROUP BY 1, 2),
 m AS (SELECT i.source_id, i.k, i.last_seen, count(g.generation) AS misses FROM i LEFT JOIN g ON g.source_id = i.source_id AND g.generation > i.last_seen GROUP BY 1, 2, 3)
-SELECT source_id, k, last_seen, misses, CASE WHEN misses = 0 THEN 'ACTIVE' WHEN misses < 3 THEN 'UNCERTAIN' ELSE 'EXPIRED' END AS state FROM m"""
+SELECT source_id, k, last_seen, misses, CASE WHEN misses = 0 THEN 'ACTIVE' WHEN misses < {POLICY.expire_after_misses} THEN 'UNCERTAIN' ELSE 'EXPIRED' END AS state FROM m"""
 
 
 @query(PRESENCE_SQL)
@@ -76,9 +87,37 @@ def presence_state(spark, d):
 
 @query(PRESENCE_SQL)
 def replay_idempotent(spark, d):
-    """Every event delivered twice, the second time backwards: applying a generation again changes nothing."""
+    """Generations applied in three batches, the later half before the earlier, and then once more: the ledger of what was applied leaves nothing of the third."""
+    seen = written(sightings(spark, d), "sightings")
+    whole = flagged(seen)
+    half = F.to_date(F.lit("2024-01-16"))
+    last = done = None
+    for part in (F.col("generation") >= half, F.col("generation") < half, F.col("generation") >= half):
+        last, done = coverage.applied(last, done, accepted(seen).filter(part), whole.filter(part))
+    return state_of(coverage.misses_since(last, done))
+
+
+#: How far a source's word reaches, what it declares, and when its run was invalidated: functions of its number, as a binding's contract would say.
+_CONTRACT = "CASE WHEN source_id % 5 = 0 THEN 'NON_AUTHORITATIVE_QUERY' WHEN source_id % 5 = 1 THEN 'AUTHORITATIVE_DECLARED_SCOPE' ELSE 'AUTHORITATIVE_FULL_SOURCE' END"
+
+
+@query(f"""WITH g AS (SELECT source_id, generation, count(CASE WHEN event_type = 'error' THEN 1 END) > 0 AS failed, bool_or(event_type = 'error' AND k % 10 = 0) AS challenged, bool_or(event_type = 'signup' AND k % 10 = 1) AS cancelled, count(*) > 8 AS exhausted,
+  arg_max(event_type, event_id) IN ('signup', 'purchase') AS terminal, bool_or(event_type = 'view' AND k % 10 = 2) AS pending, {_CONTRACT} AS authority FROM {SEEN} GROUP BY 1, 2),
+c AS (SELECT *, CASE WHEN cancelled THEN 'CANCELLED' WHEN failed AND NOT terminal THEN 'FAILED' WHEN exhausted THEN 'BUDGET_EXHAUSTED' WHEN failed OR pending THEN 'PARTIAL' WHEN terminal THEN 'COMPLETE' ELSE 'UNKNOWN' END AS state FROM g)
+SELECT source_id, generation, state, authority, CASE WHEN state <> 'COMPLETE' THEN 'NOT_COMPLETE' WHEN authority = 'NON_AUTHORITATIVE_QUERY' THEN 'NO_AUTHORITY' WHEN source_id % 7 = 0 THEN 'INFERENCE_OFF' WHEN authority = 'AUTHORITATIVE_DECLARED_SCOPE' AND source_id % 3 = 0 THEN 'OTHER_SCOPE' WHEN challenged THEN 'INVALIDATED' END AS barred FROM c""")
+def absence_admissibility(spark, d):
+    """Each generation through the barrier and the five conditions: its state, and the first thing that bars it from speaking of absence."""
     seen = sightings(spark, d)
-    return presence(seen.unionByName(seen.orderBy(F.desc("event_id"))).dropDuplicates(["event_id"]))
+
+    def some(condition):
+        return F.max(F.expr(condition))
+
+    g = seen.groupBy("source_id", "generation").agg(
+        some("event_type = 'error'").alias("failed"), some("event_type = 'error' and k % 10 = 0").alias("challenged"), some("event_type = 'signup' and k % 10 = 1").alias("cancelled"), (F.count("*") > 8).alias("exhausted"),
+        F.max_by("event_type", "event_id").isin("signup", "purchase").alias("terminal"), some("event_type = 'view' and k % 10 = 2").alias("pending"))
+    named = g.withColumn("authority", F.expr(_CONTRACT)).withColumn("state", coverage.completion(F.col("failed"), F.col("cancelled"), F.col("exhausted"), F.col("terminal"), F.col("pending")))
+    in_scope = (F.col("authority") != "AUTHORITATIVE_DECLARED_SCOPE") | (F.col("source_id") % 3 != 0)
+    return named.select("source_id", "generation", "state", "authority", coverage.inadmissible(F.col("state"), F.col("authority"), F.col("source_id") % 7 != 0, in_scope, F.col("challenged")).alias("barred"))
 
 
 @query(f"""WITH s AS {SEEN}, i AS (SELECT source_id, k, min(event_type) AS scope_key, max(generation) AS last_seen FROM s WHERE event_type <> 'error' GROUP BY 1, 2),
@@ -116,7 +155,7 @@ def evidence(spark, d) -> DataFrame:
 @query(f"""WITH e AS (SELECT l_partkey AS job_id, l_suppkey AS source_id, l_shipdate AS seen_at, {STATE} AS state, row_number() OVER (PARTITION BY l_partkey, l_suppkey ORDER BY l_shipdate DESC, l_orderkey DESC, l_linenumber DESC, {STATE} DESC) AS rn FROM lineitem),
 p AS (SELECT *, source_id % 4 < 3 AS trusted FROM e WHERE rn = 1), t AS (SELECT max(seen_at) AS today FROM e),
 j AS (SELECT job_id, max(CASE WHEN trusted AND state = 'CLOSED' THEN seen_at END) AS closed_at, max(CASE WHEN trusted AND state = 'ACTIVE' THEN seen_at END) AS active_at, count(CASE WHEN trusted THEN 1 END) AS n_trusted, count(CASE WHEN trusted AND state = 'EXPIRED' THEN 1 END) AS n_expired FROM p GROUP BY 1)
-SELECT job_id, CASE WHEN closed_at IS NOT NULL AND (active_at IS NULL OR closed_at > active_at) THEN 'CLOSED' WHEN active_at >= today - INTERVAL 365 DAY THEN 'ACTIVE' WHEN n_trusted > 0 AND n_trusted = n_expired THEN 'EXPIRED' ELSE 'UNCERTAIN' END AS state,
+SELECT job_id, CASE WHEN closed_at IS NOT NULL AND (active_at IS NULL OR closed_at > active_at) THEN 'CLOSED' WHEN active_at >= today - INTERVAL {POLICY.presence_fresh_days} DAY THEN 'ACTIVE' WHEN n_trusted > 0 AND n_trusted = n_expired THEN 'EXPIRED' ELSE 'UNCERTAIN' END AS state,
   closed_at IS NOT NULL AND active_at IS NOT NULL AS conflict FROM j, t""")
 def availability(spark, d):
     """The state of a job over its sources: untrusted sources never close it, the newest trusted evidence decides."""
@@ -129,7 +168,7 @@ def availability(spark, d):
 
     j = own.groupBy("job_id").agg(last("CLOSED").alias("closed_at"), last("ACTIVE").alias("active_at"), F.count(F.when(F.col("trusted"), 1)).alias("n_trusted"), F.count(F.when(F.col("trusted") & (F.col("state") == "EXPIRED"), 1)).alias("n_expired"))
     closed = F.col("closed_at").isNotNull() & (F.col("active_at").isNull() | (F.col("closed_at") > F.col("active_at")))
-    fresh = F.col("active_at") >= F.col("today") - F.expr("INTERVAL 365 DAYS")
+    fresh = F.col("active_at") >= F.col("today") - F.expr(f"INTERVAL {POLICY.presence_fresh_days} DAYS")
     state = F.when(closed, "CLOSED").when(fresh, "ACTIVE").when((F.col("n_trusted") > 0) & (F.col("n_trusted") == F.col("n_expired")), "EXPIRED").otherwise("UNCERTAIN")
     return j.join(F.broadcast(today)).select("job_id", state.alias("state"), (F.col("closed_at").isNotNull() & F.col("active_at").isNotNull()).alias("conflict"))
 
@@ -188,18 +227,13 @@ def repost_links(spark, d):
     return e.filter("old = 'CLOSED' and state = 'ACTIVE'").select("job_id", "source_id", "closed_at", F.col("at").alias("reopened_at"))
 
 
-@query(f"""SELECT source_id, generation, k, CAST(island AS BIGINT) AS misses FROM (
-  SELECT source_id, generation, k, seen, sum(CASE WHEN seen THEN 0 ELSE 1 END) OVER (PARTITION BY source_id, k, run ORDER BY generation) AS island FROM (
-    SELECT *, sum(CASE WHEN seen THEN 1 ELSE 0 END) OVER (PARTITION BY source_id, k ORDER BY generation) AS run FROM (
-      SELECT i.source_id, i.k, g.generation, s.k IS NOT NULL AS seen FROM (SELECT source_id, k, min(generation) AS first FROM {SEEN} GROUP BY 1, 2) i
-      JOIN (SELECT source_id, generation FROM {SEEN} GROUP BY 1, 2 HAVING NOT bool_or(event_type = 'error')) g ON g.source_id = i.source_id AND g.generation >= i.first
-      LEFT JOIN (SELECT DISTINCT source_id, k, generation FROM {SEEN}) s ON s.source_id = i.source_id AND s.k = i.k AND s.generation = g.generation))) WHERE NOT seen AND island = 3""")
+@query(f"""WITH s AS {SEEN}, g AS (SELECT source_id, generation, NOT bool_or(event_type = 'error') AS complete FROM s GROUP BY 1, 2), i AS (SELECT source_id, k, min(generation) AS first FROM s WHERE event_type <> 'error' GROUP BY 1, 2),
+r AS (SELECT i.source_id, i.k, g.generation, g.complete, x.k IS NOT NULL AS seen FROM i JOIN g ON g.source_id = i.source_id AND g.generation >= i.first
+  LEFT JOIN (SELECT DISTINCT source_id, k, generation FROM s WHERE event_type <> 'error') x ON x.source_id = i.source_id AND x.k = i.k AND x.generation = g.generation),
+n AS (SELECT *, sum(CASE WHEN seen THEN 1 ELSE 0 END) OVER (PARTITION BY source_id, k ORDER BY generation) AS run FROM r),
+m AS (SELECT *, sum(CASE WHEN complete AND NOT seen THEN 1 ELSE 0 END) OVER (PARTITION BY source_id, k, run ORDER BY generation) AS misses FROM n)
+SELECT source_id, generation, k, CAST(misses AS BIGINT) AS misses FROM m WHERE complete AND NOT seen AND misses = {POLICY.expire_after_misses}""")
 def consecutive_misses(spark, d):
-    """The complete generation in which an identity was missing for the third time running."""
+    """The complete generation in which an identity was missing for the third time running, by differences of numbers."""
     seen = sightings(spark, d)
-    whole = generations(seen).filter("n_errors = 0").select("source_id", "generation")
-    first = seen.groupBy("source_id", "k").agg(F.min("generation").alias("first"))
-    shown = seen.select("source_id", "k", "generation", F.lit(True).alias("seen")).distinct()
-    rows = first.join(whole, "source_id").filter("generation >= first").join(shown, ["source_id", "k", "generation"], "left").withColumn("seen", F.col("seen").isNotNull())
-    counted = ledger.streak(rows, ["source_id", "k"], ["generation"], F.col("seen"), "misses")
-    return counted.filter(f"not seen and misses = {POLICY.expire_after_misses}").select("source_id", "generation", "k", "misses")
+    return coverage.nth_misses(accepted(seen), flagged(seen), POLICY.expire_after_misses)

@@ -27,15 +27,27 @@ def run_counters(spark, d):
     return e.groupBy(F.to_date("ts").alias("run")).agg(F.count("*").alias("requests"), n_if("event_type = 'error'").alias("failed"), F.countDistinct(k).alias("discovered"), n_if("event_type = 'purchase'").alias("saved"), cost.alias("cost"))
 
 
-_STATUS = "CASE WHEN cancelled > 0 AND n_ok = 0 THEN 'CANCELLED' WHEN n_ok > 0 AND n_err = 0 THEN 'SUCCEEDED' WHEN n_ok > 0 THEN 'PARTIAL' ELSE 'FAILED' END"
-
-
-@query(f"""SELECT run, status, processing, count(*) AS n FROM (SELECT run, {_STATUS} AS status, CASE WHEN pending > 0 THEN 'PENDING' ELSE 'DONE' END AS processing FROM (
-  SELECT CAST(ts AS DATE) AS run, user_id, count(CASE WHEN event_type NOT IN ('error', 'signup') THEN 1 END) AS n_ok, count(CASE WHEN event_type = 'error' THEN 1 END) AS n_err, count(CASE WHEN event_type = 'signup' THEN 1 END) AS cancelled, count(CASE WHEN event_type = 'view' THEN 1 END) AS pending FROM events GROUP BY 1, 2)) GROUP BY 1, 2, 3""")
+#: A group's outcome, and a run's status over the outcomes of its groups: no run ends while work or processing is pending; then a wish to cancel
+#: decides, whatever has succeeded before; a group that was never needed says nothing.
+_OUTCOME = """CASE WHEN n_ok > 0 AND n_err = 0 THEN 'SATISFIED' WHEN n_ok > 0 THEN 'SATISFIED_PARTIAL' WHEN n_err > 0 THEN 'FAILED' WHEN n_denied > 0 THEN 'POLICY_DENIED' ELSE 'SKIPPED_NOT_NEEDED' END"""
+_RUN = """CASE WHEN pending > 0 THEN 'RUNNING' WHEN cancelled > 0 THEN 'CANCELLED' WHEN satisfied + partial + failed = 0 OR partial + failed = 0 THEN 'SUCCEEDED' WHEN partial > 0 OR satisfied > 0 THEN 'PARTIAL' ELSE 'FAILED' END"""
+_COUNTS = {
+    "n_ok": "event_type IN ('click', 'purchase', 'view')", "n_err": "event_type = 'error'", "n_denied": "event_type = 'signup' AND {k} % 2 = 0", "n_cancel": "event_type = 'signup' AND {k} = 7", "n_pending": "event_type = 'view' AND {k} = 13"}
+
+
+@query(f"""SELECT run, {_RUN} AS status, CASE WHEN pending > 0 THEN 'PENDING' ELSE 'DONE' END AS processing, n_groups, satisfied, partial, failed FROM (
+  SELECT run, count(*) AS n_groups, count(CASE WHEN outcome = 'SATISFIED' THEN 1 END) AS satisfied, count(CASE WHEN outcome = 'SATISFIED_PARTIAL' THEN 1 END) AS partial, count(CASE WHEN outcome IN ('FAILED', 'POLICY_DENIED') THEN 1 END) AS failed,
+    CAST(sum(n_cancel) AS BIGINT) AS cancelled, CAST(sum(n_pending) AS BIGINT) AS pending FROM (SELECT *, {_OUTCOME} AS outcome FROM (
+    SELECT date_trunc('hour', ts) AS run, user_id, {', '.join(f"count(CASE WHEN {c.format(k=K)} THEN 1 END) AS {n}" for n, c in _COUNTS.items())} FROM events GROUP BY 1, 2)) GROUP BY 1)""")
 def run_status(spark, d):
-    """The truth table of groups (a user's day), and beside it whether their evidence is processed."""
-    g = table(spark, d, "events").groupBy(F.to_date("ts").alias("run"), "user_id").agg(n_if("event_type not in ('error', 'signup')").alias("n_ok"), n_if("event_type = 'error'").alias("n_err"), n_if("event_type = 'signup'").alias("cancelled"), n_if("event_type = 'view'").alias("pending"))
-    return g.groupBy("run", F.expr(_STATUS).alias("status"), F.when(F.col("pending") > 0, "PENDING").otherwise("DONE").alias("processing")).agg(F.count("*").alias("n"))
+    """Each hour's run by the truth table over its groups (a user's hour), and beside it whether its evidence is processed."""
+    e = table(spark, d, "events").withColumn("k", F.get_json_object("props", "$.k").cast("long"))
+    g = e.groupBy(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("run"), "user_id").agg(*[n_if(c.format(k="k")).alias(n) for n, c in _COUNTS.items()])
+    outcome = F.expr(_OUTCOME)
+    runs = g.withColumn("outcome", outcome).groupBy("run").agg(
+        F.count("*").alias("n_groups"), n_if("outcome = 'SATISFIED'").alias("satisfied"), n_if("outcome = 'SATISFIED_PARTIAL'").alias("partial"), n_if("outcome in ('FAILED', 'POLICY_DENIED')").alias("failed"),
+        F.sum("n_cancel").alias("cancelled"), F.sum("n_pending").alias("pending"))
+    return runs.select("run", F.expr(_RUN).alias("status"), F.when(F.col("pending") > 0, "PENDING").otherwise("DONE").alias("processing"), "n_groups", "satisfied", "partial", "failed")
 
 
 @query("""SELECT l_orderkey AS group_id, CASE WHEN best IS NOT NULL THEN 'SATISFIED' WHEN partial IS NOT NULL THEN 'SATISFIED_PARTIAL' ELSE 'FAILED' END AS outcome, coalesce(best, partial) AS winning_rank, ranks - coalesce(best, partial, ranks) AS not_needed FROM (

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import table
 from .registry import query
-from .workflow import ACTIONS, actions
+from .workflow import ACTIONS, K, actions
 
 #: Profiles: id, least score, wanted word of the type, least level, least pay (hard), preferred pay (soft).
 PROFILES = [(0, 20, "ECONOMY", 5, 900.0, 950.0), (1, 10, "PROMO", 10, 0.0, 1000.0), (2, 0, "STANDARD", 1, 905.0, 1200.0)]
@@ -104,26 +104,34 @@ def inbox_predicate(spark, d):
     return kept.select("job_id", "profile_id", F.col("score").cast("long").alias("score"), "disposition")
 
 
-#: disposition, trigger: what an event does (fixed values of the decision table).
+#: disposition found, trigger: what an event does (fixed values of the transition table). EMIT needs the inbox predicate and counts once for its key.
 DECISIONS = [
-    ("NONE", "NEW", "EMIT"), ("NONE", "CHANGED", "EMIT"), ("NONE", "REPOST", "EMIT"),
-    ("SHORTLISTED", "NEW", "SUPPRESS"), ("SHORTLISTED", "CHANGED", "EMIT"), ("SHORTLISTED", "REPOST", "EMIT"),
-    ("SNOOZED", "NEW", "COALESCE"), ("SNOOZED", "CHANGED", "COALESCE"), ("SNOOZED", "REPOST", "COALESCE"),
-    ("DISMISSED", "NEW", "SUPPRESS"), ("DISMISSED", "CHANGED", "SUPPRESS"), ("DISMISSED", "REPOST", "SUPPRESS"),
-    ("ARCHIVED", "NEW", "SUPPRESS"), ("ARCHIVED", "CHANGED", "SUPPRESS"), ("ARCHIVED", "REPOST", "SUPPRESS"),
+    *[(found, "ORDINARY", "EMIT") for found in ("NONE", "SHORTLISTED")], *[(found, "SNOOZE_EXPIRY", "NOT_APPLICABLE") for found in ("NONE", "SHORTLISTED")], *[(found, "PROFILE_ELIGIBLE", "EMIT_FIRST") for found in ("NONE", "SHORTLISTED")],
+    ("SNOOZED", "ORDINARY", "COALESCE"), ("SNOOZED", "SNOOZE_EXPIRY", "EMIT_EXPIRY"), ("SNOOZED", "PROFILE_ELIGIBLE", "SUPPRESS"),
+    ("DISMISSED", "ORDINARY", "SUPPRESS"), ("DISMISSED", "SNOOZE_EXPIRY", "NOT_APPLICABLE"), ("DISMISSED", "PROFILE_ELIGIBLE", "SUPPRESS"),
+    ("ARCHIVED", "ORDINARY", "SUPPRESS"), ("ARCHIVED", "SNOOZE_EXPIRY", "NOT_APPLICABLE"), ("ARCHIVED", "PROFILE_ELIGIBLE", "SUPPRESS"),
 ]
-TRIGGER = "CASE WHEN occurrence = 1 THEN 'NEW' WHEN event_id % 2 = 0 THEN 'CHANGED' ELSE 'REPOST' END"
-_BEFORE = f"(SELECT event_id, row_number() OVER w AS occurrence, lag(event_type) OVER w AS last_action FROM {ACTIONS} WINDOW w AS (PARTITION BY job_id, profile ORDER BY event_id))"
+#: A day before is the snooze's end: the first event a day or more after a snooze is its expiry; a signup is a new revision of the profile.
+TRIGGER = "CASE WHEN last_action = 'view' AND waited THEN 'SNOOZE_EXPIRY' WHEN event_type = 'signup' THEN 'PROFILE_ELIGIBLE' ELSE 'ORDINARY' END"
+#: What identifies a trigger beside job, profile and kind: the snooze that ends, the profile's revision, or the day's content.
+OCCURRENCE = "CASE trigger_kind WHEN 'SNOOZE_EXPIRY' THEN 's' || last_id WHEN 'PROFILE_ELIGIBLE' THEN 'p' ELSE 'd' || day END"
+PASSES = "value >= 10"
+_BEFORE = f"""(SELECT *, lag(event_type) OVER w AS last_action, lag(event_id) OVER w AS last_id, ts >= lag(ts) OVER w + INTERVAL 1 DAY AS waited, CAST(CAST(ts AS DATE) AS VARCHAR) AS day
+  FROM (SELECT event_id, ts, event_type, value, {K} AS job_id, user_id % 5 AS profile FROM events) WINDOW w AS (PARTITION BY job_id, profile ORDER BY event_id))"""
 
 
-@query(f"SELECT disposition, trigger_kind, emit, count(*) AS n FROM (SELECT {DISPOSITION} AS disposition, {TRIGGER} AS trigger_kind FROM {_BEFORE}) JOIN (VALUES {', '.join(map(str, DECISIONS))}) t(disposition, trigger_kind, emit) USING (disposition, trigger_kind) GROUP BY 1, 2, 3")
+@query(f"""SELECT disposition, trigger_kind, emit, count(*) AS n, count(DISTINCT CASE WHEN starts_with(emit, 'EMIT') AND {PASSES} THEN job_id || ':' || profile || ':' || {OCCURRENCE} END) AS n_emitted
+FROM (SELECT *, {DISPOSITION} AS disposition, {TRIGGER} AS trigger_kind FROM {_BEFORE}) JOIN (VALUES {', '.join(map(str, DECISIONS))}) t(disposition, trigger_kind, emit) USING (disposition, trigger_kind) GROUP BY 1, 2, 3""")
 def inbox_decision_table(spark, d):
-    """Each event meets the table with the disposition that it finds; the table is joined, not coded."""
+    """Each event meets the table with the disposition that it finds; the table is joined, not coded, and an event that comes again emits nothing more."""
     w = Window.partitionBy("job_id", "profile").orderBy("event_id")
-    found = actions(spark, d).select("event_id", F.row_number().over(w).alias("occurrence"), F.lag("event_type").over(w).alias("last_action"))
+    own = table(spark, d, "events").select("event_id", "ts", "event_type", "value", F.get_json_object("props", "$.k").cast("long").alias("job_id"), (F.col("user_id") % 5).alias("profile"))
+    waited = F.col("ts") >= F.lag("ts").over(w) + F.expr("INTERVAL 1 DAY")
+    found = own.select("*", F.lag("event_type").over(w).alias("last_action"), F.lag("event_id").over(w).alias("last_id"), waited.alias("waited"), F.to_date("ts").cast("string").alias("day"))
     rules = spark.createDataFrame(DECISIONS, "disposition string, trigger_kind string, emit string")
-    rows = found.select(F.expr(DISPOSITION).alias("disposition"), F.expr(TRIGGER).alias("trigger_kind"))
-    return rows.join(F.broadcast(rules), ["disposition", "trigger_kind"]).groupBy("disposition", "trigger_kind", "emit").agg(F.count("*").alias("n"))
+    rows = found.withColumn("disposition", F.expr(DISPOSITION)).withColumn("trigger_kind", F.expr(TRIGGER)).join(F.broadcast(rules), ["disposition", "trigger_kind"])
+    key = F.when(F.col("emit").startswith("EMIT") & F.expr(PASSES), F.concat_ws(":", "job_id", "profile", F.expr(OCCURRENCE)))
+    return rows.groupBy("disposition", "trigger_kind", "emit").agg(F.count("*").alias("n"), F.countDistinct(key).alias("n_emitted"))
 
 
 @query(f"""SELECT event_type, verdict, count(*) AS n FROM (SELECT event_type, CASE WHEN expected IS NULL THEN 'NO_TOKEN' WHEN expected = revision THEN 'ACCEPTED' ELSE 'STALE' END AS verdict FROM (
