@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -48,9 +48,8 @@ def streak(df: DataFrame, keys: list[str], order: list, broken: Column, name: st
     return islands.withColumn(name, F.sum((~broken).cast("int")).over(within)).drop("_island")
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """df through Parquet in the shared folder named by spark.checkpoint.dir, or checkpointed where only the context names one."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; on a local master without one, a temporary folder of its own."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder is None:
         if not spark.sparkContext.master.startswith("local"):
@@ -59,7 +58,13 @@ def written(df: DataFrame, label: str) -> DataFrame:
 
         folder = f"file://{tempfile.mkdtemp(prefix='lodestone-')}"
         spark.sparkContext.setCheckpointDir(folder)
-    path = f"{folder}/{label}-{uuid.uuid4().hex}"
+    return folder
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """df through Parquet in the shared folder."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
