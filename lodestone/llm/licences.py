@@ -200,14 +200,14 @@ def chains(segments: list[tuple[int, int, int]], gap: int = GAP) -> list[tuple[i
 
 
 def outermost(spans: list[tuple]) -> list[tuple]:
-    """Spans that lie in no span with more covered words, by start; of spans of one label and place the one of the largest share."""
+    """Spans that lie in no span with more covered words, or as many of a template that is covered better; by start, equal ones of one label once."""
     kept: list[tuple] = []
-    reach: list[tuple[int, int]] = []  # (stop, covered) of spans that may hold those to come
+    reach: list[tuple[int, int, float]] = []  # (stop, covered, share) of spans that may hold those to come
     for s in sorted(spans, key=lambda s: (s[2], -s[3], -s[4], -s[5], s[0], s[1])):
         reach = [r for r in reach if r[0] > s[2]]
-        if not any(stop >= s[3] and covered > s[4] for stop, covered in reach) and not any(k[0] == s[0] and k[2:4] == s[2:4] for k in kept[-8:]):
+        if not any(r[0] >= s[3] and r[1:] > (s[4], s[5]) for r in reach) and not any(k[0] == s[0] and k[2:4] == s[2:4] for k in kept[-8:]):
             kept.append(s)
-        reach.append((s[3], s[4]))
+        reach.append((s[3], s[4], s[5]))
     return kept
 
 

