@@ -3,10 +3,11 @@
 Token totals per source give each source a target by water filling: weights share all tokens, no target
 passes MAX_REPEAT times its source, and what a capped source gives up is shared again by weight. A document is
 then emitted floor(rate) times plus once more with probability equal to the fraction, where
-rate = target / source total; the extra copy is decided by a hash of its id and text, so reruns agree.
+rate = target / source total; the extra copy is decided by a hash of its id and text, so reruns agree. Rows that share source, id and
+text are numbered, and their number is part of the hash, so that each draws for itself; groups of any size are numbered in parts.
 
 Defined cases: a null text has size 0; a null source is a source of its own, ordered last; a null doc_id
-draws as the empty string, with its text; equal rows draw alike; a source without tokens has rate 0 and target 0;
+draws as the empty string, with its text; which of the rows that share source, id and text gets which draw follows their places in the table; a source without tokens has rate 0 and target 0;
 an empty table gives an empty result. `emit` returns all columns of its input unchanged, whatever their names; `mix` replaces
 columns named like those it adds.
 """
@@ -53,18 +54,44 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     return levelled.select("source", "source_size", F.least(F.col("cap").cast("double"), F.col("level") * F.col("weight")).alias("target"))
 
 
+#: Parts in which the rows of one group are numbered.
+PARTS = 64
+
+
+def _numbered(docs: DataFrame, copy: str) -> DataFrame:
+    """docs plus the number, from 0, of each row among those that share its source, id and text."""
+    group, row, part, before, mark = fresh([*docs.columns, copy], "group", "row", "part", "before", "mark")
+    same = F.xxhash64(F.coalesce("source", F.lit("")), F.col("source").isNull(), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit("")))
+    repeated = docs.groupBy(same.alias(group)).agg(F.count("*").alias(before)).filter(F.col(before) > 1).select(group, F.lit(True).alias(mark))
+    repeated = materialise(repeated, "mix-repeated")
+    if repeated.isEmpty():
+        return docs.withColumn(copy, F.lit(0).cast("long"))
+    keyed = materialise(docs.withColumns({group: same, row: F.monotonically_increasing_id()}), "mix-rows")
+    marked = small_or_split(keyed, repeated, group)
+    alone = marked.filter(F.col(mark).isNull()).select(*docs.columns, F.lit(0).cast("long").alias(copy))
+    own = marked.filter(mark).withColumn(part, F.pmod(F.col(row), F.lit(PARTS)).cast("int"))
+    upto = Window.partitionBy(group).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)  # at most PARTS rows of a group
+    counts = own.groupBy(group, part).agg(F.count("*").alias(before))
+    counts = materialise(counts.select(group, part, F.coalesce(F.sum(before).over(upto), F.lit(0)).alias(before)), "mix-parts")
+    place = F.row_number().over(Window.partitionBy(group, part).orderBy(row)) - 1
+    numbered = own.withColumn(copy, place.cast("long")).join(counts, [group, part])
+    return alone.unionByName(numbered.select(*docs.columns, (F.col(copy) + F.col(before)).alias(copy)))
+
+
 def _mixed(docs: DataFrame, seed: str) -> tuple[DataFrame, dict[str, str]]:
     """docs plus size, source_size, target and copies, under names that docs does not have; and those names."""
     wanted = ("size", "source_size", "target", "copies")
     name = dict(zip(wanted, fresh(docs.columns, *wanted)))
+    (copy,) = fresh([*docs.columns, *name.values()], "copy")
     targets = materialise(source_targets(docs.select("source", text_size().alias("size"))), "mix-targets")
     targets = targets.select("source", F.col("source_size").alias(name["source_size"]), F.col("target").alias(name["target"]))
-    sized = small_or_split(docs.withColumn(name["size"], text_size()), targets, "source")
+    sized = small_or_split(_numbered(docs, copy).withColumn(name["size"], text_size()), targets, "source")
     total = F.col(name["source_size"])
     rate = F.when(total > 0, F.col(name["target"]) / total).otherwise(F.lit(0.0))
     whole = F.floor(rate)
-    own = uniform(seed, F.col("doc_id"), F.md5(F.coalesce("text", F.lit("")).cast("binary")))
-    return sized.withColumn(name["copies"], (whole + F.when(own < rate - whole, 1).otherwise(0)).cast("long")), name
+    text = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
+    own = uniform(seed, F.col("doc_id"), F.when(F.col(copy) == 0, text).otherwise(F.concat(text, F.lit(":"), F.col(copy).cast("string"))))
+    return sized.withColumn(name["copies"], (whole + F.when(own < rate - whole, 1).otherwise(0)).cast("long")).drop(copy), name
 
 
 def mix(docs: DataFrame, seed: str = SEED) -> DataFrame:
@@ -105,8 +132,8 @@ WITH sized AS (
 ), rated AS (
   SELECT d.doc_id, d.size, t.source_size, t.target,
     CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate,
-    CAST(CAST('0x' || substr(md5('{SEED}:' || coalesce(CAST(d.doc_id AS VARCHAR), '') || ':' || d.digest), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496 AS u
-  FROM sized d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source
+    CAST(CAST('0x' || substr(md5('{SEED}:' || coalesce(CAST(d.doc_id AS VARCHAR), '') || ':' || d.digest || CASE WHEN d.copy > 0 THEN ':' || d.copy ELSE '' END), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496 AS u
+  FROM (SELECT *, row_number() OVER (PARTITION BY source, doc_id, digest) - 1 AS copy FROM sized) d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source
 )
 SELECT doc_id, size, source_size, target,
   CAST((floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END) * size AS BIGINT) AS taken
