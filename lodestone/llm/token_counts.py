@@ -39,6 +39,18 @@ CONTRACTIONS = ("'re", "'ve", "'ll")
 #: How the byte-level pre-tokeniser splits text (fixed value of the vocabulary's format).
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
+#: White space as that pattern has it; str.isspace() counts some separators more.
+_LEADING = regex.compile(r"\s*")
+
+
+def _spaces(piece: str) -> int:
+    """Characters of white space that a piece starts with."""
+    return _LEADING.match(piece).end()
+
+
+def _is_blank(piece: str) -> bool:
+    return _spaces(piece) == len(piece)
+
 
 def default_path() -> str:
     import public_tokenizers
@@ -187,8 +199,8 @@ class PrefixCounter:
                 total, last = self.totals[piece], start
                 size = len(piece)
                 yield start + 1, before, self.totals.stored(piece)[1:]
-                if piece[0].isspace() or piece.isspace():
-                    spaces = size - len(piece.lstrip()) if not piece.isspace() else size
+                spaces = _spaces(piece)
+                if spaces:
                     if blank is None:
                         blank = start, before
                     # what ends in white space counts it as one piece
@@ -201,7 +213,7 @@ class PrefixCounter:
                 elif size == 3 and piece in CONTRACTIONS:
                     yield start + 2, before, [self.totals["'"] + self.totals[piece[1]]]
                     yield start + 3, before, [total]
-                if not piece.isspace():
+                if spaces < size:
                     blank = None
                 before += total
                 start += size
@@ -245,9 +257,9 @@ class PrefixCounter:
         low = high = bisect_right(sums, budget)
         # from a piece that no white space joins to what is before it, to one that ends any
         low -= 2
-        while low > 0 and (pieces[low].isspace() or pieces[low - 1].isspace()):
+        while low > 0 and (_is_blank(pieces[low]) or _is_blank(pieces[low - 1])):
             low -= 1
-        while high < len(pieces) - 1 and pieces[high].isspace():
+        while high < len(pieces) - 1 and _is_blank(pieces[high]):
             high += 1
         low = max(low, 0)
         start = sum(map(len, pieces[:low]))
