@@ -117,8 +117,9 @@ def minimax_cuts(groups: DataFrame, shards: int) -> tuple[list[int], int]:
     return [low_hashes[i] for i in ranges.level(high, shards)], high
 
 
-def shard(docs: DataFrame, shards: int = SHARDS, keep: list[str] | None = None) -> DataFrame:
+def shard(docs: DataFrame, shards: int = SHARDS, keep: list[str] | None = None, with_hash: bool = True) -> DataFrame:
     """docs (or the columns to keep, doc_id among them) plus size, text_hash, text_crc32, shard and slot (its place in the shard, from 0), which replace columns of these names.
+    Without with_hash no text_hash is added, and one that docs has stays.
 
     Rows are numbered within hash ranges of a shard. They are dealt to the ranges by a row number of the table that is written
     first, so equal rows spread over all ranges like any others.
@@ -143,8 +144,8 @@ def shard(docs: DataFrame, shards: int = SHARDS, keep: list[str] | None = None)
     ranked = placed.withColumn(place, F.row_number().over(own) - 1)
     # at most shards * SLOT_RANGES rows
     numbered = ranked.join(F.broadcast(starts), [number, slot_range]).withColumn(slot, (F.col(start) + F.col(place)).cast("long"))
-    kept = [c for c in kept if c.lower() not in wanted]
-    return numbered.select(*kept, *[F.col(n).alias(w) for w, n in zip(wanted, (size, text_hash, crc, number, slot))])
+    added = {w: n for w, n in zip(wanted, (size, text_hash, crc, number, slot)) if with_hash or w != "text_hash"}
+    return numbered.select(*[c for c in kept if c.lower() not in added], *[F.col(n).alias(w) for w, n in added.items()])
 
 
 def op10_shard(spark, sf_dir) -> DataFrame:

@@ -83,7 +83,7 @@ def test_decontamination_in_several_shards(spark, monkeypatch):
 def test_mix_meets_targets_and_agrees(spark):
     rng = random.Random(6)
     rows = corpus() + [(5000 + i, "w " * rng.randrange(1, 9), "en", "a" if i % 3 else "huge", 1) for i in range(3000)]
-    docs = frame(spark, rows).drop("copies", "target", "size")
+    docs = frame(spark, rows).withColumns({"row": F.lit("mine"), "group": F.lit("mine")})
     got = mixing.mix(docs).collect()
     size = Counter()
     for _, t, _, s, _ in rows:
@@ -111,10 +111,24 @@ def test_mix_meets_targets_and_agrees(spark):
     assert mixing.mix(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_equal_rows_draw_for_themselves(spark):
+    """A source of repeated rows is taken near its target, whoever repeats: rows with one id, with none, and with other columns that differ."""
+    rows = [(7, "two words", "en", "a", 1)] * 400 + [(None, "some three words", "en", "b", i) for i in range(400)] + [(i, "one", "en", "c", 1) for i in range(400)] + [(8, "w " * 50_000, "en", "c", 1)] * 2
+    docs = spark.createDataFrame(rows, DOCS).withColumn("copy", F.lit("mine"))
+    got = mixing.mix(docs).collect()
+    taken, target = Counter(), {}
+    for r in got:
+        taken[r["source"]] += r["copies"] * r["size"]
+        target[r["source"]] = r["target"]
+    assert abs(taken["a"] - target["a"]) < 0.1 * target["a"] and abs(taken["b"] - target["b"]) < 0.1 * target["b"]
+    assert len(got) == len(rows) and {r["copy"] for r in got} == {"mine"}
+    assert Counter((r["doc_id"], r["copies"]) for r in got) == Counter((r["doc_id"], r["copies"]) for r in mixing.mix(docs.repartition(5)).collect())
+
+
 def test_shards_are_contiguous_minimax(spark):
     rows = corpus(n=400)
-    rows = [r for r in rows if r[0] != 1003] + [(7000 + i, "copy of one text", "en", "a", 1) for i in range(40)]
-    got = sharding.shard(frame(spark, rows).drop("size", "h", "slot_range")).collect()
+    rows = rows + [(7000 + i, "copy of one text", "en", "a", 1) for i in range(40)]
+    got = sharding.shard(frame(spark, rows).withColumn("text_crc32", F.lit("mine"))).collect()
     sizes, by_text = Counter(), {}
     for r in got:
         text = r["text"] if "text" in r.__fields__ else None
@@ -163,7 +177,7 @@ def test_every_prefix_counts_as_the_library_does(spark):
 
     library = Tokenizer.from_file(token_counts.default_path())
     own, rng = token_counts.counter(token_counts.default_path()), random.Random(8)
-    atoms = ["a", "the", " ", "  ", "\n", "'", "'re", "'s", "ll", "!", "<|endoftext|>", "<|end", "é", "日本", "🙂", "23", " international", "isation", "\u3000", "\r\n", "'v"]
+    atoms = ["a", "the", " ", "  ", "\n", "'", "'re", "'s", "ll", "!", "<|endoftext|>", "<|end", "é", "日本", "🙂", "23", " international", "isation", "\u3000", "\r\n", "'v", "\x1c", "\x1f", "\x85", "\x0b"]
     texts = ["".join(rng.choice(atoms) for _ in range(rng.randrange(12))) for _ in range(400)]
     cuts = {}
     for t in texts:

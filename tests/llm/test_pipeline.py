@@ -15,8 +15,8 @@ from lodestone.llm import decontaminate, sharding, toxicity
 from test_near_copies import brute_kept, edited
 from test_toxicity import INSULTS, sentence
 
-DOCS = "doc_id long, text string, lang string, source string, n_chars long, size string, shard string, leak string, copy string, row string, toxicity string"
-CLASHES = ("mine",) * 6
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, size string, shard string, leak string, copy string, row string, toxicity string, text_hash string"
+CLASHES = ("mine",) * 7
 ITEM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -33,7 +33,7 @@ def documents():
     texts += [" ".join(near), " ".join(edited(rng, near, 2)), " ".join(edited(rng, near, 1)), texts[20], texts[20].upper(), texts[21]]
     items = [" ".join(f"b{rng.randrange(900)}" for _ in range(30)) for _ in range(4)]
     texts += [items[0], texts[30] + " " + texts[31] + " " + items[1].upper() + " " + texts[32], items[2] + " ka " + items[2]]
-    texts += [None, "", " \n", "ka"]
+    texts += [None, "", " \n", "ka", " ".join(f"v{rng.randrange(9000)}" for _ in range(30_000))]
     rows = [(i, t, "en", ["a", "a", "b", None][i % 4], len(t or ""), *CLASHES) for i, t in enumerate(texts)]
     rows += [(None, "a text of nobody ka to mi re lu", None, None, None, *CLASHES), rows[40], (41, "another text under a number that repeats", "en", "z", 1, *CLASHES)]
     return rows, list(enumerate(items)) + [(9, None), (10, "!")]
