@@ -25,7 +25,8 @@ def violations(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def orphans(child: DataFrame, parent: DataFrame, child_key: str, parent_key: str) -> DataFrame:
-    return child.join(parent.select(F.col(parent_key).alias(child_key)).distinct(), child_key, "left_anti")
+    """Rows of child whose key parent lacks; a null key refers to nothing and is no orphan."""
+    return child.filter(F.col(child_key).isNotNull()).join(parent.select(F.col(parent_key).alias(child_key)).distinct(), child_key, "left_anti")
 
 
 def as_of(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str, values: list[str]) -> DataFrame:

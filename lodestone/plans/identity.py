@@ -278,11 +278,19 @@ def request_keys(spark, d):
     return table(spark, d, "events").groupBy(tx.key_of(F.col("user_id"), F.col("event_type"), F.get_json_object("props", "$.k")).alias("request_key")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT DISTINCT l_partkey AS job_id, l_suppkey AS source_id, CASE WHEN l_suppkey % 3 = 0 THEN 'NATIVE' WHEN l_suppkey % 3 = 1 THEN 'ORIGIN' ELSE 'CONTENT' END AS identity_kind FROM lineitem JOIN part ON l_partkey = p_partkey")
+@query(f"""WITH g AS (SELECT l_partkey AS job_id, l_suppkey AS source_id, l_shipdate AS seen_at, CAST(sum(brk) OVER (PARTITION BY l_partkey, l_suppkey ORDER BY l_shipdate) AS BIGINT) AS generation
+  FROM (SELECT *, CASE WHEN date_diff('day', lag(l_shipdate) OVER (PARTITION BY l_partkey, l_suppkey ORDER BY l_shipdate), l_shipdate) > 365 THEN 1 ELSE 0 END AS brk FROM {SEEN})),
+s AS (SELECT job_id, source_id, generation, min(seen_at) AS since, max(seen_at) AS until, max(generation) OVER (PARTITION BY job_id, source_id) AS current FROM g GROUP BY 1, 2, 3)
+SELECT l_orderkey, l_linenumber, s.source_id, s.job_id, s.generation, s.generation = s.current AS is_current, p_brand AS company FROM lineitem JOIN s ON l_partkey = s.job_id AND l_suppkey = s.source_id AND l_shipdate BETWEEN s.since AND s.until JOIN part ON l_partkey = p_partkey""")
 def identity_join(spark, d):
-    l = table(spark, d, "lineitem").select("l_partkey", "l_suppkey").distinct()
-    kind = F.when(F.col("l_suppkey") % 3 == 0, "NATIVE").when(F.col("l_suppkey") % 3 == 1, "ORIGIN").otherwise("CONTENT")
-    return l.join(table(spark, d, "part").select("p_partkey"), F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_partkey").alias("job_id"), F.col("l_suppkey").alias("source_id"), kind.alias("identity_kind"))
+    """Each observation with the job that its source's id meant then: joined on source, native id and the generation of that id in whose time it falls."""
+    seen = id_reuse_guard(spark, d).groupBy("job_id", "source_id", "generation").agg(F.min("seen_at").alias("since"), F.max("seen_at").alias("until"))
+    current = F.max("generation").over(Window.partitionBy("job_id", "source_id"))  # generations of one id
+    sources = seen.withColumn("is_current", F.col("generation") == current)
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate", F.col("l_partkey").alias("job_id"), F.col("l_suppkey").alias("source_id"))
+    found = rows.join(sources, ["job_id", "source_id"]).filter((F.col("l_shipdate") >= F.col("since")) & (F.col("l_shipdate") <= F.col("until")))
+    named = found.join(table(spark, d, "part").select(F.col("p_partkey").alias("job_id"), F.col("p_brand").alias("company")), "job_id")
+    return named.select("l_orderkey", "l_linenumber", "source_id", "job_id", "generation", "is_current", "company")
 
 
 @query("SELECT a.o_orderkey AS order_a, b.o_orderkey AS order_b FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND a.o_orderkey < b.o_orderkey AND abs(date_diff('day', a.o_orderdate, b.o_orderdate)) <= 45 AND abs(a.o_totalprice - b.o_totalprice) <= 0.05 * greatest(a.o_totalprice, b.o_totalprice)")

@@ -135,9 +135,9 @@ def constraint_uniqueness(spark, d):
 FOREIGN = [("lineitem", "l_orderkey", "orders", "o_orderkey"), ("lineitem", "l_partkey", "part", "p_partkey"), ("orders", "o_custkey", "customer", "c_custkey"), ("labels", "doc_id", "documents", "doc_id"), ("orders", "o_orderkey", "lineitem", "l_orderkey")]
 
 
-@query(" UNION ALL ".join(f"SELECT '{c}.{ck}' AS child, '{p}.{pk}' AS parent, count(*) AS orphans FROM {c} WHERE NOT EXISTS (SELECT 1 FROM {p} x WHERE x.{pk} = {c}.{ck})" for c, ck, p, pk in FOREIGN))
+@query(" UNION ALL ".join(f"SELECT '{c}.{ck}' AS child, '{p}.{pk}' AS parent, count(*) AS orphans FROM {c} WHERE {ck} IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {p} x WHERE x.{pk} = {c}.{ck})" for c, ck, p, pk in FOREIGN))
 def fk_check(spark, d):
-    """Rows without the row that they refer to."""
+    """Rows without the row that they refer to; a null key refers to nothing."""
     out = None
     for child, ck, parent, pk in FOREIGN:
         rows = ledger.orphans(table(spark, d, child).select(ck), table(spark, d, parent).select(pk), ck, pk)
@@ -189,10 +189,10 @@ def fetch_result_scan(spark, d):
     return table(spark, d, "pages").select("page_id", F.col("url").alias("final_url"), F.split_part("url", F.lit(":"), F.lit(1)).alias("scheme"), F.octet_length("html").cast("long").alias("body_bytes"), F.sha2(F.col("html").cast("binary"), 256).alias("body_sha256"), kind.alias("content_type"), F.size(F.regexp_extract_all("html", F.lit("href="), F.lit(0))).alias("n_links"))
 
 
-@query("SELECT p_brand AS feed, p_partkey AS entry, p_name || ' & ' || p_type AS title, CAST(floor(p_retailprice) AS BIGINT) AS pay FROM part WHERE p_size > 25")
+@query("SELECT p_brand AS feed, p_partkey AS entry, p_name || ' & ' || p_type AS title, CAST(floor(p_retailprice) AS BIGINT) AS pay FROM part")
 def feed_scan(spark, d):
     """XML feeds, one for each company, made of the jobs and read back entry by entry."""
-    p = table(spark, d, "part").filter("p_size > 25")
+    p = table(spark, d, "part")
     entry = F.concat(F.lit("<entry><id>"), F.col("p_partkey").cast("string"), F.lit("</id><title>"), "p_name", F.lit(" &amp; "), "p_type", F.lit("</title><pay>"), F.floor("p_retailprice").cast("string"), F.lit("</pay></entry>"))
     # a feed is as long as the page that a source serves: at most 50 entries here
     feeds = p.groupBy("p_brand", (F.col("p_partkey") / 50).cast("long").alias("page")).agg(F.concat(F.lit("<feed>"), F.array_join(F.collect_list(entry), ""), F.lit("</feed>")).alias("xml"))
@@ -275,12 +275,16 @@ def conflicting_dispositions(spark, d):
     return g.select("canonical_key", "n_jobs", F.array_join("k", ",").alias("dispositions"), (F.size("k") > 1).alias("conflict"))
 
 
-@query("SELECT DISTINCT 'https://host.example' || href AS target FROM (SELECT unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)) AS href FROM pages) WHERE href LIKE '/%' AND href NOT LIKE '//%' AND NOT contains(href, '/.') AND NOT contains(href, '#')")
+_LINKS = r"""regexp_extract_all(html, '<a href="([^"]*)"', 1)"""
+
+
+@query(f"""WITH l AS (SELECT page_id, regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1) AS origin, regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*:)', 1) AS scheme, unnest({_LINKS}) AS href FROM pages)
+SELECT target, count(*) AS n_links, count(DISTINCT page_id) AS n_pages FROM (SELECT page_id, CASE WHEN starts_with(href, '//') THEN scheme || href WHEN regexp_matches(href, '^/\\.{{1,2}}([?#]|$)') THEN origin || '/' || regexp_extract(href, '^/\\.+(.*)$', 1) ELSE origin || href END AS target FROM l) GROUP BY 1""")
 def link_targets(spark, d):
-    """Links of pages, resolved against where they stand."""
-    hrefs = table(spark, d, "pages").select(F.explode(F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), F.lit(1))).alias("href")).distinct()
-    plain = hrefs.filter("href like '/%' and href not like '//%'").filter(~F.col("href").contains("/.") & ~F.col("href").contains("#"))
-    return plain.select(ux.resolved(F.lit("https://host.example/a/b?c=1"), F.col("href")).alias("target")).distinct()
+    """All links of pages, resolved against the page that each stands on, with how many links and pages name a target."""
+    hrefs = table(spark, d, "pages").select("page_id", "url", F.explode(F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), F.lit(1))).alias("href"))
+    found = hrefs.select("page_id", ux.resolved(F.col("url"), F.col("href")).alias("target"))
+    return found.groupBy("target").agg(F.count("*").alias("n_links"), F.countDistinct("page_id").alias("n_pages"))
 
 
 RECIPE = {"version": 1, "fields": {

@@ -86,29 +86,62 @@ def source_rollup(spark, d):
     return s.select("source_id", "n_bindings", state.alias("state"))
 
 
-#: failure kind (number of the page modulo 6), name, retryable, impact on the source's health.
-FAILURES = [(0, "TIMEOUT", True, "MINOR"), (1, "RATE_LIMITED", True, "MINOR"), (2, "PARSE_DRIFT", False, "MAJOR"), (3, "LOGIN_REQUIRED", False, "MAJOR"), (4, "DISK_FULL", True, "NONE"), (5, "WORKER_LOST", True, "NONE")]
-_FAILURES = "(VALUES " + ", ".join(f"({i}, '{n}', {str(r).lower()}, '{m}')" for i, n, r, m in FAILURES) + ") f(code, kind, retryable, impact)"
-
-
-@query(f"SELECT kind, retryable, impact, count(*) AS n FROM events JOIN {_FAILURES} ON {K} % 6 = code WHERE event_type = 'error' GROUP BY 1, 2, 3")
+#: Kinds of failure (fixed names), whether trying again may help, what they do to the source's health, and the dimension of health that they speak about.
+#: What befalls the host, the worker or the user's own wish says nothing about a source.
+_KINDS = [
+    ("DNS_ERROR", True, "MAJOR", "CONNECTIVITY"), ("CONNECT_ERROR", True, "MINOR", "CONNECTIVITY"), ("TLS_ERROR", False, "MAJOR", "CONNECTIVITY"), ("TIMEOUT", True, "MINOR", "CONNECTIVITY"), ("HTTP_4XX", False, "MINOR", "CONTENT_VALIDITY"),
+    ("HTTP_5XX", True, "MINOR", "CONNECTIVITY"), ("RATE_LIMIT", True, "MINOR", "RATE_LIMIT"), ("BLOCKED", False, "MAJOR", "CONTENT_VALIDITY"), ("CHALLENGE", False, "MAJOR", "CONTENT_VALIDITY"), ("AUTH_REQUIRED", False, "MAJOR", "AUTH"),
+    ("CONSENT_INTERSTITIAL", False, "MINOR", "CONTENT_VALIDITY"), ("PARSE_MARKER_MISSING", False, "MAJOR", "EXTRACTION"), ("PARSE_EMPTY", False, "MINOR", "EXTRACTION"), ("PAGINATION_LOOP", False, "MINOR", "NAVIGATION"), ("DUPLICATE_PAGE", False, "MINOR", "NAVIGATION"),
+    ("SOURCE_CHANGED", False, "MAJOR", "EXTRACTION"), ("INVALID_JOB_RECORD", False, "MINOR", "DATA_QUALITY"), ("NORMALIZATION_ERROR", False, "MINOR", "DATA_QUALITY"), ("BROWSER_CRASH", True, "NONE", None), ("WORKER_CRASH", True, "NONE", None), ("LEASE_LOST", True, "NONE", None),
+    ("CANCELLED", False, "NONE", None), ("POLICY_REJECTED", False, "NONE", None),
+]
+FAILURES = [(i, *row) for i, row in enumerate(_KINDS)]
+DIMENSIONS = ("CONNECTIVITY", "AUTH", "CONTENT_VALIDITY", "NAVIGATION", "EXTRACTION", "RATE_LIMIT", "DATA_QUALITY")
+_FAILURES = "(VALUES " + ", ".join(f"({i}, '{n}', {str(r).lower()}, '{m}', {repr(x) if x else 'NULL'})" for i, n, r, m, x in FAILURES) + ") f(code, kind, retryable, impact, dimension)"
+
+
+def failures(spark, d) -> DataFrame:
+    """Failed events with what their kind says: a fixed table of as many rows as there are kinds."""
+    kinds = spark.createDataFrame(FAILURES, "code long, kind string, retryable boolean, impact string, dimension string")
+    e = table(spark, d, "events").filter("event_type = 'error'").select("user_id", (F.get_json_object("props", "$.k").cast("long") % len(FAILURES)).alias("code"))
+    return e.join(F.broadcast(kinds), "code")
+
+
+@query(f"SELECT kind, retryable, impact, count(*) AS n FROM events JOIN {_FAILURES} ON {K} % {len(FAILURES)} = code WHERE event_type = 'error' GROUP BY 1, 2, 3")
 def failure_impact(spark, d):
     """Failures by kind; those of the host or the worker say nothing about a source."""
-    kinds = spark.createDataFrame(FAILURES, "code long, kind string, retryable boolean, impact string")
-    e = table(spark, d, "events").filter("event_type = 'error'").select((F.get_json_object("props", "$.k").cast("long") % 6).alias("code"))
-    return e.join(F.broadcast(kinds), "code").groupBy("kind", "retryable", "impact").agg(F.count("*").alias("n"))
+    return failures(spark, d).groupBy("kind", "retryable", "impact").agg(F.count("*").alias("n"))
+
+
+_DIMENSION = "CASE WHEN attempts < 3 THEN 'UNKNOWN' WHEN failed * 4 > attempts THEN 'BROKEN' WHEN failed > 0 THEN 'DEGRADED' ELSE 'HEALTHY' END"
+#: The scalar state is the first that holds: what the user can mend, what waiting mends, then the worst dimension.
+_OVERALL = {"NEEDS_LOGIN": "AUTH", "CHALLENGED": "CONTENT_VALIDITY", "RATE_LIMITED": "RATE_LIMIT"}
+_SCALAR = "CASE WHEN attempts < 3 THEN 'UNKNOWN' " + " ".join(f"WHEN {d.lower()} = 'BROKEN' THEN '{s}'" for s, d in _OVERALL.items()) + " WHEN 'BROKEN' IN ({0}) AND {1} * 2 > attempts THEN 'BROKEN' WHEN 'BROKEN' IN ({0}) OR 'DEGRADED' IN ({0}) THEN 'DEGRADED' ELSE 'HEALTHY' END"
+_SCALAR = _SCALAR.format(", ".join(x.lower() for x in DIMENSIONS), "failed_in_all")
+
+
+@query(f"""WITH a AS (SELECT user_id AS binding_id, count(*) AS attempts FROM events GROUP BY 1), f AS (SELECT user_id AS binding_id, {', '.join(f"count(CASE WHEN dimension = '{x}' THEN 1 END) AS f_{x.lower()}" for x in DIMENSIONS)} FROM events JOIN {_FAILURES} ON {K} % {len(FAILURES)} = code WHERE event_type = 'error' GROUP BY 1),
+s AS (SELECT binding_id, attempts, {' + '.join(f'coalesce(f_{x.lower()}, 0)' for x in DIMENSIONS)} AS failed_in_all, {', '.join(_DIMENSION.replace('failed', f'coalesce(f_{x.lower()}, 0)') + f' AS {x.lower()}' for x in DIMENSIONS)} FROM a LEFT JOIN f USING (binding_id))
+SELECT binding_id, {_SCALAR} AS overall, {', '.join(x.lower() for x in DIMENSIONS)} FROM s""")
+def health_dimensions(spark, d):
+    """Seven dimensions of each binding's health, so that drift of a parser is not taken for a fault of the network, and the scalar state over them."""
+    attempts = table(spark, d, "events").groupBy(F.col("user_id").alias("binding_id")).agg(F.count("*").alias("attempts"))
+    failed = failures(spark, d).groupBy(F.col("user_id").alias("binding_id")).agg(*[n_if(F.col("dimension") == x).alias(f"f_{x.lower()}") for x in DIMENSIONS])
+    rows = attempts.join(failed, "binding_id", "left").fillna(0, [f"f_{x.lower()}" for x in DIMENSIONS])
+    rows = rows.withColumn("failed_in_all", F.expr(" + ".join(f"f_{x.lower()}" for x in DIMENSIONS)))
+    rows = rows.withColumns({x.lower(): F.expr(_DIMENSION.replace("failed", f"f_{x.lower()}")) for x in DIMENSIONS})
+    return rows.select("binding_id", F.expr(_SCALAR).alias("overall"), *[x.lower() for x in DIMENSIONS])
 
 
-RESPONSES = {"TIMEOUT": "LOWER_LOAD", "RATE_LIMITED": "HONOUR_RETRY_AFTER", "PARSE_DRIFT": "REVIEW", "LOGIN_REQUIRED": "USER_ACTION"}
+#: What answers a block, from waiting to the user; there is no step around it.
+RESPONSES = {"TIMEOUT": "LOWER_LOAD", "RATE_LIMIT": "HONOUR_RETRY_AFTER", "BLOCKED": "COOL_DOWN", "CHALLENGE": "USER_ACTION", "AUTH_REQUIRED": "USER_LOGIN", "SOURCE_CHANGED": "REVIEW"}
 _RESPONSE = "CASE " + " ".join(f"WHEN kind = '{k}' THEN '{v}'" for k, v in RESPONSES.items()) + " ELSE 'NONE' END"
 
 
-@query(f"SELECT user_id AS source_id, response, count(*) AS n FROM (SELECT user_id, {_RESPONSE} AS response FROM events JOIN {_FAILURES} ON {K} % 6 = code WHERE event_type = 'error') GROUP BY 1, 2")
+@query(f"SELECT user_id AS source_id, response, count(*) AS n FROM (SELECT user_id, {_RESPONSE} AS response FROM events JOIN {_FAILURES} ON {K} % {len(FAILURES)} = code WHERE event_type = 'error') GROUP BY 1, 2")
 def block_ladder(spark, d):
     """What answers a block: waiting, less load, review or the user; there is no way around it."""
-    kinds = spark.createDataFrame(FAILURES, "code long, kind string, retryable boolean, impact string")
-    e = table(spark, d, "events").filter("event_type = 'error'").select("user_id", (F.get_json_object("props", "$.k").cast("long") % 6).alias("code"))
-    return e.join(F.broadcast(kinds), "code").groupBy(F.col("user_id").alias("source_id"), F.expr(_RESPONSE).alias("response")).agg(F.count("*").alias("n"))
+    return failures(spark, d).groupBy(F.col("user_id").alias("source_id"), F.expr(_RESPONSE).alias("response")).agg(F.count("*").alias("n"))
 
 
 TYPES = ("click", "error", "purchase", "signup", "view")

@@ -59,29 +59,51 @@ def hard_vs_soft_filter(spark, d):
     return pairs(spark, d).groupBy("profile_id").agg(F.count("*").alias("n"), n("pay IS NULL OR pay >= hard_pay").alias("kept"), n("pay < hard_pay").alias("excluded"), n("pay IS NULL").alias("unknown_kept"), n("pay >= soft_pay").alias("preferred"))
 
 
-@query(f"""SELECT job_id, profile_id, revision, CAST(score AS BIGINT) AS score FROM (SELECT *, max(revision) OVER (PARTITION BY profile_id) AS current FROM (
-  SELECT job_id, profile_id, 1 AS revision, {_SCORE} AS score FROM {JOBS} UNION ALL SELECT job_id, profile_id, 2, {_SCORE} + 5 FROM {JOBS} WHERE profile_id <> 2)) WHERE revision = current""")
-def score_versions(spark, d):
-    """A profile's edit adds evaluations of its new revision; those of older ones stay, but are not current."""
-    one = pairs(spark, d).select("job_id", "profile_id", F.lit(1).alias("revision"), score().alias("score"))
-    two = pairs(spark, d).filter("profile_id <> 2").select("job_id", "profile_id", F.lit(2).alias("revision"), (score() + 5).alias("score"))
-    current = F.create_map(F.lit(0), F.lit(2), F.lit(1), F.lit(2), F.lit(2), F.lit(1))[F.col("profile_id")]
-    return one.unionByName(two).filter(F.col("revision") == current).withColumn("score", F.col("score").cast("long"))
-
-
-#: Regions by profile: the first takes two, the second excludes one by evidence, the third says nothing.
-_ELIGIBLE = """CASE WHEN profile_id = 1 AND r_name = 'ASIA' THEN 'INELIGIBLE' WHEN profile_id = 0 AND r_name IN ('EUROPE', 'AMERICA') THEN 'ELIGIBLE'
-  WHEN profile_id < 2 AND n_nationkey % 5 = 0 THEN 'LIKELY' WHEN profile_id < 2 AND n_nationkey % 5 = 1 THEN 'UNLIKELY' ELSE 'UNCLEAR' END"""
-_REASON = """CASE WHEN profile_id = 1 AND r_name = 'ASIA' THEN 'REGION_EXCLUDED' WHEN profile_id = 0 AND r_name IN ('EUROPE', 'AMERICA') THEN 'REGION_LISTED'
-  WHEN profile_id < 2 AND n_nationkey % 5 IN (0, 1) THEN 'TIMEZONE_HINT' ELSE 'NO_EVIDENCE' END"""
+#: Evaluations of a later revision of a profile give so many points more for the same job.
+EDIT_POINTS = 5
 
 
-@query(f"""SELECT profile_id, verdict, reason, count(*) AS n FROM (SELECT profile_id, {_ELIGIBLE} AS verdict, {_REASON} AS reason FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey, (VALUES (0), (1), (2)) p(profile_id)) GROUP BY 1, 2, 3""")
+@query(f"""WITH r AS (SELECT profile_id, 1 + count(event_id) % 3 AS current FROM (SELECT CAST(i AS INTEGER) AS profile_id FROM unnest(generate_series(0, {len(PROFILES) - 1})) AS s(i)) p LEFT JOIN events ON user_id % 5 = profile_id AND event_type = 'signup' GROUP BY 1)
+SELECT j.job_id, j.profile_id, r.current AS revision, CAST({_SCORE} + {EDIT_POINTS} * (r.current - 1) AS BIGINT) AS score, r.current - 1 AS n_older FROM {JOBS} j JOIN r ON r.profile_id = j.profile_id""")
+def score_versions(spark, d):
+    """A profile's edits (signups of its users) add evaluations of the new revision; those of older ones stay beside them, and the ledger says which is current."""
+    edits = table(spark, d, "events").filter("event_type = 'signup'").groupBy((F.col("user_id") % 5).cast("int").alias("profile_id")).agg(F.count("*").alias("n"))
+    profiles = spark.createDataFrame([(p[0],) for p in PROFILES], "profile_id int")
+    current = profiles.join(edits, "profile_id", "left").select("profile_id", (1 + F.coalesce("n", F.lit(0)) % 3).alias("current"))
+    rows = pairs(spark, d).select("job_id", "profile_id", score().alias("score")).join(F.broadcast(current), "profile_id")  # as many rows as profiles
+    ledger = rows.withColumn("revision", F.explode(F.sequence(F.lit(1).cast("long"), F.col("current"))))
+    evaluated = ledger.withColumn("score", (F.col("score") + EDIT_POINTS * (F.col("revision") - 1)).cast("long"))
+    newest = evaluated.groupBy("job_id", "profile_id").agg(F.max_by(F.struct("revision", "score"), "revision").alias("e"), (F.count("*") - 1).alias("n_older"))
+    return newest.select("job_id", "profile_id", "e.revision", "e.score", "n_older")
+
+
+#: Rules of eligibility, versioned: what a profile says of regions, and the hours from UTC that it can work in.
+ELIGIBILITY_VERSION = 2
+_ELIGIBILITY = [(0, ["EUROPE", "AMERICA"], [], -1, 3), (1, [], ["ASIA"], 5, 10), (2, [], [], None, None)]
+_ELIGIBILITY_SQL = "(VALUES " + ", ".join(f"({i}, {a}, {b}, {lo if lo is not None else 'CAST(NULL AS INTEGER)'}, {hi if hi is not None else 'CAST(NULL AS INTEGER)'})" for i, a, b, lo, hi in _ELIGIBILITY).replace("[]", "CAST([] AS VARCHAR[])") + ") p(profile_id, allowed, excluded, low, high)"
+#: Hours that a place is away from a profile's; beyond FAR_HOURS that speaks against it.
+FAR_HOURS = 6
+_AWAY = "greatest(low - utc, utc - high, 0)"
+_VERDICT = {
+    "contains_excluded": ("INELIGIBLE", "REGION_EXCLUDED", 1.0), "contains_allowed": ("ELIGIBLE", "REGION_LISTED", 1.0), "low IS NULL": ("UNCLEAR", "NO_EVIDENCE", 0.0),
+    f"{_AWAY} = 0": ("LIKELY", "TIMEZONE_OVERLAP", 0.6), f"{_AWAY} >= {FAR_HOURS}": ("UNLIKELY", "TIMEZONE_FAR", 0.6),
+}
+
+
+def _verdict(part: int, has: str) -> str:
+    cases = " ".join(f"WHEN {c.replace('contains_excluded', has.format('excluded')).replace('contains_allowed', has.format('allowed'))} THEN {v[part]!r}" for c, v in _VERDICT.items())
+    return f"CASE {cases} ELSE {('UNCLEAR', 'TIMEZONE_NEAR', 0.3)[part]!r} END"
+
+
+@query(f"""SELECT profile_id, {_verdict(0, 'list_contains({}, r_name)')} AS verdict, {_verdict(1, 'list_contains({}, r_name)')} AS reason, CAST({_verdict(2, 'list_contains({}, r_name)')} AS DOUBLE) AS confidence, {ELIGIBILITY_VERSION} AS rule_version, count(*) AS n
+FROM (SELECT r_name, CAST(n_nationkey % 24 - 11 AS INTEGER) AS utc FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey), {_ELIGIBILITY_SQL} GROUP BY 1, 2, 3, 4""")
 def eligibility_verdict(spark, d):
-    """Exclusion, then inclusion, then weak evidence; without evidence a verdict is UNCLEAR."""
+    """Exclusion, then inclusion, then the weak evidence of time zones, each with a reason, confidence and the version of the rules; without evidence a verdict is UNCLEAR."""
     places = table(spark, d, "nation").join(F.broadcast(table(spark, d, "region")), F.col("n_regionkey") == F.col("r_regionkey"))  # fixed dimensions of a few rows
-    rows = table(spark, d, "customer").join(F.broadcast(places), F.col("c_nationkey") == F.col("n_nationkey")).select("n_nationkey", "r_name", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("profile_id"))
-    return rows.groupBy("profile_id", F.expr(_ELIGIBLE).alias("verdict"), F.expr(_REASON).alias("reason")).agg(F.count("*").alias("n"))
+    rules = F.explode(F.array(*[F.struct(F.lit(i).alias("profile_id"), F.lit(a).cast("array<string>").alias("allowed"), F.lit(b).cast("array<string>").alias("excluded"), F.lit(lo).cast("int").alias("low"), F.lit(hi).cast("int").alias("high")) for i, a, b, lo, hi in _ELIGIBILITY]))
+    rows = table(spark, d, "customer").join(F.broadcast(places), F.col("c_nationkey") == F.col("n_nationkey")).select("r_name", (F.col("n_nationkey") % 24 - 11).cast("int").alias("utc"), rules.alias("p")).select("r_name", "utc", "p.*")
+    verdict, reason, confidence = (F.expr(_verdict(part, "array_contains({}, r_name)")) for part in range(3))
+    return rows.groupBy("profile_id", verdict.alias("verdict"), reason.alias("reason"), confidence.cast("double").alias("confidence")).agg(F.count("*").alias("n")).withColumn("rule_version", F.lit(ELIGIBILITY_VERSION))
 
 
 DISPOSITION = "CASE last_action WHEN 'click' THEN 'SHORTLISTED' WHEN 'error' THEN 'DISMISSED' WHEN 'view' THEN 'SNOOZED' WHEN 'purchase' THEN 'ARCHIVED' ELSE 'NONE' END"
@@ -93,14 +115,20 @@ def dispositions(spark, d) -> DataFrame:
     return a.select("job_id", "profile_id", F.expr(DISPOSITION).alias("disposition"), "event_id", "last_at")
 
 
+#: Days that a snooze lasts.
+SNOOZE_DAYS = 7
+
+
 @query(f"""SELECT job_id, profile_id, CAST(score AS BIGINT) AS score, disposition FROM (
-  SELECT j.job_id, j.profile_id, min_score, {_SCORE} AS score, coalesce({DISPOSITION}, 'NONE') AS disposition, p_size, event_id FROM {JOBS} j LEFT JOIN {LATEST} a ON a.job_id = j.job_id AND a.profile_id = j.profile_id)
-WHERE score >= min_score AND p_size >= 3 AND disposition NOT IN ('DISMISSED', 'ARCHIVED') AND (disposition <> 'SNOOZED' OR event_id % 2 = 0)""")
+  SELECT j.job_id, j.profile_id, min_score, {_SCORE} AS score, coalesce({DISPOSITION}, 'NONE') AS disposition, p_size, last_at FROM {JOBS} j LEFT JOIN {LATEST} a ON a.job_id = j.job_id AND a.profile_id = j.profile_id)
+WHERE score >= min_score AND p_size >= 3 AND disposition NOT IN ('DISMISSED', 'ARCHIVED') AND (disposition <> 'SNOOZED' OR last_at <= (SELECT max(ts) FROM events) - INTERVAL {SNOOZE_DAYS} DAY)""")
 def inbox_predicate(spark, d):
     """The five conjuncts: score, eligibility, not dismissed, not archived, no unexpired snooze."""
     rows = pairs(spark, d).select("job_id", "profile_id", "min_score", "p_size", score().alias("score")).filter("score >= min_score and p_size >= 3")
     own = rows.join(dispositions(spark, d), ["job_id", "profile_id"], "left").withColumn("disposition", F.coalesce("disposition", F.lit("NONE")))
-    kept = own.filter("disposition not in ('DISMISSED', 'ARCHIVED') and (disposition <> 'SNOOZED' or event_id % 2 = 0)")
+    now = table(spark, d, "events").agg(F.max("ts").alias("now"))  # one row
+    expired = F.col("last_at") <= F.col("now") - F.expr(f"INTERVAL {SNOOZE_DAYS} DAYS")
+    kept = own.join(F.broadcast(now)).filter(F.col("disposition").isin("NONE", "SHORTLISTED") | ((F.col("disposition") == "SNOOZED") & expired))
     return kept.select("job_id", "profile_id", F.col("score").cast("long").alias("score"), "disposition")
 
 

@@ -33,10 +33,19 @@ def deduplicated_stream(events: DataFrame, late: str = LATE) -> DataFrame:
     return timed(events, late).dropDuplicatesWithinWatermark(["event_id"])
 
 
-def latest_state_stream(events: DataFrame) -> DataFrame:
-    """(job_id, profile, last_action, event_id) in evidence order: a maximum, so late and repeated events cannot turn it back."""
-    own = events.select("event_id", "event_type", F.get_json_object("props", "$.k").cast("long").alias("job_id"), (F.col("user_id") % 5).alias("profile"))
-    return own.groupBy("job_id", "profile").agg(F.max_by("event_type", "event_id").alias("last_action"), F.max("event_id").alias("event_id"))
+def latest_state_stream(events: DataFrame, late: str = LATE) -> DataFrame:
+    """(day, job_id, profile, last_action, event_id): each day's last action in evidence order, a maximum, so late and repeated events cannot turn it back.
+
+    The watermark ends a day's state; `latest_of` folds the days that were emitted.
+    """
+    rows = timed(events, late).select("ts", "event_id", "event_type", F.get_json_object("props", "$.k").cast("long").alias("job_id"), (F.col("user_id") % 5).alias("profile"))
+    g = rows.groupBy(F.window("ts", "1 day").alias("w"), "job_id", "profile").agg(F.max_by("event_type", "event_id").alias("last_action"), F.max("event_id").alias("event_id"))
+    return g.select(F.col("w.start").alias("day"), "job_id", "profile", "last_action", "event_id")
+
+
+def latest_of(days: DataFrame) -> DataFrame:
+    """(job_id, profile, last_action, event_id) over the days of `latest_state_stream`."""
+    return days.groupBy("job_id", "profile").agg(F.max_by("last_action", "event_id").alias("last_action"), F.max("event_id").alias("event_id"))
 
 
 def session_stream(events: DataFrame, idle: str = "30 minutes", late: str = LATE) -> DataFrame:

@@ -44,7 +44,7 @@ def test_rate_stream_equals_batch(spark, tmp_path):
 
 
 def test_latest_state_ignores_order_and_repeats(spark, folder, tmp_path):
-    got = run(spark, windows.latest_state_stream(windows.event_stream(spark, folder, maxFilesPerTrigger="1")), tmp_path, "latest")
+    got = windows.latest_of(run(spark, windows.latest_state_stream(windows.event_stream(spark, folder, maxFilesPerTrigger="1"), "60 days"), tmp_path, "latest"))
     want = catalogue.QUERIES["profile_state_latest"](spark, SF)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select(*got.columns).collect()))
 
