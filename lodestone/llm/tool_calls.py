@@ -1,13 +1,14 @@
 """Chat formatting: tool calls linked to their results.
 
 Events are calls, results and plain messages of conversations. Results are hash-joined to calls by identifier (within the
-conversation), arguments are validated against the tool's schema, every event is serialised as canonical JSON, and events are
+conversation; the hashed side has one row an identifier), arguments are validated against the tool's schema, every event is serialised as canonical JSON, and events are
 ordered topologically: a result comes after its call, a call after the results of the calls that it depends on.
 
 Both sides of a join are first added up by identifier, so repeated identifiers make no pairs. Levels are found in rounds: chains of
 calls with one dependency each are followed by jumps that double, and calls with several are placed once all of those are, as
 many rounds as such calls depend on each other in a row. Places in a conversation are numbered
-within (level, BUCKET turns) and shifted by the sums before, so a conversation of any length fills no single task.
+within (level, BUCKET turns) and shifted by the sums before; those are taken over LEVELS levels at once and then inside of them, so a
+conversation of any length and depth fills no single task.
 
 Canonical JSON: keys in order of code points, no white space, shortest escapes, no escapes for non-ASCII letters.
 
@@ -33,6 +34,8 @@ from pyspark.sql import functions as F
 from .common import materialise
 
 BUCKET = 1024
+#: Levels whose places are summed up together.
+LEVELS = 256
 #: The tool that a user's turn stands for in the query, and its schema.
 TOOL = "ask"
 MOST_LETTERS = 300
@@ -194,11 +197,18 @@ def link(events: DataFrame) -> DataFrame:
         .when(result & (calls_of == 0), "orphan").when(result & (F.col("turn") > F.col("_first")), "extra").when(result, "linked").otherwise("message")
     )
     level = F.when(call & F.col("_key").isNull(), 0).when(call, F.col("level")).when(result & (calls_of > 0), F.col("level") + 1).otherwise(0)
-    linked = keyed.join(known.hint("merge"), keyed["_deal"] == known["_id"], "left").withColumn("_status", status).withColumn("level", level.cast("int"))
+    linked = keyed.join(known.hint("shuffle_hash"), keyed["_deal"] == known["_id"], "left").withColumn("_status", status).withColumn("level", level.cast("int"))
     linked = materialise(linked.select(*events.columns, F.col("_status").alias("status"), "level", F.floor(F.col("turn") / BUCKET).alias("_bucket")), "linked")
-    counts = linked.groupBy("conv_id", "level", "_bucket").agg(F.count("*").alias("_n"))
-    earlier = Window.partitionBy("conv_id").orderBy(F.asc_nulls_last("level"), F.asc_nulls_last("_bucket")).rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.withColumn("_start", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).select(*[F.col(c).alias(f"_{c}") for c in ("conv_id", "level", "_bucket")], "_start")
+    # what stands before a place in two steps: whole ranges of levels, and levels and buckets in their range
+    ranged = linked.groupBy("conv_id", "level", "_bucket").agg(F.count("*").alias("_n")).withColumn("_range", F.floor(F.col("level") / LEVELS))
+    ranged = materialise(ranged, "places")
+    whole = Window.partitionBy("conv_id").orderBy(F.asc_nulls_last("_range")).rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranged.groupBy("conv_id", "_range").agg(F.sum("_n").alias("_of_range"))
+    ranges = ranges.select(F.col("conv_id").alias("_c"), F.col("_range").alias("_r"), F.coalesce(F.sum("_of_range").over(whole), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy("conv_id", "_range").orderBy(F.asc_nulls_last("level"), F.asc_nulls_last("_bucket")).rowsBetween(Window.unboundedPreceding, -1)
+    counts = ranged.withColumn("_inside", F.coalesce(F.sum("_n").over(inside), F.lit(0)))
+    counts = counts.join(ranges, counts["conv_id"].eqNullSafe(ranges["_c"]) & counts["_range"].eqNullSafe(ranges["_r"]))
+    starts = counts.select(*[F.col(c).alias(f"_{c}") for c in ("conv_id", "level", "_bucket")], (F.col("_before") + F.col("_inside")).alias("_start"))
     own = Window.partitionBy("conv_id", "level", "_bucket").orderBy("turn", "kind", "call_id")
     ranked = linked.withColumn("_place", F.row_number().over(own) - 1)
     on = [ranked[c].eqNullSafe(starts[f"_{c}"]) for c in ("conv_id", "level", "_bucket")]
