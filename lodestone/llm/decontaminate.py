@@ -5,7 +5,7 @@ word numbers. Each document is streamed through it once, keeping the length of t
 word: where that is at least WINDOW words, all matched words are hit, and the automaton's state tells which
 items hold the last WINDOW of them. An item shorter than WINDOW is hit only as a whole.
 
-An automaton is broadcast, so its size is bounded: items, long ones in overlapping pieces of PIECE_WORDS words that keep every window
+An automaton is broadcast, so its size is bounded: items, equal ones taken together, long ones in overlapping pieces of PIECE_WORDS words that keep every window
 whole, are dealt by hash into shards of about SHARD_WORDS words at most. Executors build a shard's automaton and write it as
 one row; with several shards the documents are scanned once for each, one automaton being broadcast and released after the
 other, and what the scans find is merged by row.
@@ -52,6 +52,7 @@ class SuffixAutomaton:
 
     def __init__(self, items: list[tuple[int | None, list[bytes]]], window: int = WINDOW):
         self.window = window
+        self.ids: list[list[int]] = []  # what the numbers of items stand for, where they do not stand for themselves
         self.number: dict[bytes, int] = {}
         self.step: list[dict[int, int]] = [{}]
         self.link = [-1]
@@ -179,13 +180,15 @@ def _items(benchmark: DataFrame, window: int) -> DataFrame:
 
 
 def automata(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Rows (shard, automaton): the pickled automaton of each shard of the items, built by a task of its own."""
-    items = materialise(_items(benchmark, window), "items")
+    """Rows (shard, automaton): the pickled automaton of each shard of the items, built by a task of its own. Equal items are one, with all of their ids."""
+    ids = F.array_sort(F.collect_set("item_id")).alias("ids")  # of equal texts, in a benchmark
+    items = materialise(_items(benchmark, window).groupBy("words").agg(F.max("n").alias("n"), ids), "items")
     shards = 1 + 2 * int(items.agg(F.sum("n")).first()[0] or 0) // SHARD_WORDS
 
     def build(table: pa.Table) -> pa.Table:
-        own = sorted(zip(table.column("item_id").to_pylist(), table.column("words").to_pylist()), key=str)
-        built = SuffixAutomaton([(item, ws.split(b" ")) for item, ws in own], window)
+        own = sorted(zip(table.column("words").to_pylist(), table.column("ids").to_pylist()))
+        built = SuffixAutomaton([(k, ws.split(b" ")) for k, (ws, _) in enumerate(own)], window)
+        built.ids = [ids for _, ids in own]
         return pa.table({"shard": table.column("shard").slice(0, 1), "automaton": pa.array([pickle.dumps(built)], pa.binary())})
 
     dealt = items.withColumn("shard", F.pmod(F.xxhash64("words"), F.lit(shards)).cast("int"))
@@ -201,7 +204,8 @@ def _scan(shared, clean: bool):
             rows = []
             for text in texts.to_pylist():
                 ws = words_of(text)
-                rows.append(_row(text, len(ws), *automaton.match(ws), clean))
+                found, spans = automaton.match(ws)
+                rows.append(_row(text, len(ws), {x for k in found for x in automaton.ids[k]}, spans, clean))
             yield pa.array(rows, _RESULT_PA)
 
     return run
