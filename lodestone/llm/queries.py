@@ -26,5 +26,6 @@ ORACLE_SQL = {
     "op4_decontaminate": decontaminate.OP4_SQL,
     "op5_mix": mixing.OP5_SQL,
     "op6_tool_calls": tool_calls.OP6_SQL,
+    "op11_spelling": spelling.OP11_SQL,
     "op12_vector_codes": vector_codes.OP12_SQL,
 }

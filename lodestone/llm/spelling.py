@@ -240,3 +240,33 @@ def group_variants(words: DataFrame, times: int = TIMES, hot: int = HOT) -> Data
 
 def op11_spelling(spark, sf_dir) -> DataFrame:
     return group_variants(word_counts(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+
+
+OP11_SQL = rf"""
+WITH RECURSIVE step AS (
+  SELECT i AS byte, CAST(i AS BIGINT) AS c, 0 AS k FROM unnest(generate_series(0, 255)) AS s(i)
+  UNION ALL SELECT byte, CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM step WHERE k < 8
+), checksums AS (SELECT list(c ORDER BY byte) AS t FROM step WHERE k = 8
+), runs AS (
+  SELECT doc_id, run, count(*) AS n FROM (
+    SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{{00C0}}-\x{{00FF}}]+')) AS run FROM documents)
+  WHERE length(run) >= {LEAST} GROUP BY 1, 2
+), keyed AS (SELECT run, n, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run)) AS k FROM runs
+), hashed AS (
+  SELECT run, n, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(generate_series(1, length(k) // 2), lambda i: CAST('0x' || substr(k, 2 * i - 1, 2) AS BIGINT))),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS h FROM keyed, checksums
+), words AS (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (SELECT CASE WHEN h % {SLIP} = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM hashed)
+  WHERE length(word) >= {LEAST} GROUP BY 1 HAVING sum(n) >= {TWICE}
+), shorter AS (SELECT word, i, substr(word, 1, i) || substr(word, i + 2) AS rest FROM words, unnest(generate_series(0, length(word) - 1)) AS s(i)
+), near AS (
+  SELECT a.word AS u, b.word AS v FROM shorter a JOIN shorter b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT s.word, w.word FROM shorter s JOIN words w ON s.rest = w.word UNION SELECT w.word, s.word FROM shorter s JOIN words w ON s.rest = w.word
+), best AS (SELECT u, count(*) AS n_near, max(w.n) AS most, min(CASE WHEN w.n = top THEN v END) AS form FROM (SELECT u, v, max(x.n) OVER (PARTITION BY u) AS top FROM near JOIN words x ON x.word = v) JOIN words w ON w.word = v GROUP BY u
+), forms AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN most >= {TIMES} * n THEN form END AS form, CASE WHEN most >= {TIMES} * n THEN most END AS form_n FROM words LEFT JOIN best ON u = word
+), walk AS (
+  SELECT word, form AS spot, 1 AS far FROM forms WHERE form IS NOT NULL
+  UNION ALL SELECT walk.word, forms.form, far + 1 FROM walk JOIN forms ON forms.word = walk.spot WHERE forms.form IS NOT NULL
+), ends AS (SELECT word, arg_max(spot, far) AS root FROM walk GROUP BY 1)
+SELECT f.word, f.form, coalesce(e.root, f.word) AS root, f.n, f.n_near, f.form_n FROM forms f LEFT JOIN ends e USING (word)
+"""

@@ -5,6 +5,7 @@ import re
 import zlib
 from collections import Counter
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -94,3 +95,16 @@ def test_empty(spark, tmp_path):
         spark.createDataFrame(rows, DOCS).write.parquet(f"{tmp_path}/{name}/documents.parquet")
         got = S.op11_spelling(spark, f"{tmp_path}/{name}")
         assert got.columns == ["word", "form", "root", "n", "n_near", "form_n"] and got.collect() == []
+
+
+def test_query_equals_its_sql(spark, tmp_path):
+    """On the corpus above, nulls and all, and on a whole table."""
+    spark.createDataFrame(corpus(), DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    for sf, files in ((str(tmp_path), f"{tmp_path}/documents.parquet/*.parquet"), ("/root/testdata/sf0.001", "/root/testdata/sf0.001/documents.parquet")):
+        con = duckdb.connect()
+        con.execute(f"CREATE VIEW documents AS SELECT * FROM '{files}'")
+        got = S.op11_spelling(spark, sf)
+        want = con.execute(S.OP11_SQL)
+        assert [d[0] for d in want.description] == got.columns
+        rows = sorted(map(tuple, got.collect()), key=str)
+        assert rows == sorted(want.fetchall(), key=str) and len(rows) > 100
