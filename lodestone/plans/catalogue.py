@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import acquisition, content, identity, locators, matching, operations, presence, runtime, scoring, search, store, workflow  # noqa: F401
+from . import acquisition, content, depth, identity, locators, matching, operations, presence, runtime, scoring, search, store, workflow  # noqa: F401
 from .registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
