@@ -115,6 +115,7 @@ def recipe_promotion(spark, d):
     return out
 
 
+#: Fields of an adapter's manifest and the values that they may have (fixed names).
 MANIFEST = {
     "id": ("string", None), "version": ("string", None), "adapter_api_version": ("string", ("1",)), "capabilities": ("list", ("discover", "listing_parse", "detail_parse", "incremental")), "supported_execution_classes": ("list", ("HTTP", "BROWSER")),
     "supported_auth_modes": ("list", ("NONE", "COOKIE", "TOKEN")), "cost_class": ("string", ("LIGHT", "HEAVY")), "cursor_schema_version": ("number", None),
