@@ -5,9 +5,7 @@ counts in hashed contexts of the last 1 to 4 bytes, which at the start of a word
 the word before ended a sentence, and whether it was plain ASCII), and in the word's whole prefix. Their predictions, as log
 odds, are combined by weights that a gate chooses from how often the prefix and the longest hashed context were seen; weights
 learn online by Newton steps, bit by bit of batches of words, from occurrences left out of their own counts. A table of outcomes by (partial byte, predicted log
-odds) then refines the mix. What follows a word is predicted across words: the bits of a word's class from hashed counts behind the whole
-word before, and the word in its class by its frequency; a weight that adapts along the text, gated by how often the word before was followed,
-mixes that with the letters. What texts copy from each other is predicted by hashed phrases (up to the end of a sentence): for
+odds) then refines the mix. What texts copy from each other is predicted by hashed phrases (up to the end of a sentence): for
 each phrase one more bit, whether training has it in another text, is predicted by the text's own counts in three contexts (all its phrases,
 the run of like ones, the last four), mixed by gated weights that learn along the text; a phrase is coded by its words or
 as a copy, with the weight that this mix gives. A training text's own occurrences of a phrase are left out.
@@ -17,10 +15,10 @@ vocabulary is walked as a trie: a prefix is worked out once however often it occ
 
 Jobs: one scan turns each part of the input into its distinct words and phrases and, for each document, its packed word and
 phrase numbers. The words are dealt once by their first PREFIX bytes, or more bytes for prefixes that many words share, and
-written as a sorted vocabulary: each word once, with its counts and where it stands. The bytes that words of such prefixes are dealt by
-are walked as heads, each once, where all that share the shorter prefix are together, and their scores are handed to the words: how
-words are dealt does not change which predictors speak. Passes over the vocabulary count contexts, learn weights and score, and the last one returns packed scores to the parts, each of which adds up its documents. A word is in a part once,
-so no word holds many of the rows. The hashed tables (ORDERS of 2^TABLE_BITS slots, and 2^PAIR_BITS behind words) and the weights are all that is broadcast: their
+written as a sorted vocabulary: each word once, with its counts and where it stands. What words of such prefixes do not tell of the bytes
+that they are dealt by is counted level by level, where all that share the shorter prefix are together, and stands beside the first of them:
+how words are dealt does not change what a predictor knows. Passes over the vocabulary count contexts, learn weights and score, and the last one returns packed scores to the parts, each of which adds up its documents. A word is in a part once,
+so no word holds many of the rows. The hashed tables (ORDERS of 2^TABLE_BITS slots) and the weights are all that is broadcast: their
 size is fixed. Vocabulary, phrases, texts and counts grow with the input and stay distributed.
 
 Defined cases: a null text is the empty one (its end alone); without training documents the base score's counts are all 0
@@ -72,12 +70,6 @@ WORDS_AT_ONCE = 100_000
 SLOTS_AT_ONCE = 1 << 16
 END = b"\n"
 ALMOST = 1e-6
-#: A word's class is CLASS_BITS bits of its hash; counts of classes after words are hashed into 2^PAIR_BITS slots.
-CLASS_BITS, PAIR_BITS = 5, 21
-#: What stands before the first word of a text; what a bit's counts start with; texts adapt in runs of so many words.
-FIRST, PAIR_ALPHA, RUN = 0x9E3779B9, 0.4, 64
-#: Steps of how often a word has been followed by another, and the starting weight of what follows it.
-PAIR_STEPS, FOLLOWS, FOLLOWS_FOR, FOLLOWS_FADE = 6, 0.1, 16.0, 0.97
 
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
@@ -137,24 +129,10 @@ def sides(ids: np.ndarray, side: np.ndarray) -> np.ndarray:
     return np.concatenate([[START], side[ids[:-1]]])
 
 
-def pair_slots(before: np.ndarray, of_class: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(slot, bit) by the bits of a class: the context is the whole word before (its hash) and the bits so far."""
-    before = before.astype(np.uint64) * _MIX[0]
-    for b in range(CLASS_BITS):
-        node = (1 << b) | of_class >> CLASS_BITS - b
-        mixed = (before ^ node.astype(np.uint64) * _MIX[1]) * _MIX[0]
-        yield (mixed >> np.uint64(64 - PAIR_BITS)).astype(np.int64), of_class >> CLASS_BITS - 1 - b & 1
-
-
-def befores(ids: np.ndarray, short: np.ndarray) -> np.ndarray:
-    """For each word of a document the hash of the word before it; short: by number, 4 bytes of a word's hash."""
-    return np.concatenate([[FIRST], short[ids[:-1]]])
-
-
 _PARTS = pa.schema([
     ("part", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_bytes", pa.int64()), ("seq", pa.binary()), ("phrases", pa.binary()),
     ("number", pa.int32()), ("word", pa.binary()), *((f"n{c}", pa.int64()) for c in range(SIDES)), ("sides", pa.int32()),
-    ("phrase", pa.int64()), ("n", pa.int64()), ("met", pa.int64()), ("piece", pa.int32()), ("sums", pa.binary()),
+    ("phrase", pa.int64()), ("n", pa.int64()), ("met", pa.int64()),
 ])
 _KINDS = {"int64": "long", "int32": "int", "bool": "boolean", "binary": "binary", "float": "float", "double": "double"}
 
@@ -205,29 +183,11 @@ class _Part:
             places = [i * SIDES + sides(i, side) for i, t in zip(self.ids, kept) if t]
             if places:
                 sums += np.bincount(np.concatenate(places), minlength=len(sums))
-        yield from self._pairs(hashes, train)
         counts = counts.reshape(-1, SIDES)
         some = ((counts > 0) | (met.reshape(-1, SIDES) > 0)) @ (1 << np.arange(SIDES))
         yield from self._batches(len(words), {"number": np.arange(len(words)), "word": words, "sides": some} | {f"n{c}": counts[:, c] for c in range(SIDES)})
         yield from self._batches(len(own), {"number": np.arange(len(own)), "phrase": own.view(np.int64), "n": np.bincount(place, learnt, len(own)).astype(np.int64), "met": np.bincount(place, minlength=len(own))})
 
-    def _pairs(self, hashes: np.ndarray, train: np.ndarray) -> Iterator[pa.RecordBatch]:
-        """What stands behind which word in training texts: zeros and ones by slot, in pieces."""
-        short = (hashes & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        learnt = [i for i, t in zip(self.ids, train) if t]
-        if not learnt:
-            return
-        before, own = np.concatenate([befores(i, short) for i in learnt]), short[np.concatenate(learnt)] & (1 << CLASS_BITS) - 1
-        sums = np.zeros(2 << PAIR_BITS, np.int64)
-        for slot, bit in pair_slots(before, own):
-            sums += np.bincount(slot * 2 + bit, minlength=2 << PAIR_BITS)
-        for i in range(0, len(sums), 2 * SLOTS_AT_ONCE):
-            packed = zstandard.ZstdCompressor(level=1).compress(sums[i:i + 2 * SLOTS_AT_ONCE].astype("<u4").tobytes())
-            row = {"part": self.name, "piece": i // (2 * SLOTS_AT_ONCE), "sums": packed}
-            yield pa.RecordBatch.from_pylist([row], schema=_PARTS)
-        totals = np.bincount(own, minlength=1 << CLASS_BITS).astype("<u4").tobytes()
-        yield pa.RecordBatch.from_pylist([{"part": self.name, "piece": -1, "sums": zstandard.ZstdCompressor(level=1).compress(totals)}], schema=_PARTS)
-
     def _batches(self, n: int, columns: dict) -> Iterator[pa.RecordBatch]:
         for i in range(0, n, 50_000):
             m = min(50_000, n - i)
@@ -286,8 +246,11 @@ class Step:
 class Words:
     """Distinct sorted words as a trie that is walked level by level; a row stands for all words that share its prefix."""
 
-    def __init__(self, words: list[bytes], counts: np.ndarray, sides: np.ndarray, depth: np.ndarray, coded: bool = False):
-        """counts: words x SIDES; sides: bits of what stands before each; depth: bytes that the words are dealt by."""
+    def __init__(self, words: list[bytes], counts: np.ndarray, sides: np.ndarray, depth: np.ndarray, coded: bool = False, shares: tuple[np.ndarray, np.ndarray] | None = None):
+        """counts: words x SIDES; sides: bits of what stands before each; depth: bytes that words are dealt by, in which the words here do not tell
+        a prefix's counts. shares tells them beyond the first PREFIX: for each word a row, or -1, of a table by byte, bit and outcome.
+        """
+        self.shares = shares
         if not coded:
             words = [w if w == END else w + b" " for w in words]
         self.more = [(i, w[a:a + PIECE]) for i, w in enumerate(words) if len(w) > PIECE for a in range(PIECE, len(w), PIECE)]
@@ -341,7 +304,11 @@ class Words:
                     before = (side + 1).astype(np.uint64) if p == k else np.zeros(len(at), np.uint64)
                 context = context | before << np.uint64(8 * k)
                 contexts.append((context + np.uint64(k + 1 << 40)) * _MIX[0])
-            silent = self.depth[like] > p
+            silent, told = self.depth[like] > p, None
+            if self.shares is not None and p >= PREFIX:
+                own_row = self.shares[0][like]
+                told = np.flatnonzero(silent & (own_row >= 0))
+                silent = silent & (own_row < 0)
             steps = []
             for b in range(8):
                 s = Step()
@@ -356,7 +323,10 @@ class Words:
                     fresh[1:] = (parent[1:] != parent[:-1]) | (high[1:] != high[:-1])
                     group, known = np.cumsum(fresh) - 1, np.where(silent, 0.0, total)
                     ones = np.bincount(group, known * (own >> 7 - b & 1))[group]
-                    s.ones, s.zeros = ones[at], (np.bincount(group, known)[group] - ones)[at]
+                    zeros = np.bincount(group, known)[group] - ones
+                    if told is not None and len(told):
+                        zeros[told], ones[told] = self.shares[1][own_row[told], p - PREFIX, b].T
+                    s.ones, s.zeros = ones[at], zeros[at]
                 steps.append(s)
             yield p, active, node, parent, steps
             above = node
@@ -462,19 +432,14 @@ class Mixer:
         if words.more:
             self.learn(tables, words.further()[0], True)
 
-    def score(self, tables: Tables, words: Words, whole: bool = False, first: int = 0) -> np.ndarray:
-        """log10 probability of each word after each of SIDES; only sides that the words have been met with mean anything.
-
-        Bytes beyond the first PREFIX that words are dealt by belong to their heads, which are scored where all that share them are together,
-        and count nothing here; whole: nothing is dealt. Bytes before `first` count nothing either.
-        """
+    def score(self, tables: Tables, words: Words) -> np.ndarray:
+        """log10 probability of each word after each of SIDES; only sides that the words have been met with mean anything."""
         out, sums = np.zeros((len(words.size), SIDES)), np.zeros((1, SIDES))
         for p, active, node, parent, steps in words.levels():
             own = np.zeros(len(steps[0].at))
-            for s in steps if p >= first else ():
+            for s in steps:
                 chance = self.refine(s.node, self.mix(*tables.inputs(s)))
-                bits = np.log10(np.where(s.bit == 1, chance, 1 - chance))
-                own += bits if whole or p < PREFIX else np.where(s.silent, 0.0, bits)
+                own += np.log10(np.where(s.bit == 1, chance, 1 - chance))
             sums = sums[parent]
             if p < ORDERS:
                 # a row for each node and side: sides that are absent keep what they have
@@ -487,7 +452,7 @@ class Mixer:
             out[active[done]] = sums[node[done]]
         if words.more:
             rest, owner, place = words.further()
-            np.add.at(out, owner, self.score(tables, rest, True)[place, :1])
+            np.add.at(out, owner, self.score(tables, rest)[place, :1])
         return out
 
 
@@ -502,31 +467,130 @@ def _firsts(words: pa.Array) -> np.ndarray:
 
 _VOCABULARY = pa.schema([
     ("word", pa.binary()), ("depth", pa.int32()), *((f"n{c}", pa.int64()) for c in range(SIDES)), ("sides", pa.int32()),
-    ("parts", pa.list_(pa.int64())), ("numbers", pa.list_(pa.int32())),
+    ("parts", pa.list_(pa.int64())), ("numbers", pa.list_(pa.int32())), ("shares", pa.binary()),
 ])
+#: Bytes beyond PREFIX that words may be dealt by, and numbers of a table of shares: zeros and ones of each bit.
+INNER = DEEPER[-1] - PREFIX
+_SHARES = pa.schema([("word", pa.binary()), ("shares", pa.binary())])
 
 
-def _dealt(words: DataFrame, rows: int) -> DataFrame:
-    """words with depth, by how many bytes they are dealt: PREFIX, or more where very many share those.
+_COUNT = " + ".join(f"n{c}" for c in range(SIDES))
 
-    A prefix is dealt on if more than rows / HOT_MOST words have it, so at most HOT_MOST prefixes are broadcast.
+
+def _dealt(words: DataFrame, rows: int) -> tuple[DataFrame, DataFrame | None]:
+    """words with depth, by how many bytes they are dealt: PREFIX, or more where very many share those; and what `_shares` needs of the latter.
+
+    A prefix is dealt on if more than rows / HOT_MOST words have it, so there are at most HOT_MOST of them. Longer prefixes are
+    counted over heads: (word, rows, n, depth), the first bytes of words of hot prefixes, as they are coded, each once.
+    """
+    most = max(HOT_WORDS, rows // HOT_MOST)
+
+    def hot(counted: DataFrame, size: int) -> list[bytes]:
+        """At most HOT_MOST prefixes: they become a set in the expressions that look them up."""
+        whole = (F.length("hot") == size) & (F.substring("hot", -1, 1) != F.lit(b" "))
+        return sorted(bytes(r[0]) for r in counted.filter((F.col("rows") > most) & whole).select("hot").collect())
+
+    def marked(frame: DataFrame, prefixes: list[bytes], size: int, depth: int) -> DataFrame:
+        return frame.withColumn("depth", F.when(F.substring("word", 1, size).isin(prefixes), depth).otherwise(F.col("depth")))
+
+    plain = words.withColumn("depth", F.lit(PREFIX))
+    first = hot(words.groupBy(F.substring("word", 1, PREFIX).alias("hot")).agg(F.count("*").alias("rows")), PREFIX)
+    if not first:
+        return plain, None
+    longest = F.substring(F.expr("concat(word, cast(' ' as binary))"), 1, DEEPER[-1])
+    heads = words.filter(F.substring("word", 1, PREFIX).isin(first)).groupBy(longest.alias("word")).agg(F.count("*").alias("rows"), F.sum(F.expr(_COUNT)).alias("n"))
+    heads = materialise(heads.withColumn("depth", F.lit(DEEPER[0])), "lm-heads")
+    plain = marked(plain, first, PREFIX, DEEPER[0])
+    for now, then in zip(DEEPER, DEEPER[1:]):
+        further = hot(heads.filter(F.col("depth") == now).groupBy(F.substring("word", 1, now).alias("hot")).agg(F.sum("rows").alias("rows")), now)
+        if not further:
+            break
+        heads, plain = marked(heads, further, now, then), marked(plain, further, now, then)
+    return plain, heads
+
+
+def _shares(hot: DataFrame) -> DataFrame:
+    """(word, shares) for the bytes that words of hot prefixes are dealt by: how training goes on, bit by bit, among all that share what is before.
+
+    hot: heads (word, n, depth). Level by level they are counted where all that share the level's prefix are together.
     """
-    most, depth = max(HOT_WORDS, rows // HOT_MOST), F.lit(PREFIX)
-    for now, then in zip((PREFIX, *DEEPER), DEEPER):
-        counted = words.groupBy(F.substring("word", 1, now).alias("hot")).agg(F.count("*").alias("n")).filter((F.col("n") > most) & (F.length("hot") == now))
-        hot = materialise(counted.select("hot"), "hot-prefixes")
-        if hot.isEmpty():
+    most, above, out = hot.agg(F.max("depth")).first()[0], None, None
+    for low, high in zip((PREFIX, *DEEPER), DEEPER):
+        if most < high:
             break
-        words = words.drop("hot").join(F.broadcast(hot), F.substring("word", 1, now) == hot["hot"], "left")
-        depth = F.when(F.col("hot").isNotNull(), then).otherwise(depth)
-        words = words.withColumn("depth", depth)
-        depth = F.col("depth")
-    return words.withColumn("depth", depth).drop("hot")
+        heads = hot.filter(F.col("depth") >= high).groupBy(F.substring("word", 1, high).alias("word")).agg(F.sum("n").alias("n"), F.max("depth").alias("depth"))
+        dealt = heads.repartition(F.substring("word", 1, low)).sortWithinPartitions("word")
+        own = dealt.mapInArrow(_level_shares(low, high), _ddl(pa.schema([*_SHARES, ("depth", pa.int32())])))
+        if above is not None:
+            old = above.select(F.col("word").alias("start"), F.col("shares").alias("old"))
+            own = own.join(old, F.substring("word", 1, low) == F.col("start")).select("word", "shares", "old", "depth")
+            own = own.mapInArrow(_added_shares, _ddl(pa.schema([*_SHARES, ("depth", pa.int32())])))
+        above = materialise(own, "lm-shares")
+        done = above.filter(F.col("depth") == high).select("word", "shares")
+        out = done if out is None else out.unionByName(done)
+    # words are dealt by bytes without the blank behind them
+    bare = F.when(F.substring("word", -1, 1) == F.lit(b" "), F.substring(F.col("word"), F.lit(1), F.octet_length("word") - 1)).otherwise(F.col("word"))
+    return out.select(bare.alias("word"), "shares")
+
+
+def _packed(shares: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(shares.astype("<f4").tobytes())
+
+
+def _told(packed: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), "<f4").reshape(INNER, 8, 2)
+
+
+def _added_shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (word, shares, old, depth) with the shares of two levels, which tell different bytes, in one."""
+    for b in batches:
+        both = [_packed(_told(x) + _told(y)) for x, y in zip(b.column("shares").to_pylist(), b.column("old").to_pylist())]
+        yield pa.RecordBatch.from_arrays([b.column("word"), pa.array(both, pa.binary()), b.column("depth")], names=["word", "shares", "depth"])
+
+
+def _level_shares(low: int, high: int):
+    """The function that makes the heads of one level, sorted and whole by their first `low` bytes, into rows (word, shares, depth)."""
+    schema = pa.schema([*_SHARES, ("depth", pa.int32())])
+
+    def rows(table: pa.Table) -> pa.RecordBatch:
+        heads, n = table.column("word").to_pylist(), table.column("n").to_numpy()
+        counts = np.zeros((len(heads), SIDES))
+        counts[:, 0] = n
+        words = Words(heads, counts, np.ones(len(heads)), np.full(len(heads), low), True)
+        out = np.zeros((len(heads), INNER, 8, 2), np.float32)
+        for p, active, node, _, steps in words.levels():
+            if p >= low:
+                for b, s in enumerate(steps):
+                    out[active, p - PREFIX, b, 0], out[active, p - PREFIX, b, 1] = s.zeros[node], s.ones[node]
+        return pa.RecordBatch.from_arrays([table.column("word").combine_chunks(), pa.array([_packed(x) for x in out], pa.binary()), table.column("depth").cast(pa.int32()).combine_chunks()], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            keys = [w[:low] for w in b.column("word").to_pylist()]
+            cut = next((i for i in range(len(keys) - 1, -1, -1) if keys[i] != keys[-1]), -1) + 1
+            if held and (cut or held[-1].column("word")[-1].as_py()[:low] != keys[0]):
+                yield rows(pa.Table.from_batches([*held, b.slice(0, cut)]))
+                held = []
+            elif cut:
+                yield rows(pa.Table.from_batches([b.slice(0, cut)]))
+            held.append(b.slice(cut))
+        if held:
+            yield rows(pa.Table.from_batches(held))
+
+    return run
 
 
 def vocabulary(parts: DataFrame, rows: int) -> DataFrame:
-    """Each word once, in order: depth, counts by side, sides, and the parts and numbers under which it stands."""
-    words = _dealt(parts.filter("word is not null").select("word", *[f"n{c}" for c in range(SIDES)], "sides", "part", "number"), rows)
+    """Each word once, in order: depth, counts by side, sides, and the parts and numbers under which it stands; the first word of those
+    that are dealt by more than PREFIX bytes has the shares of these."""
+    words, hot = _dealt(parts.filter("word is not null").select("word", *[f"n{c}" for c in range(SIDES)], "sides", "part", "number"), rows)
+    words = words.withColumn("shares", F.lit(None).cast("binary"))
+    if hot is not None:
+        none = [F.lit(None).cast(f.dataType).alias(f.name) for f in words.schema.fields if f.name not in ("word", "depth", "shares")]
+        words = words.unionByName(_shares(hot).select("word", F.lit(DEEPER[-1]).alias("depth"), "shares", *none))
     dealt = words.repartition(F.expr("substring(word, 1, depth)")).sortWithinPartitions("word")
 
     def fold(table: pa.Table, last: bool) -> tuple[pa.RecordBatch | None, pa.Table]:
@@ -542,13 +606,20 @@ def vocabulary(parts: DataFrame, rows: int) -> DataFrame:
         met = np.bitwise_or.reduceat(done.column("sides").to_numpy(), at)
         offsets = pa.array(np.append(at, end).astype(np.int32))
         lists = [pa.ListArray.from_arrays(offsets, done.column(c).combine_chunks()) for c in ("part", "number")]
-        depth = done.column("depth").to_numpy()[at]
-        return pa.RecordBatch.from_arrays([word.take(pa.array(at)), pa.array(depth), *map(pa.array, sums), pa.array(met), *lists], schema=_VOCABULARY), table.slice(end)
+        depth, own = done.column("depth").to_numpy()[at], word.take(pa.array(at))
+        told = [waiting.pop(w[:k], None) if k > PREFIX and waiting else None for w, k in zip(own.to_pylist(), depth.tolist())]
+        return pa.RecordBatch.from_arrays([own, pa.array(depth), *map(pa.array, sums), pa.array(met), *lists, pa.array(told, pa.binary())], schema=_VOCABULARY), table.slice(end)
+
+    # shares whose words come next: they stand before these, or beside the one word that is all they are dealt by, which is held until more is read
+    waiting: dict[bytes, bytes] = {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left: pa.Table | None = None
         for b in batches:
-            table = pa.Table.from_batches([b])
+            heads = b.column("part").is_null()
+            for w, own in zip(*(b.column(c).filter(heads) for c in ("word", "shares"))):
+                waiting[w.as_py()] = own.as_py()
+            table = pa.Table.from_batches([b.filter(pc.invert(heads))])
             left = table if left is None else pa.concat_tables([left, table])
             if len(left) >= 8192:
                 done, left = fold(left.combine_chunks(), False)
@@ -569,7 +640,16 @@ def _groups(batches: Iterator[pa.RecordBatch], coded: bool = False) -> Iterator[
     def done() -> tuple[Words, pa.Table]:
         table = pa.Table.from_batches(held)
         counts = np.stack([table.column(f"n{c}").to_numpy() for c in range(SIDES)], axis=1)
-        return Words(table.column("word").to_pylist(), counts, table.column("sides").to_numpy(), table.column("depth").to_numpy(), coded), table
+        own, depth = table.column("word").to_pylist(), table.column("depth").to_numpy()
+        shares = None
+        if not coded:
+            packed = table.column("shares").combine_chunks()
+            told = packed.is_valid().to_numpy(zero_copy_only=False)
+            if told.any():
+                # a word has the shares of the nearest first word before it
+                row = np.where(depth > PREFIX, np.cumsum(told) - 1, -1)
+                shares = row, np.stack([_told(x) for x in packed.drop_null().to_pylist()])
+        return Words(own, counts, table.column("sides").to_numpy(), depth, coded, shares), table
 
     for b in batches:
         if not b.num_rows:
@@ -602,7 +682,7 @@ _KNOWN = " + ".join(f"n{c}" for c in range(SIDES)) + " > 0"
 def _known(vocabulary: DataFrame) -> DataFrame:
     """Words of training texts, with what stood before them there."""
     seen = sum((F.when(F.col(f"n{c}") > 0, 1 << c).otherwise(0) for c in range(SIDES)), F.lit(0))
-    return vocabulary.filter(_KNOWN).select("word", "depth", *[f"n{c}" for c in range(SIDES)], seen.cast("int").alias("sides"))
+    return vocabulary.filter(f"{_KNOWN} or shares is not null").select("word", "depth", *[f"n{c}" for c in range(SIDES)], seen.cast("int").alias("sides"), "shares")
 
 
 def _tables(known: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -637,29 +717,6 @@ def _tables(known: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return tuple(out.reshape(2, ORDERS, -1))
 
 
-def _head(size: int):
-    """The first bytes of a word as it is coded, with the blank behind it."""
-    return F.when(F.col("word") == F.lit(END), F.col("word")).otherwise(F.substring(F.expr("concat(word, cast(' ' as binary))"), 1, size))
-
-
-def heads(words: DataFrame, size: int, dealt_by: int) -> DataFrame:
-    """The first bytes of words, each string once, with what their words add up to; their own depth is dealt_by, or all of them if that is 0."""
-    sums = [F.sum(f"n{c}").alias(f"n{c}") for c in range(SIDES)]
-    depth = F.lit(dealt_by or size).cast("int").alias("depth")
-    return words.groupBy(_head(size).alias("word")).agg(*sums, F.bit_or("sides").alias("sides")).select("word", depth, *[f"n{c}" for c in range(SIDES)], "sides")
-
-
-def dealt_heads(rows: DataFrame) -> DataFrame:
-    """Heads where all that share the bytes that they are dealt by are together, in order."""
-    return rows.repartition(F.expr("substring(word, 1, depth)")).sortWithinPartitions("word")
-
-
-def _levels(words: DataFrame) -> list[tuple[int, int]]:
-    """(bytes dealt by before, bytes dealt by then) of the levels that some word has."""
-    most = words.agg(F.max("depth")).first()[0] or PREFIX
-    return [(low, high) for low, high in zip((PREFIX, *DEEPER), DEEPER) if high <= most]
-
-
 def train(vocabulary: DataFrame) -> tuple[Mixer, Tables]:
     """The model from the vocabulary. Every task learns online; weights are averaged by their curvature."""
     spark, known = vocabulary.sparkSession, _known(vocabulary)
@@ -688,23 +745,13 @@ def train(vocabulary: DataFrame) -> tuple[Mixer, Tables]:
             own.learn(shared.value, words, True)
         yield from learnt_by(own, start)
 
-    def learn_inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Mixer()
-        start = own.hits.copy(), own.seen.copy()
-        for words, _ in _groups(batches, True):
-            own.learn(shared.value, words)
-        yield from learnt_by(own, start)
-
-    # the first PREFIX bytes of all words, each string once: few, as they grow with the alphabets in use only
-    first = heads(known, PREFIX, 0).repartition(1).sortWithinPartitions("word").mapInArrow(learn_heads, _ddl(schema))
-    steps = [known.mapInArrow(learn, _ddl(schema)), first]
-    for low, high in _levels(known):  # what words of hot prefixes are dealt by, where all that share a prefix are together
-        steps.append(dealt_heads(heads(known.filter(F.col("depth") >= high), high, low)).mapInArrow(learn_inner, _ddl(schema)))
-    every = steps[0]
-    for more in steps[1:]:
-        every = every.union(more)
+    # the first PREFIX bytes of words, each string once: few, as they grow with the alphabets in use only, so that one task can walk them
+    head = F.when(F.col("word") == F.lit(END), F.col("word")).otherwise(F.expr(f"substring(concat(word, cast(' ' as binary)), 1, {PREFIX})"))
+    sums = [F.sum(f"n{c}").alias(f"n{c}") for c in range(SIDES)]
+    heads = known.filter(_KNOWN).groupBy(head.alias("word")).agg(F.lit(PREFIX).alias("depth"), *sums, F.bit_or("sides").alias("sides"))
+    heads = heads.select(*[c for c in known.columns if c != "shares"]).repartition(1).sortWithinPartitions("word").mapInArrow(learn_heads, _ddl(schema))
     # GATES x PREDICTORS x (PREDICTORS + 1) + 2 x 256 x BUCKETS rows at most
-    learnt = every.groupBy("i").agg(F.sum("x").alias("x")).collect()
+    learnt = known.mapInArrow(learn, _ddl(schema)).union(heads).groupBy("i").agg(F.sum("x").alias("x")).collect()
     shared.unpersist()
     mixer = Mixer()
     sums = np.zeros(GATES * PREDICTORS * (PREDICTORS + 1) + 512 * BUCKETS)
@@ -720,99 +767,42 @@ def train(vocabulary: DataFrame) -> tuple[Mixer, Tables]:
     return mixer, Tables(zeros, ones, False)
 
 
-def _carried(words: DataFrame, model) -> DataFrame:
-    """words with `carried`: the log10 probability of the bytes beyond PREFIX that a word is dealt by, given what is before them.
-
-    Level by level the heads are scored where all that share the level's prefix are together. A head's score travels to the words (and
-    longer heads) that it starts by being dealt with them: it stands before them in their order.
-    """
-    schema = pa.schema([("word", pa.binary()), ("own", pa.float64())])
-
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mixer, tables = model.value
-        for group, table in _groups(batches, True):
-            yield pa.RecordBatch.from_arrays([table.column("word").combine_chunks(), pa.array(mixer.score(tables, group, first=PREFIX)[:, 0], pa.float64())], schema=schema)
-
-    levels = _levels(words)
-    if not levels:
-        return words.withColumn("carried", F.lit(0.0))
-    out = words.filter(F.col("depth") <= PREFIX).withColumn("carried", F.lit(0.0))
-    above = None  # (word, own): heads of the level above with the sum of their scores
-    for low, high in levels:
-        rows = dealt_heads(heads(words.filter(F.col("depth") >= high), high, low))
-        own = rows.mapInArrow(scored, _ddl(schema))
-        if above is not None:
-            own = _handed(own, above, low, "own")
-        above = materialise(own, "lm-heads")
-        out = out.unionByName(_handed(words.filter(F.col("depth") == high).withColumn("carried", F.lit(0.0)), above, high, "carried"))
-    return out
-
-
-def _handed(rows: DataFrame, heads: DataFrame, size: int, column: str) -> DataFrame:
-    """rows (word, column, ...) with the scores of the heads that their first bytes are, added; in order of words, those of one head together."""
-    schema, at = rows.schema, rows.columns.index(column)
-    key = _head(size) if "depth" in rows.columns else F.substring("word", 1, size)
-    marked = rows.withColumn("_key", key).withColumn("_score", F.lit(None).cast("double"))
-    none = [F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields]
-    given = heads.select(*none, F.col("word").alias("_key"), F.col("own").alias("_score"))
-    dealt = marked.unionByName(given).repartition("_key").sortWithinPartitions("_key", F.col("word").asc_nulls_first())
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = 0.0
-        for b in batches:
-            score = b.column("_score").to_numpy(zero_copy_only=False)
-            is_head = ~np.isnan(score)
-            # each row takes the score of the nearest head before it
-            place = np.maximum.accumulate(np.where(is_head, np.arange(len(score)), -1))
-            given = np.where(place >= 0, score[np.maximum(place, 0)], last)
-            if len(given):
-                last = float(given[-1])
-            kept = pa.array(~is_head)
-            columns = [b.column(f.name).filter(kept) for f in schema.fields]
-            columns[at] = pa.array(columns[at].to_numpy(zero_copy_only=False) + given[~is_head])
-            yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in schema.fields])
-
-    return dealt.mapInArrow(add, schema)
-
-
 def score_words(vocabulary: DataFrame, model: tuple[Mixer, Tables]) -> DataFrame:
-    """(part, words): packed numbers, counts, marks, hashes and scores (log10 probabilities, as 4-byte floats) of words for their parts."""
+    """(part, words): packed numbers, counts, marks and scores (log10 probabilities, as 4-byte floats) of words for their parts."""
     shared = vocabulary.sparkSession.sparkContext.broadcast(model)
     schema = pa.schema([("part", pa.int64()), ("words", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mixer, tables = shared.value
         for words, table in _groups(batches):
-            score = (mixer.score(tables, words) + table.column("carried").to_numpy()[:, None]).astype("<f4")
+            score = mixer.score(tables, words).astype("<f4")
             count = words.counts.sum(axis=1).astype(np.int64)
             own = table.column("word").to_pylist()
-            hashes = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in own), np.uint64, len(own))
-            marks = (_marks(own, hashes) | words.sides << 3).astype(np.uint8)
-            short = hashes.astype("<u4")
+            marks = _marks(own, np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in own), np.uint64, len(own)))
+            marks = (marks | words.sides << 3).astype(np.uint8)
             lists = table.column("parts").combine_chunks()
             at = np.repeat(np.arange(len(own)), pc.list_value_length(lists).to_numpy())
             part, number = lists.flatten().to_numpy(), table.column("numbers").combine_chunks().flatten().to_numpy()
             order = np.lexsort((number, part))
             rows = np.split(order, np.flatnonzero(np.diff(part[order])) + 1)
-            packed = [_squeeze(number[r], count[at[r]], marks[at[r]], short[at[r]], score[at[r]]) for r in rows]
+            packed = [_squeeze(number[r], count[at[r]], marks[at[r]], score[at[r]]) for r in rows]
             yield pa.RecordBatch.from_arrays([pa.array(part[[r[0] for r in rows]]), pa.array(packed, pa.binary())], schema=schema)
 
-    columns = ["word", "depth", *[f"n{c}" for c in range(SIDES)], "sides", "parts", "numbers"]
-    return _carried(vocabulary.select(*columns), shared).mapInArrow(run, _ddl(schema))
+    return vocabulary.select("word", "depth", *[f"n{c}" for c in range(SIDES)], "sides", "parts", "numbers", "shares").mapInArrow(run, _ddl(schema))
 
 
 def _planes(column: np.ndarray) -> bytes:
     return np.ascontiguousarray(column).view(np.uint8).reshape(len(column), -1).T.tobytes()
 
 
-def _squeeze(number: np.ndarray, count: np.ndarray, marks: np.ndarray, short: np.ndarray, score: np.ndarray) -> bytes:
+def _squeeze(number: np.ndarray, count: np.ndarray, marks: np.ndarray, score: np.ndarray) -> bytes:
     """Columns of words, compressed; of the scores those for the sides that a word has been met with."""
     met = (marks[:, None] >> 3 >> np.arange(SIDES)) & 1 > 0
-    raw = len(number).to_bytes(8, "little") + _planes(np.diff(number, prepend=0).astype("<u4")) + _planes(count.astype("<u8")) + marks.tobytes() + short.tobytes() + _planes(score[met])
+    raw = len(number).to_bytes(8, "little") + _planes(np.diff(number, prepend=0).astype("<u4")) + _planes(count.astype("<u8")) + marks.tobytes() + _planes(score[met])
     return zstandard.ZstdCompressor(level=1).compress(raw)
 
 
-def _unsqueeze(packed: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _unsqueeze(packed: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     raw = zstandard.ZstdDecompressor().decompress(packed)
     n, raw = int.from_bytes(raw[:8], "little"), np.frombuffer(raw, np.uint8, offset=8)
 
@@ -822,79 +812,8 @@ def _unsqueeze(packed: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     number, count, marks = column(0, n, "<u4", 4), column(4 * n, n, "<u8", 8), raw[12 * n:13 * n]
     met = (marks[:, None] >> 3 >> np.arange(SIDES)) & 1 > 0
     score = np.zeros((n, SIDES), np.float32)
-    short = np.frombuffer(raw[13 * n:17 * n].tobytes(), "<u4").astype(np.int64)
-    score[met] = column(17 * n, int(met.sum()), "<f4", 4)
-    return np.cumsum(number.astype(np.int64)), count.astype(np.int64), marks, short, score
-
-
-class Pairs:
-    """Counts of the classes that stand behind words, by hashed slot, and of all words by class: of a fixed size."""
-
-    def __init__(self, parts: DataFrame):
-        schema = pa.schema([("piece", pa.int32()), ("sums", pa.binary())])
-
-        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            sums: dict[int, np.ndarray] = {}
-            for b in batches:
-                for piece, own in zip(b.column(0).to_pylist(), b.column(1)):
-                    one = np.frombuffer(zstandard.ZstdDecompressor().decompress(own.as_py()), "<u4").astype(np.float64)
-                    sums[piece] = sums[piece] + one if piece in sums else one
-            for piece, own in sums.items():
-                yield pa.RecordBatch.from_arrays([pa.array([piece], pa.int32()), pa.array([zstandard.ZstdCompressor(level=1).compress(own.tobytes())], pa.binary())], schema=schema)
-
-        pieces = (1 << PAIR_BITS) // SLOTS_AT_ONCE
-        out, self.classes = np.zeros((pieces, 2 * SLOTS_AT_ONCE), np.float32), np.zeros(1 << CLASS_BITS)
-        summed = parts.filter("piece is not null").select("piece", "sums").repartition(pieces, "piece").mapInArrow(add, _ddl(schema))
-        for row in summed.toLocalIterator():  # 8 bytes a slot, a piece at a time
-            own = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["sums"]))
-            if row["piece"] < 0:
-                self.classes = own
-            else:
-                out[row["piece"]] = own
-        self.counts = out.reshape(-1, 2)
-
-    def predict(self, before: np.ndarray, of_class: np.ndarray, count: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For each word the log probability of following the word before it, and a gate by how often that was followed.
-
-        The bits of its class follow from counts behind the whole word before; of a class, words are as likely as they are frequent.
-        count: how often training has the word; own: 1 where that counts this occurrence, which is left out.
-        """
-        seen = np.maximum(count - own, 0)
-        with np.errstate(divide="ignore"):
-            out = np.log(seen / np.maximum(self.classes[of_class] - own, 1))
-        gate = None
-        for slot, bit in pair_slots(before, of_class):
-            n = self.counts[slot]
-            total = np.maximum(n[:, 0] + n[:, 1] - own, 0)
-            if gate is None:
-                gate = np.minimum(np.log2(1 + total) / 2, PAIR_STEPS - 1).astype(np.int64)
-            out += np.log((np.maximum(np.where(bit == 1, n[:, 1], n[:, 0]) - own, 0) + PAIR_ALPHA) / (total + 2 * PAIR_ALPHA))
-        return out, gate
-
-
-def follow_scores(by_letters: np.ndarray, following: np.ndarray, gate: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Log probability of each word of texts that stand one behind the other: by its letters, or as what follows the word before.
-
-    The weight of following is a text's own, by gate; it adapts after each run of RUN words to the share that following had in them.
-    """
-    order = np.argsort(-sizes, kind="stable")
-    starts, falling = np.concatenate([[0], np.cumsum(sizes)])[:-1][order], -sizes[order]
-    n, out = len(sizes), by_letters.copy()
-    hits, seen = np.full(n * PAIR_STEPS, FOLLOWS * FOLLOWS_FOR), np.full(n * PAIR_STEPS, FOLLOWS_FOR)
-    place = np.arange(RUN)
-    for t in range(0, int(sizes.max(initial=0)), RUN):
-        alive = int(np.searchsorted(falling, -t))  # texts with more than t words
-        there = place < (-falling[:alive] - t)[:, None]
-        at = (starts[:alive, None] + t + place)[there]
-        where = np.repeat(np.arange(alive), there.sum(axis=1)) * PAIR_STEPS + gate[at]
-        weight = np.clip(hits / seen, 1e-4, 0.9)[where]
-        mixed = np.logaddexp(by_letters[at] + np.log1p(-weight), following[at] + np.log(weight))
-        out[at] = mixed
-        share = np.exp(following[at] + np.log(weight) - mixed)
-        m = alive * PAIR_STEPS  # texts that are over change no more
-        hits[:m] = FOLLOWS_FADE * hits[:m] + np.bincount(where, share, m) + (1 - FOLLOWS_FADE) * FOLLOWS * FOLLOWS_FOR
-        seen[:m] = FOLLOWS_FADE * seen[:m] + np.bincount(where, minlength=m) + (1 - FOLLOWS_FADE) * FOLLOWS_FOR
-    return out
+    score[met] = column(13 * n, int(met.sum()), "<f4", 4)
+    return np.cumsum(number.astype(np.int64)), count.astype(np.int64), marks, score
 
 
 _RESULT = pa.schema([
@@ -921,20 +840,18 @@ def score_texts(docs: DataFrame) -> DataFrame:
     known = of_words.union(of_phrases).withColumnRenamed("part", "own")
     texts = parts.filter("seq is not null").select("part", "doc_id", "held_out", "n_tokens", "n_bytes", "seq", "phrases")
 
-    pairs = spark.sparkContext.broadcast(Pairs(parts))
-
     def add_up(docs: pa.Table, known: pa.Table) -> pa.Table:
-        return _add_up(docs, known, total, distinct, n_phrases, pairs.value)
+        return _add_up(docs, known, total, distinct, n_phrases)
 
     scored_texts = texts.groupBy("part").cogroup(known.groupBy("own")).applyInArrow(add_up, _ddl(_RESULT))
     return scored_texts.withColumn("train_tokens", F.lit(int(total)).cast("long"))
 
 
-def _add_up(docs: pa.Table, known: pa.Table, total: int, distinct: int, n_phrases: int, pairs: Pairs) -> pa.Table:
+def _add_up(docs: pa.Table, known: pa.Table, total: int, distinct: int, n_phrases: int) -> pa.Table:
     """Rows of the result for the documents of a part, from what is known of its words and phrases."""
-    number, c, marks, short, score = (np.concatenate(x) for x in zip(*(_unsqueeze(x.as_py()) for x in known.column("words") if x.is_valid)))
+    number, c, marks, score = (np.concatenate(x) for x in zip(*(_unsqueeze(x.as_py()) for x in known.column("words") if x.is_valid)))
     order = np.argsort(number)
-    c, marks, short, score = c[order], marks[order], short[order], score[order].astype(np.float64) * math.log(10)
+    c, marks, score = c[order], marks[order], score[order].astype(np.float64)
     ends, side, cuts = marks & 1 > 0, marks & 3, marks & 4 > 0
     base = np.log10((c + 0.1) / (total + 0.1 * (distinct + 1)))
     copied = known.filter(known.column("number").is_valid())
@@ -942,23 +859,6 @@ def _add_up(docs: pa.Table, known: pa.Table, total: int, distinct: int, n_phrase
     times = np.zeros(int(known_numbers.max(initial=-1)) + 2, np.int64)  # the last stands for all others
     times[known_numbers] = copied.column("c").to_numpy()
     n_known, base_score, last, by_words, counts = [], [], [], [], []
-    waiting: list[tuple[np.ndarray, bool]] = []
-
-    def done() -> None:
-        """Scores of the texts that wait: their words by letters and by what stands before."""
-        sizes = np.fromiter((len(ids) for ids, _ in waiting), np.int64, len(waiting))
-        every = np.concatenate([ids for ids, _ in waiting])
-        own = np.repeat(np.fromiter((not held for _, held in waiting), np.float64, len(waiting)), sizes)
-        letters = score[every, np.concatenate([sides(ids, side) for ids, _ in waiting])]
-        following, gate = pairs.predict(np.concatenate([befores(ids, short) for ids, _ in waiting]), short[every] & (1 << CLASS_BITS) - 1, c[every], own)
-        scores = follow_scores(letters, following, gate, sizes) / math.log(10)
-        for (ids, _), of_text in zip(waiting, np.split(scores, np.cumsum(sizes)[:-1])):
-            last.append(float(of_text[-1]))
-            starts = phrase_starts(ids[:-1], ends, cuts)
-            by_words.append(np.add.reduceat(of_text[:-1], starts) if len(starts) else np.zeros(0))
-        waiting.clear()
-
-    held_words = 0
     for seq, own, held in zip(docs.column("seq"), docs.column("phrases"), docs.column("held_out")):
         ids, numbers = _unpack(seq.as_py()), np.cumsum(_unpack(own.as_py()).astype(np.int32), dtype=np.int64)
         count = times[np.minimum(numbers, len(times) - 1)]
@@ -967,14 +867,11 @@ def _add_up(docs: pa.Table, known: pa.Table, total: int, distinct: int, n_phrase
             count = np.maximum(count - again[place], 0)
         n_known.append(int((c[ids] > 0).sum()))
         base_score.append(float(base[ids].sum()))
+        scores = score[ids, sides(ids, side)]
+        last.append(float(scores[-1]))
+        starts = phrase_starts(ids[:-1], ends, cuts)
+        by_words.append(np.add.reduceat(scores[:-1], starts) if len(starts) else np.zeros(0))
         counts.append(count)
-        waiting.append((ids, held.as_py()))
-        held_words += len(ids)
-        if held_words > WORDS_AT_ONCE * 2:
-            done()
-            held_words = 0
-    if waiting:
-        done()
     model = np.array(last) + copy_scores(by_words, counts, n_phrases)
     bits = -model * math.log2(10) / np.maximum(docs.column("n_bytes").to_numpy(), 1)
     return pa.table([docs.column("doc_id"), docs.column("held_out"), docs.column("n_tokens"), pa.array(n_known, pa.int64()), pa.array(base_score, pa.float64()), pa.array(model), pa.array(bits)], schema=_RESULT)
