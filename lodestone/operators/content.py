@@ -86,10 +86,11 @@ def language(text: Column) -> Column:
     return let(words, vote)
 
 
-#: Rules of facts as versioned data: id, version, type, value, pattern that Java and RE2 read alike, confidence.
+#: Rules of facts as versioned data: id, version, type, value, pattern that Java and RE2 read alike, confidence. Repetitions that a long line could
+#: restart at each of its characters are bounded.
 RULES = [
     ("licence.line", 2, "licence", "stated", r"(?i)licensed under [^.\n]*", 0.9), ("licence.release", 1, "licence", "stated", r"(?i)released under [^.\n]*", 0.9),
-    ("contact.mail", 1, "contact", "mail", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", 0.95), ("layout.pipes", 1, "layout", "table", r"[^|\n]+ \| [^|\n]+ \|", 0.7), ("layout.question", 1, "layout", "question", r"[^.?!\n]{3,}\?", 0.5),
+    ("contact.mail", 1, "contact", "mail", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", 0.95), ("layout.pipes", 1, "layout", "table", r"[^|\n]{1,80} \| [^|\n]{1,80} \|", 0.7), ("layout.question", 1, "layout", "question", r"[^.?!\n]{3,200}\?", 0.5),
     ("level.senior", 3, "seniority", "senior", r"(?i)(?:senior|lead|principal|staff) [a-z]+", 0.8), ("level.junior", 1, "seniority", "junior", r"(?i)(?:junior|entry[- ]level|graduate) [a-z]+", 0.8),
     ("type.full", 1, "employment_type", "full_time", r"(?i)full[- ]time", 0.9), ("type.part", 1, "employment_type", "part_time", r"(?i)part[- ]time", 0.9), ("type.contract", 1, "employment_type", "contract", r"(?i)(?:freelance|fixed[- ]term|contractor)", 0.8),
     ("scope.remote", 2, "remote_scope", "remote", r"(?i)(?:fully )?remote(?: within [a-z]+)?", 0.7), ("scope.hybrid", 1, "remote_scope", "hybrid", r"(?i)hybrid", 0.7),
@@ -101,10 +102,14 @@ def facts(text: Column, rules: list[tuple] = RULES) -> Column:
     """array<struct<rule_id, rule_version, fact_type, value, confidence, evidence_text, evidence_start, evidence_end>>: the first evidence of each rule, by characters from 0."""
     def one(rule: tuple) -> Column:
         rule_id, version, kind, value, pattern, confidence = rule
-        found = F.regexp_substr(text, F.lit(pattern))
-        start = F.regexp_instr(text, F.lit(pattern)) - 1
-        fields = {"rule_id": F.lit(rule_id), "rule_version": F.lit(version), "fact_type": F.lit(kind), "value": F.lit(value), "confidence": F.lit(confidence), "evidence_text": found, "evidence_start": start, "evidence_end": start + F.length(found)}
-        return F.when(found.isNotNull() & (found != ""), F.struct(*[c.alias(n) for n, c in fields.items()]))
+        def shown(found: Column) -> Column:
+            return F.when(found.isNotNull() & (found != ""), let(F.regexp_instr(text, F.lit(pattern)) - 1, lambda start: evidence(found, start)))
+
+        def evidence(found: Column, start: Column) -> Column:
+            fields = {"rule_id": F.lit(rule_id), "rule_version": F.lit(version), "fact_type": F.lit(kind), "value": F.lit(value), "confidence": F.lit(confidence), "evidence_text": found, "evidence_start": start, "evidence_end": start + F.length(found)}
+            return F.struct(*[c.alias(n) for n, c in fields.items()])
+
+        return let(F.regexp_substr(text, F.lit(pattern)), shown)
 
     return F.array_compact(F.array(*[one(r) for r in rules]))
 
