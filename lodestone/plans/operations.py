@@ -174,7 +174,7 @@ def import_limits(spark, d):
     kind, deep = F.col("doc_id") % 4, (F.col("doc_id") % 10 + 1).cast("int")
     side = F.concat(F.lit('{"a":{},"b":{"c":["{{[[", "\\"}"]},"d":{},"id":'), F.col("doc_id").cast("string"), F.lit("}"))
     doc = F.when(kind == 0, side).when(kind == 1, F.concat(F.repeat(F.lit("["), deep), F.lit("1"), F.repeat(F.lit("]"), deep))).when(kind == 2, F.concat(F.lit('{"id": "'), F.repeat(F.lit("x"), F.col("n_chars").cast("int"))))
-    doc = doc.otherwise(F.concat(F.lit('[{"id":"'), F.repeat(F.lit("y"), F.col("n_chars").cast("int")), F.lit('"}')))
+    doc = doc.otherwise(F.concat(F.lit('[{"i":"'), F.repeat(F.lit("y"), F.col("n_chars").cast("int")), F.lit('"}')))
     doc = F.when(kind == 3, F.concat(doc, F.lit("]"))).otherwise(doc)
     verdict = F.when(F.octet_length("doc") > IMPORT_BYTES, "TOO_LARGE").when(F.try_parse_json("doc").isNull(), "NOT_JSON").when(tx.json_depth(F.col("doc")) > IMPORT_DEPTH, "TOO_DEEP").otherwise("ACCEPTED")
     return table(spark, d, "documents").select("doc_id", doc.alias("doc")).select("doc_id", verdict.alias("verdict"))
