@@ -182,6 +182,18 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bits: int = MAX_BIT
     return marked.join(named, "fp")
 
 
+def close(nodes: DataFrame, bits: int = MAX_BITS) -> DataFrame:
+    """Pairs (a, b), a < b, of nodes (node, fp): each with the first of its fingerprint, and the first ones of fingerprints that links joins."""
+    known = nodes.filter("fp is not null")
+    first = materialise(known.groupBy("fp").agg(F.min("node").alias("first")), "distinct")
+    same = known.join(first, "fp").filter("node > first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    ends = links(first.select("fp"), bits)
+    for end in ("a", "b"):
+        ends = ends.join(first.select(F.col("fp").alias(end), F.col("first").alias(f"node_{end}")), end)
+    near = ends.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
+    return materialise(same.unionByName(near), "close")
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
     """docs with one row of each component of near copies: that with the smallest doc_id, a null one last.
 
@@ -191,11 +203,11 @@ def keep_one(docs: DataFrame) -> DataFrame:
     rows = materialise(docs.select(F.struct("*").alias("doc"), key.alias("row"), near_copies.signed().alias("sig")), "rows")
     order = F.struct(F.col("doc.doc_id").isNull().alias("unnumbered"), F.col("doc.doc_id").alias("doc_id"), F.col("sig.digest").alias("digest"), "row")
     told = rows.select(F.col("sig.digest").alias("digest"), "row", order.alias("order"), "sig")
-    nodes = told.groupBy("digest").agg(F.min("order").alias("first"), F.any_value("sig.bands").alias("bands"), F.any_value("sig.sketch").alias("sketch"))
-    nodes = materialise(nodes.withColumn("node", key), "nodes")
+    parts = [F.any_value(f"sig.{c}").alias(c) for c in ("bands", "sketch", "fp")]
+    nodes = materialise(told.groupBy("digest").agg(F.min("order").alias("first"), *parts).withColumn("node", key), "nodes")
     # sort-merge joins at any size: the rows grow with the input
     texts = rows.select("row", F.col("doc.text").alias("text")).hint("merge").join(nodes.select(F.col("first.row").alias("row"), "node"), "row").select("node", "text")
-    labels = components(near_copies.links(nodes.select("node", "bands", "sketch"), texts, components))
+    labels = components(near_copies.links(nodes.select("node", "bands", "sketch"), texts, close(nodes.select("node", "fp")), components))
     rooted = nodes.select("node", "first").join(labels, "node", "left").groupBy(F.coalesce("label", "node")).agg(F.min("first").alias("first"))
     kept = materialise(rooted.select(F.col("first.row").alias("row")), "kept")
     return rows.hint("merge").join(kept, "row", "left_semi").select("doc.*")
