@@ -113,8 +113,8 @@ def by_content(observations: DataFrame, words: int = POLICY.shingle_words, thres
     none = F.array().cast("array<string>")
     known = observations.filter("company is not null and title is not null and seen_day is not null").withColumn("place_key", F.array_join("places", "|"))
     # the block's columns ride along; doc_id is the job
-    classed = classes(known.select(F.col("job_id").alias("doc_id"), "text", *block), words, tuple(block)).select(F.col("doc_id").alias("job_id"), "root", *block, "s")
-    members = classed.drop("s").join(known.select("job_id", "seen_day"), "job_id").withColumn("span", F.floor(F.col("seen_day") / window))
+    classed, sets = classes(known.select(F.col("job_id").alias("doc_id"), "text", *block), words, tuple(block))
+    members = classed.select(F.col("doc_id").alias("job_id"), "root", *block).join(known.select("job_id", "seen_day"), "job_id").withColumn("span", F.floor(F.col("seen_day") / window))
     earliest, latest = F.struct("seen_day", "job_id"), F.struct("seen_day", (-F.col("job_id")).alias("minus"))
     spans = members.groupBy(*block, "root", "span").agg(F.min(earliest).alias("first"), F.max(latest).alias("last"))
     together = members.join(spans.select("root", "span", "first"), ["root", "span"]).filter(F.col("job_id") != F.col("first.job_id"))
@@ -126,7 +126,7 @@ def by_content(observations: DataFrame, words: int = POLICY.shingle_words, thres
     evidence = F.struct("company", "title", "place_key", F.col("first.seen_day").alias("seen_day"), F.col("before.last.seen_day").alias("first_day"))
     chained = chain.select("*", F.col("first.job_id").alias("job_id")).select(*_row(4, F.col("before.first.job_id"), "MERGE", "SAME_CONTENT", F.lit(1.0), evidence, none))
 
-    close = similar_sets(classed.filter("job_id = root").select(F.col("root").alias("doc_id"), "s").dropDuplicates(["doc_id"]), threshold)
+    close = similar_sets(sets, threshold)
     left = spans.select(F.col("root").alias("doc_a"), F.col("span").alias("span_a"), F.col("first").alias("fa"), F.col("last").alias("la"))
     right = spans.select(*block, F.col("root").alias("doc_b"), F.explode(F.array(F.col("span") - 1, F.col("span"), F.col("span") + 1)).alias("span_a"), F.col("first").alias("fb"), F.col("last").alias("lb"))
     met = close.join(left, "doc_a").join(right, ["doc_b", "span_a"]).filter((F.col("fa.seen_day") - F.col("lb.seen_day") <= window) & (F.col("fb.seen_day") - F.col("la.seen_day") <= window))

@@ -85,3 +85,15 @@ def test_secrets_in_nested_json(spark):
     raw = '{"a":{"Token":"x\\"y","n":[{"password":12},{"api_key":null}]},"cookie":"c","plain":"token: z"}'
     got = spark.createDataFrame([(raw,), (None,)], "t string").select(tx.redacted_json(F.col("t")).alias("t")).collect()
     assert got[0]["t"] == '{"a":{"Token":"[secret]","n":[{"password":"[secret]"},{"api_key":"[secret]"}]},"cookie":"[secret]","plain":"token: [secret]"}' and got[1]["t"] is None
+
+
+def test_the_similarity_join_moves_shingles_once(spark):
+    """Plans of the sets and of the pairs: what is no root is left out of the scan without another exchange of the sets."""
+    rows = spark.createDataFrame([(i, " ".join(f"w{(i // 2) * 7 + k}" for k in range(30))) for i in range(40)] + [(3, "one id with another text"), (3, "one id with another text")], "doc_id long, text string")
+    members, sets = near_module.classes(rows, 5)
+    assert sorted(map(tuple, members.filter("doc_id <> root").collect())) == [(i + 1, i) for i in range(0, 40, 2)]
+    ids = [r["doc_id"] for r in sets.collect()]
+    # an id that stands for two texts is one row
+    assert sorted(ids) == sorted([*range(0, 40, 2), 3])
+    plan = sets._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
