@@ -71,14 +71,17 @@ def written(df: DataFrame, label: str) -> DataFrame:
 
 
 def closure(edges: DataFrame) -> DataFrame:
-    """(node, root): the least node reachable over edges (a, b). Each round also follows the label of the label."""
+    """(node, root): the least node reachable over edges (a, b). Each round also follows the label of the label.
+
+    Labels and edges grow with the input, so they are joined by shuffles in every round: broadcasts would pass each round through the driver.
+    """
     both = written(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct(), "edges")
     labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("root")), "labels")
     while True:
-        near = both.join(labels, both["b"] == labels["node"]).groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
-        lower = labels.join(near, "node").select("node", F.col("root").alias("old"), F.least("root", "near").alias("via"))
+        near = both.join(labels.hint("merge"), both["b"] == labels["node"]).groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
+        lower = labels.join(near.hint("merge"), "node").select("node", F.col("root").alias("old"), F.least("root", "near").alias("via"))
         jump = labels.select(F.col("node").alias("via"), F.col("root").alias("far"))
-        moved = written(lower.join(jump, "via").select("node", "old", F.least("via", "far").alias("root")), "labels")
+        moved = written(lower.join(jump.hint("merge"), "via").select("node", "old", F.least("via", "far").alias("root")), "labels")
         labels = moved.select("node", "root")
         if moved.filter("root < old").isEmpty():
             return labels
