@@ -72,3 +72,15 @@ def test_empty(spark, tmp_path):
     index = S.build(df, "doc_id", {f: (F.col(f), w) for f, w in FIELDS.items()}, f"file://{tmp_path}")
     asked = spark.createDataFrame([(1, ["a"])], "query_id long, terms array<string>")
     assert S.search(index, asked, 5).collect() == []
+
+
+def test_postings_are_shuffled_once_to_build(spark, tmp_path, monkeypatch):
+    """Counts, levels, parts and folders each shuffled all postings before."""
+    df = spark.createDataFrame(corpus(), "doc_id long, title array<string>, body array<string>")
+    plans, own = [], S.Index.stored
+    write = type(df.write).partitionBy
+    monkeypatch.setattr(type(df.write), "partitionBy", lambda self, *a: plans.append(self._df._jdf.queryExecution().executedPlan().toString()) or write(self, *a))
+    index = S.build(df, "doc_id", {f: (F.col(f), w) for f, w in FIELDS.items()}, f"file://{tmp_path}")
+    assert plans[0].count("Exchange ") == 1 and "rangepartitioning" in plans[0]
+    blocks = own(index).withColumn("least", F.array_min(F.transform("postings", lambda p: p["weight"]))).withColumn("top", F.array_max(F.transform("postings", lambda p: p["weight"])))
+    assert blocks.filter("most <> top OR n <> size(postings)").count() == 0 and blocks.groupBy("term", "block").count().filter("count > 1").count() == 0
