@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,6 +25,12 @@ REDACTIONS = [
     (r"""(?i)([a-z]:\\users\\|/home/|/users/)[^\\/"' \t\n\f\r]+""", ("", 1, "[user]")),
 ]
 SECRET = REDACTIONS[3][0]
+#: Of each of these patterns, in the same order: texts of which a match holds one, whatever their case (a fixed list).
+NEEDED = [
+    ("://",), ("authorization", "cookie", "x-api-key", "x-auth-token"), ("bearer",), ("key", "token", "secret", "passw", "passphrase", "credential", "session", "storage"), ("@",), ("\\users\\", "/home/", "/users/"),
+]
+#: How a match of SECRET goes on from its name. It has no run before the name, which a search would begin anew at each of its characters.
+SECRET_SET = rf"""(?i)(?:api[_-]?key|token|secret|passw(?:or)?d|passphrase|credential|private[_-]?key|session[_-]?id|storage[_-]?state)[A-Za-z0-9_-]*+\\?["']?{_S}*+[:=]"""
 #: A field of this name, reduced to its letters, is secret whatever it holds.
 SECRET_NAME = "authorization|cookie|passwd|password|passphrase|secret|token|apikey|credential|privatekey|sessionid|storagestate"
 FORMULA_START = r"^[=+\-@\t\r]"
@@ -70,11 +78,37 @@ def replacement(parts: tuple, group: str) -> str:
     return "".join(p if isinstance(p, str) else f"{group}{p}" for p in parts)
 
 
+def holds(low: Column, words: tuple[str, ...]) -> Column:
+    """Whether a text in lower case holds one of some words."""
+    return reduce(lambda x, y: x | y, [low.contains(w) for w in words])
+
+
+def has_email(text: Column) -> Column:
+    return text.contains("@") & text.rlike(EMAIL)
+
+
+def has_secret(text: Column) -> Column:
+    return holds(F.lower(text), NEEDED[3]) & text.rlike(SECRET_SET) & text.rlike(SECRET)
+
+
 def redacted(text: Column) -> Column:
-    """Text without addresses and secrets."""
-    for pattern, kept in REDACTIONS:
-        text = F.regexp_replace(text, pattern, replacement(kept, "$"))
-    return text
+    """Text without addresses and secrets.
+
+    Most texts hold nothing that any pattern needs, and stay. In others the patterns run from the first one that may match: those before it
+    leave the text as it is.
+    """
+    def replaced(low: Column) -> Column:
+        may = [holds(low, words) for words in NEEDED]
+        may[3] = may[3] & text.rlike(SECRET_SET)
+        out = None
+        for k, found in enumerate(may):
+            left = text
+            for pattern, kept in REDACTIONS[k:]:
+                left = F.regexp_replace(left, pattern, replacement(kept, "$"))
+            out = F.when(found, left) if out is None else out.when(found, left)
+        return out.otherwise(text)
+
+    return let(F.lower(text), replaced)
 
 
 _JSON_TOKEN = r'"(?:[^"\\]++|\\.)*+"|[{}\[\],:]|[^\s{}\[\],:"]++'

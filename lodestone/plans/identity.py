@@ -322,7 +322,7 @@ def redaction_sql(text: str) -> str:
 def redaction(spark, d):
     """Addresses, credentials in URLs and headers, and secret fields and parameters, replaced before anything is kept."""
     t = F.col("text")
-    return table(spark, d, "documents").select("doc_id", t.rlike(tx.EMAIL).alias("had_email"), t.rlike(tx.SECRET).alias("had_secret"), F.sha2(tx.redacted(t).cast("binary"), 256).alias("redacted_hash"))
+    return table(spark, d, "documents").select("doc_id", tx.has_email(t).alias("had_email"), tx.has_secret(t).alias("had_secret"), F.sha2(tx.redacted(t).cast("binary"), 256).alias("redacted_hash"))
 
 
 @query("""SELECT conv_id, turn, '{"role":' || to_json(role) || ',"headers":{"Authorization":"[secret]","Set-Cookie":"[secret]","n":' || turn || '},"steps":[{"password":"[secret]","access_token":"[secret]","note":"see https://h.example/?api_key=[secret]&n=' || turn || '"},'

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -62,3 +63,22 @@ def test_no_secret_survives_in_random_documents(spark):
         assert "LEAK" not in got[doc] and "700" not in got[doc], (doc, got[doc])
         leaks += "LEAK" in doc
     assert leaks > 40
+
+
+def test_guards_change_nothing_and_spare_long_runs(spark):
+    """Texts in which any pattern may match, or another one's replacement stands, are as the plain patterns in turn leave them."""
+    pieces = ["http://u:p@h/x", "Authorization: Basic abc", "SET-COOKIE = a; b", "bearer abcdef.g", "my_API-key: 'a b'", "session-id=", "tokens", "token \\t= x", "a.b@c.de_x@y.zz", "C:\\\\Users\\\\me", "/HOME/me/x", "://", "@", "K:=", "passw=1", "secret=[a]", "\n", "plain words"]
+    rng = random.Random(5)
+    texts = [" ".join(rng.sample(pieces, k)) for k in (1, 1, 2, 3, 5) for _ in range(60)] + ["", *pieces]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    plain = F.col("t")
+    for pattern, kept in tx.REDACTIONS:
+        plain = F.regexp_replace(plain, pattern, tx.replacement(kept, "$"))
+    t = F.col("t")
+    wrong = df.filter(~tx.redacted(t).eqNullSafe(plain) | ~tx.has_email(t).eqNullSafe(t.rlike(tx.EMAIL)) | ~tx.has_secret(t).eqNullSafe(t.rlike(tx.SECRET)))
+    assert [r[0] for r in wrong.collect()] == []
+    # one run of 60,000 characters was searched anew from each of them
+    long = spark.createDataFrame([("aB3_" * 15_000,)], "t string")
+    began = time.time()
+    assert long.filter(tx.redacted(t).eqNullSafe(t) & ~tx.has_email(t) & ~tx.has_secret(t)).count() == 1
+    assert time.time() - began < 5
