@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions.expressions import let
+from ..functions.text import holds
 
 # What of a page is no content, and how elements are written in Markdown, before and after what they hold.
 SKIPPED = "script style noscript template nav footer aside form select button iframe svg head".split()
@@ -97,10 +98,19 @@ RULES = [
     ("auth.required", 1, "work_authorization", "required", r"(?i)(?:work permit|right to work|visa sponsorship)[^.\n]*", 0.8), ("experience.years", 2, "experience", "years", r"(?i)[0-9]+\+? years?(?: of)? experience", 0.85),
 ]
 
+#: Of a rule's pattern: texts of which a match holds one, whatever their case, and a pattern with the same first match that begins at fewer places or
+#: gives nothing back, which RE2 does not read (None: the rule's own). A pattern without an entry is always searched for.
+_LOCAL = "A-Za-z0-9._%+-"
+SEARCHED = {pattern: found for (_, _, _, _, pattern, _), found in zip(RULES, [
+    (("licensed under ",), None), (("released under ",), None), (("@",), rf"(?<![{_LOCAL}])[{_LOCAL}]++@[A-Za-z0-9.-]+\.[A-Za-z]{{2,}}"), ((" | ",), r"[^|\n]{2,81}+(?<= )\| [^|\n]{2,81}+(?<= )\|"), (("?",), r"[^.?!\n]{3,200}+\?"),
+    (("senior ", "lead ", "principal ", "staff "), None), (("junior ", "entry", "graduate "), None), (("full",), None), (("part",), None), (("freelance", "fixed", "contractor"), None),
+    (("remote",), None), (("hybrid",), None), (("work permit", "right to work", "visa sponsorship"), None), (("experience",), None),
+])}
+
 
 def facts(text: Column, rules: list[tuple] = RULES) -> Column:
     """array<struct<rule_id, rule_version, fact_type, value, confidence, evidence_text, evidence_start, evidence_end>>: the first evidence of each rule, by characters from 0."""
-    def one(rule: tuple) -> Column:
+    def one(rule: tuple, low: Column) -> Column:
         rule_id, version, kind, value, pattern, confidence = rule
         def shown(found: Column) -> Column:
             return F.when(found.isNotNull() & (found != ""), let(F.regexp_instr(text, F.lit(pattern)) - 1, lambda start: evidence(found, start)))
@@ -109,9 +119,11 @@ def facts(text: Column, rules: list[tuple] = RULES) -> Column:
             fields = {"rule_id": F.lit(rule_id), "rule_version": F.lit(version), "fact_type": F.lit(kind), "value": F.lit(value), "confidence": F.lit(confidence), "evidence_text": found, "evidence_start": start, "evidence_end": start + F.length(found)}
             return F.struct(*[c.alias(n) for n, c in fields.items()])
 
-        return let(F.regexp_substr(text, F.lit(pattern)), shown)
+        words, same = SEARCHED.get(pattern, ((), None))
+        found = F.regexp_substr(text, F.lit(same or pattern))
+        return let(F.when(holds(low, words), found) if words else found, shown)
 
-    return F.array_compact(F.array(*[one(r) for r in rules]))
+    return let(F.lower(text), lambda low: F.array_compact(F.array(*[one(r, low) for r in rules])))
 
 
 #: Classes of change in the order in which they are listed (fixed names).

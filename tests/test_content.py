@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -115,3 +116,19 @@ def test_pointer_and_content_id(spark):
     got = R.pointer(spark.createDataFrame(events, "event_id long, name string, kind string, revision int"))
     assert sorted(map(tuple, got.collect())) == [("a", 1, 1), ("b", 7, 4), ("c", 1, 7)]
     assert R.content_id({"b": [1, {"y": 1, "x": "é"}], "a": None}) == R.content_id(json.loads('{ "a": null, "b": [1, {"x": "é", "y": 1}] }')) != R.content_id({"b": [{"y": 1, "x": "é"}, 1], "a": None})
+
+
+def test_facts_are_searched_for_where_they_may_be(spark):
+    """Each rule finds what its own pattern finds first, whatever the text; a run of 40,000 characters is not searched anew from each of them."""
+    pieces = ["Licensed Under MIT", "released under x.", "a@b.co_x@y.zz", "@", "x | y | z |", " | |", "| a |  |", "y" * 90 + " | b |", "ab?", "abc?", "w" * 250 + "?", "senior dev", "LEAD x", "entry level a", "Full-Time", "part time", "fixed term", "fully remote within eu", "HYBRID", "work permit", "3 years of experience", ".", "\n"]
+    rng = random.Random(7)
+    texts = ["".join(rng.choice([x, x + " "]) for x in rng.sample(pieces, k)) for k in (1, 2, 3, 6) for _ in range(80)] + [None, "", *pieces]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = df.select("t", F.transform(C.facts(F.col("t")), lambda f: F.struct(f["rule_id"], f["evidence_text"], f["evidence_start"])).alias("f"))
+    want = [F.array(F.lit(r[0]), F.regexp_substr("t", F.lit(r[4])), (F.regexp_instr("t", F.lit(r[4])) - 1).cast("string")).alias(f"r{i}") for i, r in enumerate(C.RULES)]
+    for row in got.select("f", *want).collect():
+        assert [(f[0], f[1], str(f[2])) for f in row["f"] or []] == [tuple(w) for w in row[1:] if w[1]]
+    long = spark.createDataFrame([("aB3_" * 10_000,)], "t string")
+    began = time.time()
+    assert long.filter(F.size(C.facts(F.col("t"))) == 0).count() == 1
+    assert time.time() - began < 5
