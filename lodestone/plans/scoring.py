@@ -70,11 +70,13 @@ def score_versions(spark, d):
     edits = table(spark, d, "events").filter("event_type = 'signup'").groupBy((F.col("user_id") % 5).cast("int").alias("profile_id")).agg(F.count("*").alias("n"))
     profiles = spark.createDataFrame([(p[0],) for p in PROFILES], "profile_id int")
     current = profiles.join(edits, "profile_id", "left").select("profile_id", (1 + F.coalesce("n", F.lit(0)) % 3).alias("current"))
-    rows = pairs(spark, d).select("job_id", "profile_id", score().alias("score")).join(F.broadcast(current), "profile_id")  # as many rows as profiles
+    # dealt by job, so that no task that reads a file holds all of its keys; sums are of fixed width, so nothing is sorted
+    dealt = pairs(spark, d).select("job_id", "profile_id", score().alias("score")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "job_id")
+    rows = dealt.join(F.broadcast(current), "profile_id")  # as many rows as profiles
     ledger = rows.withColumn("revision", F.explode(F.sequence(F.lit(1).cast("long"), F.col("current"))))
     evaluated = ledger.withColumn("score", (F.col("score") + EDIT_POINTS * (F.col("revision") - 1)).cast("long"))
-    newest = evaluated.groupBy("job_id", "profile_id").agg(F.max_by(F.struct("revision", "score"), "revision").alias("e"), (F.count("*") - 1).alias("n_older"))
-    return newest.select("job_id", "profile_id", "e.revision", "e.score", "n_older")
+    newest = evaluated.groupBy("job_id", "profile_id").agg(F.max("revision").alias("newest"), F.max_by("score", "revision").alias("score"), (F.count("*") - 1).alias("n_older"))
+    return newest.select("job_id", "profile_id", F.col("newest").alias("revision"), "score", "n_older")
 
 
 #: Rules of eligibility, versioned: what a profile says of regions, and the hours from UTC that it can work in.
