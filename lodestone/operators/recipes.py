@@ -82,6 +82,18 @@ def extract(pages: DataFrame, recipe: dict, html: str = "html", url: str = "url"
     one card. Of a field's locators the first that finds a text wins, and `used` tells which; a required field that none finds is null
     and listed in `missing`, so that the record goes to review. `next_url` is the following page, resolved against this one's URL.
     """
+    return _extracted(pages, {"": _read(recipe)}, html, url).drop("_recipe")
+
+
+def extract_all(pages: DataFrame, recipes: dict[str, dict], html: str = "html", url: str = "url") -> DataFrame:
+    """What `extract` gives by each of several recipes with the same fields, with the recipe's name as `recipe`: a page's tree is built once for all of them."""
+    if len({tuple(r.get("fields") or ()) for r in recipes.values()}) != 1:
+        raise ValueError("recipes that are read together have the same fields")
+    return _extracted(pages, {name: _read(recipe) for name, recipe in recipes.items()}, html, url).withColumnRenamed("_recipe", "recipe")
+
+
+def _read(recipe: dict) -> tuple[dict, list, list]:
+    """The fields, cards and links to following pages of a recipe of version 2."""
     fields = recipe.get("fields")
     if recipe.get("version") != 2 or not set(recipe) <= {"version", "card_locators", "fields", "next"} or not isinstance(fields, dict) or not 0 < len(fields) <= MOST_FIELDS:
         raise ValueError("not a recipe of version 2")
@@ -92,10 +104,10 @@ def extract(pages: DataFrame, recipe: dict, html: str = "html", url: str = "url"
         read[name] = (_candidates(spec["locators"]), bool(spec.get("required")))
     card_locators = _candidates(recipe["card_locators"]) if "card_locators" in recipe else []
     following = _candidates(recipe["next"]) if "next" in recipe else []
-    return _extracted(pages, read, card_locators, following, html, url)
+    return read, card_locators, following
 
 
-def _extracted(pages: DataFrame, fields: dict, card_locators: list, following: list, html: str, url: str) -> DataFrame:
+def _extracted(pages: DataFrame, recipes: dict[str, tuple[dict, list, list]], html: str, url: str) -> DataFrame:
     none = F.lit(None).cast("string")
 
     def one_field(page: Column, card: Column | None, locators: list) -> Column:
@@ -104,7 +116,7 @@ def _extracted(pages: DataFrame, fields: dict, card_locators: list, following: l
         numbered = F.filter(F.transform(found, lambda v, i: F.struct(v.alias("value"), (i + 1).alias("used"))), lambda v: v["value"].isNotNull())
         return F.get(numbered, 0)
 
-    def record(page: Column, card: Column | None) -> Column:
+    def record(fields: dict, page: Column, card: Column | None) -> Column:
         parts = F.struct(*[one_field(page, card, locators).alias(name) for name, (locators, _) in fields.items()])
 
         def named(found: Column) -> Column:
@@ -114,16 +126,20 @@ def _extracted(pages: DataFrame, fields: dict, card_locators: list, following: l
 
         return let(parts, named)
 
-    def result(page: Column) -> Column:
+    def result(name: str, page: Column) -> Column:
+        fields, card_locators, following = recipes[name]
         if card_locators:
             tried = [x.matches(page) for x in card_locators]
             cards = let(F.array(*tried), lambda t: F.get(F.filter(t, lambda cards: F.size(cards) > 0), 0))
-            records = F.transform(cards, lambda card: record(page, card))
+            records = F.transform(cards, lambda card: record(fields, page, card))
         else:
-            records = F.array(record(page, None))
+            records = F.array(record(fields, page, None))
         link = F.coalesce(*[x.first(page) for x in following], none)
         return F.struct(records.alias("records"), F.when(link.isNotNull(), ux.resolved(F.col(url), link)).alias("next_url"))
 
-    whole = pages.withColumn("_read", F.when(F.col(html).isNotNull(), let(markup.tree(F.col(html)), result)))
-    rows = whole.select(*[F.col(c) for c in pages.columns], F.col("_read.next_url").alias("next_url"), F.posexplode_outer("_read.records").alias("card", "_record"))
-    return rows.select(*pages.columns, "card", "_record.*", "next_url")
+    trees = pages.withColumn("_page", markup.tree(F.col(html)))
+    whole = trees.withColumn("_read", let(F.col("_page"), lambda page: F.array(*[F.when(page.isNotNull(), result(name, page)) for name in recipes])))
+    each = whole.select(*[F.col(c) for c in pages.columns], F.posexplode("_read").alias("_n", "_one"))
+    named = F.element_at(F.array(*[F.lit(name) for name in recipes]), F.col("_n") + 1)
+    rows = each.select(*[F.col(c) for c in pages.columns], named.alias("_recipe"), F.col("_one.next_url").alias("next_url"), F.posexplode_outer("_one.records").alias("card", "_record"))
+    return rows.select("_recipe", *pages.columns, "card", "_record.*", "next_url")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import url as ux
 from ..operators import content, revisions, robots
 from ..operators.ledger import written
-from ..operators.recipes import extract
+from ..operators.recipes import extract_all
 from ..sources.tables import table
 from .acquisition import H
 from .locators import _ENTRY, _decoded, trees
@@ -101,16 +101,15 @@ SELECT 'same' AS candidate, fixtures AS n_fixtures, fixtures AS n_passed, CAST(0
 UNION ALL SELECT 'no_title', fixtures, 0, 0, 0, titled, 'REJECT' FROM s UNION ALL SELECT 'more', fixtures, fixtures, 0, pages, 0, 'ACTIVATE' FROM s""")
 def recipe_promotion(spark, d):
     """Candidates of a recipe against fixtures and against what the recipe in force reads: only one that passes all and loses nothing is activated."""
-    pages = table(spark, d, "pages")
-
-    def output(recipe):
-        return extract(pages, recipe).filter("card is not null").select("page_id", "card", "title", "job_url")
-
-    active = written(output(_list_recipe("nav li", "a")), "active")
+    # every page is read as a tree once, for the recipe in force and all candidates together
+    recipes = {"active": _list_recipe("nav li", "a"), **CANDIDATES}
+    read = written(extract_all(table(spark, d, "pages"), recipes).filter("card is not null").select("recipe", "page_id", "card", "title", "job_url"), "outputs")
+    active = read.filter("recipe = 'active'").drop("recipe")
     fixtures = active.filter("page_id % 10 = 0")
     out = None
-    for name, recipe in CANDIDATES.items():
-        own = revisions.verdict(fixtures, active, output(recipe), ["page_id", "card"], ["title", "job_url"]).select(F.lit(name).alias("candidate"), "*")
+    for name in CANDIDATES:
+        candidate = read.filter(F.col("recipe") == name).drop("recipe")
+        own = revisions.verdict(fixtures, active, candidate, ["page_id", "card"], ["title", "job_url"]).select(F.lit(name).alias("candidate"), "*")
         out = own if out is None else out.unionByName(own)
     return out
 
